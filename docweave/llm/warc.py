@@ -23,6 +23,10 @@ RECORDS_A_COPY = 2000
 SALTS = 32
 
 
+def _salts() -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+
+
 def record_id(page_id: Column) -> Column:
     """A name-based uuid of the page's id."""
     h = sha256_hex(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
@@ -58,7 +62,7 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     heads = keyed.select("page_id", "url", "digest", "size").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
     firsts = heads.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("size").alias("most"), F.min("size").alias("least"))
     # A hot payload's records are spread over the salts; the other side has one row per digest.
-    copies = firsts.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    copies = firsts.select("digest", "first_id", F.explode(_salts()).alias("salt"))
     typed = heads.join(copies, ["digest", "salt"])
     revisit = (F.col("size") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
@@ -81,7 +85,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """What the headers say, joined with the verified payloads: page_id (text, null for none), url, payload_bytes, payload_digest, record_type, refers_to."""
     h = F.col("header")
     records = spark.read.parquet(f"{path}/records").withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(SALTS)))
-    stored = verified_payloads(spark, path).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    stored = verified_payloads(spark, path).withColumn("salt", F.explode(_salts()))
     joined = records.join(stored, ["digest", "salt"])
     page, refers = field(h, "WARC-Page-ID"), field(h, "WARC-Refers-To-Page")
     return joined.select(
@@ -97,7 +101,7 @@ def original_records(spark: SparkSession, path: str) -> DataFrame:
     """
     records = spark.read.parquet(f"{path}/records")
     copies = records.groupBy("digest").agg(F.ceil(F.count(F.lit(1)) / RECORDS_A_COPY).alias("copies"))
-    salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    salted = copies.withColumn("salt", F.explode(_salts()))
     placed = records.withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(SALTS))).join(salted, ["digest", "salt"]).withColumn("copy", F.pmod(F.xxhash64("header", F.lit(1)), F.col("copies"))).drop("salt")
     bodies = spark.read.parquet(f"{path}/payloads").join(copies, "digest").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("digest", "copy", "body").dropDuplicates(["digest", "copy"])
     page = field(F.col("header"), "WARC-Page-ID")
