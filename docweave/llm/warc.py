@@ -48,7 +48,7 @@ def header_block(page_id: Column, url: Column, digest: Column, size: Column, kin
 
 
 def field(header: Column, name: str) -> Column:
-    return F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)\r$", 1)
+    return F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)", 1)
 
 
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
