@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .jaccard import op8_jaccard
 from .langid import op1_language
 from .licenses import op10_license
 from .pieces import op6_pieces
@@ -11,5 +12,5 @@ from .topk import OP5_SQL, op5_topk
 from .toxicity import op2_toxicity
 from .warc import OP4_SQL, op4_warc
 
-QUERIES = {"op1_language": op1_language, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_warc": op4_warc, "op5_topk": op5_topk, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op10_license": op10_license}
+QUERIES = {"op1_language": op1_language, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_warc": op4_warc, "op5_topk": op5_topk, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_jaccard": op8_jaccard, "op10_license": op10_license}
 ORACLES = {"op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL, "op5_topk": OP5_SQL}
