@@ -115,8 +115,8 @@ def proximity_matches(index: DataFrame, rarest: DataFrame, slop: int = 5) -> Dat
     return near.groupBy("key", "phrase_id", "start").agg(F.min(F.abs(F.col("start") - F.col("other"))).alias("apart"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """For every row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, keep_key: bool = False) -> DataFrame:
+    """For every row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``keep_key`` also the hash of id and text."""
     base = keyed(docs, doc_id, text)
     windows = stage(windows_of(items, item_id, item_text, width), "windows")
     rarest = stage(rarest_terms(windows, term_counts(base, windows)), "rarest")
@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     out = counted.join(facts, (counted["key"] == facts["key"]) & counted["doc_id"].eqNullSafe(facts["id"]), "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        *([counted["key"]] if keep_key else []), "doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         sha256_hex(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary")).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
     )
 
