@@ -184,6 +184,9 @@ def fit_rules(table: np.ndarray, y: np.ndarray, w: np.ndarray, trees: int = 30,
         margin += 0.3 * step
         found.update(dict.fromkeys(tuple(sorted(p)) for p in paths))
     rules = list(found)
+    if not rules:  # too few rows for a split
+        rate = float((w * y).sum() / w.sum())
+        return RuleEnsemble(float(np.log(rate / (1 - rate))), [])
     holds = np.stack([np.all([(table[:, s] <= v) == low for s, low, v in r], 0) for r in rules], 1).astype(float)
     _, first = np.unique(holds, axis=1, return_index=True)
     rules, holds = [rules[i] for i in sorted(first)], holds[:, sorted(first)]
