@@ -2,7 +2,7 @@
 
 Texts become sets of hashed word shingles. Texts with equal sets are one class from there on. If two sets reach a similarity t,
 their first n - ceil(t n) + 1 tokens share one *whatever* the global order, so a pair must share a prefix token under each
-of ORDERS orders: the first order's prefixes are joined, the others' filter the pairs, and what is left is verified on the texts.
+of three orders: the first order's prefixes are joined, the others' filter the pairs, and what is left is verified on the texts.
 Each order puts rare tokens first (by a sketch of hashed counters over all texts, which only settles the order, never the
 result) and breaks ties by its own hash.
 
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACED, mix, range_hash, running, stage, steps, word_ranges
 
-ORDERS = 3
 #: Hashed counters of the sketch, in pieces of CELLS.
 COUNTERS, CELLS = 1 << 21, 1 << 15
 #: Bytes of ids up to which a list of documents is broadcast.
@@ -84,17 +83,27 @@ def _set_keys(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _counter_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(20)).astype(np.int32) & np.int32(COUNTERS - 1)
+
+
 def token_counters(texts: DataFrame, like: Likeness) -> np.ndarray:
-    """Sums of hashed counters over all texts: COUNTERS numbers, whatever the input."""
+    """Levels (twice the binary logarithm) of hashed counters over all texts: COUNTERS bytes, whatever the input."""
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total, seen, held = np.zeros(COUNTERS, np.int32), [], 0
         for batch in batches:
             for _, _, data, at in steps(batch.column("text")):
                 h, _ = shingle_sets(data, at, like.width)
-                total += np.bincount((h >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS)
+                seen.append(_counter_of(h))
+                held += len(h)
+                if held > 3_000_000:
+                    total += np.bincount(np.concatenate(seen), minlength=COUNTERS).astype(np.int32)
+                    seen, held = [], 0
+        if seen:
+            total += np.bincount(np.concatenate(seen), minlength=COUNTERS).astype(np.int32)
         if total.any():
-            cells = total.reshape(-1, CELLS).astype(np.int32)
+            cells = total.reshape(-1, CELLS)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array([c.tobytes() for c in cells], pa.binary())], ["cell", "counts"])
 
     def add(key, table):
@@ -111,72 +120,84 @@ def token_counters(texts: DataFrame, like: Likeness) -> np.ndarray:
     out = np.zeros((COUNTERS // CELLS, CELLS), np.int32)
     for r in half.groupBy("cell").applyInArrow(add, kind).collect():
         out[r["cell"]] = np.frombuffer(bytes(r["counts"]), np.int32)
-    return out.reshape(-1)
+    return (2 * np.log2(np.maximum(out.reshape(-1), 1).astype(np.float32))).astype(np.uint8)
+
 
+def sets_of(docs: DataFrame, like: Likeness, levels: np.ndarray | None = None, filters: bool = False) -> DataFrame:
+    """(doc_id, n, k1, k2) of every row of ``docs(doc_id, text)``.
 
-def sets_of(docs: DataFrame, like: Likeness, counters: np.ndarray | None = None, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n, k1, k2) of every row of ``docs(doc_id, text)``; with counters also p1, p2, ...: the prefixes by order."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)
-    names = [f"p{j + 1}" for j in range(ORDERS)] if counters is not None else []
+    With levels also ``p1``, the prefix under the first order; with ``filters`` instead the text, ``half`` (sort keys of the first half
+    of the set under the second order) and ``p3`` (the prefix under the third).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    names = ([] if levels is None else ["text", "half", "p3"] if filters else ["p1"])
 
     def run(batches):
-        levels = None if shared.value is None else (2 * np.log2(np.maximum(shared.value, 1))).astype(np.uint64)
         for batch in batches:
             for first, last, data, at in steps(batch.column("text")):
                 h, cut = shingle_sets(data, at, like.width)
                 n = np.diff(cut)
                 k1, k2 = _set_keys(h, cut)
-                none = pa.array(n == 0)
                 made = [pa.array(n, pa.int64()), pa.array(np.where(n == 0, 0, k1), mask=n == 0), pa.array(np.where(n == 0, 0, k2), mask=n == 0)]
                 if names:
-                    own = np.repeat(np.arange(len(n)), n)
-                    p = like.prefix(n)
-                    rare = levels[(h >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)] << np.uint64(57)
-                    take = np.arange(len(h)) - np.repeat(cut[:-1], n) < np.repeat(p, n)
-                    pat = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
-                    for j in range(ORDERS):
-                        order = np.lexsort((rare | (mix(h + np.uint64(j + 1)) >> np.uint64(7)), own))
-                        tokens = h[order][take]
-                        values = pa.array(tokens.view(np.int64)) if j == 0 else pa.array((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                        made.append(pa.ListArray.from_arrays(pa.array(pat), values))
-                keep = [batch.column("doc_id").slice(first, last - first)] + ([batch.column("text").slice(first, last - first)] if keep_text else [])
-                yield pa.RecordBatch.from_arrays([*keep, *made], ["doc_id", *(["text"] if keep_text else []), "n", "k1", "k2", *names])
-                del none
-
-    kinds = "".join(f", {x} array<{'long' if i == 0 else 'int'}>" for i, x in enumerate(names))
+                    own, at_set, p = np.repeat(np.arange(len(n)), n), np.arange(len(h)) - np.repeat(cut[:-1], n), like.prefix(n)
+                    rare = shared.value[_counter_of(h)].astype(np.uint64) << np.uint64(57)
+                    order = lambda j: rare | (mix(h + np.uint64(j)) >> np.uint64(7))
+                    take = at_set < np.repeat(p, n)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32))
+                if names == ["p1"]:
+                    made.append(pa.ListArray.from_arrays(offsets, pa.array(h[np.lexsort((order(1), own))][take].view(np.int64))))
+                elif names:
+                    keys = order(2)
+                    keys = (keys[np.lexsort((keys, own))] >> np.uint64(32)).astype(np.int32)
+                    kept = at_set < np.repeat(np.maximum(p, (n + 1) // 2), n)
+                    kept[1:] &= (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+                    size = np.bincount(own[kept], minlength=len(n))
+                    made += [batch.column("text").slice(first, last - first), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[kept]))]
+                    made.append(pa.ListArray.from_arrays(offsets, pa.array((h[np.lexsort((order(3), own))][take] >> np.uint64(32)).astype(np.uint32).view(np.int32))))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *made], ["doc_id", "n", "k1", "k2", *names])
+
+    kinds = {"text": "string", "half": "array<int>", "p3": "array<int>", "p1": "array<long>"}
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, {'text string, ' if keep_text else ''}n long, k1 long, k2 long{kinds}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n long, k1 long, k2 long" + "".join(f", {x} {kinds[x]}" for x in names))
 
 
-def _fits(a: str, b: str, like: Likeness):
-    """Sizes that can reach the similarity."""
-    return F.least(a, b) * like.den >= F.greatest(a, b) * like.num
+def _fits(n: str, m: str, at: str, to: str, like: Likeness):
+    """Whether sizes n and m can reach the similarity if tokens at these places of the prefixes are the first that both have.
+
+    The tokens before the first common one are in one set only, so a pair that reaches the similarity passes there.
+    """
+    n, m = F.col(n), F.col(m)
+    return (F.least(n, m) * like.den >= F.greatest(n, m) * like.num) & ((F.col(at) + F.col(to)) * (like.den + like.num) <= (n + m) * (like.den - like.num))
 
 
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def share_all_orders(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a prefix token under the other orders too."""
-    others = [f"p{j + 1}" for j in range(1, ORDERS)]
-    left = classes.select(F.col("k1").alias("a"), *[F.col(c).alias(f"a_{c}") for c in others])
-    right = classes.select(F.col("k1").alias("b"), *[F.col(c).alias(f"b_{c}") for c in others])
-    both = pairs.join(left, "a").join(right, "b")
-    for c in others:
-        both = both.where(F.arrays_overlap(f"a_{c}", f"b_{c}"))
-    return both.select("a", "b").distinct()
+def share_all_orders(pairs: DataFrame, sides: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) that the other orders allow: a common prefix token, and few enough keys that only one half-set has.
+
+    Below the smaller of two half-sets' last keys both are complete, so keys that only one has there are tokens that only one
+    set has; keys that tokens share can only hide some.
+    """
+    side = lambda x: sides.select(F.col("k1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "half", "p3")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a_p3", "b_p3"))
+    end = F.least(F.element_at("a_half", -1), F.element_at("b_half", -1))
+    upto = lambda c: F.size(F.filter(c, lambda k: k <= end))
+    apart = upto("a_half") + upto("b_half") - 2 * F.size(F.array_intersect("a_half", "b_half"))
+    return both.where(apart * (like.den + like.num) <= (F.col("a_n") + F.col("b_n")) * (like.den - like.num)).select("a", "b").distinct()
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
-    """Edges (a, b) between 128-bit class keys of the pairs that reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    wanted = classes.select("k1", "k2", "rep").join(ids, "k1", "left_semi").where(F.col("rep").isNotNull())
-    wanted = stage(wanted, "wanted")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness, levels: np.ndarray) -> DataFrame:
+    """Edges (u, v, a, b) between 128-bit class keys (and their first halves) of the pairs that reach the similarity."""
+    ids = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
+    wanted = stage(classes.select("k1", "rep").join(ids, "k1", "left_semi").where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     small = wanted.count() * 64 <= BROADCAST_BYTES
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("rep")).select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
-    a = texts.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("text").alias("ta"))
-    b = texts.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("text").alias("tb"))
+    sides = stage(sets_of(docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi"), like, levels, True), "sides")
+    pairs = stage(share_all_orders(pairs, sides, like), "shared")
+    a = sides.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("text").alias("ta"))
+    b = sides.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("text").alias("tb"))
 
     def run(batches):
         for batch in batches:
@@ -195,7 +216,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness
                 yield pa.RecordBatch.from_arrays([pa.array([p + q for p, q in zip(name(c), name(d), strict=True)], pa.binary()) for c, d in (("a", "a2"), ("b", "b2"))] + [batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["u", "v", "a", "b"])
 
     joined = pairs.join(a, "a").join(b, "b").select("a", "a2", "b", "b2", "ta", "tb")
-    return joined.mapInArrow(run, "u binary, v binary, a long, b long")
+    return stage(joined.mapInArrow(run, "u binary, v binary, a long, b long").distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,27 +240,26 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, like: Likeness) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     docs = docs.select("doc_id", "text")
-    counters = token_counters(docs, like)
-    sets = sets_of(docs.where(F.col("text").isNotNull()), like, counters).where(F.col("n") > 0)
-    first = [F.first(c).alias(c) for c in ("n", *[f"p{j + 1}" for j in range(ORDERS)])]
-    classes = stage(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *first), "classes")
-    postings = classes.select(F.explode("p1").alias("token"), "k1", F.col("n").cast("int").alias("n"))
-    hubs = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "n")).alias("hub")).where(F.col("c") > 1).select("token", F.col("hub.k1").alias("hub"), F.col("hub.n").alias("hub_n"))
+    levels = token_counters(docs, like)
+    sets = sets_of(docs.where(F.col("text").isNotNull()), like, levels).where(F.col("n") > 0)
+    classes = stage(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("p1").alias("p1")), "classes")
+    postings = classes.select("k1", "n", F.posexplode("p1").alias("pos", "token"))
+    hubs = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "n", "pos")).alias("h")).where(F.col("c") > 1).select("token", F.col("h.k1").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
     members = stage(postings.join(stage(hubs, "hubs"), "token"), "members")
-    pairs1 = stage(_ordered(members.where((F.col("k1") != F.col("hub")) & _fits("n", "hub_n", like)), "k1", "hub"), "pairs")
-    edges1 = stage(verify(stage(share_all_orders(pairs1, classes), "shared"), classes, docs, like), "edges")
+    pairs1 = stage(_ordered(members.where((F.col("k1") != F.col("hub")) & _fits("n", "hub_n", "pos", "hub_pos", like)), "k1", "hub"), "pairs")
+    edges1 = verified(pairs1, classes, docs, like, levels)
     # The smallest key that a class is linked with, itself included, labels it.
     ends = edges1.select(F.col("a").alias("k1"), F.col("b").alias("o")).unionByName(edges1.select(F.col("b").alias("k1"), F.col("a").alias("o")))
     labels = stage(ends.groupBy("k1").agg(F.least(F.min("o"), F.first("k1")).alias("label")), "labels")
-    tagged = members.select("token", "k1", "n").join(labels, "k1", "left").select("token", "k1", "n", F.coalesce("label", "k1").alias("label"))
+    tagged = members.select("token", "k1", "n", "pos").join(labels, "k1", "left").select("token", "k1", "n", "pos", F.coalesce("label", "k1").alias("label"))
     tagged = stage(tagged, "tagged")
     sizes = tagged.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top"))
     open_ = stage(tagged.join(stage(sizes.where(F.col("labels") > 1).select("token", F.col("top.label").alias("major")), "open"), "token"), "rest")
-    x = open_.where(F.col("label") != F.col("major")).select("token", F.col("k1").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-    y = open_.select("token", F.col("k1").alias("y"), F.col("n").alias("yn"), F.col("label").alias("yl"), "major")
-    met = x.join(y, "token").where((F.col("xl") != F.col("yl")) & ((F.col("yl") == F.col("major")) | (F.col("x") < F.col("y"))) & _fits("xn", "yn", like))
+    x = open_.where(F.col("label") != F.col("major")).select("token", F.col("k1").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("label").alias("xl"))
+    y = open_.select("token", F.col("k1").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("label").alias("yl"), "major")
+    met = x.join(y, "token").where((F.col("xl") != F.col("yl")) & ((F.col("yl") == F.col("major")) | (F.col("x") < F.col("y"))) & _fits("xn", "yn", "xp", "yp", like))
     pairs2 = stage(_ordered(met, "x", "y").join(pairs1, ["a", "b"], "left_anti"), "pairs")
-    edges2 = stage(verify(stage(share_all_orders(pairs2, classes), "shared"), classes, docs, like), "edges")
+    edges2 = verified(pairs2, classes, docs, like, levels)
     parts = components(edges1.select("u", "v").unionByName(edges2.select("u", "v")))
     big_endian = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     node = F.concat(big_endian(F.col("k1")), big_endian(F.col("k2")))
