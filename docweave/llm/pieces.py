@@ -301,8 +301,8 @@ def _types(df: DataFrame, keep: tuple[str, ...]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in keep)
 
 
-def encode(df: DataFrame, model_file: str = "/opt/tokenizers/piece_bpe_32k.model", text: str = "text", keep: tuple[str, ...] = (), seed: int = 0, dropout: float = 0.1, variants: int = 8) -> DataFrame:
-    """``keep`` columns, ``ids`` and ``n_ids`` for every row of ``df``."""
+def encode(df: DataFrame, model_file: str = "/opt/tokenizers/piece_bpe_32k.model", text: str = "text", keep: tuple[str, ...] = (), seed: int = 0, dropout: float = 0.1, variants: int = 8, check: bool = False) -> DataFrame:
+    """``keep`` columns, ``ids`` and ``n_ids`` for every row of ``df``; with ``check`` also ``lossless``: the ids were decoded again and give the text."""
     shared = df.sparkSession.sparkContext.broadcast(load(model_file))
     kept = df.select(*keep, F.col(text).alias("__text"))
 
@@ -310,12 +310,16 @@ def encode(df: DataFrame, model_file: str = "/opt/tokenizers/piece_bpe_32k.model
         t, known = shared.value, _KNOWN.setdefault((model_file, seed, dropout, variants), Known())
         for batch in batches:
             valid = np.asarray(batch.column("__text").is_valid())
-            for first, last, data, at in steps(batch.column("__text"), 1 << 20):
+            for first, last, data, at in steps(batch.column("__text"), 1 << 19):
                 ids, cut = encode_texts(t, data, at, seed, dropout, variants, known)
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(~valid[first:last]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in keep), lists, pa.array(np.diff(cut), pa.int64())], [*keep, "ids", "n_ids"])
+                made = [*(batch.column(c).slice(first, last - first) for c in keep), lists, pa.array(np.diff(cut), pa.int64())]
+                if check:
+                    texts = batch.column("__text").slice(first, last - first).to_pylist()
+                    made.append(pa.array([(x or "") == y for x, y in zip(texts, decode_ids(t, ids, cut), strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(made, [*keep, "ids", "n_ids", *(["lossless"] if check else [])])
 
-    return kept.mapInArrow(run, f"{_types(kept, keep)}ids array<int>, n_ids long")
+    return kept.mapInArrow(run, f"{_types(kept, keep)}ids array<int>, n_ids long{', lossless boolean' if check else ''}")
 
 
 def decode(df: DataFrame, model_file: str = "/opt/tokenizers/piece_bpe_32k.model", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -337,7 +341,5 @@ def decode(df: DataFrame, model_file: str = "/opt/tokenizers/piece_bpe_32k.model
 
 def op6_pieces(spark, sf_dir: str) -> DataFrame:
     """Ids of every document under merge-dropout, and whether they decode to its exact text (null: to null)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("original"))
-    ids = encode(docs, text="original", keep=("doc_id", "original"), seed=7)
-    back = decode(ids, keep=("doc_id", "original", "ids", "n_ids"))
-    return back.select("doc_id", "n_ids", F.col("original").eqNullSafe(F.col("text")).alias("lossless"), "ids")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return encode(docs, keep=("doc_id",), seed=7, check=True).select("doc_id", "n_ids", "lossless", "ids")
