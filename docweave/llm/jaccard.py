@@ -6,9 +6,10 @@ of three orders: the first order's prefixes are joined, the others' filter the p
 Each order puts rare tokens first (by a sketch of hashed counters over all texts, which only settles the order, never the
 result) and breaks ties by its own hash.
 
-No prefix token's group is expanded into all pairs. Its members first meet only the member with the smallest key; groups whose
-members all link to one member are done. In the rest, members outside the most frequent label meet the members with another
-label. Both rounds together lose no link between parts that are not connected yet, so components are exact.
+No prefix token's group is expanded into all pairs. Its members first meet only its most central one (whose prefix tokens are in most
+other prefixes), so copies that are similar to one text but not to each other are connected in this round. The connected parts of these links
+are labels. In groups with several labels, members outside the most frequent one meet the members with another label. Both rounds
+together lose no link between parts that are not connected yet, so components are exact.
 
 Null and empty texts have empty sets and link with nothing. Rows that repeat an id or a text are members of their set's class; a null id
 gets its class's component (null if no member has an id). Sets are compared by 64-bit shingle hashes, classes by 128 bits.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACED, mix, range_hash, running, stage, steps, word_ranges
@@ -42,6 +43,9 @@ class Likeness:
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, n + self.num * n // -self.den + 1, 0)
 
+    def prefix_of(self, n: Column) -> Column:
+        return n - F.ceil(n * self.num / self.den) + 1
+
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): each text's distinct shingles in order of hash; a text of fewer words is one shingle."""
@@ -244,13 +248,17 @@ def linked(docs: DataFrame, like: Likeness) -> DataFrame:
     sets = sets_of(docs.where(F.col("text").isNotNull()), like, levels).where(F.col("n") > 0)
     classes = stage(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("p1").alias("p1")), "classes")
     postings = classes.select("k1", "n", F.posexplode("p1").alias("pos", "token"))
-    hubs = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "n", "pos")).alias("h")).where(F.col("c") > 1).select("token", F.col("h.k1").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
-    members = stage(postings.join(stage(hubs, "hubs"), "token"), "members")
-    pairs1 = stage(_ordered(members.where((F.col("k1") != F.col("hub")) & _fits("n", "hub_n", "pos", "hub_pos", like)), "k1", "hub"), "pairs")
+    common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    # A class's list is at most its text's prefix. The members of a group miss some of its tokens, its centre has them all.
+    places = postings.join(common, "token").groupBy("k1").agg(F.first("n").alias("n"), F.sum(F.log2("c")).alias("weight"), F.collect_list(F.struct("token", "pos")).alias("places"))
+    centred = places.select("k1", "n", (F.col("weight") / like.prefix_of(F.col("n"))).cast("float").alias("central"), F.inline("places"))
+    members = stage(centred, "members")
+    hubs = members.groupBy("token").agg(F.min(F.struct(-F.col("central"), "k1", "n", "pos")).alias("h")).select("token", F.col("h.k1").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
+    met = members.select("token", "k1", "n", "pos").join(hubs, "token").where((F.col("k1") != F.col("hub")) & _fits("n", "hub_n", "pos", "hub_pos", like))
+    pairs1 = stage(_ordered(met, "k1", "hub"), "pairs")
     edges1 = verified(pairs1, classes, docs, like, levels)
-    # The smallest key that a class is linked with, itself included, labels it.
-    ends = edges1.select(F.col("a").alias("k1"), F.col("b").alias("o")).unionByName(edges1.select(F.col("b").alias("k1"), F.col("a").alias("o")))
-    labels = stage(ends.groupBy("k1").agg(F.least(F.min("o"), F.first("k1")).alias("label")), "labels")
+    # Classes that the first round connects have one label.
+    labels = components(edges1.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("k1"), F.col("root").alias("label"))
     tagged = members.select("token", "k1", "n", "pos").join(labels, "k1", "left").select("token", "k1", "n", "pos", F.coalesce("label", "k1").alias("label"))
     tagged = stage(tagged, "tagged")
     sizes = tagged.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top"))
