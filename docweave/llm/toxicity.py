@@ -90,19 +90,26 @@ class BlockMaxIndex:
     def nearest(self, places: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest with a cosine over 0."""
         bound = weights @ self.bound[places]
-        found = np.zeros(0, np.int64)
-        cosine = np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(cosine) >= self.k and bound[b] < cosine[-1] - 1e-12:
-                break
-            score = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for p, w in zip(places, weights, strict=True):
-                i = p * self.blocks + b
-                s = slice(self.start[i], self.start[i + 1])
-                score[self.row[s] - b * BLOCK] += w * self.weight[s]
-            new = np.flatnonzero(score > 0) + b * BLOCK
-            new = new[new != without]
-            found, cosine = np.concatenate([found, new]), np.concatenate([cosine, np.round(score[new - b * BLOCK], 12)])
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, cosine, first, size = np.zeros(0, np.int64), np.zeros(0), 0, 2
+        while first < len(order) and not (len(cosine) >= self.k and bound[order[first]] < cosine[-1] - 1e-12):
+            # Several blocks at once, twice as many each time; a block too many changes nothing.
+            blocks = order[first : first + size]
+            first, size = first + size, 2 * size
+            cut = (places[:, None] * self.blocks + blocks).reshape(-1)
+            begin, count = self.start[cut], self.start[cut + 1] - self.start[cut]
+            at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+            slot = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(places)), count) + self.row[at] % BLOCK
+            score = np.bincount(slot, np.repeat(np.repeat(weights, len(blocks)), count) * self.weight[at], len(blocks) * BLOCK)
+            hit = np.flatnonzero(score > 0)
+            new = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
+            hit, new = hit[new != without], new[new != without]
+            found, cosine = np.concatenate([found, new]), np.concatenate([cosine, np.round(score[hit], 12)])
+            if len(cosine) > self.k:
+                # Ties with the k-th stay for the order by id.
+                likely = np.flatnonzero(cosine >= -np.partition(-cosine, self.k - 1)[self.k - 1])
+                found, cosine = found[likely], cosine[likely]
             top = np.lexsort((self.ids[found], -cosine))[: self.k]
             found, cosine = found[top], cosine[top]
         return found, cosine
