@@ -95,6 +95,55 @@ def plan_retries(requests: DataFrame, temp: DataFrame, single: DataFrame) -> Dat
     return j.select("document_id", "user_id", action.alias("action"))
 
 
+def document_status(temp: DataFrame, single: DataFrame) -> DataFrame:
+    """Stage, status, counts and the pages in order of every upload; an upload's pages are few, so their list is small."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    pages = single.groupBy(F.col("temp_document_id").alias("id"), "user_id").agg(
+        F.count(F.lit(1)).alias("n"), n("processed").alias("processed_pages"), n("failed").alias("failed_pages"), n("skipped_duplicate").alias("skipped_pages"),
+        F.min_by("total_pages", F.struct("page_number", "id")).alias("total_pages"), F.sort_array(F.collect_list(F.struct("page_number", "id", "status", "last_error"))).alias("pages"),
+    )
+    counts = ["n", "processed_pages", "failed_pages", "skipped_pages"]
+    j = temp.join(pages, ["id", "user_id"], "left").fillna(0, counts).withColumn("total_pages", F.when(F.col("n") == 0, 1).otherwise(F.col("total_pages")))
+    s, c = F.col("status"), F.col
+    split = F.coalesce((s == "processed") & (c("n") > 0), F.lit(False))
+    done = c("processed_pages") + c("skipped_pages") == c("n")
+    status = F.when(split & done, "completed").when(split & (c("failed_pages") > 0), "ai_processing_failed").when(split, "ai_processing_pending").when(s == "failed", "preprocessing_failed").otherwise(F.coalesce(F.when(s != "", s), F.lit("uploaded")))
+    return j.select(
+        "id", "user_id", c("pdf_path").alias("original_filename"), "upload_date", F.when(split & done, "completed").when(split, "single").otherwise("temp").alias("current_stage"), status.alias("status"), "total_pages", *counts[1:],
+        (F.coalesce(s == "failed", F.lit(False)) | (c("failed_pages") > 0)).alias("can_retry"), (c("processed_pages") == 0).alias("can_delete"), "last_error", F.coalesce("retry_count", F.lit(0)).alias("retry_count"), "pages",
+    )
+
+
+def page_status(single: DataFrame) -> DataFrame:
+    """The same record of every page."""
+    s = F.col("status")
+    at = lambda *names: F.coalesce(s.isin(*names), F.lit(False))
+    status = F.when(at("processed"), "completed").when(at("failed"), "ai_processing_failed").otherwise(F.coalesce(F.when(s != "", s), F.lit("uploaded")))
+    or_one = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, 1).otherwise(F.col(c))
+    return single.select(
+        "id", "user_id", F.coalesce(F.when(F.col("original_filename") != "", F.col("original_filename")), "pdf_path").alias("original_filename"), "upload_date", F.when(at("processed"), "completed").otherwise("single").alias("current_stage"), status.alias("status"),
+        or_one("total_pages").alias("total_pages"), *[at(x).cast("long").alias(y) for x, y in (("processed", "processed_pages"), ("failed", "failed_pages"), ("skipped_duplicate", "skipped_pages"))],
+        at("failed", "uploaded").alias("can_retry"), (~at("processed")).alias("can_delete"), "last_error", F.coalesce("retry_count", F.lit(0)).alias("retry_count"),
+        F.array(F.struct(or_one("page_number").alias("page_number"), "id", "status", "last_error")).alias("pages"),
+    )
+
+
+def plan_deletions(requests: DataFrame, temp: DataFrame, single: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``requests(document_id, user_id, source_table)`` with the verdict, and the upload that goes with its last unprocessed page.
+
+    Rows of other tables are denied, as are parsed pages and uploads that are past waiting or failed.
+    """
+    key = ["document_id", "user_id"]
+    free = unparsed_pages(single, parsed, ()).select("id", "user_id", F.lit(True).alias("free"))
+    pages = single.join(last_unprocessed_page(single), "id").join(free, ["id", "user_id"], "left")
+    pages = pages.select(F.col("id").alias("document_id"), "user_id", F.lit("single_documents").alias("source_table"), F.when(F.col("free"), "allowed").otherwise("processed").alias("found"), F.when(F.col("free") & F.col("is_last"), F.col("temp_document_id")).alias("parent_upload"))
+    waiting = F.coalesce(F.col("status").isin("uploaded", "failed", ""), F.lit(True))
+    uploads = temp.select(F.col("id").alias("document_id"), "user_id", F.lit("temp_documents").alias("source_table"), F.when(waiting, "allowed").otherwise("processed").alias("found"), F.lit(None).cast("string").alias("parent_upload"))
+    known = F.col("source_table").isin("single_documents", "temp_documents")
+    out = requests.join(pages.unionByName(uploads), [*key, "source_table"], "left")
+    return out.select(*key, "source_table", F.when(~known, "protected").otherwise(F.coalesce("found", F.lit("not_found"))).alias("verdict"), "parent_upload")
+
+
 def reset_stuck(single: DataFrame) -> DataFrame:
     return single.withColumn("status", F.when(F.col("status") == "processing", "uploaded").otherwise(F.col("status")))
 

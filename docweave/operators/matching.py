@@ -54,10 +54,10 @@ def latest_per_type(matches: DataFrame) -> DataFrame:
     return matches.groupBy("user_id", "invoice_number", "document_type").agg(newest.alias("id"), F.max("created_at").alias("created_at"))
 
 
-def unparsed_pages(single: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Uploaded or failed pages whose path ends no parsed file url of the same user."""
+def unparsed_pages(single: DataFrame, parsed: DataFrame, statuses: tuple[str, ...] = ("uploaded", "failed")) -> DataFrame:
+    """Pages of these statuses (none given: of all) whose path ends no parsed file url of the same user."""
     name = lambda c: F.substring_index(c, "/", -1)
-    pages = single.where(F.col("status").isin("uploaded", "failed")).withColumn("last_part", name("pdf_path"))
+    pages = (single.where(F.col("status").isin(*statuses)) if statuses else single).withColumn("last_part", name("pdf_path"))
     files = parsed.select(F.col("user_id").alias("u"), "file_url", name("file_url").alias("f"))
     return pages.join(files, (pages["user_id"] == files["u"]) & (pages["last_part"] == files["f"]) & F.endswith("file_url", "pdf_path"), "left_anti").drop("last_part")
 

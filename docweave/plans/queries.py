@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import grouping, lifecycle, matching, reports
+from ..operators import grouping, lifecycle, matching, promotion, reports
 from ..sources.fixtures import view, with_views
 
 QUERIES: dict = {}
@@ -371,3 +371,79 @@ def stage_weights(spark, sf_dir):
     doc = F.try_parse_json("raw_json")
     v, u = S.json_truthy(doc, "weight").try_cast("double"), F.coalesce(S.json_truthy(doc, "weight_unit_of_mesurement"), F.lit("kg"))
     return view(spark, sf_dir, "parsed_documents").select("id", S.to_kg(v, u).alias("kg"), S.to_tonnes(v, u).alias("tonnes"))
+
+
+@query("document_status", """WITH p AS (SELECT temp_document_id AS id, user_id, count(*) AS n, count(*) FILTER (status = 'processed') AS d, count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'skipped_duplicate') AS s,
+  arg_min(total_pages, (page_number, id)) AS total, string_agg(page_number || '=' || status, ',' ORDER BY page_number, id) AS pages FROM single_documents GROUP BY ALL)
+SELECT t.id, CASE WHEN t.status = 'processed' AND n > 0 THEN CASE WHEN d + s = n THEN 'completed' ELSE 'single' END ELSE 'temp' END AS current_stage,
+  CASE WHEN t.status = 'processed' AND n > 0 THEN CASE WHEN d + s = n THEN 'completed' WHEN f > 0 THEN 'ai_processing_failed' ELSE 'ai_processing_pending' END WHEN t.status = 'failed' THEN 'preprocessing_failed' ELSE t.status END AS status,
+  coalesce(total, 1) AS total_pages, coalesce(d, 0) AS processed_pages, coalesce(f, 0) AS failed_pages, coalesce(s, 0) AS skipped_pages, t.status = 'failed' OR coalesce(f, 0) > 0 AS can_retry, coalesce(d, 0) = 0 AS can_delete, coalesce(pages, '') AS pages
+FROM temp_documents t LEFT JOIN p ON p.id = t.id AND p.user_id = t.user_id""")
+def document_status(spark, sf_dir):
+    s = lifecycle.document_status(view(spark, sf_dir, "temp_documents"), view(spark, sf_dir, "single_documents"))
+    pages = F.array_join(F.transform("pages", lambda p: F.concat_ws("=", p["page_number"].cast("string"), p["status"])), ",")
+    return s.select("id", "current_stage", "status", "total_pages", "processed_pages", "failed_pages", "skipped_pages", "can_retry", "can_delete", F.coalesce(pages, F.lit("")).alias("pages"))
+
+
+@query("page_status", """SELECT id, original_filename, CASE WHEN status = 'processed' THEN 'completed' ELSE 'single' END AS current_stage, CASE status WHEN 'processed' THEN 'completed' WHEN 'failed' THEN 'ai_processing_failed' ELSE status END AS status, total_pages,
+  status IN ('failed', 'uploaded') AS can_retry, status <> 'processed' AS can_delete, last_error, retry_count FROM single_documents""")
+def page_status(spark, sf_dir):
+    cols = ("id", "original_filename", "current_stage", "status", "total_pages", "can_retry", "can_delete", "last_error", "retry_count")
+    return lifecycle.page_status(view(spark, sf_dir, "single_documents")).select(*cols)
+
+
+@query("plan_deletions", """WITH o AS (SELECT temp_document_id, user_id, count(*) FILTER (status <> 'processed') AS open FROM single_documents GROUP BY ALL),
+u AS (SELECT s.*, o.open - CASE WHEN s.status <> 'processed' THEN 1 ELSE 0 END = 0 AS is_last,
+  NOT EXISTS (SELECT 1 FROM parsed_documents p WHERE p.user_id = s.user_id AND split_part(p.file_url, '/', -1) = split_part(s.pdf_path, '/', -1) AND ends_with(p.file_url, s.pdf_path)) AS free FROM single_documents s JOIN o USING (temp_document_id, user_id))
+SELECT id AS document_id, 'single_documents' AS source_table, CASE WHEN free THEN 'allowed' ELSE 'processed' END AS verdict, CASE WHEN free AND is_last THEN temp_document_id END AS parent_upload FROM u
+UNION ALL SELECT id, 'temp_documents', CASE WHEN status IN ('uploaded', 'failed') THEN 'allowed' ELSE 'processed' END, NULL FROM temp_documents
+UNION ALL SELECT id, 'parsed_documents', 'protected', NULL FROM parsed_documents""")
+def plan_deletions(spark, sf_dir):
+    tables = [view(spark, sf_dir, n) for n in ("temp_documents", "single_documents", "parsed_documents")]
+    each = [t.select(F.col("id").alias("document_id"), "user_id", F.lit(n).alias("source_table")) for t, n in zip(tables, ("temp_documents", "single_documents", "parsed_documents"), strict=True)]
+    return lifecycle.plan_deletions(each[0].unionByName(each[1]).unionByName(each[2]), *tables).drop("user_id")
+
+
+def _t(d: str, *keys: str) -> str:
+    """The first truthy field of the JSON column ``d``, empty without one."""
+    return "coalesce(" + ", ".join(_TRUTHY.format(d=d, k=k) for k in keys) + ", '')"
+
+
+_PROMOTED = (
+    """WITH cand AS (SELECT id, user_id, document_type, created_at, raw_json, file_url, trim(unnest([json_extract_string(raw_json, '$.' || k) FOR k IN ['anchor_key', 'invoice', 'second_invoice', 'third_invoice']])) AS invoice_number FROM parsed_documents),
+wanted AS (SELECT DISTINCT user_id, invoice_number FROM document_groups_flat WHERE human_verified AND is_complete),
+src AS (SELECT invoice_number FROM cand UNION SELECT invoice_number FROM wanted)"""
+    + _PARSE
+    + f""", hit AS (SELECT g.user_id, g.invoice_number, c.document_type, arg_max(c.raw_json, (c.created_at, c.id)) AS raw_json, arg_max(c.file_url, (c.created_at, c.id)) AS file_url
+  FROM wanted g JOIN pi a ON g.invoice_number = a.inv JOIN pi b ON a.prefix = b.prefix AND a.year = b.year AND a.period = b.period AND a.number = b.number AND (a.region IS NULL OR b.region IS NULL OR a.region = b.region)
+  JOIN cand c ON c.invoice_number = b.inv AND c.user_id = g.user_id GROUP BY ALL),
+s AS (SELECT w.user_id, w.invoice_number, i.raw_json AS i, r.raw_json AS r, e.raw_json AS e, i.file_url AS iu, r.file_url AS ru, e.file_url AS eu FROM wanted w
+  LEFT JOIN hit i ON (i.user_id, i.invoice_number, i.document_type) = (w.user_id, w.invoice_number, 'invoice') LEFT JOIN hit r ON (r.user_id, r.invoice_number, r.document_type) = (w.user_id, w.invoice_number, 'eft_receipt')
+  LEFT JOIN hit e ON (e.user_id, e.invoice_number, e.document_type) = (w.user_id, w.invoice_number, 'e-way-bill')),
+v AS (SELECT *, upper(trim({_t('e', 'ship_to_country_code')})) AS country, trim(coalesce(nullif({_t('i', 'bill_to_company_name')}, ''), {_t('e', 'ship_to_company_name')})) AS company,
+  coalesce(TRY_CAST(coalesce(json_extract_string(i, '$.weight'), json_extract_string(e, '$.weight')) AS DOUBLE), 0) AS weight, coalesce(nullif({_t('i', 'weight_unit_of_mesurement')}, ''), nullif({_t('e', 'weight_unit_of_mesurement')}, ''), 'kg') AS unit FROM s),
+p AS (SELECT *, country = 'IN' AND len([w FOR w IN {list(S.DOMESTIC)} IF contains(lower(company), w)]) > 0 AS is_domestic, CASE WHEN lower(trim(unit)) IN ('t', 'ton', 'tons', 'tonne', 'tonnes') THEN weight * 1000 ELSE weight END AS kg FROM v),
+promoted AS (SELECT user_id, invoice_number, i IS NOT NULL AND e IS NOT NULL AND (is_domestic OR r IS NOT NULL) AS is_promoted, concat_ws(',', CASE WHEN i IS NULL THEN 'invoice' END, CASE WHEN r IS NULL THEN 'eft_receipt' END, CASE WHEN e IS NULL THEN 'e-way-bill' END) AS missing,
+  is_domestic, coalesce(iu, '') AS invoice_url, coalesce(ru, '') AS eft_url, coalesce(eu, '') AS ewaybill_url, coalesce(nullif(company, ''), 'Unknown') AS recycler_company,
+  coalesce(nullif(trim({_t('i', 'bill_from_company_name')}), ''), 'Unknown') AS network_operator_company, upper(coalesce(nullif({_t('i', 'plastic_type')}, ''), {_t('e', 'plastic_type')})) AS plastic_type, kg / 1000 AS tonnage_tons, kg AS weight_kg, country,
+  trim(coalesce(nullif({_t('i', 'city')}, ''), {_t('e', 'city')})) AS city, 'INR' AS currency, 'updated' AS status FROM p)"""
+)
+
+
+def _promoted(spark, sf_dir):
+    groups = promotion.promotable_groups(view(spark, sf_dir, "document_groups_flat"))
+    return promotion.promote_groups(groups, view(spark, sf_dir, "parsed_documents"))
+
+
+@query("promote_groups", _PROMOTED + " SELECT * FROM promoted")
+def promote_groups(spark, sf_dir):
+    return _promoted(spark, sf_dir).withColumn("missing", F.array_join("missing", ",")).drop("origin", "upload_date")
+
+
+@query("upsert_promoted", _PROMOTED + """ SELECT coalesce(d.invoice_number, n.invoice_number) AS invoice_number, coalesce(d.user_id, n.user_id) AS user_id, coalesce(n.recycler_company, d.recycler_company) AS recycler_company,
+  coalesce(n.weight_kg, d.weight_kg) AS weight_kg, coalesce(n.status, d.status) AS status, d.human_verified, n.city, CASE WHEN d.invoice_number IS NULL THEN 'created' WHEN n.invoice_number IS NULL THEN 'kept' ELSE 'updated' END AS change
+FROM recycling_docs d FULL JOIN (SELECT * FROM promoted WHERE is_promoted) n ON n.invoice_number = d.invoice_number""")
+def upsert_promoted(spark, sf_dir):
+    rows = _promoted(spark, sf_dir).where("is_promoted").select("invoice_number", "user_id", "recycler_company", "weight_kg", "status", "city")
+    out = promotion.upsert(view(spark, sf_dir, "recycling_docs"), rows, ["invoice_number"], ("user_id",))
+    return out.select("invoice_number", "user_id", "recycler_company", "weight_kg", "status", "human_verified", "city", "change")
