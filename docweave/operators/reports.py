@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_truthy, plastic_label
+from ..functions.scalars import first_truthy, json_truthy, plastic_label
 
 
 def _complete_rows(groups: DataFrame, recycling: DataFrame) -> DataFrame:
@@ -79,3 +79,18 @@ def submission_stats(results: DataFrame) -> DataFrame:
     ok = F.count_if(F.col("status") == "submitted")
     tried = F.count_if(F.col("status").isin("submitted", "failed"))
     return results.groupBy("user_id").agg(ok.alias("success"), (tried - ok).alias("failure"), F.when(tried > 0, ok / tried).otherwise(0.0).alias("success_rate"))
+
+
+def dashboard_stats(groups: DataFrame, parsed: DataFrame, first: str, last: str) -> DataFrame:
+    """Per user: tonnes of the documents of complete groups in the range (each document once), documents and groups of the range.
+
+    Weights are taken as kilograms whatever the field; a weight that is no number counts as 0.
+    """
+    within = lambda c: (F.col(c) >= F.lit(first).cast("timestamp")) & (F.col(c) < F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 DAY"))
+    ids = groups.where(F.col("is_complete") & within("last_processed_at")).select("user_id", F.explode("present_document_ids").alias("id")).distinct()
+    weight = F.coalesce(json_truthy(F.try_parse_json("raw_json"), "weight", "tonnage_tons", "weight_kg").try_cast("double"), F.lit(0.0))
+    tons = parsed.select("user_id", "id", weight.alias("kg")).join(ids, ["user_id", "id"], "left_semi").select("user_id", "kg", F.lit(0).alias("d"), F.lit(0).alias("g"))
+    docs = parsed.where(within("created_at")).select("user_id", F.lit(0.0).alias("kg"), F.lit(1).alias("d"), F.lit(0).alias("g"))
+    made = groups.where(within("created_at")).select("user_id", F.lit(0.0).alias("kg"), F.lit(0).alias("d"), F.lit(1).alias("g"))
+    sums = tons.unionByName(docs).unionByName(made).groupBy("user_id").agg(F.sum("kg").alias("kg"), F.sum("d").alias("processed_count"), F.sum("g").alias("groups_count"))
+    return sums.select("user_id", (F.floor(F.col("kg") / 10 + 0.5) / 100).alias("total_tons"), "processed_count", "groups_count")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import grouping, lifecycle, matching, promotion, reports
-from ..sources.fixtures import view, with_views
+from ..operators import extraction, grouping, lifecycle, matching, promotion, reports
+from ..sources.fixtures import VIEWS, view, with_views
+from ..streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -447,3 +448,52 @@ def upsert_promoted(spark, sf_dir):
     rows = _promoted(spark, sf_dir).where("is_promoted").select("invoice_number", "user_id", "recycler_company", "weight_kg", "status", "city")
     out = promotion.upsert(view(spark, sf_dir, "recycling_docs"), rows, ["invoice_number"], ("user_id",))
     return out.select("invoice_number", "user_id", "recycler_company", "weight_kg", "status", "human_verified", "city", "change")
+
+
+@query("load_extractions", r"""WITH resp AS (SELECT id, user_id, file_url, created_at, length(id) % 4 AS kind, raw_json, document_type AS dt FROM parsed_documents WHERE created_at >= TIMESTAMP '1996-01-01'),
+good AS (SELECT * FROM resp WHERE kind <> 3), hist AS (SELECT DISTINCT """ + _FP + " AS fp FROM parsed_documents WHERE created_at < TIMESTAMP '1996-01-01'), f AS (SELECT *, dt AS document_type, " + _FP + """ AS fp FROM (SELECT id, user_id, file_url, created_at, raw_json, dt, json_extract_string(raw_json, '$.anchor_key') AS anchor_key FROM good)),
+m AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY created_at, id) > 1 AND dt = 'invoice' AS again FROM f)
+SELECT id, dt AS document_type, 'dedup' AS route, json_extract_string(raw_json, '$.invoice') AS anchor_key, fp AS business_fingerprint, CASE WHEN again OR (dt = 'invoice' AND fp IN (SELECT fp FROM hist)) THEN 'skipped_duplicate' ELSE 'processed' END AS page_status FROM m
+UNION ALL SELECT id, NULL, 'failed', NULL, NULL, 'failed' FROM resp WHERE kind = 3""")
+def load_extractions(spark, sf_dir):
+    p, cut = view(spark, sf_dir, "parsed_documents"), F.lit("1996-01-01").cast("timestamp")
+    kind, raw = F.length("id") % 4, F.col("raw_json")
+    text = F.when(kind == 0, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("```\n"), raw, F.lit("\n```\n"))).when(kind == 2, raw).otherwise(F.substring(raw, 1, 20))
+    history = p.where(F.col("created_at") < cut).select(S.business_fingerprint(F.try_parse_json("raw_json")).alias("business_fingerprint"))
+    out = extraction.load_extractions(p.where(F.col("created_at") >= cut).select("id", "user_id", "file_url", "created_at", text.alias("response_text")), history)
+    failed = F.col("route") == "failed"
+    return out.select("id", "document_type", "route", "anchor_key", F.when(~failed, F.col("business_fingerprint")).alias("business_fingerprint"), "page_status")
+
+
+@query("dashboard_stats", f"""WITH k AS (SELECT id, user_id, created_at, coalesce(nullif(anchor_key, ''), json_extract_string(raw_json, '$.invoice')) AS invoice_number, coalesce(TRY_CAST({_truthy('weight', 'tonnage_tons', 'weight_kg')} AS DOUBLE), 0) AS kg FROM parsed_documents),
+g AS (SELECT f.* FROM document_groups_flat f WHERE (user_id, invoice_number) IN (SELECT (user_id, invoice_number) FROM k) AND last_processed_at >= TIMESTAMP '1995-01-01' AND last_processed_at < TIMESTAMP '1997-01-01'),
+x AS (SELECT user_id, sum(kg) AS kg FROM k WHERE (user_id, invoice_number) IN (SELECT (user_id, invoice_number) FROM g WHERE is_complete) GROUP BY 1),
+d AS (SELECT user_id, count(*) AS n FROM k WHERE created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '1997-01-01' GROUP BY 1), c AS (SELECT user_id, count(*) AS n FROM g GROUP BY 1)
+SELECT user_id, floor(coalesce(x.kg, 0) / 10 + 0.5) / 100 AS total_tons, coalesce(d.n, 0) AS processed_count, coalesce(c.n, 0) AS groups_count FROM x FULL JOIN d USING (user_id) FULL JOIN c USING (user_id)""")
+def dashboard_stats(spark, sf_dir):
+    parsed = view(spark, sf_dir, "parsed_documents")
+    made = grouping.group_documents(parsed, grouping.business_rules(spark)).select("user_id", "invoice_number", "present_document_ids")
+    flat = view(spark, sf_dir, "document_groups_flat").select("user_id", "invoice_number", "is_complete", "last_processed_at", F.col("last_processed_at").alias("created_at"))
+    return reports.dashboard_stats(made.join(flat, ["user_id", "invoice_number"]), parsed, "1995-01-01", "1996-12-31")
+
+
+def _streamed(spark, sf_dir, name):
+    """A view over lineitem as a stream, the other tables as they are."""
+    view(spark, sf_dir, name)
+    path = f"{sf_dir}/lineitem.parquet"
+    # A table may be one file, which a stream takes only as a pattern.
+    spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]").createOrReplaceTempView("lineitem")
+    return spark.sql(VIEWS[name])
+
+
+@query("stream_throughput", """WITH w AS (SELECT time_bucket(INTERVAL 7 DAYS, upload_date, TIMESTAMP '1970-01-01') AS window_start, status FROM single_documents)
+SELECT window_start, status, count(*) AS documents FROM w WHERE window_start + INTERVAL 7 DAYS <= (SELECT max(upload_date) FROM single_documents) GROUP BY ALL""")
+def stream_throughput(spark, sf_dir):
+    return jobs.run_available(jobs.stream_throughput(_streamed(spark, sf_dir, "single_documents"), "upload_date", "7 days"), "throughput")
+
+
+@query("stream_deduplicate", _FPV + """, w AS (SELECT id, document_type, business_fingerprint, row_number() OVER (PARTITION BY business_fingerprint ORDER BY created_at, id) AS nth FROM fp)
+SELECT id, document_type, business_fingerprint FROM w WHERE nth = 1 OR document_type <> 'invoice'""")
+def stream_deduplicate(spark, sf_dir):
+    p = _streamed(spark, sf_dir, "parsed_documents").withColumn("business_fingerprint", S.business_fingerprint(F.try_parse_json("raw_json")))
+    return jobs.stream_deduplicate(p).select("id", "document_type", "business_fingerprint")
