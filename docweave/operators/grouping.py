@@ -72,3 +72,10 @@ def group_display_status(groups: DataFrame) -> DataFrame:
     total = F.when(domestic & two & (n == 2), 2).otherwise(3)
     complete = F.when(domestic, two).otherwise((n >= 3) & two & has("eft_receipt"))
     return groups.select("user_id", "invoice_number", n.alias("count"), total.alias("total"), complete.alias("complete"))
+
+
+def groups_with_documents(groups: DataFrame, parsed: DataFrame) -> DataFrame:
+    """One row per group and document type with the ids of its documents; ids that no document has are left out."""
+    each = groups.select("user_id", "invoice_number", F.explode(F.array_distinct("present_document_ids")).alias("id"))
+    found = each.join(parsed.select("id", "document_type"), "id")
+    return found.groupBy("user_id", "invoice_number", "document_type").agg(F.sort_array(F.collect_list("id")).alias("ids"))

@@ -77,3 +77,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], preserve:
         else:
             cols.append(F.when(fresh & ~(old & F.lit(c in preserve)), F.col("__new")[c]).otherwise(F.col(c)).alias(c))
     return out.select(*cols, F.when(old & fresh, "updated").when(fresh, "created").otherwise("kept").alias("change"))
+
+
+def apply_submission_results(recycling: DataFrame, results: DataFrame) -> DataFrame:
+    """``recycling`` after ``results(invoice_number, ok, error)``, one row per invoice: submitted without an error, or failed with its text."""
+    known = F.col("ok").isNotNull()
+    earlier = F.col("submission_error") if "submission_error" in recycling.columns else F.lit(None).cast("string")
+    out = recycling.join(results, "invoice_number", "left")
+    return out.select(*[c for c in recycling.columns if c not in ("status", "submission_error")], F.when(F.col("ok"), "submitted").when(known, "failed").otherwise(F.col("status")).alias("status"), F.when(known & ~F.col("ok"), F.coalesce("error", F.lit("Unknown error"))).when(~known, earlier).alias("submission_error"))

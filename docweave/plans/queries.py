@@ -497,3 +497,19 @@ SELECT id, document_type, business_fingerprint FROM w WHERE nth = 1 OR document_
 def stream_deduplicate(spark, sf_dir):
     p = _streamed(spark, sf_dir, "parsed_documents").withColumn("business_fingerprint", S.business_fingerprint(F.try_parse_json("raw_json")))
     return jobs.stream_deduplicate(p).select("id", "document_type", "business_fingerprint")
+
+
+@query("groups_with_documents", """SELECT user_id, coalesce(nullif(anchor_key, ''), json_extract_string(raw_json, '$.invoice')) AS invoice_number, document_type, string_agg(id, ',' ORDER BY id) AS ids FROM parsed_documents GROUP BY ALL""")
+def groups_with_documents(spark, sf_dir):
+    parsed = view(spark, sf_dir, "parsed_documents")
+    found = grouping.groups_with_documents(grouping.group_documents(parsed, grouping.business_rules(spark)), parsed)
+    return found.withColumn("ids", F.array_join("ids", ","))
+
+
+@query("apply_submission_results", """SELECT invoice_number, user_id, CASE WHEN status NOT IN ('new', 'updated') THEN status WHEN tonnage_tons > 5 THEN 'submitted' ELSE 'failed' END AS status,
+  CASE WHEN status IN ('new', 'updated') AND NOT tonnage_tons > 5 THEN 'too light' END AS submission_error FROM recycling_docs""")
+def apply_submission_results(spark, sf_dir):
+    rows = view(spark, sf_dir, "recycling_docs")
+    light = F.col("tonnage_tons") <= 5
+    results = rows.where(F.col("status").isin("new", "updated")).select("invoice_number", (~light).alias("ok"), F.when(light, "too light").alias("error"))
+    return promotion.apply_submission_results(rows, results).select("invoice_number", "user_id", "status", "submission_error")
