@@ -3,7 +3,8 @@
 High-recall generators propose spans that may overlap: the base formats (email, ip, card, phone) and looser shapes of them. A base
 span that passes its check always stays. The other candidates are scored by boosted trees over format and context features;
 trees are fitted on a bounded sample of candidates, whose weak label is whether a checked base span is part of them, and compiled
-into column expressions. Isotonic calibration on the half of the sample that no tree saw gives each looser shape the threshold from
+into column expressions. Since no base span is part of an address without "@", the sample's checked emails also stand in it rewritten
+to that form; other candidates of the form are negatives, but for those that look like an address, which have no label. Isotonic calibration on the half of the sample that no tree saw gives each looser shape the threshold from
 which nine in ten candidates are real; without such a threshold the shape adds nothing. Added spans never overlap another.
 
 Null texts are empty and have no spans. Positions are code points, ends exclusive. Repeated rows get equal results; only the text is
@@ -36,7 +37,10 @@ LOOSE = {
 }
 _NEED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "email_like": r"[(\[]at[)\]]", "number_like": r"[0-9][\x20().-]{0,2}[0-9]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-FEATURES = ("size", "digits", "share", "gaps", "luhn", "plus", "glued_before", "glued_after", "cue", "shape")
+# What stands for "@" in rewritten emails, and the last label of a host name.
+_FORMS = (" [at] ", "[at]", " (at) ", "(at)")
+_ENDING = r"\.[A-Za-z]{2,}$"
+FEATURES = ("size", "digits", "share", "gaps", "luhn", "plus", "glued_before", "glued_after", "cue", "shape", "ending")
 _CUE = r"(?i)(?:phone|tel|call|fax|card|mail|contact|ip|ssn|account|iban)[^0-9A-Za-z]{0,4}$"
 
 
@@ -113,6 +117,7 @@ def features(span: Column, text: Column) -> list[Column]:
     return [
         size.cast("double"), F.length(digits).cast("double"), F.length(digits) / size, gaps.cast("double"), flag((F.length(digits) > 1) & luhn(digits)), flag(value.startswith("+")),
         flag(before.rlike(r"[A-Za-z0-9._=/\"'+-]$")), flag(after.rlike(r"^[A-Za-z0-9_/=\"'-]")), flag(before.rlike(_CUE)), span["nth"].cast("double"),
+        flag(value.rlike(_ENDING)),
     ]
 
 
@@ -132,6 +137,14 @@ class SpanModel:
         return 1 / (1 + F.exp(-total))
 
 
+def rewritten(base: Column) -> Column:
+    """The emails of checked spans as candidates of email_like: in their place, with a form of "[at]" chosen by hash."""
+    form = lambda b: F.element_at(F.array(*map(F.lit, _FORMS)), (F.pmod(F.xxhash64(b["value"]), F.lit(len(_FORMS))) + 1).cast("int"))
+    nth = len(BASE) + list(LOOSE).index("email_like")
+    like = lambda b: F.struct(b["start"].alias("start"), F.lit(nth).alias("nth"), b["stop"].alias("stop"), F.lit("email_like").alias("kind"), F.replace(b["value"], F.lit("@"), form(b)).alias("value"))
+    return F.transform(F.filter(base, lambda b: b["kind"] == "email"), like)
+
+
 def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
 
@@ -143,9 +156,14 @@ def fit(docs: DataFrame, text: str = "text", documents: int = 6000, candidates:
     spans = loose_spans(base_spans(sample, "text"), "text")
     # Base matches that fail their check are candidates too; they are the hard negatives.
     raw = [_tagged("text", k, i, p) for i, (k, p) in enumerate(BASE.items())]
-    each = spans.select("text", "base", F.explode(F.concat("loose", *raw)).alias("c"))
+    each = spans.select("text", "base", F.explode(F.concat("loose", *raw, rewritten(F.col("base")))).alias("c"))
     real = F.exists("base", lambda b: _overlaps(b, F.col("c")))
-    rows = each.select(real.cast("int").alias("y"), F.col("c.kind").alias("kind"), F.pmod(F.xxhash64("text", "c.start"), F.lit(2)).alias("half"), *[f.alias(x) for f, x in zip(features(F.col("c"), F.col("text")), FEATURES, strict=True)]).limit(candidates).collect()
+    values = [f.alias(x) for f, x in zip(features(F.col("c"), F.col("text")), FEATURES, strict=True)]
+    # In order of a hash, so that the limit takes a uniform sample.
+    order = F.xxhash64("text", "c.start", "c.kind", "c.value")
+    known = each.select(real.cast("int").alias("y"), F.col("c.kind").alias("kind"), F.pmod(F.xxhash64("text", "c.start"), F.lit(2)).alias("half"), order.alias("order"), *values)
+    unlabelled = (F.col("kind") == "email_like") & (F.col("y") == 0) & (F.col("ending") == 1) & (F.col("glued_before") + F.col("glued_after") == 0)
+    rows = known.where(~unlabelled).orderBy("order").limit(candidates).collect()
     y = np.array([r["y"] for r in rows], float)
     if len(y) < 50 or y.min() == y.max():
         return SpanModel()

@@ -268,3 +268,24 @@ def test_pipeline(spark, odd):
             assert left == {d for d, _, c in brute_components(rows, jaccard.Likeness()) if d == c}
         if name in ("personal_data", "pieces"):
             assert ids == left
+
+
+def test_personal_data_beyond_the_base_formats(spark):
+    """A fitted model adds addresses without "@" and numbers without "+"; other uses of "[at]" and other numbers stay."""
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    number = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+    texts = []
+    for i in range(300):
+        texts.append(f"{name()} write to {name()}.{rng.randrange(99)}@{name()}.org or {name()}")
+        texts.append(f"{name()} phone +1 {number()} {name()}")
+        texts.append(f"{name()} cost {rng.randrange(9)}.{rng.randrange(10**9, 10**10)} {name()} sold {rng.randrange(9)} (at) {rng.randrange(99)}.{rng.randrange(10, 99)} {name()}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(docs)
+    assert set(model.threshold) == set(pii.LOOSE)
+    new = [(0, "please ask jane.roe [at] host.org today", "please ask [email_like] today"), (1, "call phone 415-555-2671 now", "call phone [number_like] now"), (2, "sold 7 (at) 12.50 today", "sold 7 (at) 12.50 today")]
+    found = pii.find(spark.createDataFrame([r[:2] for r in new], "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["red"] for r in found.select("doc_id", pii.redact(F.col("text"), F.col("spans")).alias("red")).collect()} == {i: red for i, _, red in new}
+    # Addresses that are in the sample already don't count against the kind.
+    more = docs.union(spark.createDataFrame([(1000 + i, f"{name()} ask {name()} [at] {name()}.org {name()}") for i in range(300)], "doc_id long, text string"))
+    assert "email_like" in pii.fit(more).threshold
