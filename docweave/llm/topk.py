@@ -13,7 +13,7 @@ vectors, one per group and query:
 Queries are handled in blocks of a bounded size, which alone is broadcast; every block is scored against all rows. Components
 become floor(scale * x) and sums are exact 64-bit integers. Vectors that are null, or hold null or non-finite components, and
 rows with a null id take no part; vectors of another length than a query's are not its candidates. Ties go to the smaller id. Rows that
-repeat an id are one candidate each time but never candidates of their own id.
+repeat an id, with equal vectors or not, are one candidate each time but never candidates of their own id.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import mix, stage
 
 GROUPS = 4
+#: Local scores that one step works on.
+STEP_SCORES = 1 << 22
 _RESULT = "query_id long, vec_id long, score long"
 
 
@@ -50,6 +52,24 @@ def _matrices(batches):
             yield ids[rows], flat[(at[rows][:, None] + np.arange(n))]
 
 
+def _row_hash(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rows' ids and components."""
+    with np.errstate(over="ignore"):
+        h = mix(ids)
+        for column in x.T:
+            h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + column.astype(np.uint64))
+    return h.view(np.int64)
+
+
+def _steps(batches, queries: int, n: int):
+    """(ids, matrix) of rows of length ``n``, so few at a time that their local scores are about STEP_SCORES."""
+    rows = max(1, STEP_SCORES // (queries * GROUPS))
+    for vec, x in _matrices(batches):
+        if x.shape[1] == n:
+            for i in range(0, len(vec), rows):
+                yield vec[i : i + rows], x[i : i + rows]
+
+
 def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) < 2**53:
         return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
@@ -69,31 +89,29 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFr
     def first(batches):
         own, q = shared.value
         lows = np.full((len(own), GROUPS), np.iinfo(np.int64).max)
-        best: dict[int, list] = {g: [] for g in range(GROUPS)}
-        for vec, x in _matrices(batches):
-            if x.shape[1] != q.shape[1]:
-                continue
+        best: dict[int, tuple] = {}
+        for vec, x in _steps(batches, len(own), q.shape[1]):
+            row = _row_hash(vec, x)
             for g, part in enumerate(parts):
                 s = _product(q[:, part], x[:, part])
                 lows[:, g] = np.minimum(lows[:, g], s.min(1))
                 s[own[:, None] == vec[None, :]] = least
                 top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-                best[g].append((vec[top], np.take_along_axis(s, top, 1)))
-        for g in range(GROUPS):
-            if not best[g]:
-                continue
-            v, s = (np.concatenate([b[i] for b in best[g]], 1) for i in (0, 1))
-            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            v, s = np.take_along_axis(v, order, 1), np.take_along_axis(s, order, 1)
+                new = vec[top], row[top], np.take_along_axis(s, top, 1)
+                if g in best:
+                    new = tuple(np.concatenate(b, 1) for b in zip(best[g], new, strict=True))
+                order = np.argsort(-new[2], axis=1, kind="stable")[:, :k]
+                best[g] = tuple(np.take_along_axis(b, order, 1) for b in new)
+        for g, (v, h, s) in best.items():
             real = s > least
             rows = np.repeat(np.arange(len(own)), real.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, np.full(len(rows), g), v[real], s[real])], ["q", "g", "vec_id", "local"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(np.full(len(own), g)), pa.nulls(len(own), pa.int64()), pa.array(lows[:, g])], ["q", "g", "vec_id", "local"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, np.full(len(rows), g), v[real], h[real], s[real])], ["q", "g", "vec_id", "row", "local"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(np.full(len(own), g)), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.array(lows[:, g])], ["q", "g", "vec_id", "row", "local"])
 
-    lists = stage(vectors.mapInArrow(first, "q long, g long, vec_id long, local long"), "topk-lists")
+    lists = stage(vectors.mapInArrow(first, "q long, g long, vec_id long, row long, local long"), "topk-lists")
     lows = lists.where(F.col("vec_id").isNull()).groupBy("q", "g").agg(F.min("local").alias("low"))
-    # A sum over what was seen of a vector, with the least local score for the rest, is at most its total. A repeated id counts once.
-    seen = lists.where(F.col("vec_id").isNotNull()).groupBy("q", "g", "vec_id").agg(F.min("local").alias("local")).join(lows, ["q", "g"]).groupBy("q", "vec_id").agg(F.sum(F.col("local") - F.col("low")).alias("over"))
+    # A sum over what was seen of a vector, with the least local score for the rest, is at most its total. Equal rows count once; others of one id are apart.
+    seen = lists.where(F.col("vec_id").isNotNull()).groupBy("q", "g", "vec_id", "row").agg(F.min("local").alias("local")).join(lows, ["q", "g"]).groupBy("q", "vec_id", "row").agg(F.sum(F.col("local") - F.col("low")).alias("over"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("over")))
     floors = seen.withColumn("r", rank).where(F.col("r") == k).select("q", "over").toPandas()
     lowest = lows.toPandas()
@@ -106,28 +124,21 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFr
     def rest(batches):
         (own, q), (low, floor) = shared.value, cutoff.value
         share = floor // GROUPS  # rounded down, so that entries below it in every list sum to less than the floor
-        best = None
-        for vec, x in _matrices(batches):
-            if x.shape[1] != q.shape[1]:
-                continue
+        out_i, out_s = np.full((len(own), k), -1, np.int64), np.full((len(own), k), least)
+        for vec, x in _steps(batches, len(own), q.shape[1]):
             local = np.stack([_product(q[:, p], x[:, p]) for p in parts]) - low.T[:, :, None]
             sent = local >= share[None, :, None]
             upper = np.where(sent, local, share[None, :, None]).sum(0)
-            open_ = sent.any(0) & (upper >= floor[:, None]) & (own[:, None] != vec[None, :])
-            total = np.where(open_, local.sum(0) + low.sum(1)[:, None], least)  # the missing local scores are resolved for open entries
-            ids_, s = np.broadcast_to(vec, total.shape), total
-            if best is not None:
-                ids_, s = np.concatenate([best[0], ids_], 1), np.concatenate([best[1], s], 1)
-            bar = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-            out_i, out_s = np.full((len(own), k), -1, np.int64), np.full((len(own), k), least)
-            for r in range(len(own)):
-                c = np.flatnonzero((s[r] >= bar[r]) & (s[r] > least))
-                c = c[np.lexsort((ids_[r][c], -s[r][c]))[:k]]
-                out_i[r, : len(c)], out_s[r, : len(c)] = ids_[r][c], s[r][c]
-            best = out_i, out_s
-        if best is not None:
-            real = best[1] > least
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, real.sum(1))), pa.array(best[0][real]), pa.array(best[1][real])], ["query_id", "vec_id", "score"])
+            total = local.sum(0) + low.sum(1)[:, None]  # the missing local scores are resolved for open entries
+            open_ = sent.any(0) & (upper >= floor[:, None]) & (own[:, None] != vec[None, :]) & (total >= out_s[:, -1:])
+            for r in np.flatnonzero(open_.any(1)):
+                c = np.flatnonzero(open_[r])
+                i, t = np.concatenate([out_i[r], vec[c]]), np.concatenate([out_s[r], total[r, c]])
+                order = np.lexsort((i, -t))[:k]
+                out_i[r], out_s[r] = i[order], t[order]
+        real = out_s > least
+        if real.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, real.sum(1))), pa.array(out_i[real]), pa.array(out_s[real])], ["query_id", "vec_id", "score"])
 
     return vectors.mapInArrow(rest, _RESULT)
 

@@ -289,3 +289,33 @@ def test_personal_data_beyond_the_base_formats(spark):
     # Addresses that are in the sample already don't count against the kind.
     more = docs.union(spark.createDataFrame([(1000 + i, f"{name()} ask {name()} [at] {name()}.org {name()}") for i in range(300)], "doc_id long, text string"))
     assert "email_like" in pii.fit(more).threshold
+
+
+def test_topk_of_one_id_on_two_vectors(spark):
+    rows = [(0, [1.0] * 8), (5, [50.0, 50.0, -50.0, -50.0] + [0.0] * 4), (5, [-50.0, -50.0, 50.0, 50.0] + [0.0] * 4), (6, [-0.5] * 4 + [21.0] * 4)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    v = v.coalesce(1)  # one list has the best of both rows
+    assert [tuple(r) for r in topk.top_k(v, v.where("vec_id = 0"), 1).collect()] == [(0, 1, 6, 82 << 20)]
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(c) for c in x]) for i, x in zip(rng.integers(0, 60, 150), rng.integers(-9, 9, (150, 8)), strict=True)] + [(100, [1.0] * 8), (101, [float(c) for c in range(8)])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id >= 100"), 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for q, x in rows[-2:]:
+        best = sorted((-int(np.dot(x, y)) << 20, i) for i, y in rows if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == want
+
+
+def test_topk_steps_are_bounded():
+    import pyarrow as pa
+
+    x = np.arange(3000 * 2).reshape(-1, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(x.tolist(), pa.list_(pa.int64()))], ["vec_id", "v"])
+    found = list(topk._steps([batch], 8192, 2))
+    assert all(len(i) * 8192 * topk.GROUPS <= topk.STEP_SCORES for i, _ in found)
+    assert (np.concatenate([m for _, m in found]) == x).all()
