@@ -12,7 +12,7 @@ are labels. In groups with several labels, members outside the most frequent one
 together lose no link between parts that are not connected yet, so components are exact.
 
 Null and empty texts have empty sets and link with nothing. Rows that repeat an id or a text are members of their set's class; a null id
-gets its class's component (null if no member has an id). Sets are compared by 64-bit shingle hashes, classes by 128 bits.
+gets its class's component (null if no text of it has an id), and its class links others like any. Sets are compared by 64-bit shingle hashes, classes by 128 bits.
 """
 
 from __future__ import annotations
@@ -196,9 +196,17 @@ def share_all_orders(pairs: DataFrame, sides: DataFrame, like: Likeness) -> Data
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness, levels: np.ndarray) -> DataFrame:
     """Edges (u, v, a, b) between 128-bit class keys (and their first halves) of the pairs that reach the similarity."""
     ids = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
-    wanted = stage(classes.select("k1", "rep").join(ids, "k1", "left_semi").where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    small = wanted.count() * 64 <= BROADCAST_BYTES
-    sides = stage(sets_of(docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi"), like, levels, True), "sides")
+    wanted = stage(classes.select("k1", "k2", F.col("rep").alias("doc_id")).join(ids, "k1", "left_semi"), "wanted")
+    size = wanted.agg(F.count("doc_id").alias("named"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
+    hint = lambda df, n: F.broadcast(df) if n * 64 <= BROADCAST_BYTES else df
+    named = wanted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    sides = sets_of(docs.join(hint(named, size["named"]), "doc_id", "left_semi"), like, levels, True)
+    if size["nameless"]:
+        # Classes of texts without an id are found by their keys.
+        keys = wanted.where(F.col("doc_id").isNull()).select("k1", "k2")
+        apart = sets_of(docs.where(F.col("doc_id").isNull() & F.col("text").isNotNull()), like, levels, True).join(hint(keys, size["nameless"]), ["k1", "k2"], "left_semi")
+        sides = sides.unionByName(apart.dropDuplicates(["k1", "k2"]))
+    sides = stage(sides, "sides")
     pairs = stage(share_all_orders(pairs, sides, like), "shared")
     a = sides.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("text").alias("ta"))
     b = sides.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("text").alias("tb"))

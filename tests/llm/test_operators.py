@@ -291,6 +291,16 @@ def test_personal_data_beyond_the_base_formats(spark):
     assert "email_like" in pii.fit(more).threshold
 
 
+def test_jaccard_links_through_texts_without_id(spark):
+    base = [f"w{j}" for j in range(200)]
+    near = lambda places: " ".join(f"x{j}" if j in places else w for j, w in enumerate(base))
+    rows = [(1, near((10, 50, 90))), (2, near((110, 150, 190))), (None, near(())), (None, near(())), (3, "some other text of its own words")]
+    like = jaccard.Likeness(3, 90, 100)
+    got = sorted(map(str, (tuple(r) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), like).collect())))
+    assert got == sorted(map(str, brute_components(rows, like)))
+    assert sum(x.endswith(" 1)") for x in got) == 4
+
+
 def test_topk_of_one_id_on_two_vectors(spark):
     rows = [(0, [1.0] * 8), (5, [50.0, 50.0, -50.0, -50.0] + [0.0] * 4), (5, [-50.0, -50.0, 50.0, 50.0] + [0.0] * 4), (6, [-0.5] * 4 + [21.0] * 4)]
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
