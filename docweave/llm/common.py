@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,11 @@ STEP_BYTES = 1 << 19
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary folder is set only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; on a local master a temporary folder is set where that is unset, elsewhere it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "docweave-scratch")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -67,6 +70,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at
 
 
+def numbers(column: pa.Array, kind: type = np.int64, seen_as: type = np.uint64) -> list[np.ndarray]:
+    """The values of each list, without copying."""
+    flat, at = np.asarray(column.flatten(), kind).view(seen_as), np.asarray(column.offsets, np.int64)
+    return [flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+
+
 def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past the last row, bytes, offsets from 0) of runs of whole texts of about ``limit`` bytes."""
     body, at = utf8(column)

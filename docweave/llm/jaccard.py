@@ -2,34 +2,42 @@
 
 Texts become sets of hashed word shingles. Texts with equal sets are one class from there on. If two sets reach a similarity t,
 their first n - ceil(t n) + 1 tokens share one *whatever* the global order, so a pair must share a prefix token under each
-of three orders: the first order's prefixes are joined, the others' filter the pairs, and what is left is verified on the texts.
+of three orders: the first order's prefixes are joined, the others' filter the pairs, and what is left is verified on the sets.
 Each order puts rare tokens first (by a sketch of hashed counters over all texts, which only settles the order, never the
 result) and breaks ties by its own hash.
 
-No prefix token's group is expanded into all pairs. Its members first meet only its most central one (whose prefix tokens are in most
-other prefixes), so copies that are similar to one text but not to each other are connected in this round. The connected parts of these links
-are labels. In groups with several labels, members outside the most frequent one meet the members with another label. Both rounds
-together lose no link between parts that are not connected yet, so components are exact.
+A prefix token's group whose members could make more than FEW pairs each is crowded and is not expanded. It is dealt anew by size;
+where a band of sizes is crowded still, its members meet only its largest set, the hub, and their symmetric differences from it stand for them: |x ^ y| = |dx ^ dy|, so pairs that are not connected by the
+hub share a token of their differences, and the prefixes of the differences, rarest tokens of the hub's members first, are joined like
+those of the sets. What all members of a group share is in no difference. Groups that are crowded again get bands and hubs of their own;
+after ROUNDS rounds what is left is expanded. No round loses a link between parts that are not connected yet, so components are exact.
 
 Null and empty texts have empty sets and link with nothing. Rows that repeat an id or a text are members of their set's class; a null id
-gets its class's component (null if no text of it has an id), and its class links others like any. Sets are compared by 64-bit shingle hashes, classes by 128 bits.
+gets its class's component (null if no text of it has an id), and its class links others like any. Sets are compared by 64-bit
+shingle hashes, classes by 128 bits.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, mix, range_hash, running, stage, steps, word_ranges
+from .common import LOWER, SPACED, mix, numbers, range_hash, running, stage, steps, word_ranges
 
 #: Hashed counters of the sketch, in pieces of CELLS.
 COUNTERS, CELLS = 1 << 21, 1 << 15
 #: Bytes of ids up to which a list of documents is broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Pairs for each member from which a group is crowded (twice as many in each round); rounds of hubs before groups are expanded all the same.
+FEW, ROUNDS = 8, 6
+#: Members of a hub that one task compares with it.
+LANE = 256
 
 
 @dataclass(frozen=True)
@@ -43,9 +51,6 @@ class Likeness:
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, n + self.num * n // -self.den + 1, 0)
 
-    def prefix_of(self, n: Column) -> Column:
-        return n - F.ceil(n * self.num / self.den) + 1
-
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): each text's distinct shingles in order of hash; a text of fewer words is one shingle."""
@@ -76,15 +81,17 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
     return h, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))]).astype(np.int64)
 
 
-def _set_keys(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Two independent sums over each set."""
-    out = []
+def _set_keys(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Sixteen bytes from two independent sums over each set; null for an empty one."""
+    n = np.diff(at)
+    out = np.zeros((len(n), 2), ">u8")
     with np.errstate(over="ignore"):
-        for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        for j, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
             sums = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(mix(h ^ np.uint64(salt)), out=sums[1:])
-            out.append(mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64))
-    return out
+            out[:, j] = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64))
+    whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(out.tobytes())])
+    return pc.if_else(pa.array(n > 0), whole.cast(pa.binary()), None)
 
 
 def _counter_of(h: np.ndarray) -> np.ndarray:
@@ -127,56 +134,220 @@ def token_counters(texts: DataFrame, like: Likeness) -> np.ndarray:
     return (2 * np.log2(np.maximum(out.reshape(-1), 1).astype(np.float32))).astype(np.uint8)
 
 
-def sets_of(docs: DataFrame, like: Likeness, levels: np.ndarray | None = None, filters: bool = False) -> DataFrame:
-    """(doc_id, n, k1, k2) of every row of ``docs(doc_id, text)``.
+def sets_of(docs: DataFrame, like: Likeness, levels: np.ndarray, keep: tuple[str, ...], whole: bool = False) -> DataFrame:
+    """``keep`` columns, n and key of every row of ``docs``; ``key`` is 16 bytes that stand for the set of ``text``, null for an empty set.
 
-    With levels also ``p1``, the prefix under the first order; with ``filters`` instead the text, ``half`` (sort keys of the first half
-    of the set under the second order) and ``p3`` (the prefix under the third).
+    Besides ``p1``, the prefix under the first order; with ``whole`` instead ``tokens`` (the set in order of hash), ``half`` (sort keys
+    of the first half of the set under the second order) and ``p3`` (the prefix under the third).
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    names = ([] if levels is None else ["text", "half", "p3"] if filters else ["p1"])
+    names = ["tokens", "half", "p3"] if whole else ["p1"]
+
+    def lists(sizes, values, kind):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(kind)))
 
     def run(batches):
         for batch in batches:
             for first, last, data, at in steps(batch.column("text")):
                 h, cut = shingle_sets(data, at, like.width)
                 n = np.diff(cut)
-                k1, k2 = _set_keys(h, cut)
-                made = [pa.array(n, pa.int64()), pa.array(np.where(n == 0, 0, k1), mask=n == 0), pa.array(np.where(n == 0, 0, k2), mask=n == 0)]
-                if names:
-                    own, at_set, p = np.repeat(np.arange(len(n)), n), np.arange(len(h)) - np.repeat(cut[:-1], n), like.prefix(n)
-                    rare = shared.value[_counter_of(h)].astype(np.uint64) << np.uint64(57)
-                    order = lambda j: rare | (mix(h + np.uint64(j)) >> np.uint64(7))
-                    take = at_set < np.repeat(p, n)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32))
-                if names == ["p1"]:
-                    made.append(pa.ListArray.from_arrays(offsets, pa.array(h[np.lexsort((order(1), own))][take].view(np.int64))))
-                elif names:
-                    keys = order(2)
-                    keys = (keys[np.lexsort((keys, own))] >> np.uint64(32)).astype(np.int32)
-                    kept = at_set < np.repeat(np.maximum(p, (n + 1) // 2), n)
-                    kept[1:] &= (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
-                    size = np.bincount(own[kept], minlength=len(n))
-                    made += [batch.column("text").slice(first, last - first), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[kept]))]
-                    made.append(pa.ListArray.from_arrays(offsets, pa.array((h[np.lexsort((order(3), own))][take] >> np.uint64(32)).astype(np.uint32).view(np.int32))))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *made], ["doc_id", "n", "k1", "k2", *names])
-
-    kinds = {"text": "string", "half": "array<int>", "p3": "array<int>", "p1": "array<long>"}
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n long, k1 long, k2 long" + "".join(f", {x} {kinds[x]}" for x in names))
-
-
-def _fits(n: str, m: str, at: str, to: str, like: Likeness):
-    """Whether sizes n and m can reach the similarity if tokens at these places of the prefixes are the first that both have.
-
-    The tokens before the first common one are in one set only, so a pair that reaches the similarity passes there.
+                own, place, p = np.repeat(np.arange(len(n)), n), np.arange(len(h)) - np.repeat(cut[:-1], n), like.prefix(n)
+                rare = shared.value[_counter_of(h)].astype(np.uint64) << np.uint64(57)
+                keys = lambda j: rare | (mix(h + np.uint64(j)) >> np.uint64(7))
+                in_prefix = place < np.repeat(p, n)
+                if whole:
+                    second_keys, third_keys = keys(2), keys(3)
+                    ranked = (second_keys[np.lexsort((second_keys, own))] >> np.uint64(32)).astype(np.int32)
+                    kept = place < np.repeat(np.maximum(p, (n + 1) // 2), n)
+                    kept[1:] &= (ranked[1:] != ranked[:-1]) | (own[1:] != own[:-1])
+                    third = (h[np.lexsort((third_keys, own))][in_prefix] >> np.uint64(32)).astype(np.uint32)
+                    made = [lists(n, h, np.int64), lists(np.bincount(own[kept], minlength=len(n)), ranked[kept], np.int32), lists(p, third, np.int32)]
+                else:
+                    made = [lists(p, h[np.lexsort((keys(1), own))][in_prefix], np.int64)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in keep), pa.array(n, pa.int32()), _set_keys(h, cut), *made], [*keep, "n", "key", *names])
+
+    kinds = {"tokens": "array<long>", "half": "array<int>", "p3": "array<int>", "p1": "array<long>"}
+    kept = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kept}n int, key binary" + "".join(f", {x} {kinds[x]}" for x in names))
+
+
+def _counted(postings: DataFrame, like: Likeness, one_each: bool) -> DataFrame:
+    """Postings of groups in which a pair may be missing, with ``short``, the group's numbers of ``shorts`` and ``looses`` and its ``major`` label.
+
+    If the first token that two sets share stands at places a and b, then a + b is at most their largest difference, so one of the two is
+    short: its place is at most its own share of that. Members with equal labels are connected already; those outside a group's most
+    frequent label are loose. With ``one_each`` every member has a label of its own.
+    """
+    marked = postings.withColumn("short", F.col("pos") * (like.den + like.num) <= F.col("n") * (like.den - like.num))
+    numbers = [F.count(F.lit(1)).alias("members"), F.count_if("short").alias("shorts")]
+    if one_each:
+        counts = marked.groupBy("g").agg(*numbers).select("g", "shorts", (F.col("members") - 1).alias("looses"), F.lit(None).cast("long").alias("major"))
+    else:
+        top = F.max(F.struct("members", "label"))
+        counts = marked.groupBy("g", "label").agg(*numbers).groupBy("g").agg(F.sum("members").alias("members"), F.sum("shorts").alias("shorts"), top.alias("top"))
+        counts = counts.select("g", "shorts", (F.col("members") - F.col("top.members")).alias("looses"), F.col("top.label").alias("major"))
+    return stage(marked.join(counts.where((F.col("shorts") > 0) & (F.col("looses") > 0)), "g"), "members")
+
+
+def _banded(crowded: DataFrame, like: Likeness) -> DataFrame:
+    """Postings of crowded groups, dealt anew by size: sets that can reach the similarity are in one band or in two that adjoin."""
+    band = F.floor(F.log("n") / F.lit(np.log(like.den / like.num) * 1.0001))
+    both = crowded.drop("short", "shorts", "looses", "major").withColumn("band", F.explode(F.array(band, band + 1)))
+    return both.withColumn("g", F.xxhash64("g", "band")).drop("band")
+
+
+def _met(members: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of members with different labels that their places allow; each short (or each loose) member meets the whole group."""
+    loose = F.col("major").isNull() | (F.col("label") != F.col("major"))
+    sided = members.withColumn("leads", F.when(F.col("shorts") <= F.col("looses"), F.col("short")).otherwise(loose))
+    side = lambda x: sided.select("g", *[F.col(c).alias(f"{x}_{c}") for c in ("k", "n", "pos", "left", "short", "label", "leads")])
+    both = side("x").where("x_leads").join(side("y"), "g")
+    once = (F.col("x_label") != F.col("y_label")) & (~F.col("y_leads") | (F.col("x_k") < F.col("y_k")))
+    one_short = F.col("x_short") | F.col("y_short")
+    sizes = F.least("x_n", "y_n") * like.den >= F.greatest("x_n", "y_n") * like.num
+    # Tokens before the first shared one, and the surplus of one rest over the other, are in one set only.
+    differ = F.col("x_pos") + F.col("y_pos") + F.abs(F.col("x_left") - F.col("y_left"))
+    close = differ * (like.den + like.num) <= (F.col("x_n") + F.col("y_n")) * (like.den - like.num)
+    met = both.where(once & one_short & sizes & close)
+    return met.select(F.least("x_k", "y_k").alias("a"), F.greatest("x_k", "y_k").alias("b")).distinct()
+
+
+def _spokes(crowded: DataFrame) -> DataFrame:
+    """(hub, k) of the members of crowded groups and their group's largest set."""
+    hubs = crowded.groupBy("g").agg(F.max(F.struct("n", "k")).alias("top")).select("g", F.col("top.k").alias("hub"))
+    return crowded.select("g", "k").join(hubs, "g").where("k <> hub").select("hub", "k").distinct()
+
+
+def _differences(spokes: DataFrame, sides: DataFrame, like: Likeness) -> DataFrame:
+    """(hub, lane, k, n, hub_n, linked, d): each member's symmetric difference from its hub, dealt over lanes of about LANE members."""
+    lanes = spokes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / LANE).cast("int").alias("lanes"))
+    hubs = lanes.join(_only(sides, [lanes.select("hub")]).select(F.col("k").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens")), "hub")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "hub_n", "hub_tokens")
+    dealt = spokes.join(lanes, "hub").select("hub", F.pmod(F.xxhash64("k"), F.col("lanes")).cast("int").alias("lane"), "k")
+    both = dealt.join(_only(sides, [spokes.select("k")]).select("k", "n", "tokens"), "k").join(hubs, ["hub", "lane"])
+
+    def run(batches):
+        for batch in batches:
+            mine, theirs = numbers(batch.column("tokens")), numbers(batch.column("hub_tokens"))
+            d = [np.setxor1d(x, h, assume_unique=True) for x, h in zip(mine, theirs, strict=True)]
+            size = np.array([len(x) for x in d], np.int64)
+            total = np.asarray(batch.column("n"), np.int64) + np.asarray(batch.column("hub_n"), np.int64)
+            near = size * (like.den + like.num) <= total * (like.den - like.num)
+            values = (mix(np.concatenate(d)) >> np.uint64(32)).astype(np.uint32) if d else np.zeros(0, np.uint32)
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hub", "lane", "k", "n", "hub_n")), pa.array(near), made], ["hub", "lane", "k", "n", "hub_n", "linked", "d"])
+
+    return stage(both.mapInArrow(run, "hub long, lane int, k long, n int, hub_n int, linked boolean, d array<int>"), "differences")
+
+
+def _hub_levels(differences: DataFrame) -> DataFrame:
+    """(hub, levels): of hashed counters of the tokens in a hub's differences, about sixteen for each token of the hub.
+
+    A level is a byte, 0 for a count of 1 and 8 more for each doubling.
     """
-    n, m = F.col(n), F.col(m)
-    return (F.least(n, m) * like.den >= F.greatest(n, m) * like.num) & ((F.col(at) + F.col(to)) * (like.den + like.num) <= (n + m) * (like.den - like.num))
 
+    def count(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def out():
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["hub", "counts"])
+            held.clear()
+
+        for batch in batches:
+            sizes = np.asarray(batch.column("hub_n"))
+            for i, (hub, d) in enumerate(zip(batch.column("hub").to_pylist(), numbers(batch.column("d"), np.int32, np.uint32), strict=True)):
+                if hub not in held:
+                    held[hub] = np.zeros(1 << int(np.clip(np.ceil(np.log2(16 * int(sizes[i]))), 10, 20)), np.int32)
+                held[hub] += np.bincount(d & np.uint32(len(held[hub]) - 1), minlength=len(held[hub])).astype(np.int32)
+                if i % 64 == 0 and sum(map(len, held.values())) > 8_000_000:
+                    yield from out()
+        yield from out()
+
+    def total(table):
+        counts = np.sum([np.frombuffer(c.as_buffer(), np.int32).astype(np.int64) for c in table.column("counts")], 0)
+        return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
+
+    def add(key, table):
+        return pa.table({"hub": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total(table).tobytes()], pa.binary())})
+
+    def level(key, table):
+        levels = np.round(8 * np.log2(np.maximum(total(table), 1))).astype(np.uint8)
+        return pa.table({"hub": pa.array([key[0].as_py()], pa.int64()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    parts = differences.select("hub", "hub_n", "d").mapInArrow(count, "hub long, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
+    return parts.groupBy("hub", "part").applyInArrow(add, "hub long, counts binary").groupBy("hub").applyInArrow(level, "hub long, levels binary")
 
-def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+def _postings_of(differences: DataFrame, labels: DataFrame, like: Likeness) -> DataFrame:
+    """Postings of the differences' prefixes, the tokens that are rarest among a hub's differences first.
+
+    Let x and y be members of one hub h, dx and dy their differences from it and B their largest difference. Where |dx| + |dy| <= B, both
+    link with h, which is the largest. Every other linked pair shares a token of dx and dy, the first at places that sum to B at most;
+    tokens of equal hashes count as one, which holds for them too. A token that no other difference of the hub has keeps its place, but
+    needs no posting. Hubs whose members all have one label need none at all.
+    """
+    tags = differences.select("hub", "lane", "k").join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    tags = stage(tags, "tags")
+    split = stage(tags.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("hub"), "split")
+    open_ = differences.join(split, "hub", "left_semi")
+    levels = tags.select("hub", "lane").distinct().join(_hub_levels(open_), "hub")
+    none = F.lit(None).cast("long")
+    beside = tags.join(split, "hub", "left_semi").select("hub", "lane", "k", "label", F.lit(None).cast("binary").alias("levels"))
+    beside = beside.unionByName(levels.select("hub", "lane", none.alias("k"), none.alias("label"), "levels"))
+
+    def run(key, members, others):
+        table = np.frombuffer(next(x.as_buffer() for x in others.column("levels") if x.is_valid), np.uint8)
+        label_of = dict(zip(others.column("k").to_pylist(), others.column("label").to_pylist(), strict=True))
+        salt = mix(np.array([key[0].as_py()]))
+        n = np.asarray(members.column("n"), np.int64)
+        most = (n + n * like.den // like.num) * (like.den - like.num) // (like.den + like.num)
+        rows, groups, places, lefts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, d in enumerate(numbers(members.column("d").combine_chunks(), np.int32, np.uint32)):
+            seen = table[d & np.uint32(len(table) - 1)]
+            order = np.lexsort((d, seen))[: most[i] + 1]
+            place = np.flatnonzero(seen[order] > 0)
+            rows.append(np.full(len(place), i))
+            groups.append(mix(mix(d[order[place]]) ^ salt))
+            places.append(place)
+            lefts.append(len(d) - place)
+        at, k = pa.array(np.concatenate(rows)), members.column("k")
+        label = pa.array([label_of[x] for x in k.to_pylist()], pa.int64())
+        made = {"g": np.concatenate(groups).view(np.int64), "k": k.take(at), "n": members.column("n").take(at), "pos": np.concatenate(places).astype(np.int32)}
+        return pa.table(made | {"left": np.concatenate(lefts).astype(np.int32), "label": label.take(at)})
+
+    both = open_.select("hub", "lane", "k", "n", "d").groupBy("hub", "lane").cogroup(beside.groupBy("hub", "lane"))
+    return stage(both.applyInArrow(run, "g long, k long, n int, pos int, left int, label long"), "difference-postings")
+
+
+def _hinted(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of so many short rows, to be broadcast where they are at most BROADCAST_BYTES."""
+    return F.broadcast(df) if rows * 64 <= BROADCAST_BYTES else df
+
+
+def _only(sides: DataFrame, keys: list[DataFrame]) -> DataFrame:
+    """The rows of ``sides`` that ``keys`` name, before anything of them is dealt out."""
+    named = stage(reduce(DataFrame.union, keys).toDF("k").distinct(), "named")
+    return sides.join(_hinted(named, named.count()), "k", "left_semi")
+
+
+def _sides(keys: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness, levels: np.ndarray) -> DataFrame:
+    """(k, n, tokens, half, p3) of the classes in ``keys(k)``, once each, from texts of their representatives."""
+    wanted = stage(classes.select("k", F.col("key").alias("wanted_key"), "rep").join(keys, "k", "left_semi"), "wanted")
+    size = wanted.agg(F.count("rep").alias("named"), F.count_if(F.col("rep").isNull()).alias("nameless")).first()
+    texts = docs.join(_hinted(wanted, size["named"]), F.col("doc_id") == F.col("rep"))
+    # A row that repeats an id may have another text.
+    sides = sets_of(texts, like, levels, ("k", "wanted_key"), True).where(F.col("key") == F.col("wanted_key")).drop("wanted_key")
+    if size["nameless"]:
+        # Classes of texts without an id are found by their keys.
+        own = wanted.where(F.col("rep").isNull()).select("k", F.col("wanted_key").alias("key"))
+        apart = sets_of(docs.where(F.col("doc_id").isNull() & F.col("text").isNotNull()), like, levels, (), True)
+        sides = sides.unionByName(apart.join(_hinted(own, size["nameless"]), "key"))
+    sides = stage(sides.drop("key"), "sides")
+    if sides.count() > size["named"] + size["nameless"]:
+        # Some rows repeat an id and a text.
+        sides = stage(sides.dropDuplicates(["k"]), "sides")
+    return sides
 
 
 def share_all_orders(pairs: DataFrame, sides: DataFrame, like: Likeness) -> DataFrame:
@@ -185,50 +356,30 @@ def share_all_orders(pairs: DataFrame, sides: DataFrame, like: Likeness) -> Data
     Below the smaller of two half-sets' last keys both are complete, so keys that only one has there are tokens that only one
     set has; keys that tokens share can only hide some.
     """
-    side = lambda x: sides.select(F.col("k1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "half", "p3")])
+    side = lambda x: sides.select(F.col("k").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "half", "p3")])
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a_p3", "b_p3"))
     end = F.least(F.element_at("a_half", -1), F.element_at("b_half", -1))
     upto = lambda c: F.size(F.filter(c, lambda k: k <= end))
     apart = upto("a_half") + upto("b_half") - 2 * F.size(F.array_intersect("a_half", "b_half"))
-    return both.where(apart * (like.den + like.num) <= (F.col("a_n") + F.col("b_n")) * (like.den - like.num)).select("a", "b").distinct()
+    return both.where(apart * (like.den + like.num) <= (F.col("a_n") + F.col("b_n")) * (like.den - like.num)).select("a", "b")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness, levels: np.ndarray) -> DataFrame:
-    """Edges (u, v, a, b) between 128-bit class keys (and their first halves) of the pairs that reach the similarity."""
-    ids = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
-    wanted = stage(classes.select("k1", "k2", F.col("rep").alias("doc_id")).join(ids, "k1", "left_semi"), "wanted")
-    size = wanted.agg(F.count("doc_id").alias("named"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
-    hint = lambda df, n: F.broadcast(df) if n * 64 <= BROADCAST_BYTES else df
-    named = wanted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    sides = sets_of(docs.join(hint(named, size["named"]), "doc_id", "left_semi"), like, levels, True)
-    if size["nameless"]:
-        # Classes of texts without an id are found by their keys.
-        keys = wanted.where(F.col("doc_id").isNull()).select("k1", "k2")
-        apart = sets_of(docs.where(F.col("doc_id").isNull() & F.col("text").isNotNull()), like, levels, True).join(hint(keys, size["nameless"]), ["k1", "k2"], "left_semi")
-        sides = sides.unionByName(apart.dropDuplicates(["k1", "k2"]))
-    sides = stage(sides, "sides")
-    pairs = stage(share_all_orders(pairs, sides, like), "shared")
-    a = sides.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("text").alias("ta"))
-    b = sides.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("text").alias("tb"))
+def verified(pairs: DataFrame, sides: DataFrame, like: Likeness) -> DataFrame:
+    """Edges (u, v) of the pairs (a, b) that reach the similarity."""
+    shared = stage(share_all_orders(pairs, _only(sides, [pairs.select("a"), pairs.select("b")]), like), "shared")
+    sides = _only(sides, [shared.select("a"), shared.select("b")])
+    side = lambda x, t: sides.select(F.col("k").alias(x), F.col("tokens").alias(t))
+    joined = shared.join(side("a", "ta"), "a").join(side("b", "tb"), "b")
 
     def run(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                rows = part.num_rows
-                (_, _, da, ta), (_, _, db, tb) = (next(steps(part.column(c), 1 << 62)) for c in ("ta", "tb"))
-                (ha, ca), (hb, cb) = shingle_sets(da, ta, like.width), shingle_sets(db, tb, like.width)
-                for r in range(rows):
-                    x, y = ha[ca[r] : ca[r + 1]], hb[cb[r] : cb[r + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i + r] = both > 0 and like.den * both >= like.num * (len(x) + len(y) - both)
-            if keep.any():
-                name = lambda c: [int(v).to_bytes(8, "big", signed=True) for v in batch.column(c).filter(pa.array(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([p + q for p, q in zip(name(c), name(d), strict=True)], pa.binary()) for c, d in (("a", "a2"), ("b", "b2"))] + [batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["u", "v", "a", "b"])
-
-    joined = pairs.join(a, "a").join(b, "b").select("a", "a2", "b", "b2", "ta", "tb")
-    return stage(joined.mapInArrow(run, "u binary, v binary, a long, b long").distinct(), "edges")
+            a, b = numbers(batch.column("ta")), numbers(batch.column("tb"))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)])
+            total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+            keep = pa.array(like.den * both >= like.num * (total - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["u", "v"])
+
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,44 +400,49 @@ def components(edges: DataFrame) -> DataFrame:
         mark = new
 
 
+def _parts(classes: DataFrame, docs: DataFrame, like: Likeness, levels: np.ndarray) -> DataFrame:
+    """(node, root): the connected parts of classes that the similarity links."""
+    postings = classes.select(F.posexplode("p1").alias("pos", "g"), "k", "n").withColumns({"left": F.col("n") - F.col("pos"), "label": F.col("k")})
+    parts = sides = None
+    for turn in range(ROUNDS + 1):
+        members = _counted(postings, like, turn == 0)
+        crowded = F.least("shorts", "looses") > (FEW << turn) if turn < ROUNDS else F.lit(False)
+        bands = _counted(_banded(members.where(crowded), like), like, turn == 0)
+        pairs = stage(_met(members.where(~crowded), like).union(_met(bands.where(~crowded), like)).distinct(), "pairs")
+        spokes = stage(_spokes(bands.where(crowded)), "spokes")
+        if turn == 0:
+            ends = [pairs.select(F.col("a").alias("k")), pairs.select(F.col("b").alias("k")), spokes.select("k"), spokes.select(F.col("hub").alias("k"))]
+            sides = _sides(reduce(DataFrame.union, ends).distinct(), classes, docs, like, levels)
+        edges = verified(pairs, sides, like)
+        if turn > 0:
+            edges = edges.union(parts)
+        if spokes.isEmpty():
+            break
+        differences = _differences(spokes, sides, like)
+        parts = components(edges.union(differences.where("linked").select("hub", "k")))
+        labels = parts.select(F.col("node").alias("k"), F.col("root").alias("label"))
+        postings = _postings_of(differences, labels, like)
+    return components(edges)
+
+
 def linked(docs: DataFrame, like: Likeness) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     docs = docs.select("doc_id", "text")
     levels = token_counters(docs, like)
-    sets = sets_of(docs.where(F.col("text").isNotNull()), like, levels).where(F.col("n") > 0)
-    classes = stage(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("p1").alias("p1")), "classes")
-    postings = classes.select("k1", "n", F.posexplode("p1").alias("pos", "token"))
-    common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    # A class's list is at most its text's prefix. The members of a group miss some of its tokens, its centre has them all.
-    places = postings.join(common, "token").groupBy("k1").agg(F.first("n").alias("n"), F.sum(F.log2("c")).alias("weight"), F.collect_list(F.struct("token", "pos")).alias("places"))
-    centred = places.select("k1", "n", (F.col("weight") / like.prefix_of(F.col("n"))).cast("float").alias("central"), F.inline("places"))
-    members = stage(centred, "members")
-    hubs = members.groupBy("token").agg(F.min(F.struct(-F.col("central"), "k1", "n", "pos")).alias("h")).select("token", F.col("h.k1").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
-    met = members.select("token", "k1", "n", "pos").join(hubs, "token").where((F.col("k1") != F.col("hub")) & _fits("n", "hub_n", "pos", "hub_pos", like))
-    pairs1 = stage(_ordered(met, "k1", "hub"), "pairs")
-    edges1 = verified(pairs1, classes, docs, like, levels)
-    # Classes that the first round connects have one label.
-    labels = components(edges1.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("k1"), F.col("root").alias("label"))
-    tagged = members.select("token", "k1", "n", "pos").join(labels, "k1", "left").select("token", "k1", "n", "pos", F.coalesce("label", "k1").alias("label"))
-    tagged = stage(tagged, "tagged")
-    sizes = tagged.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top"))
-    open_ = stage(tagged.join(stage(sizes.where(F.col("labels") > 1).select("token", F.col("top.label").alias("major")), "open"), "token"), "rest")
-    x = open_.where(F.col("label") != F.col("major")).select("token", F.col("k1").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("label").alias("xl"))
-    y = open_.select("token", F.col("k1").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("label").alias("yl"), "major")
-    met = x.join(y, "token").where((F.col("xl") != F.col("yl")) & ((F.col("yl") == F.col("major")) | (F.col("x") < F.col("y"))) & _fits("xn", "yn", "xp", "yp", like))
-    pairs2 = stage(_ordered(met, "x", "y").join(pairs1, ["a", "b"], "left_anti"), "pairs")
-    edges2 = verified(pairs2, classes, docs, like, levels)
-    parts = components(edges1.select("u", "v").unionByName(edges2.select("u", "v")))
-    big_endian = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    node = F.concat(big_endian(F.col("k1")), big_endian(F.col("k2")))
-    named = classes.select("k1", "k2", "rep", node.alias("node")).join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stage(sets_of(docs, like, levels, ("doc_id",)), "sets")
+    some, none = rows.where(F.col("key").isNotNull()), rows.where(F.col("key").isNull())
+    of_set = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("p1").alias("p1"))
+    # Numbers of classes are written down, so every later read has the same.
+    classes = stage(of_set.withColumn("k", F.monotonically_increasing_id()), "classes")
+    named = classes.select("k", "key", "rep")
+    parts = _parts(classes, docs, like, levels).select(F.col("node").alias("k"), "root")
+    inside = parts.unionByName(parts.select(F.col("root").alias("k"), "root").distinct()).join(named.select("k", "rep"), "k")
+    least = inside.groupBy("root").agg(F.min("rep").alias("part_id"))
     # Only classes in parts of several need their part's smallest id; the others have their own.
-    many = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    of_class = named.join(stage(many, "parts").select("root", F.col("component_id").alias("part_id")), "root", "left").select("k1", "k2", F.coalesce("part_id", "rep").alias("component_id"))
-    of_class = stage(of_class, "components")
-    rows = sets_of(docs, like)
-    out = rows.join(of_class, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = named.join(inside.join(least, "root").select("k", "part_id"), "k", "left").select("key", F.coalesce("part_id", "rep").alias("component_id"))
+    full = some.select("doc_id", "n", "key").join(stage(of_class, "components"), "key", "left")
+    out = full.select("doc_id", "n", "component_id").unionByName(none.select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
