@@ -3,12 +3,12 @@
 A vector's score is the sum over groups of dimensions of its local scores. Each task keeps the score lists of its share of the
 vectors, one per group and query:
 
-1. every list gives its k best local scores and its least one; the k-th best sum of what was seen (the least score standing in
-   for what was not) is a floor under the k-th best total;
+1. every list gives its k best local scores, with the totals of those entries, and its least one; the k-th best of these totals
+   is a floor under the k-th best of all;
 2. the floor goes to all tasks; an entry that lies, in every group, below the floor's equal share above the least local scores
    cannot reach it, so each list gives only its entries at or above its share, and sums with the share in place of what is
    missing drop those that cannot reach the floor;
-3. the missing local scores of the rest are added exactly, each task's k best go on, and the k best of all are the result.
+3. the missing local scores of the rest alone are added exactly, each task's k best go on, and the k best of all are the result.
 
 Queries are handled in blocks of a bounded size, which alone is broadcast; every block is scored against all rows. Components
 become floor(scale * x) and sums are exact 64-bit integers. Vectors that are null, or hold null or non-finite components, and
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, stage
 
-GROUPS = 4
+GROUPS = 2
 #: Local scores that one step works on.
 STEP_SCORES = 1 << 22
 _RESULT = "query_id long, vec_id long, score long"
@@ -76,6 +76,16 @@ def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
+def open_entries(local: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """(queries, rows): the entries that may reach the floor, from local scores (group, query, row) above the least ones.
+
+    Only scores of at least the floor's share count as sent; the share, rounded up, stands in for those that were not.
+    """
+    share = -(-floor // GROUPS)[None, :, None]
+    sent = local >= share
+    return sent.any(0) & (np.where(sent, local, share).sum(0) >= floor[:, None])
+
+
 def _parts(n: int) -> list[slice]:
     cuts = [round(i * n / GROUPS) for i in range(GROUPS + 1)]
     return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -92,48 +102,46 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFr
         best: dict[int, tuple] = {}
         for vec, x in _steps(batches, len(own), q.shape[1]):
             row = _row_hash(vec, x)
-            for g, part in enumerate(parts):
-                s = _product(q[:, part], x[:, part])
+            local = [_product(q[:, part], x[:, part]) for part in parts]
+            for g, s in enumerate(local):
                 lows[:, g] = np.minimum(lows[:, g], s.min(1))
-                s[own[:, None] == vec[None, :]] = least
-                top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-                new = vec[top], row[top], np.take_along_axis(s, top, 1)
+                ranked = np.where(own[:, None] == vec[None, :], least, s)
+                top = np.argpartition(-ranked, min(k, ranked.shape[1]) - 1, axis=1)[:, :k]
+                total = sum(np.take_along_axis(part, top, 1) for part in local)
+                new = vec[top], row[top], np.take_along_axis(ranked, top, 1), total
                 if g in best:
                     new = tuple(np.concatenate(b, 1) for b in zip(best[g], new, strict=True))
                 order = np.argsort(-new[2], axis=1, kind="stable")[:, :k]
                 best[g] = tuple(np.take_along_axis(b, order, 1) for b in new)
-        for g, (v, h, s) in best.items():
+        names = ["q", "g", "vec_id", "row", "score"]
+        for g, (v, h, s, total) in best.items():
             real = s > least
             rows = np.repeat(np.arange(len(own)), real.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, np.full(len(rows), g), v[real], h[real], s[real])], ["q", "g", "vec_id", "row", "local"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(np.full(len(own), g)), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.array(lows[:, g])], ["q", "g", "vec_id", "row", "local"])
-
-    lists = stage(vectors.mapInArrow(first, "q long, g long, vec_id long, row long, local long"), "topk-lists")
-    lows = lists.where(F.col("vec_id").isNull()).groupBy("q", "g").agg(F.min("local").alias("low"))
-    # A sum over what was seen of a vector, with the least local score for the rest, is at most its total. Equal rows count once; others of one id are apart.
-    seen = lists.where(F.col("vec_id").isNotNull()).groupBy("q", "g", "vec_id", "row").agg(F.min("local").alias("local")).join(lows, ["q", "g"]).groupBy("q", "vec_id", "row").agg(F.sum(F.col("local") - F.col("low")).alias("over"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("over")))
-    floors = seen.withColumn("r", rank).where(F.col("r") == k).select("q", "over").toPandas()
-    lowest = lows.toPandas()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, np.full(len(rows), g), v[real], h[real], total[real])], names)
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(np.full(len(own), g)), none, none, pa.array(lows[:, g])], names)
+
+    lists = stage(vectors.mapInArrow(first, "q long, g long, vec_id long, row long, score long"), "topk-lists")
+    lowest = lists.where(F.col("vec_id").isNull()).groupBy("q", "g").agg(F.min("score").alias("low")).toPandas()
+    # Equal rows count once; others of one id are apart.
+    seen = lists.where(F.col("vec_id").isNotNull()).groupBy("q", "vec_id", "row").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    floors = seen.withColumn("r", rank).where(F.col("r") == k).select("q", "score").toPandas()
     low = np.zeros((len(ids), GROUPS), np.int64)
     low[lowest["q"], lowest["g"]] = lowest["low"]
     floor = np.zeros(len(ids), np.int64)  # fewer than k candidates: nothing may be dropped
-    floor[floors["q"]] = floors["over"]
+    floor[floors["q"]] = np.maximum(0, floors["score"] - low[floors["q"]].sum(1))
     cutoff = sc.broadcast((low, floor))
 
     def rest(batches):
         (own, q), (low, floor) = shared.value, cutoff.value
-        share = floor // GROUPS  # rounded down, so that entries below it in every list sum to less than the floor
         out_i, out_s = np.full((len(own), k), -1, np.int64), np.full((len(own), k), least)
         for vec, x in _steps(batches, len(own), q.shape[1]):
             local = np.stack([_product(q[:, p], x[:, p]) for p in parts]) - low.T[:, :, None]
-            sent = local >= share[None, :, None]
-            upper = np.where(sent, local, share[None, :, None]).sum(0)
-            total = local.sum(0) + low.sum(1)[:, None]  # the missing local scores are resolved for open entries
-            open_ = sent.any(0) & (upper >= floor[:, None]) & (own[:, None] != vec[None, :]) & (total >= out_s[:, -1:])
-            for r in np.flatnonzero(open_.any(1)):
-                c = np.flatnonzero(open_[r])
-                i, t = np.concatenate([out_i[r], vec[c]]), np.concatenate([out_s[r], total[r, c]])
+            still = open_entries(local, floor) & (own[:, None] != vec[None, :])
+            for r in np.flatnonzero(still.any(1)):
+                c = np.flatnonzero(still[r])
+                i, t = np.concatenate([out_i[r], vec[c]]), np.concatenate([out_s[r], local[:, r, c].sum(0) + low[r].sum()])
                 order = np.lexsort((i, -t))[:k]
                 out_i[r], out_s[r] = i[order], t[order]
         real = out_s > least
