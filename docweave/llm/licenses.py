@@ -2,7 +2,9 @@
 
 A notice of which at most k letters are wrong, missing or added still holds one of its k + 1 pieces unchanged, so an automaton
 over all pieces finds every place where it can stand; there the regex library's bounded-error matching decides, counts the
-errors and gives the span. Fixed phrases are looked up besides, word by word, as the base.
+errors and gives the span. Each place is decided alone, and of spans of one notice that overlap the one with the fewest errors stays, so
+every occurrence overlaps a span that is reported. Fixed phrases are looked up besides, word by word, as the base; a notice that is one of
+them is reported only where it has errors.
 
 Null and empty texts have no words, no labels and score 0. Spans are in code points of the text (end exclusive). Repeated rows
 give equal results; only the text is read, whole, whatever its length.
@@ -11,6 +13,7 @@ give equal results; only the text is read, whole, whatever its length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import cache
 
 import ahocorasick
@@ -29,12 +32,27 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 NOTICES = (
     ("licensed under the apache license", "apache", 4),
     ("permission is hereby granted, free of charge", "mit", 5),
+    ("permission to use, copy, modify, and/or distribute this software", "isc", 6),
     ("redistribution and use in source and binary forms", "bsd", 5),
+    ("this software is provided 'as-is', without any express or implied", "zlib", 6),
+    ("boost software license - version 1.0", "boost", 4),
     ("subject to the terms of the mozilla public license", "mpl", 5),
+    ("eclipse public license", "epl", 2),
+    ("european union public licence", "eupl", 3),
     ("this is free and unencumbered software", "unlicense", 4),
+    ("the artistic license", "artistic", 2),
     ("gnu general public license", "gnu-gpl", 2),
     ("gnu lesser general public license", "gnu-lgpl", 3),
+    ("gnu affero general public license", "gnu-agpl", 3),
+    ("gnu free documentation license", "gnu-fdl", 3),
+    ("either version 2 of the license, or (at your option) any later version", "or-later", 6),
+    ("either version 3 of the license, or (at your option) any later version", "or-later", 6),
     ("creative commons attribution", "creative-commons", 3),
+    ("attribution-sharealike", "cc-by-sa", 2),
+    ("attribution-noncommercial", "cc-by-nc", 2),
+    ("attribution-noderivs", "cc-by-nd", 2),
+    ("cc0 1.0 universal", "cc0", 1),
+    ("dedicated to the public domain", "public-domain", 3),
     ("spdx-license-identifier", "spdx", 2),
     ("no part of this publication may be reproduced", "no-copying", 5),
     ("all rights reserved", "reserved-like", 2),
@@ -63,30 +81,43 @@ def _tools(notices: tuple):
 
 
 def fuzzy(low: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int]]:
-    """(label, begin, end, errors) of the notices in a lower-cased text, in order; a later one begins after the one before of its label."""
+    """(label, begin, end, errors) of the notices in a lower-cased text, in order of begin; spans of one notice don't overlap."""
     machine, patterns = _tools(notices)
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[int]] = {}
     for last, (size, uses) in machine.iter(low):
         for n, at in uses:
-            text, _, errors = notices[n]
-            begin = last - size + 1 - at
-            a, b = max(0, begin - errors), min(len(low), begin + len(text) + errors)
-            mine = windows.setdefault(n, [])
-            mine.append([a, b])
+            windows.setdefault(n, set()).add(last - size + 1 - at)
     found = []
-    for n, mine in windows.items():
-        mine.sort()
-        merged = [mine[0]]
-        for a, b in mine[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            found += [(notices[n][1], m.start(), m.end(), sum(m.fuzzy_counts)) for m in patterns[n].finditer(low, a, b)]
+    for n, begins in windows.items():
+        text, label, errors = notices[n]
+        near = set()
+        for begin in begins:
+            # A notice is longer than four times its errors, so a window holds no two spans apart: its best overlaps all of its others.
+            m = patterns[n].search(low, max(0, begin - errors), min(len(low), begin + len(text) + errors))
+            if m and (any(m.fuzzy_counts) or text not in PHRASES):
+                near.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        taken = SortedSpans()
+        found += [(label, a, b, e) for e, a, b in sorted(near) if taken.add(a, b)]
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
+class SortedSpans:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self) -> None:
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether the span overlaps none, and so is in."""
+        i = bisect_right(self.begins, a)
+        if i and self.ends[i - 1] > a or i < len(self.begins) and self.begins[i] < b:
+            return False
+        self.begins.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 @cache
 def _base():
     out = []
