@@ -1,11 +1,17 @@
 """Personal data by boosted candidates, in DataFrame operations only.
 
-High-recall generators propose spans that may overlap: the base formats (email, ip, card, phone) and looser shapes of them. A base
-span that passes its check always stays. The other candidates are scored by boosted trees over format and context features;
-trees are fitted on a bounded sample of candidates, whose weak label is whether a checked base span is part of them, and compiled
-into column expressions. Since no base span is part of an address without "@", the sample's checked emails also stand in it rewritten
-to that form; other candidates of the form are negatives, but for those that look like an address, which have no label. Isotonic calibration on the half of the sample that no tree saw gives each looser shape the threshold from
-which nine in ten candidates are real; without such a threshold the shape adds nothing. Added spans never overlap another.
+High-recall generators propose spans that may overlap: the base formats (email, ip, card, phone), looser shapes of them, and long runs
+of letters and digits that may be secrets. A base span that passes its check always stays. The other candidates are scored by boosted
+trees over format and context features; trees are fitted on a bounded sample of candidates and compiled into column expressions.
+
+Weak labels come from evidence that no feature shows. A number is real if a checked base span is part of it. No base span is part of an
+address without "@", so the sample's checked emails also stand in it rewritten to that form; other candidates of the form are negatives, but for
+those that look like an address, which have no label. A run is a secret where a word such as "token" and "=" or ":" stand before it,
+which the features don't read; other runs that change between letters and digits as often have no label, the rest are negatives. Since
+secrets are rare, the sample also holds digests of its base spans in their place, and names made of its words and a number.
+
+Isotonic calibration on the half of the sample that no tree saw gives each kind the threshold from which nine in ten candidates
+are real; without such a threshold the kind adds nothing. Added spans never overlap another.
 
 Null texts are empty and have no spans. Positions are code points, ends exclusive. Repeated rows get equal results; only the text is
 read, whole. Matching takes time in proportion to the text: no pattern retries inside a run of its own characters.
@@ -34,14 +40,18 @@ BASE = {
 LOOSE = {
     "email_like": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "number_like": r"(?<![0-9.])[(0-9][0-9](?:[\x20().-]{0,2}[0-9]){7,30}+(?![0-9.])",
+    "secret": r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_-]{20,}+={0,2}+",
 }
-_NEED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "email_like": r"[(\[]at[)\]]", "number_like": r"[0-9][\x20().-]{0,2}[0-9]"}
+_NEED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "email_like": r"[(\[]at[)\]]", "number_like": r"[0-9][\x20().-]{0,2}[0-9]", "secret": r"[A-Za-z0-9+/_-]{20}"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # What stands for "@" in rewritten emails, and the last label of a host name.
 _FORMS = (" [at] ", "[at]", " (at) ", "(at)")
 _ENDING = r"\.[A-Za-z]{2,}$"
-FEATURES = ("size", "digits", "share", "gaps", "luhn", "plus", "glued_before", "glued_after", "cue", "shape", "ending")
+FEATURES = ("size", "digits", "share", "gaps", "luhn", "plus", "glued_before", "glued_after", "cue", "shape", "ending", "turns", "letters")
 _CUE = r"(?i)(?:phone|tel|call|fax|card|mail|contact|ip|ssn|account|iban)[^0-9A-Za-z]{0,4}$"
+# What stands before a secret.
+_SECRET_CUE = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|auth|credential|private[_-]?key)[A-Za-z0-9_-]{0,10}[\"']?\x20?[:=]\x20?[\"']?$"
+_TURN = r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
 
 
 def digits_of(value: Column) -> Column:
@@ -106,6 +116,11 @@ def loose_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("loose", F.sort_array(F.concat(*[_tagged(text, k, i, p) for i, (k, p) in enumerate(LOOSE.items(), len(BASE))])))
 
 
+def turns(value: Column) -> Column:
+    """How often a letter stands beside a digit."""
+    return (F.length(F.regexp_replace(value, _TURN, "|")) - F.length(value)).cast("double")
+
+
 def features(span: Column, text: Column) -> list[Column]:
     """FEATURES of a candidate, as doubles."""
     value, size = span["value"], F.length(span["value"])
@@ -117,7 +132,7 @@ def features(span: Column, text: Column) -> list[Column]:
     return [
         size.cast("double"), F.length(digits).cast("double"), F.length(digits) / size, gaps.cast("double"), flag((F.length(digits) > 1) & luhn(digits)), flag(value.startswith("+")),
         flag(before.rlike(r"[A-Za-z0-9._=/\"'+-]$")), flag(after.rlike(r"^[A-Za-z0-9_/=\"'-]")), flag(before.rlike(_CUE)), span["nth"].cast("double"),
-        flag(value.rlike(_ENDING)),
+        flag(value.rlike(_ENDING)), turns(value) / size, F.length(F.regexp_replace(value, "[^A-Za-z]", "")) / size,
     ]
 
 
@@ -137,14 +152,38 @@ class SpanModel:
         return 1 / (1 + F.exp(-total))
 
 
+def _candidate(kind: str, start: Column, stop: Column, value: Column) -> Column:
+    nth = len(BASE) + list(LOOSE).index(kind)
+    return F.struct(start.cast("int").alias("start"), F.lit(nth).alias("nth"), stop.cast("int").alias("stop"), F.lit(kind).alias("kind"), value.alias("value"))
+
+
 def rewritten(base: Column) -> Column:
     """The emails of checked spans as candidates of email_like: in their place, with a form of "[at]" chosen by hash."""
     form = lambda b: F.element_at(F.array(*map(F.lit, _FORMS)), (F.pmod(F.xxhash64(b["value"]), F.lit(len(_FORMS))) + 1).cast("int"))
-    nth = len(BASE) + list(LOOSE).index("email_like")
-    like = lambda b: F.struct(b["start"].alias("start"), F.lit(nth).alias("nth"), b["stop"].alias("stop"), F.lit("email_like").alias("kind"), F.replace(b["value"], F.lit("@"), form(b)).alias("value"))
+    like = lambda b: _candidate("email_like", b["start"], b["stop"], F.replace(b["value"], F.lit("@"), form(b)))
     return F.transform(F.filter(base, lambda b: b["kind"] == "email"), like)
 
 
+def digests(base: Column) -> Column:
+    """Checked spans as candidates of secret: in their place a digest, in hexadecimal or base 64, of 20 to 63 characters."""
+
+    def one(b: Column) -> Column:
+        digest, chosen = F.sha2(b["value"], 256), F.pmod(F.xxhash64(b["value"]), F.lit(88)).cast("int")
+        text = F.when(chosen < 44, digest).otherwise(F.concat(F.base64(F.unhex(digest)), digest))
+        return _candidate("secret", b["start"], b["stop"], F.substring(text, F.lit(1), 20 + chosen % 44))
+
+    return F.transform(base, one)
+
+
+def names(text: Column) -> Column:
+    """One candidate of secret that is none: four words of the text and a number, joined by hyphens or underscores."""
+    words = F.slice(F.regexp_extract_all(F.substring(text, 1, 400), F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 4)
+    chosen = F.pmod(F.xxhash64(text), F.lit(1000))
+    joined = F.concat(F.array_join(words, "-"), F.lit("-"), chosen.cast("string"))
+    joined = F.when(chosen % 2 == 0, F.translate(joined, "-", "_")).otherwise(joined)
+    return F.when(F.length(joined) >= 20, F.array(_candidate("secret", F.lit(0), F.length(joined), joined)))
+
+
 def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
 
@@ -156,14 +195,22 @@ def fit(docs: DataFrame, text: str = "text", documents: int = 6000, candidates:
     spans = loose_spans(base_spans(sample, "text"), "text")
     # Base matches that fail their check are candidates too; they are the hard negatives.
     raw = [_tagged("text", k, i, p) for i, (k, p) in enumerate(BASE.items())]
-    each = spans.select("text", "base", F.explode(F.concat("loose", *raw, rewritten(F.col("base")))).alias("c"))
-    real = F.exists("base", lambda b: _overlaps(b, F.col("c")))
+    known = lambda spans, y: F.transform(spans, lambda c: F.struct(c.alias("c"), F.lit(y).cast("int").alias("known")))
+    planted = [known(rewritten(F.col("base")), 1), known(digests(F.col("base")), 1), known(F.coalesce(names(F.col("text")), F.array().cast(spans.schema["loose"].dataType)), 0)]
+    each = spans.select("text", "base", F.inline(F.concat(known(F.concat("loose", *raw), None), *planted)))
+    part = F.exists("base", lambda b: _overlaps(b, F.col("c")))
+    before = F.substring(F.col("text"), F.greatest(F.col("c.start") - 39, F.lit(1)), F.least(F.col("c.start"), F.lit(40)))
+    secret = F.col("c.kind") == "secret"
+    real = F.coalesce(F.col("known"), F.when(secret, before.rlike(_SECRET_CUE)).otherwise(part).cast("int"))
     values = [f.alias(x) for f, x in zip(features(F.col("c"), F.col("text")), FEATURES, strict=True)]
     # In order of a hash, so that the limit takes a uniform sample.
     order = F.xxhash64("text", "c.start", "c.kind", "c.value")
-    known = each.select(real.cast("int").alias("y"), F.col("c.kind").alias("kind"), F.pmod(F.xxhash64("text", "c.start"), F.lit(2)).alias("half"), order.alias("order"), *values)
-    unlabelled = (F.col("kind") == "email_like") & (F.col("y") == 0) & (F.col("ending") == 1) & (F.col("glued_before") + F.col("glued_after") == 0)
-    rows = known.where(~unlabelled).orderBy("order").limit(candidates).collect()
+    # A checked number is no secret's evidence either way.
+    unlike = (F.col("c.kind") == "secret") & F.col("known").isNull() & part
+    labelled = each.where(~unlike).select(real.alias("y"), F.col("c.kind").alias("kind"), F.pmod(F.xxhash64("text", "c.start"), F.lit(2)).alias("half"), order.alias("order"), *values)
+    address = (F.col("kind") == "email_like") & (F.col("y") == 0) & (F.col("ending") == 1) & (F.col("glued_before") + F.col("glued_after") == 0)
+    random = (F.col("kind") == "secret") & (F.col("y") == 0) & (F.col("turns") >= 0.2)
+    rows = labelled.where(~address & ~random).orderBy("order").limit(candidates).collect()
     y = np.array([r["y"] for r in rows], float)
     if len(y) < 50 or y.min() == y.max():
         return SpanModel()
