@@ -251,23 +251,54 @@ def test_licenses(spark, odd):
             assert label in {x[0] for x in licenses.fuzzy("some words " + "".join(wrong) + " more")}
 
 
-def test_pipeline(spark, odd):
+CLASH = ("key", "base", "spans", "loose", "stat_words", "score", "__score", "row", "own_key", "bad_id", "component_id", "n", "k")
+
+
+def test_pipeline(spark):
+    """Each stage against a plain rule, on the table with odd rows and columns whose names clash with those of the stages."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd_rows = spark.createDataFrame([(d if d is None else d + 10**6, t) for d, t in ODD], "doc_id long, text string")
+    docs = docs.unionByName(odd_rows, allowMissingColumns=True).withColumns({c: F.lit(f"own {c}") for c in CLASH})
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     now = docs
     for name, function in corpus_pipeline.STAGES:
         before, now = now, corpus_pipeline.stage(function(spark, now, DATA), f"test-{name}")
+        if name == "quality":
+            now = corpus_pipeline.stage(now.unionByName(docs.where("doc_id > 1000000 OR doc_id IS NULL")).distinct(), "test-odd")
         if name != "pieces":
             assert now.columns == docs.columns
-        ids = {r["doc_id"] for r in before.select("doc_id").collect()}
-        left = {r["doc_id"] for r in now.select("doc_id").collect()}
+            assert now.where(" OR ".join(f"`{c}` <> 'own {c}'" for c in CLASH)).count() == 0
+        rows = [tuple(r) for r in before.select("doc_id", "text").collect()]
+        left = now.select("doc_id", *(["text"] if name != "pieces" else ["ids"])).collect()
         if name == "quality":
-            assert all(labels.get(i) != 1 for i in ids - left)
+            assert all(labels.get(i) != 1 for i in {d for d, _ in rows} - {r["doc_id"] for r in left})
         if name == "near_duplicates":
-            rows = [tuple(r) for r in before.select("doc_id", "text").collect()]
-            assert left == {d for d, _, c in brute_components(rows, jaccard.Likeness()) if d == c}
-        if name in ("personal_data", "pieces"):
-            assert ids == left
+            keep = {d for d, _, c in brute_components(rows, jaccard.Likeness()) if d == c or d is None}
+            assert sorted(str(r["doc_id"]) for r in left) == sorted(str(d) for d, _ in rows if d in keep)
+        if name == "decontamination":
+            assert sorted(str(r["doc_id"]) for r in left) == sorted(str(d) for d, t in rows if not brute_contaminated(t, items))
+        if name == "personal_data":
+            assert sorted(str(r["doc_id"]) for r in left) == sorted(str(d) for d, _ in rows)
+            assert not any(re.search(r'token = "[0-9a-f]{40}"|@[a-z0-9-]+[.]', r["text"] or "") for r in left)
+        if name == "pieces":
+            back = pieces.decode(now, keep=("doc_id",))
+            assert sorted(str((r["doc_id"], r["text"])) for r in back.collect()) == sorted(map(str, rows))
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, docs.limit(0), DATA).count() == 0
+
+
+def brute_contaminated(text, items):
+    own = words(text)
+    hit = set()
+    for item in items:
+        w = words(item)
+        for i in range(len(w) - 12) if len(w) >= 13 else range(bool(w)):
+            window = w[i : i + 13]
+            for j in range(len(own) - len(window) + 1):
+                if own[j] == window[0] and own[j : j + len(window)] == window:
+                    hit |= set(range(j, j + len(window)))
+    return bool(hit) and 20 * len(hit) >= len(own)
 
 
 def test_personal_data_beyond_the_base_formats(spark):
@@ -321,6 +352,79 @@ def test_topk_of_one_id_on_two_vectors(spark):
     assert got == want
 
 
+def test_jaccard_crowded_groups(spark, monkeypatch):
+    """A large family of copies at all distances, families inside a passage that many share, and few pairs allowed: hubs of hubs."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "LANE", 16)
+    rng = random.Random(8)
+    rows = []
+    for family in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((60, 120, 121)))]
+        for _ in range(90):
+            copy = list(base)
+            for _ in range(rng.randrange(9)):
+                copy[rng.randrange(len(copy))] = rng.choice((f"x{rng.randrange(10**6)}", f"z{rng.randrange(6)}"))
+            rows.append((len(rows), " ".join(copy)))
+    passage = " ".join(f"c{j}" for j in range(80))
+    for i in range(120):
+        own = [f"y{rng.randrange(10**6)}" for _ in range(6)]
+        for _ in range(3):
+            rows.append((len(rows), " ".join(own[: rng.randrange(4, 7)]) + " " + passage + (f" v{rng.randrange(3)}" if i % 2 else "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for like, rounds in ((jaccard.Likeness(3, 90, 100), 3), (jaccard.Likeness(5, 80, 100), 1)):
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        got = sorted(map(str, (tuple(r) for r in jaccard.linked(df, like).collect())))
+        assert got == sorted(map(str, brute_components(rows, like)))
+
+
+def test_topk_cutoff_prunes():
+    rng = np.random.default_rng(9)
+    q, x = rng.integers(-1000, 1000, (20, 16)), rng.integers(-1000, 1000, (5000, 16))
+    local = np.stack([topk._product(q[:, p], x[:, p]) for p in topk._parts(16)])
+    local -= local.min(2, keepdims=True)
+    total = local.sum(0)
+    floor = np.sort(total, 1)[:, -10]
+    still = topk.open_entries(local, floor)
+    assert (still | (total < floor[:, None])).all() and still.mean() < 0.5
+
+
+def sellers(low, notice):
+    """For each end in the text, the least edits of the notice against a substring that ends there."""
+    row = list(range(len(notice) + 1))
+    out = []
+    for c in low:
+        new = [0]
+        for i, n in enumerate(notice, 1):
+            new.append(min(row[i - 1] + (c != n), row[i] + 1, new[-1] + 1))
+        row = new
+        out.append(row[-1])
+    return out
+
+
+def test_licenses_lose_no_occurrence():
+    """Every substring within the errors, by a plain scan, overlaps a reported span of its notice, and spans have their exact edits."""
+    assert [x[1:3] for x in licenses.fuzzy("gnu genral public license, gnu general public license", (("gnu general public license", "g", 2),))] == [(0, 25), (27, 53)]
+    rng = random.Random(10)
+    for text, label, errors in licenses.NOTICES:
+        for _ in range(3):
+            parts = []
+            for _ in range(4):
+                wrong = list(text)
+                for _ in range(rng.randrange(errors + 1)):
+                    at = rng.randrange(len(wrong))
+                    wrong[at : at + 1] = rng.choice([[], ["~"], [wrong[at], "~"]])
+                parts.append("".join(wrong) + rng.choice(("", " ", ", and ")))
+            low = "".join(parts)
+            one = ((text, label, errors),)
+            spans = licenses.fuzzy(low, one)
+            assert all(a[2] <= b[1] for a, b in zip(spans[:-1], spans[1:], strict=True))
+            for _, a, b, e in spans:
+                assert e <= errors and sellers(low[a:b], text)[-1] <= e
+            for end, least in enumerate(sellers(low, text), 1):
+                if least <= errors and text not in licenses.PHRASES:
+                    assert any(a < end and b > end - len(text) + errors for _, a, b, _ in spans)
+
+
 def test_topk_steps_are_bounded():
     import pyarrow as pa
 
