@@ -85,6 +85,8 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
         last = min(last, n)
         yield first, last, body[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+    # Workers are used again; what Arrow keeps for later would add up over the stages of a pipeline.
+    pa.default_memory_pool().release_unused()
 
 
 class Powers:

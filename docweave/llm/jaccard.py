@@ -34,7 +34,7 @@ from .common import LOWER, SPACED, mix, numbers, range_hash, running, stage, ste
 COUNTERS, CELLS = 1 << 21, 1 << 15
 #: Bytes of ids up to which a list of documents is broadcast.
 BROADCAST_BYTES = 16 << 20
-#: Pairs for each member from which a group is crowded (twice as many in each round); rounds of hubs before groups are expanded all the same.
+#: Pairs for each member from which a group is crowded (four times as many in each round); rounds of hubs before groups are expanded all the same.
 FEW, ROUNDS = 8, 6
 #: Members of a hub that one task compares with it.
 LANE = 256
@@ -179,14 +179,18 @@ def _counted(postings: DataFrame, like: Likeness, one_each: bool) -> DataFrame:
     frequent label are loose. With ``one_each`` every member has a label of its own.
     """
     marked = postings.withColumn("short", F.col("pos") * (like.den + like.num) <= F.col("n") * (like.den - like.num))
-    numbers = [F.count(F.lit(1)).alias("members"), F.count_if("short").alias("shorts")]
+    first, largest = F.min(F.when(F.col("short"), F.col("pos"))), F.max(F.when(F.col("short"), F.col("n")))
+    numbers = [F.count(F.lit(1)).alias("members"), F.count_if("short").alias("shorts"), first.alias("first"), largest.alias("largest")]
     if one_each:
-        counts = marked.groupBy("g").agg(*numbers).select("g", "shorts", (F.col("members") - 1).alias("looses"), F.lit(None).cast("long").alias("major"))
+        counts = marked.groupBy("g").agg(*numbers).select("g", "shorts", "first", "largest", (F.col("members") - 1).alias("looses"), F.lit(None).cast("long").alias("major"))
     else:
         top = F.max(F.struct("members", "label"))
-        counts = marked.groupBy("g", "label").agg(*numbers).groupBy("g").agg(F.sum("members").alias("members"), F.sum("shorts").alias("shorts"), top.alias("top"))
-        counts = counts.select("g", "shorts", (F.col("members") - F.col("top.members")).alias("looses"), F.col("top.label").alias("major"))
-    return stage(marked.join(counts.where((F.col("shorts") > 0) & (F.col("looses") > 0)), "g"), "members")
+        counts = marked.groupBy("g", "label").agg(*numbers).groupBy("g").agg(F.sum("members").alias("members"), F.sum("shorts").alias("shorts"), F.min("first").alias("first"), F.max("largest").alias("largest"), top.alias("top"))
+        counts = counts.select("g", "shorts", "first", "largest", (F.col("members") - F.col("top.members")).alias("looses"), F.col("top.label").alias("major"))
+    # One that is not short needs a short partner: its place must fit the least of theirs and their largest size.
+    fits = (F.col("pos") + F.col("first")) * (like.den + like.num) <= (F.col("n") + F.col("largest")) * (like.den - like.num)
+    open_ = counts.where((F.col("shorts") > 0) & (F.col("looses") > 0))
+    return stage(marked.join(open_, "g").where(F.col("short") | fits).drop("first", "largest"), "members")
 
 
 def _banded(crowded: DataFrame, like: Likeness) -> DataFrame:
@@ -388,10 +392,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large, "large")
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = stage(small, "stars")
         new = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -406,7 +410,7 @@ def _parts(classes: DataFrame, docs: DataFrame, like: Likeness, levels: np.ndarr
     parts = sides = None
     for turn in range(ROUNDS + 1):
         members = _counted(postings, like, turn == 0)
-        crowded = F.least("shorts", "looses") > (FEW << turn) if turn < ROUNDS else F.lit(False)
+        crowded = F.least("shorts", "looses") > (FEW << 2 * turn) if turn < ROUNDS else F.lit(False)
         bands = _counted(_banded(members.where(crowded), like), like, turn == 0)
         pairs = stage(_met(members.where(~crowded), like).union(_met(bands.where(~crowded), like)).distinct(), "pairs")
         spokes = stage(_spokes(bands.where(crowded)), "spokes")

@@ -13,8 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import SPACED, hash_fraction, held_out, range_hash, running, steps, word_ranges
 
@@ -79,19 +81,24 @@ def statistics_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` (all its columns, names in STATISTICS aside) with a column ``stat_<name>`` for each statistic."""
+    """``df`` (all its columns, names in STATISTICS aside) with a column ``stat_<name>`` for each statistic.
+
+    ``text`` is a column, or the field of one that is a struct, as in ``row.text``.
+    """
     stats = [f"stat_{s}" for s in STATISTICS]
-    kept = df.select(*[c for c in df.columns if c not in stats], F.col(text).alias("__text"))
-    names = kept.columns[:-1]
+    names = [c for c in df.columns if c not in stats]
+    kept = df.select(*names)
+    column, *fields = text.split(".")
 
     def run(batches):
         for batch in batches:
-            rows = [statistics_of(data, at) for _, _, data, at in steps(batch.column("__text"))]
+            texts = batch.column(column)
+            texts = pc.struct_field(texts, fields) if fields else texts
+            rows = [statistics_of(data, at) for _, _, data, at in steps(texts)]
             table = np.concatenate(rows) if rows else np.zeros((0, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(table[:, i]) for i in range(len(STATISTICS)))], [*names, *stats])
 
-    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != "__text")
-    return kept.mapInArrow(run, types + ", ".join(f"{s} double" for s in stats))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *(StructField(s, DoubleType()) for s in stats)]))
 
 
 Condition = tuple[int, bool, float]  # statistic, whether it is at most the value, the value
