@@ -27,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the rule ensemble accepts (score 0.7 or more)."""
     learned = ~held_out(F.col("doc_id"), 4, 2)
     model = quality.fit(docs.select("doc_id", "text").where(learned), spark.read.parquet(f"{sf_dir}/labels.parquet").where(learned))
-    scored = quality.with_statistics(_packed(docs, F.col("text")))
+    scored = quality.with_statistics(_packed(docs), "row.text")
     return scored.where(model.column() >= 0.7).select("row.*")
 
 
