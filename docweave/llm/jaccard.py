@@ -35,7 +35,7 @@ COUNTERS, CELLS = 1 << 21, 1 << 15
 #: Bytes of ids up to which a list of documents is broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Pairs for each member from which a group is crowded (four times as many in each round); rounds of hubs before groups are expanded all the same.
-FEW, ROUNDS = 8, 6
+FEW, ROUNDS = 16, 6
 #: Members of a hub that one task compares with it.
 LANE = 256
 
@@ -305,7 +305,9 @@ def _postings_of(differences: DataFrame, labels: DataFrame, like: Likeness) -> D
         label_of = dict(zip(others.column("k").to_pylist(), others.column("label").to_pylist(), strict=True))
         salt = mix(np.array([key[0].as_py()]))
         n = np.asarray(members.column("n"), np.int64)
-        most = (n + n * like.den // like.num) * (like.den - like.num) // (like.den + like.num)
+        # No partner is larger than the hub.
+        partner = np.minimum(n * like.den // like.num, np.asarray(members.column("hub_n"), np.int64))
+        most = (n + partner) * (like.den - like.num) // (like.den + like.num)
         rows, groups, places, lefts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, d in enumerate(numbers(members.column("d").combine_chunks(), np.int32, np.uint32)):
             seen = table[d & np.uint32(len(table) - 1)]
@@ -320,7 +322,7 @@ def _postings_of(differences: DataFrame, labels: DataFrame, like: Likeness) -> D
         made = {"g": np.concatenate(groups).view(np.int64), "k": k.take(at), "n": members.column("n").take(at), "pos": np.concatenate(places).astype(np.int32)}
         return pa.table(made | {"left": np.concatenate(lefts).astype(np.int32), "label": label.take(at)})
 
-    both = open_.select("hub", "lane", "k", "n", "d").groupBy("hub", "lane").cogroup(beside.groupBy("hub", "lane"))
+    both = open_.select("hub", "lane", "k", "n", "hub_n", "d").groupBy("hub", "lane").cogroup(beside.groupBy("hub", "lane"))
     return stage(both.applyInArrow(run, "g long, k long, n int, pos int, left int, label long"), "difference-postings")
 
 
