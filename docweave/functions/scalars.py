@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space of the document platform's regular expressions, and its spelled-out units and labels.
@@ -69,15 +69,40 @@ def normalize_date(c: Column, mode: str = "reference") -> Column:
     return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), F.lit(""))
 
 
+#: The fields of a fingerprint, each with the document's keys that it is taken from, in order.
+FINGERPRINT_KEYS = {
+    "inv": ("invoice_number", "invoice", "anchor_key"),
+    "wgt": ("weight", "tonnage_tons", "weight_kg"),
+    "from": ("bill_from_company_name",),
+    "to": ("bill_to_company_name",),
+    "date": ("invoice_date", "document_date"),
+    "amt": ("total_invoice_amount", "transaction_amount", "amount"),
+}
+
+
 def business_fingerprint(doc: Column, date_mode: str = "reference") -> Column:
     """Six normalised fields of an extracted document (a variant), as one key."""
-    def text(*keys: str) -> Column:
-        return normalize_text(json_truthy(doc, *keys))
+    return fingerprint_of({name: json_truthy(doc, *keys) for name, keys in FINGERPRINT_KEYS.items()}, date_mode)
 
-    return F.concat(
-        F.lit("inv:"), text("invoice_number", "invoice", "anchor_key"), F.lit("|wgt:"), normalize_number(json_truthy(doc, "weight", "tonnage_tons", "weight_kg")), F.lit("|from:"), text("bill_from_company_name"),
-        F.lit("|to:"), text("bill_to_company_name"), F.lit("|date:"), normalize_date(json_truthy(doc, "invoice_date"), date_mode), F.lit("|amt:"), normalize_number(json_truthy(doc, "total_invoice_amount", "transaction_amount", "amount")),
-    )
+
+def fingerprint_of(fields: dict[str, Column], date_mode: str = "reference") -> Column:
+    """The fingerprint of the six fields' texts."""
+    norm = {"wgt": normalize_number, "amt": normalize_number, "date": lambda c: normalize_date(c, date_mode)}
+    parts = [norm.get(name, normalize_text)(c) for name, c in fields.items()]
+    return F.concat(*[x for name, part in zip(fields, parts, strict=True) for x in (F.lit(f"{'' if name == 'inv' else '|'}{name}:"), part)])
+
+
+def with_fingerprint(df: DataFrame, json: str = "raw_json", name: str = "business_fingerprint", date_mode: str = "reference") -> DataFrame:
+    """``df`` with the fingerprint of a column of JSON texts, each parsed once.
+
+    An explode of one element stands between the steps: without it the optimizer copies the parse into every use of a field.
+    A text that is no JSON has the empty fingerprint.
+    """
+    once = lambda c: F.explode(F.array(c))
+    parsed = df.withColumn("__doc", once(F.try_parse_json(json)))
+    fields = F.struct(*[json_truthy(F.col("__doc"), *keys).alias(n) for n, keys in FINGERPRINT_KEYS.items()])
+    read = parsed.withColumn("__fields", once(fields)).drop("__doc")
+    return read.withColumn(name, fingerprint_of({n: F.col("__fields").getField(n) for n in FINGERPRINT_KEYS}, date_mode)).drop("__fields")
 
 
 def fingerprint_fields(fp: Column) -> Column:
@@ -163,9 +188,10 @@ def is_domestic_recycler(company: Column, words: tuple[str, ...] = DOMESTIC) ->
 
 
 def plastic_label(c: Column) -> Column:
-    out = c
+    """The label of a plastic type in any case; a type without one stays as it is."""
+    out, upper = c, F.upper(c)
     for name, label in PLASTIC_LABELS.items():
-        out = F.when(c == name, label).otherwise(out)
+        out = F.when(upper == name, label).otherwise(out)
     return out
 
 

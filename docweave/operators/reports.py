@@ -54,7 +54,7 @@ def validate_submission(df: DataFrame) -> DataFrame:
     empty = lambda c: F.coalesce(F.btrim(F.col(c)), F.lit("")) == ""
     kg = weight_kg(F.col("weight_kg"), F.col("tonnage_tons").cast("double"))
     errors = F.array_compact(F.array(F.when(empty("invoice_number"), "invoice_number"), F.when(empty("recycler_company"), "recycler_company"), F.when(empty("plastic_type"), "plastic_type"), F.when(F.coalesce(kg, F.lit(0.0)) <= 0, "weight")))
-    warnings = F.array_compact(F.array(F.when(empty("country"), "location"), F.when(empty("network_operator_company"), "operator"), F.when(kg > 10000, "heavy")))
+    warnings = F.array_compact(F.array(F.when(empty("invoice_url"), "invoice_url"), F.when(empty("city") & empty("country") & empty("origin"), "location"), F.when(empty("network_operator_company"), "operator"), F.when(kg > 10000, "heavy")))
     return df.withColumn("errors", errors).withColumn("warnings", warnings).withColumn("is_valid", F.size("errors") == 0)
 
 
@@ -66,9 +66,13 @@ def prepare_submissions(recycling: DataFrame) -> DataFrame:
 
 
 def export_verified(recycling: DataFrame) -> DataFrame:
-    """Verified rows in the export's columns, '' and 0 for what is missing."""
-    rows = recycling.where("human_verified").select("invoice_number", "recycler_company", "network_operator_company", "plastic_type", F.col("tonnage_tons").cast("double").alias("tonnage_tons"), "weight_kg", "country", "status")
-    return rows.fillna("").fillna(0.0)
+    """Verified rows in the export's 13 columns, newest verified first, '' and 0 for what is missing."""
+    numbers = [F.col(c).cast("double").alias(c) for c in ("tonnage_tons", "weight_kg")]
+    verified = F.date_format("verified_at", "yyyy-MM-dd HH:mm:ss").alias("verified_at")
+    rows = recycling.where("human_verified").orderBy(F.col("verified_at").desc_nulls_last(), "invoice_number")
+    texts = ("invoice_number", "recycler_company", "network_operator_company", "plastic_type")
+    urls = ("invoice_url", "eft_url", "ewaybill_url")
+    return rows.select(*texts, *numbers, "country", "city", "currency", verified, *urls).fillna("").fillna(0.0)
 
 
 def dashboard_throughput(groups: DataFrame) -> DataFrame:

@@ -90,14 +90,14 @@ def _sql_number(*keys: str) -> str:
 
 _FP = (
     f"'inv:' || {_sql_text('invoice_number', 'invoice', 'anchor_key')} || '|wgt:' || {_sql_number('weight', 'tonnage_tons', 'weight_kg')} || '|from:' || {_sql_text('bill_from_company_name')} || '|to:' || {_sql_text('bill_to_company_name')} || '|date:' || "
-    + "coalesce(strftime(TRY_CAST(regexp_replace(" + _truthy("invoice_date") + r", '^(\d{2})-(\d{2})-(\d{4})$', '\3-\1-\2') AS DATE), '%Y-%m-%d'), '')"
+    + "coalesce(strftime(TRY_CAST(regexp_replace(" + _truthy("invoice_date", "document_date") + r", '^(\d{2})-(\d{2})-(\d{4})$', '\3-\1-\2') AS DATE), '%Y-%m-%d'), '')"
     + f" || '|amt:' || {_sql_number('total_invoice_amount', 'transaction_amount', 'amount')}"
 )
 
 
 def fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "parsed_documents")
-    return p.withColumn("business_fingerprint", S.business_fingerprint(F.try_parse_json("raw_json")))
+    return S.with_fingerprint(p)
 
 
 _FPV = f"WITH fp AS (SELECT id, user_id, document_type, created_at, {_FP} AS business_fingerprint FROM parsed_documents)"
@@ -343,8 +343,8 @@ def groups_with_submission(spark, sf_dir):
 
 @query("prepare_submissions", """WITH k AS (SELECT *, coalesce(weight_kg, CASE WHEN tonnage_tons <> 0 THEN tonnage_tons * 1000 END) AS kg FROM recycling_docs WHERE status IN ('new', 'updated')), e AS (SELECT *,
  concat_ws(',', CASE WHEN trim(invoice_number) = '' THEN 'invoice_number' END, CASE WHEN coalesce(trim(recycler_company), '') = '' THEN 'recycler_company' END, CASE WHEN coalesce(trim(plastic_type), '') = '' THEN 'plastic_type' END, CASE WHEN coalesce(kg, 0) <= 0 THEN 'weight' END) AS errors FROM k)
-SELECT invoice_number, kg, CASE plastic_type WHEN 'PET' THEN 'PET 1' WHEN 'PP' THEN 'PP 5' WHEN 'PVC' THEN 'PVC 3' WHEN 'LDPE' THEN 'LDPE 4' ELSE plastic_type END AS label, CAST(greatest(1, floor(kg / 1000 + 0.5)) AS BIGINT) AS copies, errors,
- concat_ws(',', CASE WHEN coalesce(trim(country), '') = '' THEN 'location' END, CASE WHEN coalesce(trim(network_operator_company), '') = '' THEN 'operator' END, CASE WHEN kg > 10000 THEN 'heavy' END) AS warnings, errors = '' AS is_valid FROM e""")
+SELECT invoice_number, kg, CASE upper(plastic_type) WHEN 'PET' THEN 'PET 1' WHEN 'PP' THEN 'PP 5' WHEN 'PVC' THEN 'PVC 3' WHEN 'LDPE' THEN 'LDPE 4' ELSE plastic_type END AS label, CAST(greatest(1, floor(kg / 1000 + 0.5)) AS BIGINT) AS copies, errors,
+ concat_ws(',', CASE WHEN coalesce(trim(invoice_url), '') = '' THEN 'invoice_url' END, CASE WHEN coalesce(trim(country), '') || coalesce(trim(city), '') || coalesce(trim(origin), '') = '' THEN 'location' END, CASE WHEN coalesce(trim(network_operator_company), '') = '' THEN 'operator' END, CASE WHEN kg > 10000 THEN 'heavy' END) AS warnings, errors = '' AS is_valid FROM e""")
 def prepare_submissions(spark, sf_dir):
     return reports.prepare_submissions(view(spark, sf_dir, "recycling_docs"))
 
@@ -354,7 +354,7 @@ def submission_stats(spark, sf_dir):
     return reports.submission_stats(view(spark, sf_dir, "recycling_docs"))
 
 
-@query("export_verified", "SELECT invoice_number, coalesce(recycler_company, '') AS recycler_company, coalesce(network_operator_company, '') AS network_operator_company, coalesce(plastic_type, '') AS plastic_type, coalesce(tonnage_tons, 0) AS tonnage_tons, coalesce(weight_kg, 0) AS weight_kg, coalesce(country, '') AS country, coalesce(status, '') AS status FROM recycling_docs WHERE human_verified")
+@query("export_verified", "SELECT invoice_number, coalesce(recycler_company, '') AS recycler_company, coalesce(network_operator_company, '') AS network_operator_company, coalesce(plastic_type, '') AS plastic_type, coalesce(tonnage_tons, 0) AS tonnage_tons, coalesce(weight_kg, 0) AS weight_kg, coalesce(country, '') AS country, coalesce(city, '') AS city, coalesce(currency, '') AS currency, coalesce(strftime(verified_at, '%Y-%m-%d %H:%M:%S'), '') AS verified_at, coalesce(invoice_url, '') AS invoice_url, coalesce(eft_url, '') AS eft_url, coalesce(ewaybill_url, '') AS ewaybill_url FROM recycling_docs WHERE human_verified")
 def export_verified(spark, sf_dir):
     return reports.export_verified(view(spark, sf_dir, "recycling_docs"))
 
@@ -442,7 +442,7 @@ def promote_groups(spark, sf_dir):
 
 
 @query("upsert_promoted", _PROMOTED + """ SELECT coalesce(d.invoice_number, n.invoice_number) AS invoice_number, coalesce(d.user_id, n.user_id) AS user_id, coalesce(n.recycler_company, d.recycler_company) AS recycler_company,
-  coalesce(n.weight_kg, d.weight_kg) AS weight_kg, coalesce(n.status, d.status) AS status, d.human_verified, n.city, CASE WHEN d.invoice_number IS NULL THEN 'created' WHEN n.invoice_number IS NULL THEN 'kept' ELSE 'updated' END AS change
+  coalesce(n.weight_kg, d.weight_kg) AS weight_kg, coalesce(n.status, d.status) AS status, d.human_verified, coalesce(n.city, d.city) AS city, CASE WHEN d.invoice_number IS NULL THEN 'created' WHEN n.invoice_number IS NULL THEN 'kept' ELSE 'updated' END AS change
 FROM recycling_docs d FULL JOIN (SELECT * FROM promoted WHERE is_promoted) n ON n.invoice_number = d.invoice_number""")
 def upsert_promoted(spark, sf_dir):
     rows = _promoted(spark, sf_dir).where("is_promoted").select("invoice_number", "user_id", "recycler_company", "weight_kg", "status", "city")
@@ -459,7 +459,7 @@ def load_extractions(spark, sf_dir):
     p, cut = view(spark, sf_dir, "parsed_documents"), F.lit("1996-01-01").cast("timestamp")
     kind, raw = F.length("id") % 4, F.col("raw_json")
     text = F.when(kind == 0, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("```\n"), raw, F.lit("\n```\n"))).when(kind == 2, raw).otherwise(F.substring(raw, 1, 20))
-    history = p.where(F.col("created_at") < cut).select(S.business_fingerprint(F.try_parse_json("raw_json")).alias("business_fingerprint"))
+    history = p.where(F.col("created_at") < cut).select("raw_json").transform(S.with_fingerprint).select("business_fingerprint")
     out = extraction.load_extractions(p.where(F.col("created_at") >= cut).select("id", "user_id", "file_url", "created_at", text.alias("response_text")), history)
     failed = F.col("route") == "failed"
     return out.select("id", "document_type", "route", "anchor_key", F.when(~failed, F.col("business_fingerprint")).alias("business_fingerprint"), "page_status")
@@ -495,7 +495,7 @@ def stream_throughput(spark, sf_dir):
 @query("stream_deduplicate", _FPV + """, w AS (SELECT id, document_type, business_fingerprint, row_number() OVER (PARTITION BY business_fingerprint ORDER BY created_at, id) AS nth FROM fp)
 SELECT id, document_type, business_fingerprint FROM w WHERE nth = 1 OR document_type <> 'invoice'""")
 def stream_deduplicate(spark, sf_dir):
-    p = _streamed(spark, sf_dir, "parsed_documents").withColumn("business_fingerprint", S.business_fingerprint(F.try_parse_json("raw_json")))
+    p = S.with_fingerprint(_streamed(spark, sf_dir, "parsed_documents"))
     return jobs.stream_deduplicate(p).select("id", "document_type", "business_fingerprint")
 
 

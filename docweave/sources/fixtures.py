@@ -53,7 +53,7 @@ SELECT 'P' || CAST(k AS STRING) || '-' || CAST(n AS STRING) || '-' || CAST(p AS
        CASE WHEN p % 5 = 0 THEN NULL ELSE inv END AS anchor_key,
        '{"document_type":"' || dt || '","invoice":"' || CASE WHEN p % 7 = 0 THEN REPLACE(inv, '/', '-') ELSE inv END || '"' ||
        CASE dt
-         WHEN 'invoice' THEN ',"invoice_date":"' || dmy || '","bill_to_company_name":"' || co || '","bill_from_company_name":"Operator ' || CAST(k % 7 AS STRING) || '","weight":' ||
+         WHEN 'invoice' THEN CASE WHEN p % 9 = 0 THEN ',"document_date":"' ELSE ',"invoice_date":"' END || dmy || '","bill_to_company_name":"' || co || '","bill_from_company_name":"Operator ' || CAST(k % 7 AS STRING) || '","weight":' ||
               CASE WHEN p % 2 = 0 THEN CAST((k % 50) * 100 AS STRING) ELSE '"' || CAST((k % 50) * 100 AS STRING) || '"' END ||
               ',"weight_unit_of_mesurement":"' || CASE k % 3 WHEN 0 THEN 'KG' WHEN 1 THEN 'kgs' ELSE 'Tons' END || '","plastic_type":"' || CASE k % 5 WHEN 0 THEN 'PET' WHEN 1 THEN 'pp' WHEN 2 THEN 'LDPE' WHEN 3 THEN 'HDPE' ELSE '' END || '"'
          WHEN 'eft_receipt' THEN ',"bank_name":"Bank ' || CAST(k % 3 AS STRING) || '"' || CASE WHEN p % 3 = 0 THEN ',"second_invoice":"' || inv2 || '"' ELSE '' END
@@ -78,12 +78,19 @@ SELECT 'MAT/' || CASE o_orderkey % 3 WHEN 0 THEN 'UP/' WHEN 1 THEN 'MH/' ELSE ''
        'U' || CAST(CAST(FLOOR(o_orderkey / 3.0) AS BIGINT) % 20 AS STRING) AS user_id,
        CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'Supplier ' || CAST(o_orderkey % 100 AS STRING) END AS recycler_company,
        CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'Operator ' || CAST(o_orderkey % 7 AS STRING) END AS network_operator_company,
-       CASE o_orderkey % 6 WHEN 0 THEN 'PET' WHEN 1 THEN 'PP' WHEN 2 THEN 'LDPE' WHEN 3 THEN 'HDPE' WHEN 4 THEN '' ELSE NULL END AS plastic_type,
+       CASE o_orderkey % 6 WHEN 0 THEN 'PET' WHEN 1 THEN 'pp' WHEN 2 THEN 'LDPE' WHEN 3 THEN 'HDPE' WHEN 4 THEN '' ELSE NULL END AS plastic_type,
        CAST(o_orderkey % 300 AS DOUBLE) / 8 AS tonnage_tons,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 300 AS DOUBLE) * 125 END AS weight_kg,
        CASE o_orderkey % 4 WHEN 0 THEN 'IN' WHEN 1 THEN 'BR' WHEN 2 THEN '' ELSE 'US' END AS country,
        CASE o_orderkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'updated' WHEN 2 THEN 'submitted' ELSE 'failed' END AS status,
        o_orderkey % 6 = 0 AS human_verified,
+       CASE WHEN o_orderkey % 8 = 2 THEN 'City ' || CAST(o_orderkey % 9 AS STRING) END AS city,
+       CASE WHEN o_orderkey % 16 = 6 THEN 'BR' END AS origin,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'INR' END AS currency,
+       CASE WHEN o_orderkey % 12 = 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS verified_at,
+       CASE WHEN o_orderkey % 5 = 1 THEN ' ' ELSE 'https://store.example/i/' || CAST(o_orderkey AS STRING) || '.pdf' END AS invoice_url,
+       CASE WHEN o_orderkey % 5 = 2 THEN 'https://store.example/r/' || CAST(o_orderkey AS STRING) || '.pdf' END AS eft_url,
+       CASE WHEN o_orderkey % 5 = 3 THEN 'https://store.example/e/' || CAST(o_orderkey AS STRING) || '.pdf' END AS ewaybill_url,
        CAST(o_orderdate AS TIMESTAMP) AS updated_at
 FROM orders
 WHERE o_orderkey % 10 <> 7

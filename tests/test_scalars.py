@@ -40,10 +40,15 @@ def test_fingerprints(spark):
     assert got[0] == got[1] == "inv:matup2425032|wgt:18050.00|from:acme pvt ltd|to:b c|date:2025-09-07|amt:0"
     assert got[2] == "inv:|wgt:0|from:|to:|date:|amt:0"
     assert "|wgt:5.00|" in got[3] and "|wgt:0.00|" in got[4] and "|date:2025-05-08|" in got[5] and "|date:|" in got[6]
+    df = spark.createDataFrame([(r,) for r in [*rows, "no json", None, '{"document_date":"2025-01-02"}']], "raw_json string")
+    plan = S.with_fingerprint(df)
+    found = [r["business_fingerprint"] for r in plan.collect()]
+    assert found == [*got, got[2], got[2], "inv:|wgt:0|from:|to:|date:2025-01-02|amt:0"]
+    assert plan._jdf.queryExecution().executedPlan().toString().count("parseJson") <= 2
     assert values(spark, S.normalize_date(F.col("a"), "dmy"), ["15-08-2025"]) == ["2025-08-15"]
 
 
 def test_units_labels_and_keywords(spark):
     assert values(spark, S.to_kg(F.col("a"), F.col("b")), [(2.0, " Tons "), (2.0, "KGS"), (2.0, None), (None, "kg")], "a double, b string") == [2000.0, 2.0, 2.0, None]
-    assert values(spark, S.plastic_label(F.col("a")), ["PET", "HDPE", None]) == ["PET 1", "HDPE", None]
+    assert values(spark, S.plastic_label(F.col("a")), ["PET", "pp", "Hdpe", None]) == ["PET 1", "PP 5", "Hdpe", None]
     assert values(spark, S.is_domestic_recycler(F.col("a")), ["Acme PRIVATE LIMITED", "Acme GmbH", None]) == [True, False, False]
