@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from functools import cache
+from heapq import heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -90,15 +91,24 @@ def fuzzy(low: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int]]
     found = []
     for n, begins in windows.items():
         text, label, errors = notices[n]
-        near = set()
+        open_, taken = [], SortedSpans()
+
+        def look(lo: int, hi: int, n=n, least=len(text) - errors, open_=open_) -> None:
+            m = patterns[n].search(low, lo, hi) if hi - lo >= least else None
+            if m:
+                heappush(open_, (sum(m.fuzzy_counts), m.start(), m.end(), lo, hi))
+
         for begin in begins:
-            # A notice is longer than four times its errors, so a window holds no two spans apart: its best overlaps all of its others.
-            m = patterns[n].search(low, max(0, begin - errors), min(len(low), begin + len(text) + errors))
-            if m and (any(m.fuzzy_counts) or text not in PHRASES):
-                near.add((sum(m.fuzzy_counts), m.start(), m.end()))
-        taken = SortedSpans()
-        found += [(label, a, b, e) for e, a, b in sorted(near) if taken.add(a, b)]
-    return sorted(found, key=lambda x: (x[1], x[0], x[2]))
+            look(max(0, begin - errors), min(len(low), begin + len(text) + errors))
+        while open_:
+            e, start, end, lo, hi = heappop(open_)
+            # What a span that stays leaves of a window may hold another.
+            a, b = taken.overlapping(start, end) or taken.add(start, end)
+            if (a, b) == (start, end) and (e or text not in PHRASES):
+                found.append((label, a, b, e))
+            look(lo, a)
+            look(b, hi)
+    return sorted(set(found), key=lambda x: (x[1], x[0], x[2]))
 
 
 class SortedSpans:
@@ -108,14 +118,18 @@ class SortedSpans:
         self.begins: list[int] = []
         self.ends: list[int] = []
 
-    def add(self, a: int, b: int) -> bool:
-        """Whether the span overlaps none, and so is in."""
+    def overlapping(self, a: int, b: int) -> tuple[int, int] | None:
+        """A span that overlaps this one."""
+        i = bisect_right(self.begins, a)
+        if i and self.ends[i - 1] > a:
+            return self.begins[i - 1], self.ends[i - 1]
+        return (self.begins[i], self.ends[i]) if i < len(self.begins) and self.begins[i] < b else None
+
+    def add(self, a: int, b: int) -> tuple[int, int]:
         i = bisect_right(self.begins, a)
-        if i and self.ends[i - 1] > a or i < len(self.begins) and self.begins[i] < b:
-            return False
         self.begins.insert(i, a)
         self.ends.insert(i, b)
-        return True
+        return a, b
 
 
 @cache
