@@ -290,13 +290,15 @@ def test_pipeline(spark):
 
 def brute_contaminated(text, items):
     own = words(text)
-    hit = set()
+    hit, places = set(), collections.defaultdict(list)
+    for j, w in enumerate(own):
+        places[w].append(j)
     for item in items:
         w = words(item)
         for i in range(len(w) - 12) if len(w) >= 13 else range(bool(w)):
             window = w[i : i + 13]
-            for j in range(len(own) - len(window) + 1):
-                if own[j] == window[0] and own[j : j + len(window)] == window:
+            for j in places[window[0]]:
+                if own[j : j + len(window)] == window:
                     hit |= set(range(j, j + len(window)))
     return bool(hit) and 20 * len(hit) >= len(own)
 
