@@ -187,6 +187,25 @@ def is_domestic_recycler(company: Column, words: tuple[str, ...] = DOMESTIC) ->
     return F.coalesce(F.lower(company).rlike(pattern), F.lit(False))
 
 
+def safe_storage_path(user: Column, name: Column, millis: Column, index: Column) -> Column:
+    """The storage path of an upload; its suffix is a digest of the inputs, so a repeated job names it the same."""
+    safe = F.regexp_replace(name, "[^a-zA-Z0-9.-]", "_")
+    digest = F.sha2(F.concat_ws("|", user, name, millis.cast("string"), index.cast("string")), 256)
+    return F.concat(F.lit("temp/"), user, F.lit("/"), F.concat_ws("_", millis.cast("string"), index.cast("string"), F.substring(digest, 1, 6), safe))
+
+
+def document_view(invoice: Column, bill: Column) -> Column:
+    """A reviewer's fields of an invoice and a transport bill (variants, null where absent), each the first that is truthy, else N/A."""
+    first = lambda *options: F.coalesce(*options, F.lit("N/A"))
+    weight = F.concat_ws(" ", json_truthy(invoice, "weight"), F.coalesce(json_truthy(invoice, "weight_unit"), F.lit("kg")))
+    return F.struct(
+        first(json_truthy(invoice, "invoice_number", "invoice")).alias("invoice"), first(json_truthy(invoice, "bill_to_company_name"), json_truthy(bill, "ship_to_company_name")).alias("company"),
+        first(json_truthy(invoice, "bill_from_company_name"), json_truthy(bill, "ship_from_company_name")).alias("operator"), first(json_truthy(invoice, "plastic_type"), json_truthy(bill, "plastic_type")).alias("plastic"),
+        first(F.when(json_truthy(invoice, "weight").isNotNull(), weight)).alias("weight"), first(json_truthy(bill, "from_location", "city"), json_truthy(invoice, "city")).alias("city"),
+        first(json_truthy(bill, "ship_to_country_code", "origin_country", "country"), json_truthy(invoice, "country")).alias("country"),
+    )
+
+
 def plastic_label(c: Column) -> Column:
     """The label of a plastic type in any case; a type without one stays as it is."""
     out, upper = c, F.upper(c)

@@ -27,14 +27,41 @@ def lifecycle_groups(temp: DataFrame, single: DataFrame) -> DataFrame:
 
 
 def unprocessed_documents(single: DataFrame, parsed: DataFrame, temp: DataFrame, check_parsed: bool = True) -> DataFrame:
-    """Unparsed pages and waiting or failed uploads in one shape."""
+    """Unparsed pages and waiting or failed uploads in one shape.
+
+    Without ``check_parsed`` pages count whether parsed or not, and total_pages is 1 everywhere; with it, an upload's is null.
+    """
     pages = unparsed_pages(single, parsed) if check_parsed else single.where(F.col("status").isin("uploaded", "failed"))
     cols = ["id", "user_id", "pdf_path", "upload_date", "status", "last_error", "retry_count"]
-    a = pages.select(*cols, F.lit("single_documents").alias("source_table"), "page_number", (F.col("total_pages") if check_parsed else F.lit(1)).alias("total_pages"))
-    b = temp.where(F.col("status").isin("uploaded", "failed")).select(*cols, F.lit("temp_documents").alias("source_table"), F.lit(None).cast("int").alias("page_number"), F.lit(1).alias("total_pages"))
+    a = pages.select(*cols, F.lit("single_documents").alias("source_table"), "original_filename", "temp_document_id", "page_number", (F.col("total_pages") if check_parsed else F.lit(1)).alias("total_pages"))
+    b = temp.where(F.col("status").isin("uploaded", "failed")).select(*cols, F.lit("temp_documents").alias("source_table"), F.col("pdf_path").alias("original_filename"), F.lit(None).cast("string").alias("temp_document_id"), F.lit(None).cast("int").alias("page_number"), F.lit(None if check_parsed else 1).cast("int").alias("total_pages"))
     return a.unionByName(b)
 
 
+def unprocessed_page(queue: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of the whole queue, newest first, ties by id: a top-k, not a sort of all rows, while ``offset + limit`` is small."""
+    return queue.orderBy(F.desc("upload_date"), F.asc("id")).offset(offset).limit(limit)
+
+
+def pending_preprocess(temp: DataFrame, paths: DataFrame | None = None, limit: int = 12) -> DataFrame:
+    """Each user's ``limit`` oldest uploads, of any status; with ``paths(pdf_path)``, all uploads of those paths instead. Ties go by id."""
+    if paths is not None:
+        return temp.join(paths.select("pdf_path"), "pdf_path", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last("upload_date"), F.asc("id")))
+    return temp.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
+
+
+def ready_for_extraction(single: DataFrame) -> DataFrame:
+    """Pages that wait for extraction, oldest first."""
+    return single.where(F.col("status") == "uploaded").orderBy("upload_date", "id")
+
+
+def recent(df: DataFrame, time: str, key: str, n: int = 100) -> DataFrame:
+    """Each user's newest ``n`` rows by ``time``, nulls last, ties by ``key``. The optimizer cuts each task's rows to n a user before the shuffle."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last(time), F.asc(key)))
+    return df.withColumn("nth", nth).where(F.col("nth") <= n)
+
+
 def page_offset(df: DataFrame, order: list[Column], page: int, limit: int, key: str = "user_id") -> DataFrame:
     """One page of each user's rows with total, total_pages, has_next and has_prev."""
     totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
@@ -62,15 +89,18 @@ def expand_pages(temp: DataFrame) -> DataFrame:
 
 
 def new_pages_only(expanded: DataFrame, single: DataFrame) -> DataFrame:
+    """Pages of an expansion whose path is no page yet, so that a repeated split adds nothing."""
     return expanded.join(single.select("pdf_path"), "pdf_path", "left_anti")
 
 
 def failed_documents(temp: DataFrame, single: DataFrame) -> DataFrame:
+    """Failed uploads and pages with their error and the stage that failed."""
     pick = lambda df, name: df.where(F.col("status") == "failed").select("id", "user_id", "last_error", "upload_date", F.lit(name).alias("stage"))
     return pick(temp, "preprocessing").unionByName(pick(single, "ai_processing"))
 
 
 def queue_counts(temp: DataFrame, single: DataFrame) -> DataFrame:
+    """Per user with either: uploads to split and pages to extract."""
     a = temp.where(F.col("status") == "uploaded").select("user_id", F.lit(1).alias("u"), F.lit(0).alias("p"))
     b = single.where(F.col("status") == "uploaded").select("user_id", F.lit(0).alias("u"), F.lit(1).alias("p"))
     return a.unionByName(b).groupBy("user_id").agg(F.sum("u").alias("uploads_waiting"), F.sum("p").alias("pages_ready"))
@@ -95,6 +125,45 @@ def plan_retries(requests: DataFrame, temp: DataFrame, single: DataFrame) -> Dat
     return j.select("document_id", "user_id", action.alias("action"))
 
 
+def apply_retries(plan: DataFrame, temp: DataFrame, single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Uploads and pages after ``plan(document_id, user_id, action)``.
+
+    A retried row is uploaded again, without its error and with one more try, however often it is asked for. ``check_children`` retries
+    the upload's failed and waiting pages. ``skip_duplicate`` marks pages alone, never uploads, and wins over a retry of the same page.
+    The plan is reduced to one row a document before it meets the tables.
+    """
+    asked = lambda name: F.bool_or(F.col("action") == name)
+    flags = plan.groupBy("document_id", "user_id").agg(asked("retry_preprocessing").alias("split"), asked("retry_ai_processing").alias("extract"), asked("skip_duplicate").alias("skip"), asked("check_children").alias("children"))
+    own = flags.select(F.col("document_id").alias("id"), "user_id", "split", "extract", "skip")
+    parents = flags.where("children").select(F.col("document_id").alias("temp_document_id"), "user_id", "children")
+
+    def changed(df: DataFrame, again: Column, skip: Column, columns: list[str]) -> DataFrame:
+        again, skip = F.coalesce(again, F.lit(False)), F.coalesce(skip, F.lit(False))
+        new = {
+            "status": F.when(skip, "skipped_duplicate").when(again, "uploaded").otherwise(F.col("status")),
+            "last_error": F.when(skip, "Manually marked as duplicate").when(~again, F.col("last_error")),
+            "retry_count": F.when(again & ~skip, F.coalesce("retry_count", F.lit(0)) + 1).otherwise(F.col("retry_count")),
+        }
+        return df.select(*[new[c].alias(c) if c in new else c for c in columns])
+
+    uploads = changed(temp.join(own, ["id", "user_id"], "left"), F.col("split"), F.lit(False), temp.columns)
+    pages = single.join(own, ["id", "user_id"], "left").join(parents, ["temp_document_id", "user_id"], "left")
+    child = F.coalesce("children", F.lit(False)) & F.col("status").isin("failed", "uploaded")
+    return uploads, changed(pages, F.coalesce("extract", F.lit(False)) | child, F.col("skip"), single.columns)
+
+
+def batch_summary(before: DataFrame, after: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row about a run: uploads tried, pages made, errors, and the pages before and after. ``outcomes`` has id, ok and pages; a null ok is an error."""
+    ok = F.coalesce("ok", F.lit(False))
+    zero, one = F.lit(0), F.lit(1)
+    tried = outcomes.select(one.alias("uploads"), F.when(ok, F.coalesce("pages", zero)).otherwise(0).alias("processed"), F.when(ok, 0).otherwise(1).alias("errors"), zero.alias("pages_before"), zero.alias("pages_after"))
+    count = lambda df, a, b: df.select(zero.alias("uploads"), zero.alias("processed"), zero.alias("errors"), a.alias("pages_before"), b.alias("pages_after"))
+    rows = tried.unionByName(count(before, one, zero)).unionByName(count(after, zero, one))
+    names = ("uploads", "processed", "errors", "pages_before", "pages_after")
+    sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return sums.withColumn("net_increase", F.col("pages_after") - F.col("pages_before"))
+
+
 def document_status(temp: DataFrame, single: DataFrame) -> DataFrame:
     """Stage, status, counts and the pages in order of every upload; an upload's pages are few, so their list is small."""
     n = lambda s: F.count_if(F.col("status") == s)
@@ -131,22 +200,32 @@ def page_status(single: DataFrame) -> DataFrame:
 def plan_deletions(requests: DataFrame, temp: DataFrame, single: DataFrame, parsed: DataFrame) -> DataFrame:
     """``requests(document_id, user_id, source_table)`` with the verdict, and the upload that goes with its last unprocessed page.
 
-    Rows of other tables are denied, as are parsed pages and uploads that are past waiting or failed.
+    Parsed pages (whose path ends a file url of the user in any case) and uploads past waiting or failed are denied as processed, rows of other
+    tables as protected. A request of ``unprocessed_documents`` means the page of that id, or else the upload. Ids are unique in a table.
     """
     key = ["document_id", "user_id"]
-    free = unparsed_pages(single, parsed, ()).select("id", "user_id", F.lit(True).alias("free"))
+    low = lambda df, c: df.withColumn(c, F.lower(c))
+    free = unparsed_pages(low(single, "pdf_path"), low(parsed, "file_url"), ()).select("id", "user_id", F.lit(True).alias("free"))
     pages = single.join(last_unprocessed_page(single), "id").join(free, ["id", "user_id"], "left")
-    pages = pages.select(F.col("id").alias("document_id"), "user_id", F.lit("single_documents").alias("source_table"), F.when(F.col("free"), "allowed").otherwise("processed").alias("found"), F.when(F.col("free") & F.col("is_last"), F.col("temp_document_id")).alias("parent_upload"))
+    verdict = F.when(F.col("free"), "allowed").otherwise("processed")
+    parent = F.when(F.col("free") & F.col("is_last"), F.col("temp_document_id"))
+    pages = pages.select(F.col("id").alias("document_id"), "user_id", verdict.alias("page"), parent.alias("parent"))
     waiting = F.coalesce(F.col("status").isin("uploaded", "failed", ""), F.lit(True))
-    uploads = temp.select(F.col("id").alias("document_id"), "user_id", F.lit("temp_documents").alias("source_table"), F.when(waiting, "allowed").otherwise("processed").alias("found"), F.lit(None).cast("string").alias("parent_upload"))
-    known = F.col("source_table").isin("single_documents", "temp_documents")
-    out = requests.join(pages.unionByName(uploads), [*key, "source_table"], "left")
-    return out.select(*key, "source_table", F.when(~known, "protected").otherwise(F.coalesce("found", F.lit("not_found"))).alias("verdict"), "parent_upload")
+    uploads = temp.select(F.col("id").alias("document_id"), "user_id", F.when(waiting, "allowed").otherwise("processed").alias("upload"))
+    out = requests.join(pages, key, "left").join(uploads, key, "left")
+    table, none = F.col("source_table"), F.lit("not_found")
+    found = (
+        F.when(table == "single_documents", F.coalesce("page", none)).when(table == "temp_documents", F.coalesce("upload", none))
+        .when(table == "unprocessed_documents", F.coalesce("page", "upload", none)).otherwise("protected")
+    )
+    return out.select(*key, "source_table", found.alias("verdict"), F.when(table.isin("single_documents", "unprocessed_documents"), F.col("parent")).alias("parent_upload"))
 
 
 def reset_stuck(single: DataFrame) -> DataFrame:
+    """``single`` with every page in processing put back to uploaded."""
     return single.withColumn("status", F.when(F.col("status") == "processing", "uploaded").otherwise(F.col("status")))
 
 
 def expire_uploads(temp: DataFrame, now: str, days: int) -> DataFrame:
+    """Uploads of the last ``days`` days before ``now``; those without a date go."""
     return temp.where(F.col("upload_date") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))

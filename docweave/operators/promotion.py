@@ -14,9 +14,20 @@ REQUIRED = ("invoice", "eft_receipt", "e-way-bill")
 
 
 def promotable_groups(groups: DataFrame) -> DataFrame:
+    """Groups that a person has verified and that are complete."""
     return groups.where(F.col("human_verified") & F.col("is_complete"))
 
 
+def apply_verifications(groups: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``groups`` after ``decisions(user_id, invoice_number, verified, at)``: the latest decision of a group holds, and verified_at is its time, null if refused."""
+    last = decisions.groupBy("user_id", "invoice_number").agg(F.max_by(F.struct("verified", "at"), F.struct("at", "verified")).alias("d"))
+    out = groups.join(last, ["user_id", "invoice_number"], "left")
+    old = F.col("verified_at") if "verified_at" in groups.columns else F.lit(None).cast("timestamp")
+    kept = [c for c in groups.columns if c not in ("human_verified", "verified_at")]
+    decided = F.col("d").isNotNull()
+    return out.select(*kept, F.coalesce("d.verified", "human_verified").alias("human_verified"), F.when(decided, F.when(F.col("d.verified"), F.col("d.at"))).otherwise(old).alias("verified_at"))
+
+
 def promote_groups(groups: DataFrame, parsed: DataFrame, today: Column | None = None) -> DataFrame:
     """One business row for each distinct (user_id, invoice_number) of ``groups``; ``is_promoted`` is false and ``missing`` says why where documents lack.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import extraction, grouping, lifecycle, matching, promotion, reports
+from ..sources import tables
 from ..sources.fixtures import VIEWS, view, with_views
 from ..streaming import jobs
 
@@ -134,7 +135,7 @@ def unparsed_pages(spark, sf_dir):
 
 _QUEUE = """WITH q AS (
 SELECT id, user_id, upload_date, status, 'single_documents' AS source_table, page_number, total_pages FROM single_documents s WHERE status IN ('uploaded', 'failed') AND NOT EXISTS (SELECT 1 FROM parsed_documents p WHERE p.user_id = s.user_id AND split_part(p.file_url, '/', -1) = split_part(s.pdf_path, '/', -1) AND ends_with(p.file_url, s.pdf_path))
-UNION ALL SELECT id, user_id, upload_date, status, 'temp_documents', NULL, 1 FROM temp_documents WHERE status IN ('uploaded', 'failed'))"""
+UNION ALL SELECT id, user_id, upload_date, status, 'temp_documents', NULL, NULL FROM temp_documents WHERE status IN ('uploaded', 'failed'))"""
 
 
 def _queue(spark, sf_dir):
@@ -198,31 +199,50 @@ def expire_uploads(spark, sf_dir):
 
 @query("ready_for_extraction", "SELECT id, user_id FROM single_documents WHERE status = 'uploaded'")
 def ready_for_extraction(spark, sf_dir):
-    return view(spark, sf_dir, "single_documents").where(F.col("status") == "uploaded").select("id", "user_id")
+    return lifecycle.ready_for_extraction(view(spark, sf_dir, "single_documents")).select("id", "user_id")
 
 
 @query("pending_submission", "SELECT user_id, invoice_number FROM recycling_docs WHERE status IN ('new', 'updated')")
 def pending_submission(spark, sf_dir):
-    return view(spark, sf_dir, "recycling_docs").where(F.col("status").isin("new", "updated")).select("user_id", "invoice_number")
+    return reports.pending_submission(view(spark, sf_dir, "recycling_docs")).select("user_id", "invoice_number")
 
 
 @query("promotable_groups", "SELECT user_id, invoice_number FROM document_groups_flat WHERE human_verified AND is_complete")
 def promotable_groups(spark, sf_dir):
-    return view(spark, sf_dir, "document_groups_flat").where("human_verified AND is_complete").select("user_id", "invoice_number")
+    return promotion.promotable_groups(view(spark, sf_dir, "document_groups_flat")).select("user_id", "invoice_number")
 
 
-@query("plan_retries", """WITH r AS (SELECT id AS document_id, user_id, CASE right(id, 1) WHEN '1' THEN 'force_ai' WHEN '2' THEN 'skip_duplicate' END AS forced FROM single_documents UNION ALL SELECT id, user_id, CASE right(id, 1) WHEN '3' THEN 'force_preprocessing' END FROM temp_documents)
-SELECT document_id, r.user_id, CASE WHEN forced = 'force_preprocessing' THEN 'retry_preprocessing' WHEN forced = 'force_ai' THEN 'retry_ai_processing' WHEN forced = 'skip_duplicate' THEN 'skip_duplicate'
+_PLAN = """WITH r AS (SELECT id AS document_id, user_id, CASE right(id, 1) WHEN '1' THEN 'force_ai' WHEN '2' THEN 'skip_duplicate' END AS forced FROM single_documents UNION ALL SELECT id, user_id, CASE right(id, 1) WHEN '3' THEN 'force_preprocessing' END FROM temp_documents),
+plan AS (SELECT document_id, r.user_id, CASE WHEN forced = 'force_preprocessing' THEN 'retry_preprocessing' WHEN forced = 'force_ai' THEN 'retry_ai_processing' WHEN forced = 'skip_duplicate' THEN 'skip_duplicate'
  WHEN s.status IN ('failed', 'uploaded') THEN 'retry_ai_processing' WHEN s.status = 'skipped_duplicate' THEN 'already_skipped' WHEN s.status = 'processed' THEN 'already_processed' WHEN s.id IS NOT NULL THEN 'no_action_needed'
  WHEN t.status IN ('failed', 'uploaded') THEN 'retry_preprocessing' WHEN t.status = 'processed' THEN 'check_children' ELSE 'no_action_needed' END AS action
-FROM r LEFT JOIN single_documents s ON s.id = document_id LEFT JOIN temp_documents t ON t.id = document_id""")
-def plan_retries(spark, sf_dir):
+FROM r LEFT JOIN single_documents s ON s.id = document_id LEFT JOIN temp_documents t ON t.id = document_id)"""
+
+
+def _retry_plan(spark, sf_dir):
     single, temp = view(spark, sf_dir, "single_documents"), view(spark, sf_dir, "temp_documents")
     last = F.expr("right(id, 1)")
     r = single.select(F.col("id").alias("document_id"), "user_id", F.when(last == "1", "force_ai").when(last == "2", "skip_duplicate").alias("forced")).unionByName(temp.select(F.col("id").alias("document_id"), "user_id", F.when(last == "3", "force_preprocessing").alias("forced")))
     return lifecycle.plan_retries(r, temp, single)
 
 
+@query("plan_retries", _PLAN + " SELECT * FROM plan")
+def plan_retries(spark, sf_dir):
+    return _retry_plan(spark, sf_dir)
+
+
+@query("apply_retries", _PLAN + """, f AS (SELECT document_id AS id, bool_or(action = 'retry_preprocessing') AS split, bool_or(action = 'retry_ai_processing') AS extract, bool_or(action = 'skip_duplicate') AS skip, bool_or(action = 'check_children') AS children FROM plan GROUP BY 1),
+x AS (SELECT 'temp_documents' AS source_table, t.id, status, last_error, retry_count, coalesce(split, false) AS again, false AS skip FROM temp_documents t LEFT JOIN f ON f.id = t.id
+  UNION ALL SELECT 'single_documents', s.id, status, last_error, retry_count, coalesce(f.extract, false) OR (coalesce(p.children, false) AND status IN ('failed', 'uploaded')), coalesce(f.skip, false) FROM single_documents s LEFT JOIN f ON f.id = s.id LEFT JOIN f p ON p.id = s.temp_document_id)
+SELECT source_table, id, CASE WHEN skip THEN 'skipped_duplicate' WHEN again THEN 'uploaded' ELSE status END AS status, CASE WHEN skip THEN 'Manually marked as duplicate' WHEN NOT again THEN last_error END AS last_error,
+  retry_count + CASE WHEN again AND NOT skip THEN 1 ELSE 0 END AS retry_count FROM x""")
+def apply_retries(spark, sf_dir):
+    temp, single = view(spark, sf_dir, "temp_documents"), view(spark, sf_dir, "single_documents")
+    uploads, pages = lifecycle.apply_retries(_retry_plan(spark, sf_dir), temp, single)
+    pick = lambda df, name: df.select(F.lit(name).alias("source_table"), "id", "status", "last_error", "retry_count")
+    return pick(uploads, "temp_documents").unionByName(pick(pages, "single_documents"))
+
+
 @query("existing_filename_warnings", """WITH n AS (SELECT user_id, original_filename AS file_name FROM single_documents WHERE status = 'failed' UNION SELECT user_id, pdf_path FROM temp_documents WHERE status = 'failed' UNION SELECT user_id, file_name FROM files)
 SELECT user_id, file_name, CASE WHEN (user_id, file_name) IN (SELECT (user_id, pdf_path) FROM temp_documents) THEN 'temp_documents' WHEN (user_id, file_name) IN (SELECT (user_id, original_filename) FROM single_documents) THEN 'single_documents' END AS known_in FROM n""")
 def existing_filename_warnings(spark, sf_dir):
@@ -284,9 +304,10 @@ def group_documents(spark, sf_dir):
     )
 
 
-@query("rules_applied_summary", _DOCS + " SELECT rule_name, count(*) AS groups, count(*) FILTER (cnt >= least_n) AS complete FROM grp GROUP BY 1")
+@query("rules_applied_summary", _DOCS + """, k AS (SELECT DISTINCT user_id, invoice_number, true AS known FROM document_groups_flat)
+SELECT rule_name, count(*) AS groups, count(*) FILTER (cnt >= least_n) AS complete, count(*) FILTER (known IS NULL) AS created, count(*) FILTER (known) AS updated, 0 AS errors FROM grp LEFT JOIN k USING (user_id, invoice_number) GROUP BY 1""")
 def rules_applied_summary(spark, sf_dir):
-    return reports.rules_applied_summary(grouped(spark, sf_dir))
+    return reports.rules_applied_summary(grouped(spark, sf_dir), view(spark, sf_dir, "document_groups_flat"))
 
 
 @query("group_stats", _DOCS + """ SELECT p.user_id, coalesce(total, 0) AS total, coalesce(complete, 0) AS complete, coalesce(total - complete, 0) AS incomplete, documents - coalesce(CAST(grouped AS BIGINT), 0) AS ungrouped FROM (SELECT user_id, count(*) AS documents FROM parsed_documents GROUP BY 1) p
@@ -338,7 +359,7 @@ def tonnage_by_type(spark, sf_dir):
 @query("groups_with_submission", "SELECT g.user_id, g.invoice_number, coalesce(nullif(recycler_company, ''), 'Unknown') AS company, status FROM document_groups_flat g LEFT JOIN recycling_docs r ON g.user_id = r.user_id AND g.invoice_number = r.invoice_number WHERE g.human_verified")
 def groups_with_submission(spark, sf_dir):
     g, r = _groups_recycling(spark, sf_dir)
-    return g.where("human_verified").select("user_id", "invoice_number").join(r.select("user_id", "invoice_number", "recycler_company", "status"), ["user_id", "invoice_number"], "left").select("user_id", "invoice_number", S.first_truthy(F.col("recycler_company"), F.lit("Unknown")).alias("company"), "status")
+    return reports.groups_with_submission(g, r)
 
 
 @query("prepare_submissions", """WITH k AS (SELECT *, coalesce(weight_kg, CASE WHEN tonnage_tons <> 0 THEN tonnage_tons * 1000 END) AS kg FROM recycling_docs WHERE status IN ('new', 'updated')), e AS (SELECT *,
@@ -359,11 +380,13 @@ def export_verified(spark, sf_dir):
     return reports.export_verified(view(spark, sf_dir, "recycling_docs"))
 
 
-@query("apply_verifications", "SELECT user_id, invoice_number, human_verified OR country = 'BR' AS human_verified FROM (SELECT * REPLACE (coalesce(country, '') AS country) FROM document_groups_flat)")
+@query("apply_verifications", """WITH l AS (SELECT user_id, invoice_number, max(last_processed_at) AS t0 FROM document_groups_flat WHERE country = 'BR' GROUP BY ALL)
+SELECT g.user_id, g.invoice_number, coalesce(t0 < TIMESTAMP '1996-01-01', human_verified) AS human_verified, CASE WHEN t0 < TIMESTAMP '1996-01-01' THEN t0 END AS verified_at FROM document_groups_flat g LEFT JOIN l ON l.user_id = g.user_id AND l.invoice_number = g.invoice_number""")
 def apply_verifications(spark, sf_dir):
     g = view(spark, sf_dir, "document_groups_flat")
-    decisions = g.where("country = 'BR'").select("user_id", "invoice_number", F.lit(True).alias("decided")).distinct()
-    return g.join(decisions, ["user_id", "invoice_number"], "left").select("user_id", "invoice_number", F.coalesce("decided", "human_verified").alias("human_verified"))
+    at = F.col("last_processed_at")
+    decisions = g.where("country = 'BR'").select("user_id", "invoice_number", (at < F.lit("1996-01-01").cast("timestamp")).alias("verified"), at.alias("at"))
+    return promotion.apply_verifications(g, decisions).select("user_id", "invoice_number", "human_verified", "verified_at")
 
 
 @query("stage_weights", f"""WITH w AS (SELECT id, TRY_CAST({_truthy('weight')} AS DOUBLE) AS v, coalesce({_truthy('weight_unit_of_mesurement')}, 'kg') AS u FROM parsed_documents)
@@ -395,14 +418,18 @@ def page_status(spark, sf_dir):
 
 @query("plan_deletions", """WITH o AS (SELECT temp_document_id, user_id, count(*) FILTER (status <> 'processed') AS open FROM single_documents GROUP BY ALL),
 u AS (SELECT s.*, o.open - CASE WHEN s.status <> 'processed' THEN 1 ELSE 0 END = 0 AS is_last,
-  NOT EXISTS (SELECT 1 FROM parsed_documents p WHERE p.user_id = s.user_id AND split_part(p.file_url, '/', -1) = split_part(s.pdf_path, '/', -1) AND ends_with(p.file_url, s.pdf_path)) AS free FROM single_documents s JOIN o USING (temp_document_id, user_id))
-SELECT id AS document_id, 'single_documents' AS source_table, CASE WHEN free THEN 'allowed' ELSE 'processed' END AS verdict, CASE WHEN free AND is_last THEN temp_document_id END AS parent_upload FROM u
-UNION ALL SELECT id, 'temp_documents', CASE WHEN status IN ('uploaded', 'failed') THEN 'allowed' ELSE 'processed' END, NULL FROM temp_documents
+  NOT EXISTS (SELECT 1 FROM parsed_documents p WHERE p.user_id = s.user_id AND split_part(lower(p.file_url), '/', -1) = split_part(lower(s.pdf_path), '/', -1) AND ends_with(lower(p.file_url), lower(s.pdf_path))) AS free FROM single_documents s JOIN o USING (temp_document_id, user_id))
+SELECT id AS document_id, t AS source_table, CASE WHEN free THEN 'allowed' ELSE 'processed' END AS verdict, CASE WHEN free AND is_last THEN temp_document_id END AS parent_upload FROM u, (VALUES ('single_documents'), ('unprocessed_documents')) v(t)
+UNION ALL SELECT id, t, CASE WHEN status IN ('uploaded', 'failed') THEN 'allowed' ELSE 'processed' END, NULL FROM temp_documents, (VALUES ('temp_documents'), ('unprocessed_documents')) v(t)
+UNION ALL SELECT id, 'single_documents', 'not_found', NULL FROM temp_documents
 UNION ALL SELECT id, 'parsed_documents', 'protected', NULL FROM parsed_documents""")
 def plan_deletions(spark, sf_dir):
     tables = [view(spark, sf_dir, n) for n in ("temp_documents", "single_documents", "parsed_documents")]
     each = [t.select(F.col("id").alias("document_id"), "user_id", F.lit(n).alias("source_table")) for t, n in zip(tables, ("temp_documents", "single_documents", "parsed_documents"), strict=True)]
-    return lifecycle.plan_deletions(each[0].unionByName(each[1]).unionByName(each[2]), *tables).drop("user_id")
+    queue = each[0].unionByName(each[1]).withColumn("source_table", F.lit("unprocessed_documents"))
+    wrong = each[0].withColumn("source_table", F.lit("single_documents"))
+    tables[2] = tables[2].withColumn("file_url", F.when(F.length("id") % 3 == 0, F.upper("file_url")).otherwise(F.col("file_url")))
+    return lifecycle.plan_deletions(each[0].unionByName(each[1]).unionByName(each[2]).unionByName(queue).unionByName(wrong), *tables).drop("user_id")
 
 
 def _t(d: str, *keys: str) -> str:
@@ -513,3 +540,113 @@ def apply_submission_results(spark, sf_dir):
     light = F.col("tonnage_tons") <= 5
     results = rows.where(F.col("status").isin("new", "updated")).select("invoice_number", (~light).alias("ok"), F.when(light, "too light").alias("error"))
     return promotion.apply_submission_results(rows, results).select("invoice_number", "user_id", "status", "submission_error")
+
+
+@query("read_table", "SELECT id, user_id, status, retry_count, page_count FROM temp_documents")
+def read_table(spark, sf_dir):
+    path = tables.new_folder(spark, "temp_documents")
+    tables.write_table(view(spark, sf_dir, "temp_documents"), path, ("user_id",))
+    return tables.read_table(spark, path, "temp_documents").select("id", "user_id", "status", "retry_count", "page_count")
+
+
+@query("unprocessed_page", _QUEUE + " SELECT id, user_id, status, source_table FROM q ORDER BY upload_date DESC, id LIMIT 50 OFFSET 100")
+def unprocessed_page(spark, sf_dir):
+    return lifecycle.unprocessed_page(_queue(spark, sf_dir), 50, 100).select("id", "user_id", "status", "source_table")
+
+
+@query("unprocessed_unchecked", """SELECT id, user_id, original_filename, temp_document_id, 'single_documents' AS source_table, page_number, 1 AS total_pages FROM single_documents WHERE status IN ('uploaded', 'failed')
+UNION ALL SELECT id, user_id, pdf_path, NULL, 'temp_documents', NULL, 1 FROM temp_documents WHERE status IN ('uploaded', 'failed')""")
+def unprocessed_unchecked(spark, sf_dir):
+    queue = lifecycle.unprocessed_documents(*[view(spark, sf_dir, n) for n in ("single_documents", "parsed_documents", "temp_documents")], check_parsed=False)
+    return queue.select("id", "user_id", "original_filename", "temp_document_id", "source_table", "page_number", "total_pages")
+
+
+@query("pending_preprocess", "SELECT id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY upload_date, id) AS nth FROM temp_documents) WHERE nth <= 12")
+def pending_preprocess(spark, sf_dir):
+    return lifecycle.pending_preprocess(view(spark, sf_dir, "temp_documents")).select("id", "user_id")
+
+
+@query("new_pages_only", """WITH e AS (SELECT status, user_id, CASE WHEN page_count = 1 THEN replace(pdf_path, 'temp/', 'single/') ELSE replace(replace(pdf_path, 'temp/', 'single/'), '.pdf', '_page' || n || '.pdf') END AS pdf_path, CAST(n AS INTEGER) AS page_number
+  FROM (SELECT *, unnest(generate_series(1, page_count)) AS n FROM temp_documents)) SELECT user_id, pdf_path, page_number FROM e WHERE status <> 'processed'""")
+def new_pages_only(spark, sf_dir):
+    temp = view(spark, sf_dir, "temp_documents")
+    known = lifecycle.expand_pages(temp.where("status = 'processed'"))
+    return lifecycle.new_pages_only(lifecycle.expand_pages(temp), known).select("user_id", "pdf_path", "page_number")
+
+
+@query("recent_groups", "SELECT user_id, invoice_number, last_processed_at, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_processed_at DESC, invoice_number) AS nth FROM (SELECT DISTINCT * FROM document_groups_flat)) WHERE nth <= 100 AND last_processed_at IS NOT NULL")
+def recent_groups(spark, sf_dir):
+    return lifecycle.recent(view(spark, sf_dir, "document_groups_flat").distinct(), "last_processed_at", "invoice_number").select("user_id", "invoice_number", "last_processed_at", "nth")
+
+
+@query("recent_parsed", "SELECT user_id, id, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS nth FROM parsed_documents) WHERE nth <= 100")
+def recent_parsed(spark, sf_dir):
+    return lifecycle.recent(view(spark, sf_dir, "parsed_documents"), "created_at", "id").select("user_id", "id", "nth")
+
+
+@query("sorted_groups", "SELECT user_id, invoice_number, is_complete FROM document_groups_flat ORDER BY is_complete DESC, invoice_number, user_id")
+def sorted_groups(spark, sf_dir):
+    return reports.sorted_groups(view(spark, sf_dir, "document_groups_flat")).select("user_id", "invoice_number", "is_complete")
+
+
+@query("batch_summary", """WITH o AS (SELECT count(*) AS uploads, CAST(sum(CASE WHEN status = 'processed' THEN page_count ELSE 0 END) AS BIGINT) AS processed, count(*) FILTER (status <> 'processed') AS errors FROM temp_documents),
+s AS (SELECT count(*) FILTER (status = 'processed') AS pages_before, count(*) AS pages_after FROM single_documents) SELECT *, pages_after - pages_before AS net_increase FROM o, s""")
+def batch_summary(spark, sf_dir):
+    temp, single = view(spark, sf_dir, "temp_documents"), view(spark, sf_dir, "single_documents")
+    outcomes = temp.select("id", (F.col("status") == "processed").alias("ok"), F.col("page_count").alias("pages"))
+    return lifecycle.batch_summary(single.where("status = 'processed'"), single, outcomes)
+
+
+@query("tonnage_rollup", "SELECT user_id, plastic_type, sum(tonnage_tons) AS tons FROM (SELECT r.user_id, coalesce(nullif(plastic_type, ''), 'Unknown') AS plastic_type, tonnage_tons FROM recycling_docs r SEMI JOIN (SELECT * FROM document_groups_flat WHERE is_complete) g ON r.user_id = g.user_id AND r.invoice_number = g.invoice_number) GROUP BY ROLLUP (user_id, plastic_type)")
+def tonnage_rollup(spark, sf_dir):
+    return reports.tonnage_rollup(*_groups_recycling(spark, sf_dir))
+
+
+@query("submission_payloads", """WITH k AS (SELECT *, coalesce(weight_kg, CASE WHEN tonnage_tons <> 0 THEN tonnage_tons * 1000 END) AS kg FROM recycling_docs WHERE status IN ('new', 'updated'))
+SELECT invoice_number, recycler_company || ' - ' || invoice_number AS name, 'Recycling collection for invoice ' || invoice_number || ' from ' || recycler_company AS description,
+ CASE upper(plastic_type) WHEN 'PET' THEN 'PET 1' WHEN 'PP' THEN 'PP 5' WHEN 'PVC' THEN 'PVC 3' WHEN 'LDPE' THEN 'LDPE 4' ELSE plastic_type END AS plastik_type, 1000000000 AS instant_sale_price, CAST(greatest(1, floor(kg / 1000 + 0.5)) AS BIGINT) AS no_of_copies, kg AS weight, true AS use_autogen_image, recycler_company,
+ coalesce(invoice_url, '') AS invoice_url, coalesce(eft_url, '') AS eft_url, coalesce(ewaybill_url, '') AS ewaybill_url, coalesce(origin, '') AS origin, coalesce(currency, '') AS currency, coalesce(country, '') AS country, coalesce(city, '') AS city, coalesce(network_operator_company, '') AS network_operator_company
+FROM k WHERE trim(invoice_number) <> '' AND trim(recycler_company) <> '' AND trim(plastic_type) <> '' AND kg > 0""")
+def submission_payloads(spark, sf_dir):
+    return reports.submission_payloads(view(spark, sf_dir, "recycling_docs")).select("payload.*")
+
+
+_INGEST = ("invoice_number", "invoice_url", "eft_url", "ewaybill_url", "recycler_company", "network_operator_company", "plastic_type", "tonnage_value", "country", "city", "currency")
+
+
+@query("ingest_business_rows", """WITH r AS (SELECT *, coalesce(weight_kg, tonnage_tons) AS tonnage_value, CASE WHEN weight_kg IS NULL THEN 't' ELSE 'kg' END AS tonnage_unit FROM recycling_docs)
+SELECT trim(invoice_number) AS invoice_number, trim(invoice_url) AS invoice_url, trim(recycler_company) AS recycler_company, upper(coalesce(plastic_type, '')) AS plastic_type, CASE WHEN tonnage_unit = 'kg' THEN tonnage_value / 1000 ELSE tonnage_value END AS tonnage_tons,
+ CASE WHEN tonnage_unit = 'kg' THEN tonnage_value / 1000 ELSE tonnage_value END * 1000 AS weight_kg, trim(coalesce(nullif(country, ''), origin, '')) AS origin, coalesce(currency, '') AS currency, 'new' AS status,
+ concat_ws(',', """ + ", ".join(f"CASE WHEN coalesce(trim(CAST({c} AS VARCHAR)), '') = '' THEN '{c}' END" for c in _INGEST) + ") AS missing FROM r")
+def ingest_business_rows(spark, sf_dir):
+    rows = view(spark, sf_dir, "recycling_docs")
+    unit = F.when(F.col("weight_kg").isNull(), "t").otherwise("kg")
+    out = reports.ingest_business_rows(rows.withColumn("tonnage_unit", unit).withColumn("tonnage_value", F.coalesce("weight_kg", "tonnage_tons")))
+    return out.select("invoice_number", "invoice_url", "recycler_company", "plastic_type", "tonnage_tons", "weight_kg", "origin", "currency", "status", F.array_join("missing", ",").alias("missing"))
+
+
+@query("export_processed", "SELECT user_id || '/' || invoice_number AS id, invoice_number, recycler_company, network_operator_company, plastic_type, tonnage_tons, country, status, human_verified, verified_at, updated_at - INTERVAL 1 DAY AS created_at, updated_at FROM recycling_docs")
+def export_processed(spark, sf_dir):
+    rows = view(spark, sf_dir, "recycling_docs")
+    return reports.export_processed(rows.withColumn("id", F.concat_ws("/", "user_id", "invoice_number")).withColumn("created_at", F.col("updated_at") - F.expr("INTERVAL 1 DAY")))
+
+
+@query("document_views", f"""WITH d AS (SELECT user_id, coalesce(nullif(anchor_key, ''), nullif(json_extract_string(raw_json, '$.invoice'), '')) AS invoice_number, document_type, raw_json, created_at, id FROM parsed_documents WHERE document_type IN ('invoice', 'e-way-bill')),
+s AS (SELECT user_id, invoice_number, arg_max(raw_json, (created_at, id)) FILTER (document_type = 'invoice') AS i, arg_max(raw_json, (created_at, id)) FILTER (document_type = 'e-way-bill') AS e FROM d WHERE invoice_number IS NOT NULL GROUP BY 1, 2)
+SELECT user_id, invoice_number, coalesce(nullif({_t('i', 'invoice_number', 'invoice')}, ''), 'N/A') AS invoice, coalesce(nullif({_t('i', 'bill_to_company_name')}, ''), nullif({_t('e', 'ship_to_company_name')}, ''), 'N/A') AS company, coalesce(nullif({_t('i', 'bill_from_company_name')}, ''), 'N/A') AS operator,
+ coalesce(nullif({_t('i', 'plastic_type')}, ''), 'N/A') AS plastic, coalesce(nullif({_t('i', 'weight')}, '') || ' kg', 'N/A') AS weight, coalesce(nullif({_t('e', 'city')}, ''), 'N/A') AS city, coalesce(nullif({_t('e', 'ship_to_country_code', 'country')}, ''), 'N/A') AS country FROM s""")
+def document_views(spark, sf_dir):
+    return reports.document_views(view(spark, sf_dir, "parsed_documents"))
+
+
+@query("safe_storage_path", r"""SELECT DISTINCT user_id, file_name, 'temp/' || user_id || '/1700000000000_7_' || left(sha256(user_id || '|' || file_name || '|1700000000000|7'), 6) || '_' || regexp_replace(file_name, '[^a-zA-Z0-9.-]', '_', 'g') AS pdf_path FROM files""")
+def safe_storage_path(spark, sf_dir):
+    path = S.safe_storage_path(F.col("user_id"), F.col("file_name"), F.lit(1700000000000), F.lit(7))
+    return view(spark, sf_dir, "files").select("user_id", "file_name", path.alias("pdf_path")).distinct()
+
+
+@query("stream_upsert", _DOCS + " SELECT user_id, invoice_number, ids, CAST(cnt AS INTEGER) AS completion_count, cnt >= least_n AS is_complete FROM grp")
+def stream_upsert(spark, sf_dir):
+    path = tables.new_folder(spark, "stream-upsert")
+    groups = jobs.stream_upsert(_streamed(spark, sf_dir, "parsed_documents"), path, grouping.business_rules(spark))
+    return groups.select("user_id", "invoice_number", F.array_join("present_document_ids", ",").alias("ids"), "completion_count", "is_complete")

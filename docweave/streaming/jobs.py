@@ -1,24 +1,16 @@
-"""Structured Streaming forms of the duplicate check and of the throughput figures."""
+"""Structured Streaming forms of the duplicate check, of the throughput figures and of grouping."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.scalars import first_truthy, json_text
+from ..operators.grouping import group_documents
 from ..operators.matching import mark_duplicates
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "docweave-scratch")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from ..sources.tables import new_folder
 
 
 def stream_throughput(events: DataFrame, time: str, width: str, delay: str = "0 seconds") -> DataFrame:
@@ -27,33 +19,75 @@ def stream_throughput(events: DataFrame, time: str, width: str, delay: str = "0
     return events.withWatermark(time, delay).groupBy(at.alias("w"), "status").agg(F.count(F.lit(1)).alias("documents")).select(F.col("w.start").alias("window_start"), "status", "documents")
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Everything available now, written to the shared folder; the sink's log makes a restarted batch count once."""
-    spark, path = stream.sparkSession, new_folder(stream.sparkSession, label)
+def _stored(stream: DataFrame, schema: StructType, path: str) -> DataFrame:
+    """The rows under ``path``, none where no batch has written yet."""
+    try:
+        return stream.sparkSession.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return stream.sparkSession.createDataFrame([], schema)
+
+
+def run_available(stream: DataFrame, label: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Everything available now, written to ``path`` (a new shared folder without one); a stream without rows gives none.
+
+    The sink's log makes a restarted batch count once, and a later call with the same path takes only what is new.
+    """
+    path = path or new_folder(stream.sparkSession, label)
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return _stored(stream, stream.schema, f"{path}/rows")
 
 
-def stream_deduplicate(stream: DataFrame) -> DataFrame:
+def stream_deduplicate(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Documents that are kept as they arrive: repeated invoices are dropped within a batch and against all earlier batches.
 
     Each batch has a folder of its own that is overwritten when the batch is run again, and looks only at folders before its own, so a
-    restart changes nothing. ``stream`` has id, user_id, document_type, created_at and business_fingerprint.
+    restart with the same ``path`` changes nothing and goes on behind the last batch. ``stream`` has id, user_id, document_type, created_at
+    and business_fingerprint. A stream without rows gives none.
     """
-    spark, path = stream.sparkSession, new_folder(stream.sparkSession, "stream-deduplicate")
+    path = path or new_folder(stream.sparkSession, "stream-deduplicate")
     names = ["id", "user_id", "document_type", "created_at", "business_fingerprint"]
+    numbered = stream.select(*names).schema.add("batch", "long")
 
     def add(batch: DataFrame, number: int) -> None:
         rows = batch.select(*names)
         repeated = mark_duplicates(rows).where("is_duplicate").select("id")
         kept = rows.join(repeated, "id", "left_anti")
-        if number:
-            before = batch.sparkSession.read.parquet(f"{path}/rows").where(F.col("batch") < number)
-            seen = before.select("business_fingerprint", F.lit("invoice").alias("document_type"))
-            kept = kept.join(seen, ["business_fingerprint", "document_type"], "left_anti")
+        before = _stored(batch, numbered, f"{path}/rows").where(F.col("batch") < number)
+        seen = before.select("business_fingerprint", F.lit("invoice").alias("document_type"))
+        kept = kept.join(seen, ["business_fingerprint", "document_type"], "left_anti")
         kept.select(*names).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/rows").select(*names)
+    return _stored(stream, numbered, f"{path}/rows").select(*names)
+
+
+def stream_upsert(stream: DataFrame, path: str, rules: DataFrame) -> DataFrame:
+    """The groups of all documents that have arrived: each batch groups anew only the (user, invoice number) that it touches.
+
+    Documents and groups have a folder for each batch, overwritten when the batch is run again; a batch reads documents up to its own, so a
+    restart with the same ``path`` changes nothing. Of a group the last batch's row holds. A document that arrives twice counts once. ``stream`` has the columns of parsed_documents; documents
+    without an invoice number are stored and in no group.
+    """
+    spark = stream.sparkSession
+    key = ["user_id", "invoice_number"]
+    documents = stream.schema.add("invoice_number", "string").add("batch", "long")
+    groups = group_documents(spark.createDataFrame([], stream.schema), rules).schema.add("batch", "long")
+
+    def add(batch: DataFrame, number: int) -> None:
+        named = batch.withColumn("invoice_number", first_truthy(F.col("anchor_key"), json_text(F.try_parse_json("raw_json"), "invoice")))
+        named.write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
+        stored = _stored(batch, documents, f"{path}/documents").where(F.col("batch") <= number)
+        touched = stored.where(F.col("batch") == number).select(*key).distinct()
+        members = stored.join(touched, key, "left_semi").dropDuplicates(["id"]).select(*batch.columns)
+        group_documents(members, rules).write.mode("overwrite").parquet(f"{path}/groups/batch={number}")
+
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = _stored(stream, groups, f"{path}/groups")
+    whole = F.struct(*[c for c in rows.columns if c not in key])
+    last = rows.groupBy(*key).agg(F.max_by(whole, "batch").alias("g"))
+    return last.select(*key, "g.*").drop("batch")
