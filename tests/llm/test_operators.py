@@ -129,8 +129,25 @@ def test_archive(spark):
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
         assert b"\nX: y" not in head and head.startswith(b"WARC/1.1\r\n") and rest.endswith(b"\r\n\r\n")
         digest = re.search(rb"sha256:(\w+)", head)[1].decode()
-        assert hashlib.sha256(rest[:-4]).hexdigest() == digest
-    assert spark.read.parquet(f"{path}/payloads").dropDuplicates(["digest"]).count() == 4
+        assert hashlib.sha256(bytes(r["payload"])).hexdigest() == digest == r["digest"]
+        revisit = b"WARC-Type: revisit" in head
+        assert rest[:-4] == (b"" if revisit else bytes(r["payload"])) and int(re.search(rb"\nContent-Length: (\d+)", head)[1]) == len(rest) - 4
+        assert revisit == (b"WARC-Profile: " in head)
+    assert all(r["intact"] for r in got.values())
+    # Each payload is stored once, though rows of one id repeat it.
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    # Payloads that are lost or altered are reported; no record vanishes.
+    records, stored = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
+    records.write.parquet(f"{path}-hurt/records")
+    hurt = stored.where("size != 300000").withColumn("body", F.when(F.col("size") == 5, F.lit("smalx").cast("binary")).otherwise(F.col("body")))
+    hurt.write.parquet(f"{path}-hurt/payloads")
+    bad = {r["page_id"]: r["payload_bytes"] for r in warc.read_records(spark, path + "-hurt").where("NOT intact").collect()}
+    assert bad == {"4": 5, "5": 5, "8": None} and warc.read_records(spark, path + "-hurt").count() == len(rows)
+    # Many rows of a null id and one payload, more than one copy of it serves.
+    crowd = spark.range(5000).select(F.lit(None).cast("long").alias("page_id"), F.col("id").cast("string").alias("url"), F.lit(big).alias("html"))
+    warc.write_archive(crowd, path + "-crowd")
+    assert spark.read.parquet(f"{path}-crowd/payloads").count() == 1
+    assert warc.read_records(spark, path + "-crowd").where("intact AND record_type = 'response'").count() == 5000
     warc.write_archive(pages.limit(0), path + "-empty")
     assert warc.read_records(spark, path + "-empty").count() == 0
 
