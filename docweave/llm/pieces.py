@@ -8,7 +8,7 @@ seed always gives the same ids. Characters outside the vocabulary become byte pi
 where a text holds it, so every segmentation decodes to the exact text.
 
 Equal units of a batch are encoded once, all units of a batch at a time, one merge of each in a round; very long units use
-a heap. Null texts have null ids, empty texts no ids. Repeated rows get equal ids; only the text is read, whole.
+a heap. A worker keeps units that came more than once and compares their characters before it uses their ids again. Null texts have null ids, empty texts no ids. Repeated rows get equal ids; only the text is read, whole.
 """
 
 from __future__ import annotations
@@ -179,26 +179,35 @@ def _in_rounds(t: Pieces, ids: np.ndarray, at: np.ndarray, key: np.ndarray, drop
 
 
 class Known:
-    """Encoded units that came more than once, of one model, seed and dropout; at most ``limit``."""
+    """Encoded units that came more than once, of one model, seed and dropout; at most ``limit``. Their characters are kept, since keys may collide."""
 
     def __init__(self, limit: int = 300_000) -> None:
-        self.limit, self.keys, self.start, self.size = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int64)
+        self.limit, self.keys, self.ids, self.points = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.start, self.size, self.begin, self.length = (np.zeros(0, np.int64) for _ in range(4))
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys, -1 where one isn't known."""
+    def find(self, keys: np.ndarray, points: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Places of the units (their keys, and where they lie in ``points``), -1 where one isn't known."""
+        place = np.full(len(keys), -1)
         if not len(self.keys):
-            return np.full(len(keys), -1)
+            return place
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        maybe = np.flatnonzero((self.keys[at] == keys) & (self.length[at] == length))
+        mine, cut = spread(points, begin[maybe], length[maybe])
+        theirs, _ = spread(self.points, self.begin[at[maybe]], length[maybe])
+        unlike = np.add.reduceat(mine != theirs, cut[:-1]) if len(maybe) else np.zeros(0, int)
+        same = maybe[unlike == 0]
+        place[same] = at[same]
+        return place
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray, points: np.ndarray, length: np.ndarray) -> None:
+        """Keep units: their ids, ``size`` each, and their characters, ``length`` each, one unit after the other."""
         if len(self.keys) >= self.limit or not len(keys):
             return
-        start = np.cumsum(size) - size + len(self.ids)
+        start, begin = np.cumsum(size) - size + len(self.ids), np.cumsum(length) - length + len(self.points)
         order = np.argsort(both := np.concatenate([self.keys, keys]), kind="stable")
         self.keys, self.start, self.size = both[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
-        self.ids = np.concatenate([self.ids, ids])
+        self.begin, self.length = np.concatenate([self.begin, begin])[order], np.concatenate([self.length, length])[order]
+        self.ids, self.points = np.concatenate([self.ids, ids]), np.concatenate([self.points, points])
 
 
 #: Of this worker, by model, seed, dropout and variants.
@@ -250,7 +259,7 @@ def encode_texts(t: Pieces, data: np.ndarray, at: np.ndarray, seed: int = 0, dro
     if (size[r] != size).any() or (cps[twin] != cps).any():
         first = which = np.arange(len(unit))
         times = np.ones(len(unit), np.int64)
-    place = known.find(key[first])
+    place = known.find(key[first], cps, begin[first], size[first])
     fresh = np.flatnonzero(place < 0)
     ub, us, uk = begin[first[fresh]], size[first[fresh]], key[first[fresh]]
     short, long = np.flatnonzero(us <= LONG), np.flatnonzero(us > LONG)
@@ -285,7 +294,7 @@ def encode_texts(t: Pieces, data: np.ndarray, at: np.ndarray, seed: int = 0, dro
     count = made[which]
     result, _ = spread(np.concatenate([known.ids, left]), start[which], count)
     often = np.flatnonzero((times[fresh] > 1) & (us <= LONG))
-    known.add(uk[often], spread(left, new_at[often], new[often])[0], new[often])
+    known.add(uk[often], spread(left, new_at[often], new[often])[0], new[often], spread(cps, ub[often], us[often])[0], us[often])
     return result, np.concatenate([[0], np.cumsum(np.bincount(text, count, n).astype(np.int64))])
 
 

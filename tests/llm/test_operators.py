@@ -183,6 +183,43 @@ def test_pieces(spark, odd):
         assert r["ids"] == sp.encode(r["text"])
 
 
+def plain_agenda(t, symbols, key, dropout):
+    """Merge-dropout as its definition reads: each step joins the best candidate that isn't skipped (one symbol id, first place and end each)."""
+    parts = [(int(s), i, i + 1) for i, s in enumerate(symbols)]
+    while True:
+        best = None
+        for n, ((a, i, m), (b, _, j)) in enumerate(zip(parts, parts[1:], strict=False)):
+            made = int(t.join(np.array([a]), np.array([b]))[0])
+            if made >= 0 and not pieces._skips(np.array([key], np.uint64), np.array([i]), np.array([m]), np.array([j]), dropout)[0]:
+                rank = (int(t.rank[made]), i)
+                best = min(best, (rank, n, made)) if best else (rank, n, made)
+        if best is None:
+            return [i for _, i, _ in parts]
+        _, n, made = best
+        parts[n : n + 2] = [(made, parts[n][1], parts[n + 1][2])]
+
+
+def test_pieces_agenda():
+    """Rounds and heap agree with a plain agenda at every dropout, and a unit under another unit's key is encoded anew."""
+    t = pieces.load("/opt/tokenizers/piece_bpe_32k.model")
+    rng = random.Random(4)
+    for dropout in (0.0, 0.2, 0.5, 1.0):
+        for _ in range(25):
+            unit = " " + "".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 30)))
+            ids = t.chars[np.array([ord(c) for c in unit])].astype(np.int64)
+            key = np.uint64(rng.getrandbits(64))
+            want = plain_agenda(t, ids, key, dropout)
+            alive = pieces._in_rounds(t, ids.copy(), np.array([0, len(ids)]), np.array([key]), dropout)
+            assert np.flatnonzero(alive).tolist() == want
+            assert list(pieces._by_heap(t, ids.copy(), key, dropout)) == want
+    data = np.frombuffer(b"another another other other", np.uint8)
+    known, at = pieces.Known(100), np.array([0, len(data)])
+    first, _ = pieces.encode_texts(t, data, at, 3, 0.1, 1, known)
+    assert len(known.keys) and pieces.encode_texts(t, data, at, 3, 0.1, 1, known)[0].tolist() == first.tolist()
+    known.points = known.points[::-1].copy()
+    assert pieces.encode_texts(t, data, at, 3, 0.1, 1, known)[0].tolist() == first.tolist()
+
+
 def brute_components(rows, like):
     sets = []
     for _, t in rows:
