@@ -16,11 +16,15 @@ def business_rules(spark: SparkSession) -> DataFrame:
 
 
 def apply_business_rule(groups: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rule of a group's country, else the global one; ``rule_error`` where neither exists. The rule table is one row per country."""
+    """The rule of a group's country, else the global one; ``rule_error`` where neither exists.
+
+    Of a country's repeated rules the greatest row holds, so groups never multiply. The plan broadcasts the rules only where they are
+    small; of the global rule there is one row at most.
+    """
     fields = ("rule_name", "required_documents", "optional_documents", "minimum_required")
-    own = rules.where(F.col("country").isNotNull()).select("country", F.struct(*fields).alias("own"))
-    rest = rules.where(F.col("country").isNull()).select(F.struct(*fields).alias("rest")).limit(1)
-    out = groups.join(F.broadcast(own), "country", "left").join(F.broadcast(rest), F.lit(True), "left")
+    own = rules.where(F.col("country").isNotNull()).groupBy("country").agg(F.max(F.struct(*fields)).alias("own"))
+    rest = rules.where(F.col("country").isNull()).agg(F.max(F.struct(*fields)).alias("rest"))
+    out = groups.join(own, "country", "left").join(F.broadcast(rest), F.lit(True), "left")
     rule = F.coalesce("own", "rest")
     return out.select(*groups.columns, *[rule[f].alias(f) for f in fields], rule.isNull().alias("rule_error"))
 

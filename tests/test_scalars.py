@@ -1,8 +1,12 @@
 """Golden values, worked out by hand from the rules."""
 
+import random
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import functions as F
 
 from docweave.functions import scalars as S
+from docweave.operators.grouping import apply_business_rule
 
 
 def values(spark, column, rows, schema="a string"):
@@ -52,3 +56,22 @@ def test_units_labels_and_keywords(spark):
     assert values(spark, S.to_kg(F.col("a"), F.col("b")), [(2.0, " Tons "), (2.0, "KGS"), (2.0, None), (None, "kg")], "a double, b string") == [2000.0, 2.0, 2.0, None]
     assert values(spark, S.plastic_label(F.col("a")), ["PET", "pp", "Hdpe", None]) == ["PET 1", "PP 5", "Hdpe", None]
     assert values(spark, S.is_domestic_recycler(F.col("a")), ["Acme PRIVATE LIMITED", "Acme GmbH", None]) == [True, False, False]
+
+
+def test_two_decimals_of_the_binary_value(spark):
+    rng = random.Random(1)
+    numbers = [1.005, 0.125, -0.125, 2.675, -1.005, 0.0, 99.995, 9999999999999.99] + [rng.randrange(10**12) / 1000 for _ in range(500)] + [rng.randrange(10**9) / 8 for _ in range(500)]
+    for x, text in values(spark, F.struct("a", S.two_decimals(F.col("a"))), [(x,) for x in numbers], "a double"):
+        exact = abs(Decimal(x)).quantize(Decimal("0.01"), ROUND_HALF_UP)
+        assert text == ("-" if x < 0 else "") + str(exact)
+    assert values(spark, S.normalize_number(F.col("a")), [("1.005",), ("7",), (None,), ("",), ("x",)]) == ["1.00", "7.00", "0", "0", "0"]
+
+
+def test_repeated_rules_never_multiply_groups(spark):
+    names = "country string, rule_name string, required_documents array<string>, optional_documents array<string>, minimum_required int"
+    groups = spark.createDataFrame([("IN",), ("FR",), (None,)], "country string")
+    rules = [("IN", "a", ["invoice"], [], 1), ("IN", "b", ["invoice"], [], 1), (None, "c", [], [], 0), (None, "d", [], [], 0)]
+    got = {r["country"]: (r["rule_name"], r["rule_error"]) for r in apply_business_rule(groups, spark.createDataFrame(rules, names)).collect()}
+    assert got == {"IN": ("b", False), "FR": ("d", False), None: ("d", False)}
+    none = apply_business_rule(groups, spark.createDataFrame(rules[:1], names)).collect()
+    assert len(none) == 3 and {r["country"]: r["rule_error"] for r in none} == {"IN": False, "FR": True, None: True}
