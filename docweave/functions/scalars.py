@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ DOMESTIC = (
 )
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once, however often ``use`` names it; expressions built so grow by sums, not by products."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """``df`` with a column that the optimizer never copies into its uses: an explode of one element stands between."""
+    return df.withColumn(name, F.explode(F.array(c)))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -33,10 +45,9 @@ def json_text(doc: Column, key: str) -> Column:
 def json_truthy(doc: Column, *keys: str) -> Column:
     """The first field, as text, that is truthy: the number 0 and false are not, the text "0" is."""
     def one(key: str) -> Column:
-        value = json_text(doc, key)
         is_text = F.schema_of_variant(F.variant_get(doc, f"$.{key}", "variant")) == "STRING"
-        zero = ~is_text & (value.isin("false", "null") | (value.try_cast("double") == 0))
-        return F.when((value != "") & ~F.coalesce(zero, F.lit(False)), value)
+        zero = lambda value: ~is_text & (value.isin("false", "null") | (value.try_cast("double") == 0))
+        return bound(json_text(doc, key), lambda value: F.when((value != "") & ~F.coalesce(zero(value), F.lit(False)), value))
 
     return F.coalesce(*[one(k) for k in keys])
 
@@ -50,7 +61,7 @@ def normalize_text(c: Column) -> Column:
 def number_prefix(c: Column) -> Column:
     """The number that a text begins with, null without one."""
     found = F.regexp_extract(c, rf"^{SPACE}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
-    return blank_to_null(found).try_cast("double")
+    return bound(found, blank_to_null).try_cast("double")
 
 
 def two_decimals(value: Column) -> Column:
@@ -59,21 +70,22 @@ def two_decimals(value: Column) -> Column:
     200 times the value is compared with the odd number between two candidates. The value is split into halves of 26 bits whose
     products are exact, so the sign of the difference is.
     """
-    size = F.abs(value)
-    scaled = size * F.lit(134217729.0)  # 2^27 + 1
-    high = scaled - (scaled - size)
-    low = size - high
-    below = F.floor(size * 100)
-    over = (high * F.lit(200.0) - (below * 2 + 1).cast("double")) + low * F.lit(200.0)
-    cents = below + (over >= 0).cast("long")
-    text = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-    return F.when(size < F.lit(1e13), text).otherwise(F.format_string("%.2f", value))
+    def cents(size: Column) -> Column:
+        high = bound(size * F.lit(134217729.0), lambda scaled: scaled - (scaled - size))  # 2^27 + 1
+        below = F.floor(size * 100)
+        over = bound(high, lambda high: bound(below, lambda b: (high * F.lit(200.0) - (b * 2 + 1).cast("double")) + (size - high) * F.lit(200.0)))
+        return below + (over >= 0).cast("long")
+
+    def text(v: Column) -> Column:
+        exact = bound(cents(F.abs(v)), lambda n: F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0")))
+        return F.when(F.abs(v) < F.lit(1e13), exact).otherwise(F.format_string("%.2f", v))
+
+    return bound(value, text)
 
 
 def normalize_number(c: Column) -> Column:
     """Two decimals of the number in front; "0" for a null, empty or non-numeric text."""
-    value = number_prefix(c)
-    return F.when(c.isNull() | (c == "") | value.isNull(), F.lit("0")).otherwise(two_decimals(value))
+    return F.coalesce(bound(number_prefix(c), lambda v: F.when(v.isNotNull(), two_decimals(v))), F.lit("0"))
 
 
 def normalize_date(c: Column, mode: str = "reference") -> Column:
@@ -98,8 +110,8 @@ FINGERPRINT_KEYS = {
 
 
 def business_fingerprint(doc: Column, date_mode: str = "reference") -> Column:
-    """Six normalised fields of an extracted document (a variant), as one key."""
-    return fingerprint_of({name: json_truthy(doc, *keys) for name, keys in FINGERPRINT_KEYS.items()}, date_mode)
+    """Six normalised fields of an extracted document (a variant), as one key; the document is computed once. Tables go through ``with_fingerprint``."""
+    return bound(doc, lambda d: fingerprint_of({name: json_truthy(d, *keys) for name, keys in FINGERPRINT_KEYS.items()}, date_mode))
 
 
 def fingerprint_of(fields: dict[str, Column], date_mode: str = "reference") -> Column:
@@ -112,13 +124,15 @@ def fingerprint_of(fields: dict[str, Column], date_mode: str = "reference") -> C
 def with_fingerprint(df: DataFrame, json: str = "raw_json", name: str = "business_fingerprint", date_mode: str = "reference") -> DataFrame:
     """``df`` with the fingerprint of a column of JSON texts, each parsed once.
 
-    An explode of one element stands between the steps: without it the optimizer copies the parse into every use of a field.
     A text that is no JSON has the empty fingerprint.
     """
-    once = lambda c: F.explode(F.array(c))
-    parsed = df.withColumn("__doc", once(F.try_parse_json(json)))
-    fields = F.struct(*[json_truthy(F.col("__doc"), *keys).alias(n) for n, keys in FINGERPRINT_KEYS.items()])
-    read = parsed.withColumn("__fields", once(fields)).drop("__doc")
+    return fingerprint_of_parsed(once(df, "__doc", F.try_parse_json(json)), "__doc", name, date_mode).drop("__doc")
+
+
+def fingerprint_of_parsed(df: DataFrame, doc: str, name: str = "business_fingerprint", date_mode: str = "reference") -> DataFrame:
+    """``df`` with the fingerprint of a column of variants; fields are read once, then normalised."""
+    fields = F.struct(*[json_truthy(F.col(doc), *keys).alias(n) for n, keys in FINGERPRINT_KEYS.items()])
+    read = once(df, "__fields", fields)
     return read.withColumn(name, fingerprint_of({n: F.col("__fields").getField(n) for n in FINGERPRINT_KEYS}, date_mode)).drop("__fields")
 
 

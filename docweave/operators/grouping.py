@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_truthy, invoice_group_key, json_text, json_truthy
+from ..functions.scalars import first_truthy, invoice_group_key, json_text, json_truthy, once
 
 #: Rules when none are given: country (null: every other), name, required, optional, least number.
 DEFAULT_RULES = [("IN", "india", ["invoice", "e-way-bill"], ["eft_receipt"], 2), (None, "global", ["invoice", "eft_receipt", "e-way-bill"], [], 3)]
@@ -32,7 +32,7 @@ def apply_business_rule(groups: DataFrame, rules: DataFrame) -> DataFrame:
 def group_documents(parsed: DataFrame, rules: DataFrame) -> DataFrame:
     """Groups by (user, invoice number): one shuffle, newest document first in every list."""
     doc = F.col("doc")
-    p = parsed.withColumn("doc", F.try_parse_json("raw_json"))
+    p = once(parsed, "doc", F.try_parse_json("raw_json"))
     address = F.coalesce(json_truthy(doc, "ship_to_address"), json_truthy(doc, "bill_to_address"))
     ship = F.when(F.col("document_type") == "e-way-bill", json_truthy(doc, "ship_to_country_code"))
     p = p.select(

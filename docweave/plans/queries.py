@@ -477,21 +477,42 @@ def upsert_promoted(spark, sf_dir):
     return out.select("invoice_number", "user_id", "recycler_company", "weight_kg", "status", "human_verified", "city", "change")
 
 
-@query("load_extractions", r"""WITH resp AS (SELECT id, user_id, file_url, created_at, length(id) % 4 AS kind, raw_json, document_type AS dt FROM parsed_documents WHERE created_at >= TIMESTAMP '1996-01-01'),
+_LOADED = r"""WITH resp AS (SELECT id, user_id, file_url, created_at, length(id) % 4 AS kind, raw_json, document_type AS dt FROM parsed_documents WHERE created_at >= TIMESTAMP '1996-01-01'),
 good AS (SELECT * FROM resp WHERE kind <> 3), hist AS (SELECT DISTINCT """ + _FP + " AS fp FROM parsed_documents WHERE created_at < TIMESTAMP '1996-01-01'), f AS (SELECT *, dt AS document_type, " + _FP + """ AS fp FROM (SELECT id, user_id, file_url, created_at, raw_json, dt, json_extract_string(raw_json, '$.anchor_key') AS anchor_key FROM good)),
-m AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY created_at, id) > 1 AND dt = 'invoice' AS again FROM f)
-SELECT id, dt AS document_type, 'dedup' AS route, json_extract_string(raw_json, '$.invoice') AS anchor_key, fp AS business_fingerprint, CASE WHEN again OR (dt = 'invoice' AND fp IN (SELECT fp FROM hist)) THEN 'skipped_duplicate' ELSE 'processed' END AS page_status FROM m
-UNION ALL SELECT id, NULL, 'failed', NULL, NULL, 'failed' FROM resp WHERE kind = 3""")
-def load_extractions(spark, sf_dir):
+m AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY created_at, id) > 1 AND dt = 'invoice' AS again FROM f),
+loaded AS (SELECT id, user_id, file_url, created_at, raw_json, dt AS document_type, 'dedup' AS route, json_extract_string(raw_json, '$.invoice') AS anchor_key, fp AS business_fingerprint, CASE WHEN again OR (dt = 'invoice' AND fp IN (SELECT fp FROM hist)) THEN 'skipped_duplicate' ELSE 'processed' END AS page_status FROM m
+UNION ALL SELECT id, user_id, file_url, created_at, NULL, NULL, 'failed', NULL, NULL, 'failed' FROM resp WHERE kind = 3)"""
+
+
+def _responses(spark, sf_dir):
+    """Answers made of stored documents, fenced, plain or cut short, and the fingerprints of the older ones."""
     p, cut = view(spark, sf_dir, "parsed_documents"), F.lit("1996-01-01").cast("timestamp")
     kind, raw = F.length("id") % 4, F.col("raw_json")
     text = F.when(kind == 0, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("```\n"), raw, F.lit("\n```\n"))).when(kind == 2, raw).otherwise(F.substring(raw, 1, 20))
     history = p.where(F.col("created_at") < cut).select("raw_json").transform(S.with_fingerprint).select("business_fingerprint")
-    out = extraction.load_extractions(p.where(F.col("created_at") >= cut).select("id", "user_id", "file_url", "created_at", text.alias("response_text")), history)
+    return p.where(F.col("created_at") >= cut).select("id", "user_id", "file_url", "created_at", text.alias("response_text")), history
+
+
+@query("load_extractions", _LOADED + " SELECT id, document_type, route, anchor_key, business_fingerprint, page_status FROM loaded")
+def load_extractions(spark, sf_dir):
+    out = extraction.load_extractions(*_responses(spark, sf_dir))
     failed = F.col("route") == "failed"
     return out.select("id", "document_type", "route", "anchor_key", F.when(~failed, F.col("business_fingerprint")).alias("business_fingerprint"), "page_status")
 
 
+@query("store_extractions", _LOADED + """ SELECT 'parsed_documents' AS stored_in, 'S' || substr(id, 2) AS id, user_id, 'processed' AS status, NULL AS last_error, document_type, anchor_key, business_fingerprint, file_url, created_at, json_extract_string(raw_json, '$.invoice') AS invoice FROM loaded WHERE page_status = 'processed'
+UNION ALL SELECT 'single_documents', s.id, s.user_id, coalesce(l.page_status, s.status), CASE l.page_status WHEN 'failed' THEN 'JSON parsing failed!' WHEN 'processed' THEN NULL WHEN 'skipped_duplicate' THEN 'Duplicate of existing document: ' || l.anchor_key ELSE s.last_error END,
+  NULL, NULL, NULL, NULL, NULL, NULL FROM single_documents s LEFT JOIN loaded l ON 'S' || substr(l.id, 2) = s.id""")
+def store_extractions(spark, sf_dir):
+    responses, history = _responses(spark, sf_dir)
+    pages = responses.withColumn("id", F.concat(F.lit("S"), F.expr("substr(id, 2)")))
+    parsed, single = extraction.store_extractions(pages, history, view(spark, sf_dir, "single_documents"), tables.new_folder(spark, "extractions"))
+    parsed = parsed.select("*", F.try_variant_get(F.parse_json("raw_json"), "$.invoice", "string").alias("invoice")).drop("raw_json")
+    rows = parsed.withColumns({"stored_in": F.lit("parsed_documents"), "status": F.lit("processed")})
+    both = rows.unionByName(single.select("id", "user_id", "status", "last_error", F.lit("single_documents").alias("stored_in")), allowMissingColumns=True)
+    return both.select("stored_in", "id", "user_id", "status", "last_error", "document_type", "anchor_key", "business_fingerprint", "file_url", "created_at", "invoice")
+
+
 @query("dashboard_stats", f"""WITH k AS (SELECT id, user_id, created_at, coalesce(nullif(anchor_key, ''), json_extract_string(raw_json, '$.invoice')) AS invoice_number, coalesce(TRY_CAST({_truthy('weight', 'tonnage_tons', 'weight_kg')} AS DOUBLE), 0) AS kg FROM parsed_documents),
 g AS (SELECT f.* FROM document_groups_flat f WHERE (user_id, invoice_number) IN (SELECT (user_id, invoice_number) FROM k) AND last_processed_at >= TIMESTAMP '1995-01-01' AND last_processed_at < TIMESTAMP '1997-01-01'),
 x AS (SELECT user_id, sum(kg) AS kg FROM k WHERE (user_id, invoice_number) IN (SELECT (user_id, invoice_number) FROM g WHERE is_complete) GROUP BY 1),

@@ -43,3 +43,31 @@ def test_stream_drops_invoices_of_earlier_batches(spark, tmp_path):
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     kept = {r["id"] for r in jobs.stream_deduplicate(stream).collect()}
     assert {"2", "4", "5"} <= kept and len(kept & {"1", "3"}) == 1
+
+
+def test_extractions_are_stored_once_and_pages_follow(spark, tmp_path):
+    kind = "id string, user_id string, file_url string, created_at timestamp, response_text string"
+    rows = [
+        ("1", "u", "f1", None, '{"document_type":"invoice","invoice":"A"}'), ("2", "u", "f2", None, '```json\n{"document_type":"invoice","invoice":"a"}\n```'), ("3", "u", "f3", None, "{"),
+        ("4", "u", "f4", None, '{"document_type":"additional_document"}'), ("5", "u", "f5", None, '{"document_type":"eft_receipt","invoice":"A"}'), ("6", "u", "f6", None, '{"document_type":"invoice","invoice":"old"}'), ("7", None, None, None, None),
+    ]
+    pages = spark.createDataFrame([(str(i), "u", "uploaded", "before") for i in range(1, 9)], "id string, user_id string, status string, last_error string")
+    old = spark.createDataFrame([("inv:old|wgt:0|from:|to:|date:|amt:0",), (None,)], "business_fingerprint string")
+    for _ in range(2):  # a repeated run changes nothing
+        parsed, single = extraction.store_extractions(spark.createDataFrame(rows, kind), old, pages, f"file://{tmp_path}/x")
+        assert {(r["id"], r["anchor_key"]) for r in parsed.collect()} == {("1", "A"), ("5", "A")}
+        got = {r["id"]: (r["status"], r["last_error"]) for r in single.collect()}
+        assert got == {
+            "1": ("processed", None), "2": ("skipped_duplicate", "Duplicate of existing document: a"), "3": ("failed", "JSON parsing failed!"), "4": ("processed", None), "5": ("processed", None),
+            "6": ("skipped_duplicate", "Duplicate of existing document: old"), "7": ("failed", "JSON parsing failed!"), "8": ("uploaded", "before"),
+        }
+
+
+def test_plans_stay_short(spark):
+    from docweave.functions import scalars as S
+
+    df = spark.createDataFrame([], "id string, user_id string, file_url string, created_at timestamp, response_text string")
+    plan = extraction.load_extractions(df, spark.createDataFrame([], "business_fingerprint string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 40_000 and plan.count("parse_json") <= 2
+    numbers = spark.createDataFrame([], "a string").select(S.normalize_number(F.concat("a", F.lit("kg"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert numbers.count("regexp_extract") == 1
