@@ -35,6 +35,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_join(rows: DataFrame, few: DataFrame, same: Column, left: str, right: str, spread: Column, bound: int = 100_000, salts: int = 32) -> DataFrame:
+    """``rows`` with what ``few``, one row a key, has for theirs (left join on ``same``).
+
+    ``few`` is counted: up to ``bound`` rows are broadcast; beyond, both sides are shuffled by the key and a salt drawn from ``spread``, with
+    every row of ``few`` under each salt, so that a key of a third of all rows is dealt to many tasks.
+    """
+    if few.limit(bound + 1).count() <= bound:
+        return rows.join(F.broadcast(few), same, "left")
+    salted = rows.withColumn("__salt", F.pmod(spread, F.lit(salts)))
+    out = salted.join(few.withColumn("__each", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), same & (F.col("__salt") == F.col("__each")), "left")
+    return out.drop("__salt", "__each")
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
