@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_truthy, invoice_group_key, json_text, json_truthy, once
@@ -57,11 +57,26 @@ def completeness(groups: DataFrame) -> DataFrame:
     return out.withColumn("can_verify", F.col("is_complete")).withColumn("completion_percentage", percent.cast("int"))
 
 
-def group_references(parsed: DataFrame) -> DataFrame:
-    """Groups by the canonical key, receipts also under the further invoices they name."""
-    doc = F.try_parse_json("raw_json")
-    names = F.array(first_truthy(F.col("anchor_key"), json_text(doc, "invoice")), *[F.when(F.col("document_type") == "eft_receipt", json_truthy(doc, k)) for k in ("second_invoice", "third_invoice")])
-    each = parsed.select("id", "user_id", "document_type", F.explode(F.array_distinct(F.transform(F.array_compact(names), lambda x: invoice_group_key(x)))).alias("group_key"))
+def document_names(document_type: Column, anchor_key: Column, doc: Column) -> Column:
+    """The invoice numbers that a document belongs to: its own and, for a receipt, the second and third that it names."""
+    further = [F.when(document_type == "eft_receipt", json_truthy(doc, k)) for k in ("second_invoice", "third_invoice")]
+    names = F.array(first_truthy(anchor_key, json_text(doc, "invoice")), *further)
+    return F.filter(F.array_distinct(F.transform(F.array_compact(names), lambda n: F.btrim(n))), lambda n: n != "")
+
+
+def group_references(parsed: DataFrame, known_only: bool = False) -> DataFrame:
+    """Groups by the canonical key, receipts also under the further invoices they name; ``known_only``: under those that an invoice document of the user has.
+
+    Before the fan-out the names of receipts meet the keys of invoices in a semi-join; a document's own number always holds.
+    """
+    names = document_names(F.col("document_type"), F.col("anchor_key"), F.col("doc"))
+    first = invoice_group_key(first_truthy(F.col("anchor_key"), json_text(F.col("doc"), "invoice")))
+    each = once(once(parsed, "doc", F.try_parse_json("raw_json")), "own_key", first)
+    each = each.select("id", "user_id", "document_type", "own_key", F.explode(F.array_distinct(F.transform(names, lambda x: invoice_group_key(x)))).alias("group_key"))
+    if known_only:
+        own = F.col("group_key").eqNullSafe(F.col("own_key"))
+        known = each.where(own & (F.col("document_type") == "invoice")).select("user_id", "group_key").distinct()
+        each = each.where(own).unionByName(each.where(~own).join(known, ["user_id", "group_key"], "left_semi").select(*each.columns))
     return each.groupBy("user_id", "group_key").agg(F.countDistinct("id").alias("documents"), F.array_join(F.sort_array(F.collect_set("document_type")), ",").alias("types"))
 
 

@@ -547,6 +547,38 @@ def stream_deduplicate(spark, sf_dir):
     return jobs.stream_deduplicate(p).select("id", "document_type", "business_fingerprint")
 
 
+_FEED = """WITH doc AS (SELECT id, user_id, document_type, CASE WHEN right(id, 1) NOT IN ('1', '2') THEN anchor_key END AS anchor, CASE WHEN right(id, 1) IN ('1', '2') THEN replace(replace(raw_json, 'MAT/', 'MOV/'), 'MAT-', 'MOV-') ELSE raw_json END AS j FROM parsed_documents WHERE right(id, 1) <> '0'),
+src AS (SELECT id, user_id, document_type, coalesce(anchor, json_extract_string(j, '$.invoice')) AS invoice_number FROM doc UNION SELECT id, user_id, document_type, json_extract_string(j, '$.second_invoice') FROM doc WHERE document_type = 'eft_receipt')"""
+
+
+def _feed(spark, sf_dir):
+    """A change feed as a stream: every document is inserted; some are moved, some deleted, some deleted and inserted again."""
+    p = _streamed(spark, sf_dir, "parsed_documents")
+    last = F.expr("right(id, 1)")
+    event = lambda n, op, when: F.when(when, F.struct(F.lit(n).cast("long").alias("event_id"), F.lit(op).alias("op")))
+    ops = F.array_compact(F.array(event(1, "INSERT", F.lit(True)), event(2, "UPDATE", last.isin("1", "2", "3")), event(3, "DELETE", last.isin("0", "3")), event(4, "INSERT", last == "3")))
+    moved = F.col("op") == "UPDATE"
+    body = F.when(moved, F.replace(F.replace("raw_json", F.lit("MAT/"), F.lit("MOV/")), F.lit("MAT-"), F.lit("MOV-"))).otherwise(F.col("raw_json"))
+    each = p.withColumn("e", F.explode(ops)).select("*", "e.*").withColumn("raw_json", body).withColumn("anchor_key", F.when(~moved, F.col("anchor_key")))
+    return each.withColumnRenamed("created_at", "ts").drop("e")
+
+
+@query("stream_group_changes", _FEED + _PARSE + """, k AS (SELECT DISTINCT id, user_id, document_type, concat_ws('-', prefix, year, period, number) AS group_key, coalesce(region, '') AS region FROM src JOIN pi ON src.invoice_number = pi.inv),
+c AS (SELECT *, CASE WHEN region = '' THEN min(nullif(region, '')) OVER (PARTITION BY user_id, group_key) ELSE region END AS class FROM k)
+SELECT user_id, group_key, class AS region, count(*) AS documents, count(*) FILTER (document_type = 'invoice') AS invoice, count(*) FILTER (document_type = 'eft_receipt') AS eft_receipt, count(*) FILTER (document_type = 'e-way-bill') AS e_way_bill, count(DISTINCT document_type) = 3 AS complete FROM c GROUP BY ALL""")
+def stream_group_changes(spark, sf_dir):
+    return jobs.stream_group_changes(_feed(spark, sf_dir), tables.new_folder(spark, "group-changes")).drop("closed")
+
+
+@query("group_references_known", """WITH own AS (SELECT id, user_id, document_type, coalesce(nullif(anchor_key, ''), json_extract_string(raw_json, '$.invoice')) AS invoice_number FROM parsed_documents),
+more AS (SELECT id, user_id, document_type, json_extract_string(raw_json, '$.second_invoice') AS invoice_number FROM parsed_documents WHERE document_type = 'eft_receipt'), src AS (FROM own UNION ALL FROM more)""" + _PARSE + """
+, k AS (SELECT inv, concat_ws('-', prefix, nullif(region, ''), year, period, number) AS group_key FROM pi), o AS (SELECT own.*, group_key FROM own JOIN k ON own.invoice_number = inv), m AS (SELECT more.*, group_key FROM more JOIN k ON more.invoice_number = inv)
+SELECT user_id, group_key, count(DISTINCT id) AS documents, array_to_string(list_sort(list(DISTINCT document_type)), ',') AS types
+FROM (FROM o UNION ALL (FROM m WHERE EXISTS (SELECT 1 FROM o WHERE o.document_type = 'invoice' AND o.user_id = m.user_id AND o.group_key = m.group_key))) GROUP BY 1, 2""")
+def group_references_known(spark, sf_dir):
+    return grouping.group_references(view(spark, sf_dir, "parsed_documents"), known_only=True)
+
+
 @query("groups_with_documents", """SELECT user_id, coalesce(nullif(anchor_key, ''), json_extract_string(raw_json, '$.invoice')) AS invoice_number, document_type, string_agg(id, ',' ORDER BY id) AS ids FROM parsed_documents GROUP BY ALL""")
 def groups_with_documents(spark, sf_dir):
     parsed = view(spark, sf_dir, "parsed_documents")

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import first_truthy, json_text
-from ..operators.grouping import group_documents
-from ..operators.matching import mark_duplicates
+from ..functions.scalars import bound, first_truthy, json_text, once, parse_invoice_number
+from ..operators.grouping import document_names, group_documents
 from ..sources.tables import new_folder
+from .state import CLASSES, DocumentVersions, FirstOfFingerprint, GroupCounts, candidates, use_store
 
 
 def stream_throughput(events: DataFrame, time: str, width: str, delay: str = "0 seconds") -> DataFrame:
@@ -43,51 +43,110 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", path: str
 def stream_deduplicate(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Documents that are kept as they arrive: repeated invoices are dropped within a batch and against all earlier batches.
 
-    Each batch has a folder of its own that is overwritten when the batch is run again, and looks only at folders before its own, so a
-    restart with the same ``path`` changes nothing and goes on behind the last batch. ``stream`` has id, user_id, document_type, created_at
-    and business_fingerprint. A stream without rows gives none.
+    The first document of a fingerprint in a batch is that with the least (created_at, id). What has been seen is keyed state: a batch
+    looks up its own fingerprints and reads nothing of earlier batches. A task sends only its first row of a fingerprint to the
+    state and drops its later invoices itself, so a fingerprint of very many documents meets no single task. A restart with the
+    same ``path`` changes nothing and goes on behind the last batch. ``stream`` has id, user_id, document_type, created_at and
+    business_fingerprint. A stream without rows gives none.
     """
-    path = path or new_folder(stream.sparkSession, "stream-deduplicate")
+    use_store(stream.sparkSession)
     names = ["id", "user_id", "document_type", "created_at", "business_fingerprint"]
-    numbered = stream.select(*names).schema.add("batch", "long")
+    rows = stream.select(*names)
+    kept = candidates(rows).groupBy("business_fingerprint", "salt").transformWithState(FirstOfFingerprint(), rows.schema, "append", "None")
+    return run_available(kept, "stream-deduplicate", path=path)
+
+
+def stream_group_changes(events: DataFrame, path: str, close_after: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Groups of a change feed: (user_id, group_key, region, documents, invoice, eft_receipt, e_way_bill, complete, closed).
+
+    ``events`` has event_id, ts, op (INSERT, UPDATE or DELETE) and the columns of parsed_documents. Of a document its event with the greatest event_id
+    holds, in whatever order they come; an update takes it out of groups it no longer names. A document is in the group of each invoice number that
+    ``grouping.document_names`` finds; a group is the numbers of one user that agree but for their region, and has a class for each region.
+    Two queries with a stored log between them: keyed state by document makes changes of groups, which are summed up before they are
+    written, so that a group of very many documents is a few rows a batch; keyed state by group holds the counts. With
+    ``close_after`` a group whose classes are all complete is closed when the feed's time, less ``delay``, is that much past its last
+    change: its counts leave the state, and later changes of it are ignored. A restart with the same ``path`` goes on behind the last batch.
+    """
+    spark = events.sparkSession
+    use_store(spark)
+    log = "user_id string, group_key string, region string, document_type string, change long, ts timestamp"
+    places = F.transform(document_names(F.col("document_type"), F.col("anchor_key"), F.col("doc")), lambda n: bound(parse_invoice_number(n), lambda p: F.struct(F.concat_ws("-", p["prefix"], p["year"], p["period"], p["number"]).alias("group_key"), p["region"].alias("region"))))
+    named = once(events, "doc", F.try_parse_json("raw_json")).select("user_id", "id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "op", "document_type", F.array_distinct(places).alias("places"))
+    changes = named.groupBy("user_id", "id").transformWithState(DocumentVersions(), log, "update", "None")
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*names)
-        repeated = mark_duplicates(rows).where("is_duplicate").select("id")
-        kept = rows.join(repeated, "id", "left_anti")
-        before = _stored(batch, numbered, f"{path}/rows").where(F.col("batch") < number)
-        seen = before.select("business_fingerprint", F.lit("invoice").alias("document_type"))
-        kept = kept.join(seen, ["business_fingerprint", "document_type"], "left_anti")
-        kept.select(*names).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        summed = batch.groupBy("user_id", "group_key", "region", "document_type").agg(F.sum("change").alias("change"), F.max("ts").alias("ts"))
+        summed.where("change <> 0").write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
-    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return _stored(stream, numbered, f"{path}/rows").select(*names)
+    changes.writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", f"{path}/checkpoint-changes").trigger(availableNow=True).start().awaitTermination()
+    found = f"user_id string, group_key string, classes {CLASSES}, closed boolean"
+    numbered = spark.createDataFrame([], f"{found}, batch long").schema
+    if not _stored(events, spark.createDataFrame([], f"{log}, batch long").schema, f"{path}/changes").isEmpty():
+        feed = spark.readStream.schema(f"{log}, batch long").parquet(f"{path}/changes").withWatermark("ts", delay)
+        after = None if close_after is None else int(spark.range(1).select(F.expr(f"CAST(INTERVAL {close_after} AS INTERVAL DAY TO SECOND)").alias("i")).first()["i"].total_seconds() * 1000)
+        groups = feed.groupBy("user_id", "group_key").transformWithState(GroupCounts(after), found, "update", "EventTime")
+
+        def put(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/groups/batch={number}")
 
+        groups.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{path}/checkpoint-groups").trigger(availableNow=True).start().awaitTermination()
+    rows = _stored(events, numbered, f"{path}/groups")
+    last = rows.groupBy("user_id", "group_key").agg(F.max_by(F.struct("classes", "closed"), "batch").alias("g"))
+    return last.select("user_id", "group_key", "g.closed", F.explode("g.classes").alias("c")).select("user_id", "group_key", "c.*", "closed")
 
-def stream_upsert(stream: DataFrame, path: str, rules: DataFrame) -> DataFrame:
+
+def stream_upsert(stream: DataFrame, path: str, rules: DataFrame, buckets: int = 256) -> DataFrame:
     """The groups of all documents that have arrived: each batch groups anew only the (user, invoice number) that it touches.
 
-    Documents and groups have a folder for each batch, overwritten when the batch is run again; a batch reads documents up to its own, so a
-    restart with the same ``path`` changes nothing. Of a group the last batch's row holds. A document that arrives twice counts once. ``stream`` has the columns of parsed_documents; documents
-    without an invoice number are stored and in no group.
+    Documents are stored by bucket of their group, and an index by bucket of their id says where each one is. A batch reads the index
+    buckets of its ids and the document buckets of its groups, the old ones of documents that move included; a document that moves
+    leaves a mark in its old group. Of a document the last batch's version holds, within a batch the greatest (created_at, raw_json). Folders of a
+    batch are overwritten when it is run again, and a batch reads folders up to its own, so a restart with the same ``path`` changes nothing. Of a group the
+    last batch's row holds; one that all documents have left is gone. ``stream`` has the columns of parsed_documents; documents
+    without an invoice number are indexed and in no group, as are those without an id, each of which is a document of its own.
     """
     spark = stream.sparkSession
     key = ["user_id", "invoice_number"]
-    documents = stream.schema.add("invoice_number", "string").add("batch", "long")
+    columns = stream.columns
+    more = spark.createDataFrame([], "invoice_number string, gone boolean, batch long, bucket int").schema
+    documents = StructType([*stream.schema.fields, *more.fields])
+    index = spark.createDataFrame([], "id string, user_id string, invoice_number string, batch long, slot int").schema
     groups = group_documents(spark.createDataFrame([], stream.schema), rules).schema.add("batch", "long")
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
+
+    def touched(df: DataFrame, name: str) -> list[int]:
+        return [r[0] for r in df.select(name).distinct().collect()]
 
     def add(batch: DataFrame, number: int) -> None:
-        named = batch.withColumn("invoice_number", first_truthy(F.col("anchor_key"), json_text(F.try_parse_json("raw_json"), "invoice")))
-        named.write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
-        stored = _stored(batch, documents, f"{path}/documents").where(F.col("batch") <= number)
-        touched = stored.where(F.col("batch") == number).select(*key).distinct()
-        members = stored.join(touched, key, "left_semi").dropDuplicates(["id"]).select(*batch.columns)
-        group_documents(members, rules).write.mode("overwrite").parquet(f"{path}/groups/batch={number}")
+        named = once(batch, "__doc", F.try_parse_json("raw_json")).withColumn("invoice_number", first_truthy(F.col("anchor_key"), json_text(F.col("__doc"), "invoice"))).drop("__doc")
+        own = F.struct("created_at", "raw_json", *[c for c in columns if c not in ("created_at", "raw_json")], "invoice_number")
+        newest = named.where("id IS NOT NULL").groupBy("id").agg(F.max(own).alias("d")).select("d.*").unionByName(named.where("id IS NULL"))
+        newest.select(*columns, "invoice_number").write.mode("overwrite").parquet(f"{path}/arrived/batch={number}")
+        newest = spark.read.schema(named.select(*columns, "invoice_number").schema).parquet(f"{path}/arrived/batch={number}")
+        ids = newest.where("id IS NOT NULL").withColumn("slot", slot("id"))
+        places = _stored(batch, index, f"{path}/index").where((F.col("batch") < number) & F.col("slot").isin(touched(ids, "slot")))
+        known = places.groupBy("id").agg(F.max_by(F.struct(*key), "batch").alias("old"))
+        moved = ids.join(known, "id").where(~(F.col("old.user_id").eqNullSafe(F.col("user_id")) & F.col("old.invoice_number").eqNullSafe(F.col("invoice_number"))))
+        marks = moved.select("id", "old.*").where("invoice_number IS NOT NULL").withColumn("gone", F.lit(True))
+        ids.select("id", *key, "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/index/batch={number}")
+        stored = newest.where("invoice_number IS NOT NULL").withColumn("gone", F.lit(False)).unionByName(marks, allowMissingColumns=True).withColumn("bucket", slot(*key))
+        stored.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/documents/batch={number}")
+        now = _stored(batch, documents, f"{path}/documents")
+        mine = now.where(F.col("batch") == number)
+        near = now.where((F.col("batch") <= number) & F.col("bucket").isin(touched(mine, "bucket")))
+        keys = mine.select(F.col("user_id").alias("u"), F.col("invoice_number").alias("i")).distinct()
+        members = near.join(keys, F.col("user_id").eqNullSafe(F.col("u")) & (F.col("invoice_number") == F.col("i")), "left_semi")
+        version = F.struct("batch", ~F.col("gone"), *columns)
+        last = members.where("id IS NOT NULL").groupBy(*key, "id").agg(F.max_by(F.struct("gone", *[c for c in columns if c not in ("id", "user_id")]), version).alias("v"))
+        current = last.where("NOT v.gone").select("id", "user_id", "v.*").select(*columns).unionByName(members.where("id IS NULL AND NOT gone").select(*columns))
+        made = group_documents(current, rules)
+        left = keys.join(made.select(F.col("user_id").alias("u2"), F.col("invoice_number").alias("i2")), F.col("u").eqNullSafe(F.col("u2")) & (F.col("i") == F.col("i2")), "left_anti")
+        emptied = left.select(F.col("u").alias("user_id"), F.col("i").alias("invoice_number"))
+        made.unionByName(emptied, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}/groups/batch={number}")
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = _stored(stream, groups, f"{path}/groups")
     whole = F.struct(*[c for c in rows.columns if c not in key])
     last = rows.groupBy(*key).agg(F.max_by(whole, "batch").alias("g"))
-    return last.select(*key, "g.*").drop("batch")
+    return last.select(*key, "g.*").drop("batch").where("present_document_ids IS NOT NULL")
