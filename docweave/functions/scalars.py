@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 SPACE = "[\\t\\n\\u000B\\f\\r\\u0020\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 TONNES = ("t", "ton", "tons", "tonne", "tonnes")
 PLASTIC_LABELS = {"PET": "PET 1", "PP": "PP 5", "PVC": "PVC 3", "LDPE": "LDPE 4"}
+#: Words of a domestic recycler's name when groups are promoted.
 DOMESTIC = (
     "private limited", "pvt ltd", "limited", "ltd", "enterprises", "industries", "india", "indian", "mumbai", "delhi", "bangalore", "chennai", "kolkata", "hyderabad", "pune", "ahmedabad", "surat", "jaipur", "lucknow",
     "kanpur", "nagpur", "indore", "bhopal", "visakhapatnam", "patna", "vadodara", "ludhiana", "agra", "nashik", "faridabad", "meerut", "rajkot", "kalyan", "vasai-virar", "varanasi", "srinagar", "aurangabad", "dhanbad",
     "amritsar", "navi mumbai", "allahabad", "howrah", "gwalior", "jabalpur", "coimbatore", "vijayawada", "jodhpur", "madurai", "raipur", "kota", "guwahati", "chandigarh", "solapur", "noida", "gurgaon", "rangpar",
 )
 
+#: The words when groups are listed.
+DOMESTIC_SHOWN = (
+    "private limited", "pvt ltd", "limited", "ltd", "enterprises", "industries", "india", "indian", "mumbai", "delhi", "bangalore", "chennai", "kolkata", "hyderabad", "pune", "ahmedabad", "surat", "jaipur", "lucknow",
+    "kanpur", "nagpur", "indore", "bhopal", "visakhapatnam", "patna", "vadodara", "ludhiana", "agra", "nashik", "faridabad", "meerut", "rajkot", "kalyan", "vasai-virar", "varanasi", "srinagar", "aurangabad", "dhanbad",
+    "amritsar", "navi mumbai", "allahabad", "howrah", "gwalior", "jabalpur", "coimbatore", "vijayawada", "jodhpur", "madurai", "raipur", "kota", "guwahati", "chandigarh", "solapur", "hubli-dharwad", "bareilly", "moradabad",
+    "mysore", "gurgaon", "aligarh", "jalandhar", "tiruchirappalli", "bhubaneswar", "salem", "mira-bhayandar", "warangal", "thiruvananthapuram", "guntur", "bhiwandi", "saharanpur", "gorakhpur", "bikaner", "amravati", "noida",
+    "jamshedpur", "bhilai", "cuttack", "firozabad", "kochi", "bhavnagar", "dehradun", "durgapur", "asansol", "nanded", "kolhapur", "ajmer", "gulbarga", "jamnagar", "ujjain", "loni", "siliguri", "jhansi", "ulhasnagar", "nellore",
+    "jammu", "sangli-miraj & kupwad", "belgaum", "mangalore", "ambattur", "tirunelveli", "malegaon", "gaya", "jalgaon", "udaipur", "maheshtala", "rangpar",
+)
+
 
 def bound(c: Column, use: Callable[[Column], Column]) -> Column:
     """``use(c)`` with ``c`` computed once, however often ``use`` names it; expressions built so grow by sums, not by products."""
@@ -88,14 +99,58 @@ def normalize_number(c: Column) -> Column:
     return F.coalesce(bound(number_prefix(c), lambda v: F.when(v.isNotNull(), two_decimals(v))), F.lit("0"))
 
 
+_MONTH, _WEEKDAY = r"([A-Za-z]{3,9})\.?", r"^(?:[A-Za-z]{3,9},?\s+)?"
+#: A time of day behind a date: hour, minute, half of the day and offset to UTC.
+TIME = r"[T ,]+(\d{1,2}):(\d{2})(?::\d{2}(?:\.\d+)?)?\s*([AaPp][Mm])?\s*(?:Z|UTC|GMT)?([+-]\d{2}:?\d{2})?(?:\s*\([^)]*\))?$"
+#: Month and day in front of the year, as numbers.
+NUMBERS = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
+#: The forms of a date, and which of their groups are year, month and day.
+DATE_FORMS = {
+    r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$": (1, 2, 3),
+    NUMBERS: (3, 1, 2),
+    _WEEKDAY + r"(\d{1,2})[ -]" + _MONTH + r"[ ,-]+(\d{4})$": (3, 2, 1),
+    _WEEKDAY + _MONTH + r"[ -]+(\d{1,2}),?[ -]+(\d{4})$": (3, 1, 2),
+    r"^(\d{4})[ -]" + _MONTH + r"[ -](\d{1,2})$": (1, 2, 3),
+}
+
+
 def normalize_date(c: Column, mode: str = "reference") -> Column:
-    """yyyy-MM-dd or ''. ``reference`` reads ISO dates, then month-day-year (day-first dates past the 12th give ''); ``dmy`` reads day-month-year."""
-    clean = F.btrim(F.coalesce(c, F.lit("")))
-    iso = F.regexp_extract(clean, r"^(\d{4}-\d{2}-\d{2})", 1)
-    a, b, y = (F.lpad(F.regexp_extract(clean, r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$", i), 4 if i == 3 else 2, "0") for i in (1, 2, 3))
-    month, day = (a, b) if mode == "reference" else (b, a)
-    parsed = F.coalesce(blank_to_null(iso).try_cast("date"), F.concat_ws("-", y, month, day).try_cast("date"))
-    return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), F.lit(""))
+    """yyyy-MM-dd in UTC or '': ``DATE_FORMS`` with an optional time and offset, which moves the date; a time without an offset is UTC.
+
+    ``reference`` reads numbers in front of a year as month and day (a month past the 12th gives ''); ``dmy`` as day and month. Days up to
+    the 31st run over into the next month where theirs has fewer. Names of months count by their first three letters.
+    """
+    number = lambda text: text.try_cast("int")
+    months = F.lit("jan feb mar apr may jun jul aug sep oct nov dec")
+
+    def parts(head: Column) -> Column:
+        found = []
+        for pattern, groups in DATE_FORMS.items():
+            y, m, d = groups
+            if mode != "reference" and pattern == NUMBERS:
+                m, d = d, m
+            found.append(F.when(head.rlike(pattern), F.struct(*[F.regexp_extract(head, pattern, i).alias(n) for i, n in ((y, "y"), (m, "m"), (d, "d"))])))
+        return F.coalesce(*found)
+
+    def minutes(t: Column) -> Column:
+        half, zone = F.upper(t["half"]), t["zone"]
+        hour = F.when(half == "PM", number(t["hour"]) % 12 + 12).when(half == "AM", number(t["hour"]) % 12).otherwise(number(t["hour"]))
+        away = (number(F.substring(zone, 2, 2)) * 60 + number(F.substring(zone, -2, 2))) * F.when(zone.startswith("-"), -1).otherwise(1)
+        return F.when(hour <= 24, hour * 60 + number(t["minute"]) - F.coalesce(away, F.lit(0)))
+
+    def date(f: Column) -> Column:
+        name = F.instr(months, F.lower(F.substring(f["m"], 1, 3)))
+        month = F.coalesce(number(f["m"]), F.when(name > 0, ((name - 1) / 4 + 1).cast("int")))
+        first = F.concat(f["y"], F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-01")).try_cast("date")
+        return F.when(number(f["d"]).between(1, 31), F.date_add(first, number(f["d"]) - 1))
+
+    def read(clean: Column) -> Column:
+        time = F.struct(*[F.regexp_extract(clean, TIME, i).alias(n) for i, n in enumerate(("hour", "minute", "half", "zone"), 1)])
+        day = bound(parts(F.btrim(F.regexp_replace(clean, TIME, ""))), date)
+        later = bound(time, lambda t: F.when(t["hour"] == "", 0).otherwise(minutes(t)))
+        return F.date_add(day, F.floor(later / 1440).cast("int"))
+
+    return F.coalesce(F.date_format(bound(F.btrim(F.coalesce(c, F.lit(""))), read), "yyyy-MM-dd"), F.lit(""))
 
 
 #: The fields of a fingerprint, each with the document's keys that it is taken from, in order.

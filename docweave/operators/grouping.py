@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_truthy, invoice_group_key, json_text, json_truthy, once
+from ..functions.scalars import DOMESTIC_SHOWN, first_truthy, invoice_group_key, is_domestic_recycler, json_text, json_truthy, once
+from .ranking import rank_by_ranges
 
 #: Rules when none are given: country (null: every other), name, required, optional, least number.
 DEFAULT_RULES = [("IN", "india", ["invoice", "e-way-bill"], ["eft_receipt"], 2), (None, "global", ["invoice", "eft_receipt", "e-way-bill"], [], 3)]
@@ -29,24 +30,59 @@ def apply_business_rule(groups: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select(*groups.columns, *[rule[f].alias(f) for f in fields], rule.isNull().alias("rule_error"))
 
 
-def group_documents(parsed: DataFrame, rules: DataFrame) -> DataFrame:
-    """Groups by (user, invoice number): one shuffle, newest document first in every list."""
+def _grouping_fields(parsed: DataFrame) -> DataFrame:
+    """(user_id, invoice_number, document_type, id, at, c1, c2, c3, company, plastic) of documents that name an invoice; each is parsed once."""
     doc = F.col("doc")
     p = once(parsed, "doc", F.try_parse_json("raw_json"))
     address = F.coalesce(json_truthy(doc, "ship_to_address"), json_truthy(doc, "bill_to_address"))
     ship = F.when(F.col("document_type") == "e-way-bill", json_truthy(doc, "ship_to_country_code"))
-    p = p.select(
+    return p.select(
         "user_id", first_truthy(F.col("anchor_key"), json_text(doc, "invoice")).alias("invoice_number"), "document_type", "id", F.struct("created_at", "id").alias("at"), F.upper(F.btrim(ship)).alias("c1"),
         F.upper(F.btrim(json_truthy(doc, "country"))).alias("c2"), F.when(F.lower(address).contains("india"), "IN").alias("c3"), json_truthy(doc, "bill_to_company_name", "ship_to_company_name", "recycler_company").alias("company"),
         json_truthy(doc, "plastic_type").alias("plastic"),
     ).where(F.col("invoice_number").isNotNull())
+
+
+def _newest_fields() -> list[Column]:
+    """Aggregates of a group's country, company and plastic, each from the newest document that has one."""
     newest = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("at")))
+    return [F.coalesce(newest("c1"), newest("c2"), newest("c3")).alias("country"), newest("company").alias("recycler_company"), newest("plastic").alias("plastic_type")]
+
+
+def group_documents(parsed: DataFrame, rules: DataFrame) -> DataFrame:
+    """Groups by (user, invoice number): one shuffle, newest document first in every list. Where a placeholder number holds very many documents, ``group_summary`` and ``group_chunks`` bound every row."""
     lists = F.sort_array(F.collect_list(F.struct("at", "document_type", "id")), asc=False)
-    g = p.groupBy("user_id", "invoice_number").agg(lists.alias("docs"), F.coalesce(newest("c1"), newest("c2"), newest("c3")).alias("country"), newest("company").alias("recycler_company"), newest("plastic").alias("plastic_type"))
+    g = _grouping_fields(parsed).groupBy("user_id", "invoice_number").agg(lists.alias("docs"), *_newest_fields())
     g = g.select("user_id", "invoice_number", "country", "recycler_company", "plastic_type", F.col("docs.document_type").alias("present_document_types"), F.col("docs.id").alias("present_document_ids"))
     return completeness(apply_business_rule(g, rules))
 
 
+def group_summary(parsed: DataFrame, rules: DataFrame, newest: int = 20) -> DataFrame:
+    """``group_documents`` in rows of bounded size: documents, the distinct present types, and the ``newest`` newest ids, newest first.
+
+    Counts and fields come from partial aggregation; a task keeps its ``newest`` newest of a group before they are shuffled.
+    """
+    fields = _grouping_fields(parsed)
+    g = fields.groupBy("user_id", "invoice_number").agg(F.count(F.lit(1)).alias("documents"), F.sort_array(F.collect_set("document_type")).alias("present_document_types"), *_newest_fields())
+    nth = F.row_number().over(Window.partitionBy("user_id", "invoice_number").orderBy(F.desc("at")))
+    top = fields.select("user_id", "invoice_number", "at").withColumn("nth", nth).where(F.col("nth") <= newest)
+    ids = top.groupBy("user_id", "invoice_number").agg(F.sort_array(F.collect_list("at"), asc=False)["id"].alias("newest_ids"))
+    same = F.col("g.user_id").eqNullSafe(F.col("i.user_id")) & (F.col("g.invoice_number") == F.col("i.invoice_number"))
+    return completeness(apply_business_rule(g.alias("g").join(ids.alias("i"), same, "left").select("g.*", "i.newest_ids"), rules))
+
+
+def group_chunks(parsed: DataFrame, size: int = 1000) -> DataFrame:
+    """The whole membership of all groups, newest first, in rows of at most ``size`` documents: user_id, invoice_number, chunk (from 0), ids and types.
+
+    Documents are numbered in ranges of (group, age), so no task and no row holds a group of very many documents.
+    """
+    fields = _grouping_fields(parsed).select("user_id", "invoice_number", "document_type", "id", "at")
+    ranked = rank_by_ranges(fields, ["user_id", "invoice_number"], [F.desc("at")])
+    chunk = F.floor((F.col("nth") - 1) / size)
+    lists = F.sort_array(F.collect_list(F.struct("nth", "id", "document_type")))
+    return ranked.groupBy("user_id", "invoice_number", chunk.alias("chunk")).agg(lists.alias("l")).select("user_id", "invoice_number", "chunk", F.col("l.id").alias("ids"), F.col("l.document_type").alias("types"))
+
+
 def completeness(groups: DataFrame) -> DataFrame:
     """Missing types, counts and flags of groups with a rule."""
     present = F.col("present_document_types")
@@ -82,11 +118,9 @@ def group_references(parsed: DataFrame, known_only: bool = False) -> DataFrame:
 
 def group_display_status(groups: DataFrame) -> DataFrame:
     """count, total and complete, as a domestic or another recycler's group is shown."""
-    from ..functions.scalars import is_domestic_recycler
-
     present, n = F.col("present_document_types"), F.size("present_document_types")
     has = lambda t: F.array_contains(present, t)
-    domestic = is_domestic_recycler(F.col("recycler_company"))
+    domestic = is_domestic_recycler(F.col("recycler_company"), DOMESTIC_SHOWN)
     two = has("invoice") & has("e-way-bill")
     total = F.when(domestic & two & (n == 2), 2).otherwise(3)
     complete = F.when(domestic, two).otherwise((n >= 3) & two & has("eft_receipt"))
@@ -94,7 +128,8 @@ def group_display_status(groups: DataFrame) -> DataFrame:
 
 
 def groups_with_documents(groups: DataFrame, parsed: DataFrame) -> DataFrame:
-    """One row per group and document type with the ids of its documents; ids that no document has are left out."""
+    """One row per group and document type with its documents' ids and, in the same order, their rows (file_url, created_at, raw_json); ids that no document has are left out."""
     each = groups.select("user_id", "invoice_number", F.explode(F.array_distinct("present_document_ids")).alias("id"))
-    found = each.join(parsed.select("id", "document_type"), "id")
-    return found.groupBy("user_id", "invoice_number", "document_type").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    found = each.join(parsed.select("id", "document_type", "file_url", "created_at", "raw_json"), "id")
+    rows = F.sort_array(F.collect_list(F.struct("id", "file_url", "created_at", "raw_json")))
+    return found.groupBy("user_id", "invoice_number", "document_type").agg(rows.alias("documents")).select("user_id", "invoice_number", "document_type", F.col("documents.id").alias("ids"), "documents")

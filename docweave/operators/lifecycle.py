@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matching import unparsed_pages
+from .ranking import rank_by_ranges
 
 
 def lifecycle_groups(temp: DataFrame, single: DataFrame) -> DataFrame:
@@ -63,12 +64,13 @@ def recent(df: DataFrame, time: str, key: str, n: int = 100) -> DataFrame:
 
 
 def page_offset(df: DataFrame, order: list[Column], page: int, limit: int, key: str = "user_id") -> DataFrame:
-    """One page of each user's rows with total, total_pages, has_next and has_prev."""
-    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    kept = df.withColumn("nth", nth).where(F.col("nth").between((page - 1) * limit + 1, page * limit))
+    """One page of each user's rows with nth, total, total_pages, has_next and has_prev.
+
+    Rows are numbered in ranges of their order, so a user of most rows is spread over tasks, and only ranges that reach into the page are numbered.
+    """
+    kept = rank_by_ranges(df, [key], order, ((page - 1) * limit + 1, page * limit)).withColumn("nth", F.col("nth").cast("int"))
     pages = F.ceil(F.col("total") / limit)
-    return kept.join(totals, key).withColumn("total_pages", pages).withColumn("has_next", F.lit(page) < pages).withColumn("has_prev", F.lit(page > 1))
+    return kept.withColumn("total_pages", pages).withColumn("has_next", F.lit(page) < pages).withColumn("has_prev", F.lit(page > 1))
 
 
 def last_unprocessed_page(single: DataFrame) -> DataFrame:

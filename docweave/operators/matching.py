@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from ..functions.scalars import blank_to_null, parse_invoice_number, same_parts
 
 
-def with_match_keys(df: DataFrame, invoice: str) -> DataFrame:
-    """One row for each key under which an invoice number can meet an equal one, with its parts as ``p``."""
+def invoice_classes(df: DataFrame, id: str, invoice: str, user: str | None) -> DataFrame:  # noqa: A002
+    """(user, id, class, p): each row with the class of its invoice number, the numbers that parse to the same parts. Rows without a number are left out."""
     p = F.col("p")
-    keys = F.array(F.concat(F.lit("N:"), p["normalized"]), F.concat_ws("|", F.lit("P:"), p["prefix"], p["year"], p["period"], p["number"]))
-    return df.withColumn("p", parse_invoice_number(F.col(invoice))).where(p.isNotNull()).withColumn("match_key", F.explode(keys))
+    parsed = df.select(F.col(id).alias("id"), *([user] if user else []), parse_invoice_number(F.col(invoice)).alias("p")).where(p.isNotNull())
+    name = F.concat_ws("|", p["normalized"], p["prefix"], F.coalesce(p["region"], F.lit("")), p["year"], p["period"], p["number"])
+    return parsed.withColumn("class", name)
 
 
-def match_invoices(left: DataFrame, right: DataFrame, left_id: str, right_id: str, invoice: str = "invoice_number", user: str | None = "user_id") -> DataFrame:
-    """All pairs (left_id, right_id) of the same invoice, a missing region standing for any.
+def match_classes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, invoice: str = "invoice_number", user: str | None = "user_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The matching of two tables in parts that grow with their rows: members(user, id, class) of each side and links(user, left_class, right_class).
 
-    The fuzzy test becomes an equi-join on (user, key) with the region as a residual; no side is ever crossed with the other.
+    Documents that share a number, a placeholder of a third of all rows among them, are one class; classes meet by an equi-join on (user, key) with
+    the region as a residual, a missing region standing for any. No pair of documents is made.
     """
     cols = [user] if user else []
-    a = with_match_keys(left.select(F.col(left_id).alias("left_id"), *cols, F.col(invoice).alias("li")), "li").withColumnRenamed("p", "lp")
-    b = with_match_keys(right.select(F.col(right_id).alias("right_id"), *cols, F.col(invoice).alias("ri")), "ri").withColumnRenamed("p", "rp")
-    return a.join(b, [*cols, "match_key"]).where(same_parts(F.col("lp"), F.col("rp"))).select(*cols, "left_id", "right_id").distinct()
+    sides = [invoice_classes(d, i, invoice, user) for d, i in ((left, left_id), (right, right_id))]
+    p = F.col("p")
+    keys = F.array(F.concat(F.lit("N:"), p["normalized"]), F.concat_ws("|", F.lit("P:"), p["prefix"], p["year"], p["period"], p["number"]))
+    # Numbers of one class differ in their original text only, which the choice of any one leaves out.
+    each = [s.groupBy(*cols, "class").agg(F.first("p").alias("p")).withColumn("match_key", F.explode(keys)) for s in sides]
+    a, b = (d.withColumnRenamed("class", f"{n}_class").withColumnRenamed("p", f"{n}_p") for d, n in zip(each, ("left", "right"), strict=True))
+    links = a.join(b, [*cols, "match_key"]).where(same_parts(F.col("left_p"), F.col("right_p"))).select(*cols, "left_class", "right_class").distinct()
+    return sides[0].drop("p"), sides[1].drop("p"), links
+
+
+def match_invoices(left: DataFrame, right: DataFrame, left_id: str, right_id: str, invoice: str = "invoice_number", user: str | None = "user_id") -> DataFrame:
+    """All pairs (left_id, right_id) of the same invoice: the members of ``match_classes`` along its links. For tables with placeholder numbers take the parts."""
+    cols = [user] if user else []
+    a, b, links = match_classes(left, right, left_id, right_id, invoice, user)
+    a, b = a.withColumnsRenamed({"id": "left_id", "class": "left_class"}), b.withColumnsRenamed({"id": "right_id", "class": "right_class"})
+    return a.join(links, [*cols, "left_class"]).join(b, [*cols, "right_class"]).select(*cols, "left_id", "right_id").distinct()
 
 
 def mark_duplicates(parsed: DataFrame, shown: int = 5) -> DataFrame:
@@ -38,13 +53,23 @@ def mark_duplicates(parsed: DataFrame, shown: int = 5) -> DataFrame:
     return out.select("id", "document_type", "business_fingerprint", later.alias("is_duplicate"), F.when(later, F.col("first.id")).alias("first_id"), F.when(later, F.col("user_id") == F.col("first.user_id")).alias("same_user"), F.least("copies", F.lit(shown)).alias("hits"))
 
 
+#: Distinct keys of a batch, of 8 bytes each, up to which a filter of them is broadcast.
+FILTER_KEYS = 1_000_000
+
+
 def duplicates_against_history(batch: DataFrame, history: DataFrame, shown: int = 5) -> DataFrame:
-    """Invoices of ``batch`` whose fingerprint history has, of any user, with up to ``shown`` earliest hits."""
-    h = history.select("business_fingerprint", F.col("id").alias("hit_id"), F.col("user_id").alias("hit_user"), "created_at")
-    # History is cut to the shown hits before it meets the batch.
+    """Invoices of ``batch`` whose fingerprint history has, of any user, with up to ``shown`` earliest hits.
+
+    History is filtered by the hashes of the batch's fingerprints before anything is shuffled; they are counted, and broadcast up to
+    ``FILTER_KEYS``. Of what passes, a task keeps the ``shown`` earliest of each fingerprint, and those meet in the shuffle.
+    """
+    b = batch.where(F.col("document_type") == "invoice").select("id", "user_id", "business_fingerprint")
+    keys = b.where(F.col("business_fingerprint").isNotNull()).select(F.xxhash64("business_fingerprint").alias("key")).distinct()
+    few = keys.limit(FILTER_KEYS + 1).count() <= FILTER_KEYS
+    h = history.select("business_fingerprint", F.col("id").alias("hit_id"), F.col("user_id").alias("hit_user"), "created_at", F.xxhash64("business_fingerprint").alias("key"))
+    h = h.join(F.broadcast(keys) if few else keys, "key", "left_semi")
     order = Window.partitionBy("business_fingerprint").orderBy("created_at", "hit_id")
     h = h.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= shown)
-    b = batch.where(F.col("document_type") == "invoice").select("id", "user_id", "business_fingerprint")
     return b.join(h, "business_fingerprint").select("id", "hit_id", "nth", (F.col("user_id") == F.col("hit_user")).alias("same_user"))
 
 
@@ -55,11 +80,17 @@ def latest_per_type(matches: DataFrame) -> DataFrame:
 
 
 def unparsed_pages(single: DataFrame, parsed: DataFrame, statuses: tuple[str, ...] = ("uploaded", "failed")) -> DataFrame:
-    """Pages of these statuses (none given: of all) whose path ends no parsed file url of the same user."""
-    name = lambda c: F.substring_index(c, "/", -1)
-    pages = (single.where(F.col("status").isin(*statuses)) if statuses else single).withColumn("last_part", name("pdf_path"))
-    files = parsed.select(F.col("user_id").alias("u"), "file_url", name("file_url").alias("f"))
-    return pages.join(files, (pages["user_id"] == files["u"]) & (pages["last_part"] == files["f"]) & F.endswith("file_url", "pdf_path"), "left_anti").drop("last_part")
+    """Pages of these statuses (none given: of all) whose path, from a folder's start on, ends no parsed file url of the same user.
+
+    A url stands under the hash of each of its tails that begin behind a slash, and of itself; a page is looked up by the hash of its whole path. So pages
+    that share a file name, even all of a user's, share no key.
+    """
+    path = F.ltrim("pdf_path", F.lit("/"))
+    pages = (single.where(F.col("status").isin(*statuses)) if statuses else single).withColumn("__path", F.xxhash64(path))
+    steps = F.split(F.col("file_url"), "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.xxhash64(F.array_join(F.slice(steps, i, F.size(steps)), "/")))
+    files = parsed.where(F.col("file_url").isNotNull()).select(F.col("user_id").alias("__user"), F.explode(tails).alias("__tail")).distinct()
+    return pages.join(files, (pages["user_id"] == files["__user"]) & (pages["__path"] == files["__tail"]), "left_anti").drop("__path")
 
 
 def existing_filename_warnings(files: DataFrame, temp: DataFrame, single: DataFrame) -> DataFrame:

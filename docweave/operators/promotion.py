@@ -90,9 +90,25 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], preserve:
     return out.select(*cols, F.when(old & fresh, "updated").when(fresh, "created").otherwise("kept").alias("change"))
 
 
-def apply_submission_results(recycling: DataFrame, results: DataFrame) -> DataFrame:
-    """``recycling`` after ``results(invoice_number, ok, error)``, one row per invoice: submitted without an error, or failed with its text."""
-    known = F.col("ok").isNotNull()
-    earlier = F.col("submission_error") if "submission_error" in recycling.columns else F.lit(None).cast("string")
-    out = recycling.join(results, "invoice_number", "left")
-    return out.select(*[c for c in recycling.columns if c not in ("status", "submission_error")], F.when(F.col("ok"), "submitted").when(known, "failed").otherwise(F.col("status")).alias("status"), F.when(known & ~F.col("ok"), F.coalesce("error", F.lit("Unknown error"))).when(~known, earlier).alias("submission_error"))
+SUBMISSION = ("collection_id", "collection_address", "metadata_hash", "tx_hash", "submitted_at")
+
+
+def apply_submission_results(recycling: DataFrame, results: DataFrame, at: Column | None = None) -> DataFrame:
+    """``recycling`` after ``results(invoice_number, ok, error)``, which may have ``at`` and the fields of ``SUBMISSION``.
+
+    A submitted row takes the fields and loses its error, a failed one takes the error's text and keeps the fields of an earlier submission; ``updated_at`` is
+    the result's time (``at``, else now). Of an invoice's repeated results the last by ``at`` holds, success before failure, so rows are never multiplied.
+    """
+    kinds = dict(recycling.dtypes)
+    given = [c for c in SUBMISSION if c in results.columns]
+    time = F.col("at").cast("timestamp") if "at" in results.columns else F.lit(None).cast("timestamp")
+    r = results.select("invoice_number", F.struct(time.alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"), F.col("error").cast("string").alias("error"), *given).alias("__r"))
+    last = r.groupBy("invoice_number").agg(F.max("__r").alias("__r"))
+    out, known, ok = recycling.join(last, "invoice_number", "left"), F.col("__r").isNotNull(), F.col("__r.ok")
+    old = lambda c, kind: F.col(c) if c in kinds else F.lit(None).cast(kind)
+    new = {"status": F.when(ok, "submitted").when(known, "failed").otherwise(F.col("status")), "submission_error": F.when(known & ~ok, F.coalesce("__r.error", F.lit("Unknown error"))).when(~known, old("submission_error", "string"))}
+    for c in given:
+        new[c] = F.when(ok, F.col("__r")[c]).otherwise(old(c, results.schema[c].dataType))
+    now = F.coalesce(F.col("__r.at"), F.current_timestamp() if at is None else at)
+    new["updated_at"] = F.when(known, now).otherwise(old("updated_at", "timestamp"))
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in recycling.columns], *[v.alias(c) for c, v in new.items() if c not in recycling.columns])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import extraction, grouping, lifecycle, matching, promotion, reports
-from ..sources import tables
+from ..sources import merged, tables
 from ..sources.fixtures import VIEWS, view, with_views
 from ..streaming import jobs
 
@@ -579,20 +579,57 @@ def group_references_known(spark, sf_dir):
     return grouping.group_references(view(spark, sf_dir, "parsed_documents"), known_only=True)
 
 
-@query("groups_with_documents", """SELECT user_id, coalesce(nullif(anchor_key, ''), json_extract_string(raw_json, '$.invoice')) AS invoice_number, document_type, string_agg(id, ',' ORDER BY id) AS ids FROM parsed_documents GROUP BY ALL""")
+@query("groups_with_documents", """SELECT user_id, coalesce(nullif(anchor_key, ''), json_extract_string(raw_json, '$.invoice')) AS invoice_number, document_type, string_agg(id, ',' ORDER BY id) AS ids, string_agg(split_part(file_url, '/', -1), ',' ORDER BY id) AS files FROM parsed_documents GROUP BY ALL""")
 def groups_with_documents(spark, sf_dir):
     parsed = view(spark, sf_dir, "parsed_documents")
     found = grouping.groups_with_documents(grouping.group_documents(parsed, grouping.business_rules(spark)), parsed)
-    return found.withColumn("ids", F.array_join("ids", ","))
+    files = F.array_join(F.transform("documents", lambda d: F.substring_index(d["file_url"], "/", -1)), ",")
+    return found.select("user_id", "invoice_number", "document_type", F.array_join("ids", ",").alias("ids"), files.alias("files"))
 
 
 @query("apply_submission_results", """SELECT invoice_number, user_id, CASE WHEN status NOT IN ('new', 'updated') THEN status WHEN tonnage_tons > 5 THEN 'submitted' ELSE 'failed' END AS status,
-  CASE WHEN status IN ('new', 'updated') AND NOT tonnage_tons > 5 THEN 'too light' END AS submission_error FROM recycling_docs""")
+  CASE WHEN status IN ('new', 'updated') AND NOT tonnage_tons > 5 THEN 'too light' END AS submission_error, CASE WHEN status IN ('new', 'updated') AND tonnage_tons > 5 THEN 'C-' || invoice_number END AS collection_id,
+  CASE WHEN status IN ('new', 'updated') THEN TIMESTAMP '2025-01-02' ELSE updated_at END AS updated_at FROM recycling_docs""")
 def apply_submission_results(spark, sf_dir):
     rows = view(spark, sf_dir, "recycling_docs")
-    light = F.col("tonnage_tons") <= 5
-    results = rows.where(F.col("status").isin("new", "updated")).select("invoice_number", (~light).alias("ok"), F.when(light, "too light").alias("error"))
-    return promotion.apply_submission_results(rows, results).select("invoice_number", "user_id", "status", "submission_error")
+    light, day = F.col("tonnage_tons") <= 5, lambda n: F.lit(f"2025-01-0{n}").cast("timestamp")
+    last = rows.where(F.col("status").isin("new", "updated")).select("invoice_number", (~light).alias("ok"), F.when(light, "too light").alias("error"), F.concat(F.lit("C-"), "invoice_number").alias("collection_id"), day(2).alias("at"))
+    first = last.withColumns({"ok": F.lit(False), "error": F.lit("timed out"), "at": day(1)})
+    return promotion.apply_submission_results(rows, first.unionByName(last)).select("invoice_number", "user_id", "status", "submission_error", "collection_id", "updated_at")
+
+
+@query("match_classes", r"""WITH src AS (SELECT DISTINCT user_id, invoice_number FROM document_groups_flat UNION SELECT DISTINCT user_id, invoice_number FROM recycling_docs)""" + _PARSE + r"""
+, n AS (SELECT inv, normalized, coalesce(region, '') AS region, prefix || year || period || number AS rest FROM pi), l AS (SELECT user_id, normalized, region, rest, count(*) AS rows FROM document_groups_flat JOIN n ON inv = invoice_number GROUP BY ALL), r AS (SELECT user_id, normalized, region, rest, count(*) AS rows FROM recycling_docs JOIN n ON inv = invoice_number GROUP BY ALL)
+SELECT l.user_id, l.normalized AS left_number, r.normalized AS right_number, l.rows AS left_rows, r.rows AS right_rows FROM l JOIN r ON l.user_id = r.user_id AND (l.normalized = r.normalized OR l.rest = r.rest AND (l.region = r.region OR l.region = '' OR r.region = ''))""")
+def match_classes(spark, sf_dir):
+    left, right, links = matching.match_classes(view(spark, sf_dir, "document_groups_flat"), view(spark, sf_dir, "recycling_docs"), "invoice_number", "invoice_number")
+    number = lambda side: F.element_at(F.split(f"{side}_class", r"\|"), 1).alias(f"{side}_number")
+    sizes = [d.groupBy("user_id", F.col("class").alias(f"{n}_class")).agg(F.count(F.lit(1)).alias(f"{n}_rows")) for d, n in ((left, "left"), (right, "right"))]
+    return links.join(sizes[0], ["user_id", "left_class"]).join(sizes[1], ["user_id", "right_class"]).select("user_id", number("left"), number("right"), "left_rows", "right_rows")
+
+
+@query("group_summary", _DOCS + """, t AS (SELECT user_id, invoice_number, string_agg(id, ',' ORDER BY nth) AS newest_ids FROM (SELECT *, row_number() OVER (PARTITION BY user_id, invoice_number ORDER BY created_at DESC, id DESC) AS nth FROM d WHERE invoice_number IS NOT NULL) WHERE nth <= 2 GROUP BY ALL)
+SELECT user_id, invoice_number, country, recycler_company, n AS documents, array_to_string(list_sort(types), ',') AS types, newest_ids, cnt >= least_n AS is_complete FROM grp JOIN t USING (user_id, invoice_number)""")
+def group_summary(spark, sf_dir):
+    g = grouping.group_summary(view(spark, sf_dir, "parsed_documents"), grouping.business_rules(spark), newest=2)
+    return g.select("user_id", "invoice_number", "country", "recycler_company", "documents", F.array_join("present_document_types", ",").alias("types"), F.array_join("newest_ids", ",").alias("newest_ids"), "is_complete")
+
+
+@query("group_chunks", _DOCS + """, r AS (SELECT *, (row_number() OVER (PARTITION BY user_id, invoice_number ORDER BY created_at DESC, id DESC) - 1) // 2 AS chunk FROM d WHERE invoice_number IS NOT NULL)
+SELECT user_id, invoice_number, chunk, string_agg(id, ',' ORDER BY created_at DESC, id DESC) AS ids, string_agg(document_type, ',' ORDER BY created_at DESC, id DESC) AS types FROM r GROUP BY ALL""")
+def group_chunks(spark, sf_dir):
+    c = grouping.group_chunks(view(spark, sf_dir, "parsed_documents"), size=2)
+    return c.select("user_id", "invoice_number", "chunk", F.array_join("ids", ",").alias("ids"), F.array_join("types", ",").alias("types"))
+
+
+@query("merge_into", """SELECT t.id, t.user_id, CASE WHEN t.status = 'failed' THEN 'uploaded' ELSE t.status END AS status, CASE WHEN t.status = 'failed' THEN NULL ELSE t.last_error END AS last_error, t.retry_count FROM temp_documents t""")
+def merge_into(spark, sf_dir):
+    rows = view(spark, sf_dir, "temp_documents").select("id", "user_id", "status", "last_error", "retry_count")
+    path = tables.new_folder(spark, "merged")
+    merged.merge_into(rows.where("status <> 'uploaded'"), path, rows.schema, ["id"])
+    fixed = rows.where("status IN ('failed', 'uploaded')").select("id", "user_id", F.lit("uploaded").alias("status"), F.when(F.col("status") != "failed", F.col("last_error")).alias("last_error"), "retry_count")
+    merged.merge_into(fixed, path, rows.schema, ["id"], ("retry_count",))
+    return merged.read_merged(spark, path, rows.schema)
 
 
 @query("read_table", "SELECT id, user_id, status, retry_count, page_count FROM temp_documents")

@@ -68,6 +68,6 @@ def test_plans_stay_short(spark):
 
     df = spark.createDataFrame([], "id string, user_id string, file_url string, created_at timestamp, response_text string")
     plan = extraction.load_extractions(df, spark.createDataFrame([], "business_fingerprint string"))._jdf.queryExecution().optimizedPlan().toString()
-    assert len(plan) < 40_000 and plan.count("parse_json") <= 2
+    assert len(plan) < 50_000 and plan.count("parse_json") <= 2  # 178,000 with copied expressions
     numbers = spark.createDataFrame([], "a string").select(S.normalize_number(F.concat("a", F.lit("kg"))).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
     assert numbers.count("regexp_extract") == 1
