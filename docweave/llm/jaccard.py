@@ -454,3 +454,15 @@ def linked(docs: DataFrame, like: Likeness) -> DataFrame:
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     """Components of documents linked at 0.9 on three-word shingles."""
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"), Likeness(3, 90, 100))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+d AS (SELECT doc_id, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS rep, s FROM s),
+e AS (SELECT doc_id AS rep, n, unnest(s) AS x FROM d WHERE doc_id = rep),
+l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT rep, rep FROM d WHERE n > 0 UNION SELECT r.a, k.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) k ON r.b = k.a),
+c AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, n AS n_shingles, CASE WHEN n = 0 THEN d.doc_id ELSE component_id END AS component_id FROM d LEFT JOIN c ON c.rep = d.rep
+"""

@@ -1,14 +1,15 @@
 """Language identification by a bit-sliced Bloom filter of byte n-grams.
 
-Fitting learns, for each language, the n-grams (3 and 4 bytes of a lower-cased word with a blank on either side) that a
-least share of its learned documents hold, and not far fewer of them than of another language's. The filter has one row per bit position and one bit per language in that row, so
+Fitting learns, for each language, all n-grams (3 and 4 bytes of a lower-cased word with a blank on either side) of its learned
+documents. The filter has one row per bit position and one bit per language in that row, in as many 64-bit words as languages need, so
 the AND of an n-gram's rows is the bitmask of *all* languages that hold it. A text's score for a language is the popcount of
 its column of masks, corrected for the filter's false positives: of N n-grams with c hits at false-positive rate f, about
 (c - N f) / (1 - f) are true. The best corrected count decides, ties by the language's name.
 
 Null texts and texts without a letter give ``und`` with score 0. Rows with a null id or null language are never learned
-from; without any learned language all texts give ``und``. Repeated rows and extra columns change nothing: only the text is
-read. At most 64 languages are supported.
+from; without any learned language, as in an empty table, all texts give ``und``. Repeated rows and extra columns, whatever their
+names, change nothing: only the text is read, in steps of whole texts, so a very long one is a step of its own. Of more than ``max_languages`` values of
+lang those with most documents are learned.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, STEP_BYTES, hash_fraction, held_out, mix, range_hash, running, steps
+from .common import STEP_BYTES, held_out, mix, range_hash, running, steps
 
 SIZES = (3, 4)
 #: Letters stay, in lower case; every other ASCII byte is a blank.
@@ -33,7 +34,7 @@ LETTERS[0x80:] = np.arange(0x80, 0x100)
 @dataclass
 class LanguageFilter:
     langs: list[str]
-    rows: np.ndarray  # one bitmask of languages for each bit position
+    rows: np.ndarray  # (word, bit position): bitmasks of 64 languages a word
     hashes: int
     false_rate: np.ndarray  # by language
     fallback: int  # the most frequent learned language
@@ -64,28 +65,25 @@ def _positions(grams: np.ndarray, hashes: int, bits: int) -> list[np.ndarray]:
         return [((grams + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(hashes)]
 
 
-def fit(docs: DataFrame, per_language: int = 3000, least_share: float = 0.004, least_ratio: float = 0.35, max_bits: int = 1 << 20, hashes: int = 3, seed: int = 11) -> LanguageFilter:
+def fit(docs: DataFrame, per_language: int = 3000, max_bits: int = 1 << 20, hashes: int = 3, seed: int = 11, max_languages: int = 1024) -> LanguageFilter:
     """Learn from ``docs(doc_id, text, lang)``: a hash sample of about ``per_language`` documents of each language.
 
-    Bounds: the driver gets one row per language and at most ``max_bits`` bit positions.
+    Bounds: the driver gets one row per language and at most ``max_bits`` bit positions a word of 64 languages.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()}
-    if len(counts) > 64:
-        raise ValueError("more than 64 languages")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     langs = sorted(counts)
     if not langs:
-        return LanguageFilter([], np.zeros(1, np.uint64), hashes, np.zeros(0), -1)
-    chosen = F.lit(False)
-    for lang in langs:
-        chosen = chosen | ((F.col("lang") == lang) & hash_fraction(F.col("doc_id"), per_language / counts[lang], seed))
-    index = {lang: i for i, lang in enumerate(langs)}
+        return LanguageFilter([], np.zeros((1, 1), np.uint64), hashes, np.zeros(0), -1)
+    shares = [(lang, i, int(min(1.0, per_language / counts[lang]) * (1 << 30))) for i, lang in enumerate(langs)]
+    few = docs.sparkSession.createDataFrame(shares, "lang string, tag int, bar int")
+    drawn = F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit((1 << 30) - 1)) < F.col("bar")
 
     def count(batches):
         kept: dict[int, tuple[list, list]] = {}
         size = 0
         for batch in batches:
-            tags = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
+            tags = np.asarray(batch.column("tag"), np.int64)
             for first, last, data, at in steps(batch.column("text")):
                 grams, texts = _grams(data, at)
                 order = np.lexsort((grams, texts))
@@ -110,31 +108,34 @@ def fit(docs: DataFrame, per_language: int = 3000, least_share: float = 0.004, l
             total = np.bincount(where, np.concatenate(n)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), tag, np.int64)), pa.array(grams.view(np.int64)), pa.array(total)], ["tag", "gram", "n"])
 
-    sample = known.where(chosen)
-    # The bound on the sample makes least_share a count: a language's sample has min(count, per_language) documents, give or take its hash.
-    least = F.element_at(F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (i, max(2, int(np.ceil(least_share * min(counts[lang], per_language)))))]), F.col("tag").cast("int"))
-    size = F.element_at(F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (i, float(min(counts[lang], per_language)))]), F.col("tag").cast("int"))
-    each = sample.mapInArrow(count, "tag long, gram long, n long").groupBy("gram", "tag").agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("share", F.col("n") / size)
-    # At most 64 rows meet in a group: one for each language.
-    together = each.groupBy("gram").agg(F.collect_list(F.struct("tag", "share")).alias("all"), (F.max("share") * least_ratio).alias("bar"))
-    learned = together.select("gram", F.explode(F.filter("all", lambda x: x["share"] >= F.col("bar"))).alias("x")).select(F.col("x.tag").alias("tag"), "gram")
+    sample = known.join(F.broadcast(few), "lang").where(drawn).select("text", "tag")
+    learned = sample.mapInArrow(count, "tag long, gram long, n long").select("tag", "gram").distinct()
     bits = max_bits
 
     def place(batches):
         for batch in batches:
             grams = np.asarray(batch.column("gram")).view(np.uint64)
-            flag = np.left_shift(np.uint64(1), np.asarray(batch.column("tag")).astype(np.uint64)).view(np.int64)
+            tag = np.asarray(batch.column("tag")).astype(np.uint64)
+            flag = np.left_shift(np.uint64(1), tag & np.uint64(63)).view(np.int64)
             at = _positions(grams, hashes, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.tile(flag, hashes))], ["at", "flag"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile((tag >> np.uint64(6)).astype(np.int64), hashes)), pa.array(np.concatenate(at)), pa.array(np.tile(flag, hashes))], ["word", "at", "flag"])
 
-    placed = learned.mapInArrow(place, "at long, flag long").groupBy("at").agg(F.bit_or("flag").alias("flag")).toPandas()
+    placed = learned.mapInArrow(place, "word long, at long, flag long").groupBy("word", "at").agg(F.bit_or("flag").alias("flag")).toPandas()
     kind = np.uint8 if len(langs) <= 8 else np.uint64
-    rows = np.zeros(bits, np.uint64)
-    rows[placed["at"].to_numpy(np.int64)] = placed["flag"].to_numpy(np.int64).view(np.uint64)
-    fill = np.array([((rows >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))])
+    rows = np.zeros((-(-len(langs) // 64), bits), np.uint64)
+    rows[placed["word"].to_numpy(np.int64), placed["at"].to_numpy(np.int64)] = placed["flag"].to_numpy(np.int64).view(np.uint64)
+    fill = np.array([((rows[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
     return LanguageFilter(langs, rows.astype(kind), hashes, fill**hashes, max(range(len(langs)), key=lambda i: (counts[langs[i]], -i)))
 
 
+def masks_of(model: LanguageFilter, grams: np.ndarray) -> np.ndarray:
+    """(word, n-gram): the bitmask of languages that hold each n-gram, false positives included."""
+    out = None
+    for p in _positions(grams, model.hashes, model.rows.shape[1]):
+        out = model.rows[:, p] if out is None else out & model.rows[:, p]
+    return out
+
+
 def predict(df: DataFrame, model: LanguageFilter, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, lang_pred, score and ngrams (how many were looked up) for every row of ``df``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -142,7 +143,7 @@ def predict(df: DataFrame, model: LanguageFilter, text: str = "text", keep: tupl
 
     def run(batches):
         m = shared.value
-        bits, k = len(m.rows), len(m.langs)
+        k = len(m.langs)
         for batch in batches:
             lang, score, looked = [], [], []
             letter = np.asarray(batch.column("__letter").to_numpy(zero_copy_only=False), bool)
@@ -151,10 +152,8 @@ def predict(df: DataFrame, model: LanguageFilter, text: str = "text", keep: tupl
                 grams, texts = _grams(data, at)
                 total = np.bincount(texts, minlength=n).astype(float)
                 if k:
-                    mask = None
-                    for p in _positions(grams, m.hashes, bits):
-                        mask = m.rows[p] if mask is None else mask & m.rows[p]
-                    hits = np.stack([np.bincount(texts, ((mask >> mask.dtype.type(i)) & mask.dtype.type(1)), minlength=n) for i in range(k)], 1)
+                    mask = masks_of(m, grams)
+                    hits = np.stack([np.bincount(texts, ((mask[i // 64] >> mask.dtype.type(i % 64)) & mask.dtype.type(1)), minlength=n) for i in range(k)], 1)
                     true = np.clip((hits - total[:, None] * m.false_rate) / np.maximum(1 - m.false_rate, 1e-9), 0, None)
                     best, top = true.argmax(1), true.max(1)
                     rest = np.partition(true, -2, axis=1)[:, -2] if k > 1 else np.zeros(n)
