@@ -16,7 +16,7 @@ Vectors that are null or hold null or non-finite components are dropped. The cod
 (of several vectors the smallest); fewer than ``entries`` ids make smaller codebooks. Rows with a null id are coded but start no entry.
 Vectors whose length is not that of the smallest id's, or is not divisible by ``parts``, stay with null code and error. Components
 are clamped where squared distances would pass 60 bits (for 16 components a part at 2^27, so |x| at 131,072). Repeated ids are rows of their own.
-An empty table gives no rows. Only id, vector and label are read, whatever other columns there are.
+An empty table gives no rows; null labels are one label. Only id, vector and label are read, whatever other columns there are.
 """
 
 from __future__ import annotations

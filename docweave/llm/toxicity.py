@@ -8,7 +8,7 @@ are exact (ties: smaller example id). Their labels vote, weighted by cosine and
 isotonic regression over leave-one-out votes calibrates the score. A text without vocabulary terms gets the rate of such
 examples.
 
-Null and empty texts have no terms. Labels that are null or of no document are skipped, a document labelled twice counts
+Null and empty texts have no terms; a very long text is a step of its own and is read whole; an empty table gives no rows, and columns besides id and text are not read. Labels that are null or of no document are skipped, a document labelled twice counts
 by its larger label, and without any label every score is 0. Repeated rows get equal results. Only ids of the bounded sample
 of examples are ever on the driver.
 """
