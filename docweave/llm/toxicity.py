@@ -1,20 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words and their first four and five bytes, so that inflected forms meet. The vocabulary is the terms whose
-document frequencies differ most between the labels (log-likelihood ratio, where copies of one passage count once), so a long clean text does not drown a few telling words.
-Examples stand in blocks; for each term and block the index holds the largest weight, which bounds every cosine in the block.
-A query reads blocks from the highest bound down and stops where a bound falls below its k-th best cosine, so the k nearest
-are exact (ties: smaller example id). Their labels vote, weighted by cosine and by how many labelled rows an example stands for;
-isotonic regression over leave-one-out votes calibrates the score. A text without vocabulary terms gets the rate of such
-examples.
+Terms are words and their first four and five bytes, so that inflected forms meet. Every term of the sampled examples is in the vocabulary;
+its weight is its inverse document frequency over all documents times a label weight r / (r + half), where r is the log-likelihood
+ratio of the labels with and without the term (copies of one passage count once). So a long clean text does not drown a few telling
+words, and nothing is cut off. Terms that no example has, or that say nothing of the label (r = 0), weigh nothing.
+
+Examples stand in blocks. Long lists (terms of more than an eighth of the examples) are kept as dense columns with the largest weight of each
+block, short ones as postings. A query adds up its short lists; with the long lists' block maxima this bounds every cosine of a block. Blocks are
+read from the highest bound down until one falls below the k-th best cosine, so the k nearest are exact (ties: smaller example id). Their
+labels vote, weighted by cosine and by how many labelled rows an example stands for; isotonic regression over leave-one-out votes
+of all examples calibrates the score. A text without weighing terms gets the rate of such examples, or of all where there are none.
 
 Null and empty texts have no terms; a very long text is a step of its own and is read whole; an empty table gives no rows, and columns besides id and text are not read. Labels that are null or of no document are skipped, a document labelled twice counts
-by its larger label, and without any label every score is 0. Repeated rows get equal results. Only ids of the bounded sample
-of examples are ever on the driver.
+by its larger label, and without any label every score is 0; where all labels agree, terms weigh by frequency alone. Repeated rows get equal
+results. The driver gets the bounded sample's terms and vectors, never those of other documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, hash_fraction, held_out, range_hash, running, steps, word_ranges
+from .common import ALNUM, LOWER, hash_fraction, held_out, range_hash, running, stage, steps, word_ranges
 
 PREFIXES = (4, 5)
 BLOCK = 64
+#: Queries that are answered together.
+GROUP = 64
+#: Lists of more than one in so many examples are dense columns.
+LONG_LIST = 8
 
 
 def _terms(data: np.ndarray, at: np.ndarray, context: bool = False) -> tuple[np.ndarray, ...]:
@@ -58,7 +66,7 @@ def _vectors(data: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of labelled examples as postings by term, cut into blocks, with the largest weight of each cut."""
+    """Unit vectors of labelled examples by term, cut into blocks, with the largest weight of each cut of a long list."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
@@ -71,48 +79,83 @@ class BlockMaxIndex:
     levels: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
 
     def weigh(self, places: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """A unit vector; all 0 if no term weighs anything."""
         w = (1 + np.log(times)) * self.idf[places]
-        return w / np.sqrt((w * w).sum())
+        return w / (np.sqrt((w * w).sum()) or 1.0)
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> BlockMaxIndex:
-        self.blocks = -(-len(vectors) // BLOCK) if vectors else 0
+        n, v = len(vectors), len(self.vocabulary)
+        self.blocks = -(-n // BLOCK)
         terms = np.concatenate([p for p, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(vectors)), [len(p) for p, _ in vectors])
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p, _ in vectors])
         weight = np.concatenate([self.weigh(p, t) for p, t in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((row, terms))
-        terms, self.row, self.weight = terms[order], row[order], weight[order]
-        cut = terms * max(self.blocks, 1) + self.row // BLOCK
-        self.bound = np.zeros((len(self.vocabulary), self.blocks))
-        np.maximum.at(self.bound.reshape(-1), cut, self.weight)
-        self.start = np.searchsorted(cut, np.arange(len(self.vocabulary) * self.blocks + 1))
+        some = weight > 0
+        terms, row, weight = terms[some], row[some], weight[some]
+        long = np.flatnonzero(np.bincount(terms, minlength=v) * LONG_LIST > n)
+        self.column = np.full(v, -1, np.int32)
+        self.column[long] = np.arange(len(long))
+        mine = self.column[terms] >= 0
+        dense = np.zeros((self.blocks * BLOCK, len(long)))
+        dense[row[mine], self.column[terms[mine]]] = weight[mine]
+        self.dense = dense.reshape(self.blocks, BLOCK, len(long))
+        self.bound = self.dense.max(axis=1)
+        order = np.lexsort((row[~mine], terms[~mine]))
+        self.row, self.weight = row[~mine][order], weight[~mine][order]
+        self.start = np.searchsorted(terms[~mine][order], np.arange(v + 1))
         return self
 
-    def nearest(self, places: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest with a cosine over 0."""
-        bound = weights @ self.bound[places]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, cosine, first, size = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while first < len(order) and not (len(cosine) >= self.k and bound[order[first]] < cosine[-1] - 1e-12):
-            # Several blocks at once, twice as many each time; a block too many changes nothing.
-            blocks = order[first : first + size]
-            first, size = first + size, 2 * size
-            cut = (places[:, None] * self.blocks + blocks).reshape(-1)
-            begin, count = self.start[cut], self.start[cut + 1] - self.start[cut]
-            at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-            slot = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(places)), count) + self.row[at] % BLOCK
-            score = np.bincount(slot, np.repeat(np.repeat(weights, len(blocks)), count) * self.weight[at], len(blocks) * BLOCK)
-            hit = np.flatnonzero(score > 0)
-            new = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
-            hit, new = hit[new != without], new[new != without]
-            found, cosine = np.concatenate([found, new]), np.concatenate([cosine, np.round(score[hit], 12)])
-            if len(cosine) > self.k:
-                # Ties with the k-th stay for the order by id.
-                likely = np.flatnonzero(cosine >= -np.partition(-cosine, self.k - 1)[self.k - 1])
-                found, cosine = found[likely], cosine[likely]
+    def nearest(self, places: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of the k nearest with a cosine over 0, examples of the id ``without`` aside."""
+        return self.nearest_of([(places, weights)], None if without is None else [without])[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each query; a block is read once for all queries that still need it."""
+        n, q = self.blocks * BLOCK, len(queries)
+        places, weights = (np.concatenate([x[i] for x in queries]) for i in (0, 1))
+        owner = np.repeat(np.arange(q), [len(x[0]) for x in queries])
+        column = self.column[places]
+        short = column < 0
+        begin = self.start[places[short]]
+        count = self.start[places[short] + 1] - begin
+        at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+        rest = np.bincount(np.repeat(owner[short] * n, count) + self.row[at], np.repeat(weights[short], count) * self.weight[at], q * n).reshape(q, self.blocks, BLOCK)
+        if without is not None:
+            own_rows = np.asarray(without)[:, None] == self.ids
+        own = np.zeros((self.bound.shape[1], q))
+        own[column[~short], owner[~short]] = weights[~short]
+        bound = rest.max(axis=2, initial=0) + (self.bound @ own).T
+        order = np.argsort(-bound, axis=1, kind="stable")
+        score, least = np.zeros((q, self.blocks, BLOCK)), np.zeros(q)
+        flat = score.reshape(q, n)
+        first, size = 0, 4
+        self.read = 0
+        while first < self.blocks:
+            # The next blocks of each query, four times as many each time; a block too many changes nothing.
+            mine = order[:, first : first + size]
+            high = np.take_along_axis(bound, mine, axis=1)
+            who, where = np.nonzero((high > 0) & (high >= least[:, None] - 1e-11))
+            if not len(who):
+                break
+            blocks = mine[who, where]
+            self.read += len(blocks)
+            by = np.argsort(blocks, kind="stable")
+            cuts = np.flatnonzero(np.diff(blocks[by], prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                block, which = blocks[by[a]], who[by[a:b]]
+                score[which, block] = rest[which, block] + (self.dense[block] @ own[:, which]).T
+            first, size = first + size, 4 * size
+            if without is not None:
+                flat[:, : len(self.ids)][own_rows] = 0
+            if n > self.k:
+                least = np.maximum(-np.partition(-flat, self.k - 1, axis=1)[:, self.k - 1], 0)
+        out = []
+        for i in range(q):
+            # Ties with the k-th stay for the order by id.
+            found = np.flatnonzero((flat[i] > 0) & (flat[i] >= least[i] - 1e-11))
+            cosine = np.round(flat[i, found], 12)
             top = np.lexsort((self.ids[found], -cosine))[: self.k]
-            found, cosine = found[top], cosine[top]
-        return found, cosine
+            out.append((found[top], cosine[top]))
+        return out
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         w = self.stands_for[found] * cosine**2
@@ -134,10 +177,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for p in pools for v in (p[0], p[1])]), np.array([v for p in pools for v in (p[2] / p[3],) * 2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 4000, terms: int = 1024, least_ratio: float = 30.0, k: int = 15, seed: int = 12) -> BlockMaxIndex:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 4000, half: float = 20.0, k: int = 15, seed: int = 12, corpus: DataFrame | None = None) -> BlockMaxIndex:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``: about ``per_label`` rows of each label, whole texts.
 
-    Bounds: the driver gets ``terms`` vocabulary rows and the term counts of the sampled rows.
+    Document frequencies come from all texts of ``corpus`` (``docs`` if not given). Bounds: the driver gets the vectors and the vocabulary
+    of the sampled rows.
     """
     given = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -145,91 +189,145 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     for y, n in counts.items():
         chosen = chosen | ((F.col("y") == y) & hash_fraction(F.col("doc_id"), per_label / n, seed))
     # The sample is bounded by per_label, so its ids may be broadcast.
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(given.where(chosen)), "doc_id")
+    sample = stage(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(given.where(chosen)), "doc_id"), "toxicity-sample")
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    na, nb = float(sizes.get(1, 0)), float(sizes.get(0, 0))
+    model = BlockMaxIndex(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), k)
+    if na + nb == 0:
+        return model.build([])
+    terms = sample_terms(sample).toArrow()
+    order = np.argsort(names := terms.column("term").to_numpy().view(np.uint64))
+    a, b = (terms.column(c).to_numpy().astype(float)[order] for c in ("a", "b"))
+    model.vocabulary = names[order]
+    every = docs if corpus is None else corpus
+    frequency = document_frequencies(every, model.vocabulary)
+    model.idf = (np.log((1 + every.where(F.col("text").isNotNull()).count()) / (1 + frequency)) + 0.1) * label_weights(a, b, na, nb, half)
+    made = vectorise(sample, model).toArrow().to_pylist()
+    made = [(r["doc_id"], r["y"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["times"], np.int64)) for r in made]
+    # Examples with the same heaviest term stand together, which makes the blocks' maxima tell.
+    heaviest = [int(p[np.argmax(model.weigh(p, t))]) if len(p) and model.idf[p].any() else -1 for _, _, p, t in made]
+    made = [made[i] for i in sorted(range(len(made)), key=lambda i: (heaviest[i], made[i][0]))]
+    filled = np.array([h >= 0 for h in sorted(heaviest)])
+    y = np.array([r[1] for r in made])
+    stands = np.array([counts[v] / sizes[v] for v in y.tolist()])
+    rate = lambda which: float((stands * y)[which].sum() / stands[which].sum())
+    model.empty_rate = rate(~filled) if (~filled).any() else rate(filled)
+    model.ids, model.label, model.stands_for = np.array([r[0] for r in made], np.int64)[filled], y[filled].astype(float), stands[filled]
+    model.build([(p, t) for (_, _, p, t), f in zip(made, filled, strict=True) if f])
+    if filled.any():
+        votes = leave_one_out(sample, model)
+        x, seen, w = (votes.column(c).to_numpy().astype(float) for c in ("vote", "y", "one"))
+        w = w * np.array([counts[v] / sizes[v] for v in seen.astype(int).tolist()])
+        model.knots, model.levels = isotonic(np.append(x, model.empty_rate), np.append(seen, model.empty_rate), np.append(w, 1.0))
+    return model
+
+
+def label_weights(a: np.ndarray, b: np.ndarray, na: float, nb: float, half: float) -> np.ndarray:
+    """r / (r + half) for terms in ``a`` of ``na`` examples of label 1 and ``b`` of ``nb`` others; 1 where all labels agree."""
+    if not na or not nb:
+        return np.ones(len(a))
+
+    def part(x, n, of):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) * (na + nb) / np.maximum(n * of, 1e-300)), 0.0)
+
+    r = 2 * (part(a, na, a + b) + part(b, nb, a + b) + part(na - a, na, na + nb - a - b) + part(nb - b, nb, na + nb - a - b))
+    r = np.where(r > 1e-9, r, 0.0)
+    return r / (r + half)
+
+
+def _distinct(*keys: np.ndarray) -> np.ndarray:
+    """Places of one row for each combination of ``keys``."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    return order[new]
+
+
+def sample_terms(sample: DataFrame) -> DataFrame:
+    """(term, a, b): in how many examples of label 1 and of the others each term is, or after how many different words, if that is less (copies of one
+    text repeat a term's neighbour, independent uses don't)."""
 
     def count(batches):
         for batch in batches:
             y = np.asarray(batch.column("y").to_numpy(zero_copy_only=False), np.int64)
             for first, last, data, at in steps(batch.column("text")):
-                found, texts = _terms(data, at)
-                order = np.lexsort((found, texts))
-                found, texts = found[order], texts[order]
-                new = np.ones(len(found), bool)
-                new[1:] = (found[1:] != found[:-1]) | (texts[1:] != texts[:-1])
-                values, where = np.unique(found[new], return_inverse=True)
-                own = y[first:last][texts[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.bincount(where, own, len(values)).astype(np.int64)), pa.array(np.bincount(where, 1 - own, len(values)).astype(np.int64))], ["term", "a", "b"])
+                found, texts, before = _terms(data, at, True)
+                own = y[first:last][texts]
+                # One row for each text that has the term (its neighbour null), one for each neighbour.
+                near, held = _distinct(found, own, before), _distinct(found, texts)
+                values, where = np.unique(found[held], return_inverse=True)
+                label = own[held]
+                ones, others = np.bincount(where, label, len(values)), np.bincount(where, 1 - label, len(values))
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(ones.astype(np.int64)), pa.array(others.astype(np.int64)), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.int64())], ["term", "a", "b", "y", "context"])
+                none = pa.array(np.zeros(len(near), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(found[near].view(np.int64)), none, none, pa.array(own[near]), pa.array(before[near].view(np.int64))], ["term", "a", "b", "y", "context"])
+
+    rows = sample.mapInArrow(count, "term long, a long, b long, y long, context long").groupBy("term", "y", "context").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    near = F.col("y").isNotNull()
+    all_ = rows.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.when(near, F.col("y")).otherwise(0)).alias("a2"), F.sum(F.when(near, 1 - F.col("y")).otherwise(0)).alias("b2"))
+    return all_.select("term", F.least("a", "a2").alias("a"), F.least("b", "b2").alias("b"))
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How many of all texts have each term of the sorted ``vocabulary``; tasks add up their own texts first."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    na, nb = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    none = BlockMaxIndex(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), k)
-    if na + nb == 0:
-        return none.build([])
-    part = lambda x, n, rest: F.when(x > 0, x * F.log(x * (na + nb) / (n * rest))).otherwise(0.0)
+    def count(batches):
+        names = shared.value
+        total = np.zeros(len(names), np.int64)
+        for batch in batches:
+            for _, _, data, at in steps(batch.column("text")):
+                _, places, _ = _vectors(data, at, names)
+                total += np.bincount(places, minlength=len(names))
+        some = np.flatnonzero(total)
+        for cut in range(0, len(some), 1 << 16):
+            part = some[cut : cut + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["place", "n"])
+
+    found = docs.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary))
+    out[found.column("place").to_numpy()] = found.column("n").to_numpy()
+    return out
 
-    def ratio(table: DataFrame) -> DataFrame:
-        a, b = F.col("a").cast("double"), F.col("b").cast("double")
-        has, lacks = a + b, F.lit(na + nb) - a - b
-        value = 2 * (part(a, F.lit(na), has) + part(b, F.lit(nb), has) + part(na - a, F.lit(na), lacks) + part(nb - b, F.lit(nb), lacks)) if na and nb else F.lit(0.0)
-        return table.withColumn("ratio", value).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "term")
 
-    counted = sample.mapInArrow(count, "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") > 2)
-    likely = ratio(counted).limit(4 * terms).select("term", "a", "b").toPandas()
-    names = np.sort(likely["term"].to_numpy(np.int64).view(np.uint64))
+def leave_one_out(sample: DataFrame, model: BlockMaxIndex) -> pa.Table:
+    """(y, vote, one) of every example with weighing terms, voted on by the others."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
-    def contexts(batches):
-        """Copies of one text repeat a term's neighbour; independent uses don't."""
+    def run(batches):
+        m = shared.value
         for batch in batches:
-            y = np.asarray(batch.column("y").to_numpy(zero_copy_only=False), np.int64)
-            for first, last, data, at in steps(batch.column("text")):
-                found, texts, before = _terms(data, at, True)
-                place = np.minimum(np.searchsorted(names, found), max(len(names) - 1, 0))
-                hit = names[place] == found if len(names) else np.zeros(len(found), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(found[hit].view(np.int64)), pa.array(y[first:last][texts[hit]]), pa.array(before[hit].view(np.int64))], ["term", "y", "context"])
-
-    spread = sample.mapInArrow(contexts, "term long, y long, context long").distinct().groupBy("term").agg(F.sum("y").alias("a2"), F.sum(1 - F.col("y")).alias("b2"))
-    fair = spread.join(F.broadcast(df_of(likely, sample)), "term").select("term", F.least("a", "a2").alias("a"), F.least("b", "b2").alias("b"))
-    words = ratio(fair).limit(terms).select("term", "a", "b").toPandas()
-    found = words["term"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(found)
-    none.vocabulary = found[order]
-    none.idf = np.log((1 + na + nb) / (1 + (words["a"] + words["b"]).to_numpy(float)[order])) + 0.1
-    model = vectorise(sample, none).toPandas().sort_values(["terms", "doc_id"], key=lambda c: c.map(lambda x: (list(x[:1]) or [-1])[0] if isinstance(x, (list, np.ndarray)) else x), kind="stable")
-    share = {y: counts[y] / sizes[y] for y in sizes}
-    y = model["y"].to_numpy(int)
-    stands = np.array([share[v] for v in y])
-    filled = model["terms"].map(len).to_numpy() > 0
-    none.empty_rate = float((stands * y)[~filled].sum() / stands[~filled].sum()) if (~filled).any() else float((stands * y).sum() / stands.sum())
-    none.ids, none.label, none.stands_for = model["doc_id"].to_numpy(np.int64)[filled], y[filled].astype(float), stands[filled]
-    vectors = [(np.asarray(p, np.int64), np.asarray(t, np.int64)) for p, t, f in zip(model["terms"], model["times"], filled, strict=True) if f]
-    none.build(vectors)
-    if vectors:
-        picks = np.unique(np.linspace(0, len(vectors) - 1, min(len(vectors), 1500)).astype(int))
-        votes = np.array([none.vote(*none.nearest(vectors[i][0], none.weigh(*vectors[i]), i)) for i in picks])
-        x, w = np.append(votes, none.empty_rate), np.append(none.stands_for[picks], 1.0)
-        none.knots, none.levels = isotonic(x, np.append(none.label[picks], none.empty_rate), w)
-    return none
-
-
-def df_of(rows, like: DataFrame) -> DataFrame:
-    """A small table of term counts."""
-    return like.sparkSession.createDataFrame([(int(t), int(a), int(b)) for t, a, b in zip(rows["term"], rows["a"], rows["b"], strict=True)], "term long, a long, b long")
+            ids, y = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist()
+            out = []
+            for first, _, data, at in steps(batch.column("text")):
+                texts, places, times = _vectors(data, at, m.vocabulary)
+                cuts = np.flatnonzero(np.diff(texts, prepend=-1, append=-1))
+                asked = [(first + int(texts[a]), places[a:b], m.weigh(places[a:b], times[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                asked = [x for x in asked if x[2].any()]
+                for a in range(0, len(asked), GROUP):
+                    group = asked[a : a + GROUP]
+                    nearest = m.nearest_of([(p, w) for _, p, w in group], [ids[i] for i, _, _ in group])
+                    out += [(y[i], m.vote(*x)) for (i, _, _), x in zip(group, nearest, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([v for _, v in out], pa.float64()), pa.array([1] * len(out), pa.int32())], ["y", "vote", "one"])
+
+    return sample.select("doc_id", "text", "y").mapInArrow(run, "y int, vote double, one int").orderBy("vote", "y").toArrow()
 
 
 def vectorise(sample: DataFrame, model: BlockMaxIndex) -> DataFrame:
-    vocabulary = model.vocabulary
+    """doc_id, y, and the places of its terms and their times as 64-bit numbers."""
+    shared = sample.sparkSession.sparkContext.broadcast(model.vocabulary)
 
     def run(batches):
         for batch in batches:
-            out = [([], []) for _ in range(batch.num_rows)]
-            for first, _, data, at in steps(batch.column("text")):
-                texts, places, times = _vectors(data, at, vocabulary)
-                for i in np.unique(texts):
-                    s = slice(*np.searchsorted(texts, [i, i + 1]))
-                    out[first + i] = (places[s].tolist(), times[s].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array([x for x, _ in out], pa.list_(pa.int64())), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["doc_id", "y", "terms", "times"])
+            out = [(b"", b"")] * batch.num_rows
+            for first, last, data, at in steps(batch.column("text")):
+                texts, places, times = _vectors(data, at, shared.value)
+                cuts = np.searchsorted(texts, np.arange(last - first + 1))
+                for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    out[first + i] = places[a:b].tobytes(), times[a:b].astype(np.int64).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["doc_id", "y", "terms", "times"])
 
-    return sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms array<long>, times array<long>")
+    return sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms binary, times binary")
 
 
 def score(df: DataFrame, model: BlockMaxIndex, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -247,14 +345,16 @@ def score(df: DataFrame, model: BlockMaxIndex, text: str = "text", keep: tuple[s
             for first, _, data, at in steps(batch.column("__text")):
                 texts, places, times = _vectors(data, at, m.vocabulary)
                 cuts = np.flatnonzero(np.diff(texts, prepend=-1, append=-1))
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    key = places[a:b].tobytes() + times[a:b].tobytes()
-                    if key not in seen:
-                        found, cosine = m.nearest(places[a:b], m.weigh(places[a:b], times[a:b]))
-                        if len(seen) > 20_000:
-                            seen.clear()
-                        seen[key] = (m.calibrated(m.vote(found, cosine)), [{"doc_id": int(m.ids[i]), "cosine": float(c), "label": int(m.label[i])} for i, c in zip(found, cosine, strict=True)])
-                    out[first + texts[a]] = seen[key]
+                keys = [hashlib.blake2b(places[a:b].tobytes() + times[a:b].tobytes(), digest_size=32).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                if len(seen) > 20_000:
+                    seen.clear()
+                asked = [(k, places[a:b], m.weigh(places[a:b], times[a:b])) for k, (a, b) in {k: x for k, x in zip(keys, zip(cuts[:-1], cuts[1:], strict=True), strict=True) if k not in seen}.items()]
+                for a in range(0, len(asked), GROUP):
+                    group = asked[a : a + GROUP]
+                    for (k, _, _), (found, cosine) in zip(group, m.nearest_of([(p, w) for _, p, w in group]), strict=True):
+                        seen[k] = (m.calibrated(m.vote(found, cosine)), [{"doc_id": int(m.ids[i]), "cosine": float(c), "label": int(m.label[i])} for i, c in zip(found, cosine, strict=True)])
+                for a, k in zip(cuts[:-1], keys, strict=True):
+                    out[first + texts[a]] = seen[k]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], kind)], [*keep, "score", "evidence"])
 
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name in keep)
@@ -265,6 +365,6 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document; one document in five is held out of learning."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out(F.col("doc_id"), 5, 0).alias("held_out"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"), 5, 0))
-    model = fit(docs.where(~F.col("held_out")), labels)
+    model = fit(docs.where(~F.col("held_out")), labels, corpus=docs)
     found = score(docs, model, keep=("doc_id", "held_out"))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

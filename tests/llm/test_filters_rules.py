@@ -1,4 +1,4 @@
-"""Language masks and quality statistics against plain versions."""
+"""Language masks, quality statistics and the toxicity index against plain versions."""
 
 import collections
 import math
@@ -8,8 +8,11 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from docweave.llm import langid, quality
+from docweave.llm import langid, quality, toxicity
 from docweave.llm.common import utf8
+from docweave.llm.queries import QUERIES
+
+DATA = "/root/testdata/sf0.1"
 
 
 def plain_grams(text):
@@ -103,3 +106,79 @@ def test_statistics_and_compiled_rules_equal_plain_ones(spark):
         total = -0.2 + sum(w for rule, w in rules if all((values[s] <= v) == low for s, low, v in rule))
         assert math.isclose(r["score"], 1 / (1 + math.exp(-total)), rel_tol=1e-9)
     assert quality.score(df.where(F.lit(False)), model).count() == 0
+
+
+def toxic_rows():
+    """Long plain texts; every tenth holds a common insult, three only a rare one."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(300)])
+    rows = []
+    for i in range(400):
+        text = list(rng.choice(words, 80))
+        bad = i % 10 == 0 or i in (33, 66, 99)
+        if bad:
+            text[int(rng.integers(80))] = "numbskull" if i in (33, 66, 99) else "idiot"
+        rows.append((i, " ".join(text), int(bad)))
+    return rows
+
+
+def test_toxicity_keeps_rare_insults_and_counts_all_documents(spark):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    more = docs.union(spark.createDataFrame([(1000 + i, "numbskull w1") for i in range(50)] + [(2000, None)], "doc_id long, text string"))
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), corpus=more)
+    # Each term of each example is there, with frequencies over the whole corpus.
+    held = {t for _, text, _ in rows for w in text.split() for t in {w, w[:4], w[:5]}}
+    assert len(model.vocabulary) == len(held)
+    counts = toxicity.document_frequencies(more, model.vocabulary)
+    own = [set(text.split()) for _, text, _ in rows] + [{"numbskull", "w1"}] * 50
+    want = sorted(sum(any(t == w or (len(t) in (4, 5) and len(w) > len(t) and w.startswith(t)) for w in words) for words in own) for t in held)
+    assert sorted(counts.tolist()) == want
+    asked = spark.createDataFrame([(1, "w5 w9 numbskull w17 w20"), (2, "w5 w9 w17 w20 w31"), (3, "w7 idiots w3"), (4, "")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in toxicity.score(asked, model, keep=("doc_id",)).collect()}
+    assert found[1]["score"] >= 0.5 and found[3]["score"] >= 0.5 and found[2]["score"] < 0.5 and found[4]["score"] < 0.5
+    assert found[1]["evidence"][0]["doc_id"] in (33, 66, 99)
+
+
+def test_label_weights_are_likelihood_ratios():
+    a, b, na, nb = np.array([5.0, 5.0, 0.0, 10.0]), np.array([0.0, 5.0, 8.0, 20.0]), 10.0, 20.0
+    got = toxicity.label_weights(a, b, na, nb, 4.0)
+    for x, y, w in zip(a, b, got, strict=True):
+        cells = [(x, na * (x + y) / 30), (y, nb * (x + y) / 30), (na - x, na * (30 - x - y) / 30), (nb - y, nb * (30 - x - y) / 30)]
+        r = 2 * sum(o * np.log(o / e) for o, e in cells if o > 0)
+        assert abs(w - max(r, 0) / (max(r, 0) + 4)) < 1e-9
+    assert (toxicity.label_weights(a, b, 0.0, 9.0, 4.0) == 1).all()
+
+
+def test_groups_of_queries_skip_blocks_and_stay_exact():
+    rng = np.random.default_rng(2)
+    n, v = 1500, 400
+    vectors = []
+    for i in range(n):  # a topic's terms are heavy, a few terms are in most examples
+        topic = 20 + (i // 100) * 20
+        p = np.unique(np.concatenate([rng.choice(20, 9), topic + rng.choice(20, 5), rng.choice(v, 3)]))
+        vectors.append((p, rng.integers(1, 3, len(p))))
+    idf = np.concatenate([np.full(20, 0.05), rng.random(v - 20) + 1])
+    ids = rng.permutation(n)
+    ids[7] = ids[8]  # an id may repeat
+    index = toxicity.BlockMaxIndex(np.arange(v, dtype=np.uint64), idf, ids, np.zeros(n), np.ones(n), 10).build(vectors)
+    assert 0 < index.bound.shape[1] < v
+    dense = np.zeros((n, v))
+    for i, (p, t) in enumerate(vectors):
+        dense[i, p] = index.weigh(p, t)
+    asked = [(p, index.weigh(p, t)) for p, t in vectors[:60]]
+    for without in (None, [int(x) for x in ids[:60]]):
+        for i, (found, cosine) in enumerate(index.nearest_of(asked, without)):
+            all_ = np.round(dense @ dense[i], 10)
+            rows = [r for r in range(n) if all_[r] > 0 and (without is None or ids[r] != without[i])]
+            want = sorted(rows, key=lambda r: (-all_[r], ids[r]))[:10]
+            assert np.allclose(cosine, all_[want], atol=1e-9) and len(found) == 10
+            assert without is None or not (ids[found] == without[i]).any()
+        assert index.read < 60 * index.blocks * 0.7
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Held-out recall and precision; sf0.01 has but 6 toxic texts held out, sf0.1 has 97."""
+    got = QUERIES["op2_toxicity"](spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet").where("toxic is not null"), "doc_id").where("held_out")
+    r = got.selectExpr("sum(toxic * predicted) hit", "sum(toxic) toxic", "sum(predicted) said").first()
+    assert r["hit"] >= 0.9 * r["toxic"] and r["hit"] >= 0.9 * r["said"]
