@@ -77,6 +77,26 @@ class BlockMaxIndex:
     empty_rate: float = 0.0
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     levels: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    sent: object = None
+
+    def __getstate__(self) -> dict:
+        """The vectors in the fewest bytes; lists, columns and maxima are made anew from them where they arrive."""
+        state = {k: getattr(self, k) for k in ("vocabulary", "idf", "ids", "label", "stands_for", "k", "empty_rate", "knots", "levels")}
+        places, times, sizes = self.vectors
+        small = np.uint16 if times.max(initial=0) < 1 << 16 else np.int64
+        return state | {"vectors": (places.astype(np.int32), times.astype(small), sizes.astype(np.int32))}
+
+    def __setstate__(self, state: dict) -> None:
+        places, times, sizes = (x.astype(np.int64) for x in state.pop("vectors"))
+        self.__dict__.update(state, sent=None)
+        cuts = np.cumsum(sizes)[:-1]
+        self.build(list(zip(np.split(places, cuts), np.split(times, cuts), strict=True)) if len(sizes) else [])
+
+    def shared(self, df: DataFrame):
+        """One broadcast for all uses; what calibrates comes later and travels beside it."""
+        if self.sent is None:
+            self.sent = df.sparkSession.sparkContext.broadcast(self)
+        return self.sent
 
     def weigh(self, places: np.ndarray, times: np.ndarray) -> np.ndarray:
         """A unit vector; all 0 if no term weighs anything."""
@@ -86,7 +106,8 @@ class BlockMaxIndex:
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> BlockMaxIndex:
         n, v = len(vectors), len(self.vocabulary)
         self.blocks = -(-n // BLOCK)
-        terms = np.concatenate([p for p, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        terms, times = (np.concatenate([x[i] for x in vectors]) if vectors else np.zeros(0, np.int64) for i in (0, 1))
+        self.vectors = terms, times, np.array([len(p) for p, _ in vectors], np.int64)
         row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p, _ in vectors])
         weight = np.concatenate([self.weigh(p, t) for p, t in vectors]) if vectors else np.zeros(0)
         some = weight > 0
@@ -162,7 +183,11 @@ class BlockMaxIndex:
         return float((w * self.label[found]).sum() / w.sum()) if len(found) else self.empty_rate
 
     def calibrated(self, vote: float) -> float:
-        return float(np.clip(np.interp(vote, self.knots, self.levels), 0, 1))
+        return level(vote, self.knots, self.levels)
+
+
+def level(vote: float, knots: np.ndarray, levels: np.ndarray) -> float:
+    return float(np.clip(np.interp(vote, knots, levels), 0, 1))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +317,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 def leave_one_out(sample: DataFrame, model: BlockMaxIndex) -> pa.Table:
     """(y, vote, one) of every example with weighing terms, voted on by the others."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(sample)
 
     def run(batches):
         m = shared.value
@@ -332,13 +357,13 @@ def vectorise(sample: DataFrame, model: BlockMaxIndex) -> DataFrame:
 
 def score(df: DataFrame, model: BlockMaxIndex, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, score and evidence (the nearest examples: id, cosine, label) for every row of ``df``."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, knots, levels = model.shared(df), model.knots, model.levels
+    blank = (model.calibrated(model.empty_rate) if len(model.ids) else model.empty_rate, [])
     kept = df.select(*keep, F.col(text).alias("__text"))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
         m = shared.value
-        blank = (m.calibrated(m.empty_rate) if len(m.ids) else m.empty_rate, [])
         seen: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
             out = [blank] * batch.num_rows
@@ -352,7 +377,7 @@ def score(df: DataFrame, model: BlockMaxIndex, text: str = "text", keep: tuple[s
                 for a in range(0, len(asked), GROUP):
                     group = asked[a : a + GROUP]
                     for (k, _, _), (found, cosine) in zip(group, m.nearest_of([(p, w) for _, p, w in group]), strict=True):
-                        seen[k] = (m.calibrated(m.vote(found, cosine)), [{"doc_id": int(m.ids[i]), "cosine": float(c), "label": int(m.label[i])} for i, c in zip(found, cosine, strict=True)])
+                        seen[k] = (level(m.vote(found, cosine), knots, levels), [{"doc_id": int(m.ids[i]), "cosine": float(c), "label": int(m.label[i])} for i, c in zip(found, cosine, strict=True)])
                 for a, k in zip(cuts[:-1], keys, strict=True):
                     out[first + texts[a]] = seen[k]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], kind)], [*keep, "score", "evidence"])
