@@ -31,7 +31,7 @@ from .common import ALNUM, LOWER, hash_fraction, held_out, range_hash, running,
 PREFIXES = (4, 5)
 BLOCK = 64
 #: Queries that are answered together.
-GROUP = 64
+GROUP = 16
 #: Lists of more than one in so many examples are dense columns.
 LONG_LIST = 8
 
@@ -82,15 +82,14 @@ class BlockMaxIndex:
     def __getstate__(self) -> dict:
         """The vectors in the fewest bytes; lists, columns and maxima are made anew from them where they arrive."""
         state = {k: getattr(self, k) for k in ("vocabulary", "idf", "ids", "label", "stands_for", "k", "empty_rate", "knots", "levels")}
-        places, times, sizes = self.vectors
-        small = np.uint16 if times.max(initial=0) < 1 << 16 else np.int64
-        return state | {"vectors": (places.astype(np.int32), times.astype(small), sizes.astype(np.int32))}
+        return state | {"vectors": self.vectors}
 
     def __setstate__(self, state: dict) -> None:
-        places, times, sizes = (x.astype(np.int64) for x in state.pop("vectors"))
+        places, times, sizes = state.pop("vectors")
         self.__dict__.update(state, sent=None)
         cuts = np.cumsum(sizes)[:-1]
         self.build(list(zip(np.split(places, cuts), np.split(times, cuts), strict=True)) if len(sizes) else [])
+        del self.vectors
 
     def shared(self, df: DataFrame):
         """One broadcast for all uses; what calibrates comes later and travels beside it."""
@@ -106,8 +105,9 @@ class BlockMaxIndex:
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> BlockMaxIndex:
         n, v = len(vectors), len(self.vocabulary)
         self.blocks = -(-n // BLOCK)
-        terms, times = (np.concatenate([x[i] for x in vectors]) if vectors else np.zeros(0, np.int64) for i in (0, 1))
-        self.vectors = terms, times, np.array([len(p) for p, _ in vectors], np.int64)
+        terms, times = (np.concatenate([x[i] for x in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32) for i in (0, 1))
+        self.vectors = terms, times.astype(np.uint16) if times.max(initial=0) < 1 << 16 else times, np.array([len(p) for p, _ in vectors], np.int32)
+        del times
         row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p, _ in vectors])
         weight = np.concatenate([self.weigh(p, t) for p, t in vectors]) if vectors else np.zeros(0)
         some = weight > 0
@@ -120,9 +120,10 @@ class BlockMaxIndex:
         dense[row[mine], self.column[terms[mine]]] = weight[mine]
         self.dense = dense.reshape(self.blocks, BLOCK, len(long))
         self.bound = self.dense.max(axis=1)
-        order = np.lexsort((row[~mine], terms[~mine]))
-        self.row, self.weight = row[~mine][order], weight[~mine][order]
-        self.start = np.searchsorted(terms[~mine][order], np.arange(v + 1))
+        terms, row, weight = terms[~mine], row[~mine], weight[~mine]
+        order = np.argsort(terms, kind="stable")
+        self.row, self.weight = row[order], weight[order]
+        self.start = np.append(0, np.cumsum(np.bincount(terms, minlength=v)))
         return self
 
     def nearest(self, places: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     frequency = document_frequencies(every, model.vocabulary)
     model.idf = (np.log((1 + every.where(F.col("text").isNotNull()).count()) / (1 + frequency)) + 0.1) * label_weights(a, b, na, nb, half)
     made = vectorise(sample, model).toArrow().to_pylist()
-    made = [(r["doc_id"], r["y"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["times"], np.int64)) for r in made]
+    made = [(r["doc_id"], r["y"], np.frombuffer(r["terms"], np.int32), np.frombuffer(r["times"], np.int32)) for r in made]
     # Examples with the same heaviest term stand together, which makes the blocks' maxima tell.
     heaviest = [int(p[np.argmax(model.weigh(p, t))]) if len(p) and model.idf[p].any() else -1 for _, _, p, t in made]
     made = [made[i] for i in sorted(range(len(made)), key=lambda i: (heaviest[i], made[i][0]))]
@@ -239,6 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     model.empty_rate = rate(~filled) if (~filled).any() else rate(filled)
     model.ids, model.label, model.stands_for = np.array([r[0] for r in made], np.int64)[filled], y[filled].astype(float), stands[filled]
     model.build([(p, t) for (_, _, p, t), f in zip(made, filled, strict=True) if f])
+    del made, terms, names, a, b
     if filled.any():
         votes = leave_one_out(sample, model)
         x, seen, w = (votes.column(c).to_numpy().astype(float) for c in ("vote", "y", "one"))
@@ -349,7 +351,7 @@ def vectorise(sample: DataFrame, model: BlockMaxIndex) -> DataFrame:
                 texts, places, times = _vectors(data, at, shared.value)
                 cuts = np.searchsorted(texts, np.arange(last - first + 1))
                 for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    out[first + i] = places[a:b].tobytes(), times[a:b].astype(np.int64).tobytes()
+                    out[first + i] = places[a:b].astype(np.int32).tobytes(), times[a:b].astype(np.int32).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["doc_id", "y", "terms", "times"])
 
     return sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms binary, times binary")
@@ -358,13 +360,13 @@ def vectorise(sample: DataFrame, model: BlockMaxIndex) -> DataFrame:
 def score(df: DataFrame, model: BlockMaxIndex, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, score and evidence (the nearest examples: id, cosine, label) for every row of ``df``."""
     shared, knots, levels = model.shared(df), model.knots, model.levels
-    blank = (model.calibrated(model.empty_rate) if len(model.ids) else model.empty_rate, [])
+    blank = (model.calibrated(model.empty_rate) if len(model.ids) else model.empty_rate, np.zeros(0, np.int32), np.zeros(0))
     kept = df.select(*keep, F.col(text).alias("__text"))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
         m = shared.value
-        seen: dict[bytes, tuple[float, list]] = {}
+        seen: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             out = [blank] * batch.num_rows
             for first, _, data, at in steps(batch.column("__text")):
@@ -377,10 +379,13 @@ def score(df: DataFrame, model: BlockMaxIndex, text: str = "text", keep: tuple[s
                 for a in range(0, len(asked), GROUP):
                     group = asked[a : a + GROUP]
                     for (k, _, _), (found, cosine) in zip(group, m.nearest_of([(p, w) for _, p, w in group]), strict=True):
-                        seen[k] = (level(m.vote(found, cosine), knots, levels), [{"doc_id": int(m.ids[i]), "cosine": float(c), "label": int(m.label[i])} for i, c in zip(found, cosine, strict=True)])
+                        seen[k] = level(m.vote(found, cosine), knots, levels), found.astype(np.int32), cosine
                 for a, k in zip(cuts[:-1], keys, strict=True):
                     out[first + texts[a]] = seen[k]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], kind)], [*keep, "score", "evidence"])
+            row = np.concatenate([x[1] for x in out]) if out else blank[1]
+            cut = np.append(0, np.cumsum([len(x[1]) for x in out])).astype(np.int32)
+            near = pa.StructArray.from_arrays([pa.array(m.ids[row], pa.int64()), pa.array(np.concatenate([x[2] for x in out]) if out else blank[2]), pa.array(m.label[row].astype(np.int32))], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x[0] for x in out], pa.float64()), pa.ListArray.from_arrays(pa.array(cut), near).cast(kind)], [*keep, "score", "evidence"])
 
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name in keep)
     return kept.mapInArrow(run, f"{types}score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
