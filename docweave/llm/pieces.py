@@ -2,13 +2,17 @@
 
 A text's units (a run of blanks with what follows it up to the next blank, cut around characters that no piece holds) are
 encoded by an agenda: of the adjacent symbols whose join is a piece, the best-scored pair (leftmost among equals) merges first.
-A candidate that a keyed hash of (seed, variant, unit, place) selects is skipped, with the probability ``dropout``, so a unit has
-up to ``variants`` segmentations; which one it takes follows from the seed, the text and the unit's place in it. The same
-seed always gives the same ids. Characters outside the vocabulary become byte pieces, and so does the model's own blank sign
-where a text holds it, so every segmentation decodes to the exact text.
-
-Equal units of a batch are encoded once, all units of a batch at a time, one merge of each in a round; very long units use
-a heap. A worker keeps units that came more than once and compares their characters before it uses their ids again. Null texts have null ids, empty texts no ids. Repeated rows get equal ids; only the text is read, whole.
+A candidate that a keyed hash of (seed, text, the unit's place in it, place in the unit) selects is skipped, with the
+probability ``dropout``: every occurrence of a unit draws anew, while the same seed always gives the same ids. Characters
+outside the vocabulary become byte pieces, and so does the model's own blank sign where a text holds it, so every
+segmentation decodes to the exact text.
+
+Distinct units of a batch are encoded without dropout once, with the merges that were made. An occurrence whose key skips none
+of these merges has that encoding, since its agenda then pops the same candidates; all others go through an agenda of their own.
+All units of a batch are handled at a time, one merge of each in a round; very long units use a heap. A worker keeps plain
+encodings of units that came more than once and compares their characters before it uses them again. Null texts have null
+ids, empty texts and tables no ids; very long texts are taken in runs of units. Repeated rows get equal ids; only the text is
+read, whole, and columns of other names are passed on only if ``keep`` names them (not ``ids``, ``n_ids``, ``lossless`` or ``__text``).
 """
 
 from __future__ import annotations
@@ -95,6 +99,11 @@ def _skips(key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarr
         return (mix(key + mix(place)) >> np.uint64(11)).astype(float) < dropout * float(1 << 53)
 
 
+def _packed(begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The three places of a candidate of a unit of at most LONG symbols as one number."""
+    return ((begin << 20) | (middle << 10) | end).astype(np.int32)
+
+
 def _by_heap(t: Pieces, ids: np.ndarray, key: np.uint64, dropout: float) -> list[int]:
     """One unit: symbols that are left, as indices of where they begin, with ids written into ``ids``."""
     n = len(ids)
@@ -126,8 +135,8 @@ def _by_heap(t: Pieces, ids: np.ndarray, key: np.uint64, dropout: float) -> list
     return [i for i in range(n) if alive[i]]
 
 
-def _in_rounds(t: Pieces, ids: np.ndarray, at: np.ndarray, key: np.ndarray, dropout: float) -> np.ndarray:
-    """Many units at once: merges in place, returns which symbols are left."""
+def _in_rounds(t: Pieces, ids: np.ndarray, at: np.ndarray, key: np.ndarray, dropout: float, made: list | None = None) -> np.ndarray:
+    """Many units at once: merges in place, returns which symbols are left. Each round's merges go to ``made``, as units and places."""
     n = len(ids)
     alive = np.ones(n, bool)
     unit = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -167,6 +176,8 @@ def _in_rounds(t: Pieces, ids: np.ndarray, at: np.ndarray, key: np.ndarray, drop
         live, best = live[go], best[go]
         a = at[live] + (best & 1023)
         b = after[a]
+        if made is not None:
+            made.append((live, _packed(a - base[a], b - base[a], stop[b] - base[a])))
         ids[a] = joins[a]
         alive[b] = False
         order[b] = NEVER
@@ -178,12 +189,25 @@ def _in_rounds(t: Pieces, ids: np.ndarray, at: np.ndarray, key: np.ndarray, drop
     return alive
 
 
+class Ranges:
+    """Ranges of values, one after the other."""
+
+    def __init__(self, kind: type) -> None:
+        self.values, self.start, self.size = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, size: np.ndarray, order: np.ndarray) -> None:
+        """Append ranges, then put all ranges in ``order``; the values stay where they are."""
+        start = np.cumsum(size) - size + len(self.values)
+        self.values = np.concatenate([self.values, values.astype(self.values.dtype)])
+        self.start, self.size = np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+
+
 class Known:
-    """Encoded units that came more than once, of one model, seed and dropout; at most ``limit``. Their characters are kept, since keys may collide."""
+    """Plain encodings of units that came more than once, of one model; at most ``limit``. Their characters are kept, since keys may collide."""
 
     def __init__(self, limit: int = 300_000) -> None:
-        self.limit, self.keys, self.ids, self.points = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.start, self.size, self.begin, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.limit, self.keys = limit, np.zeros(0, np.uint64)
+        self.ids, self.points, self.merges = Ranges(np.int64), Ranges(np.uint32), Ranges(np.int32)
 
     def find(self, keys: np.ndarray, points: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Places of the units (their keys, and where they lie in ``points``), -1 where one isn't known."""
@@ -191,27 +215,26 @@ class Known:
         if not len(self.keys):
             return place
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        maybe = np.flatnonzero((self.keys[at] == keys) & (self.length[at] == length))
+        maybe = np.flatnonzero((self.keys[at] == keys) & (self.points.size[at] == length))
         mine, cut = spread(points, begin[maybe], length[maybe])
-        theirs, _ = spread(self.points, self.begin[at[maybe]], length[maybe])
+        theirs, _ = spread(self.points.values, self.points.start[at[maybe]], length[maybe])
         unlike = np.add.reduceat(mine != theirs, cut[:-1]) if len(maybe) else np.zeros(0, int)
         same = maybe[unlike == 0]
         place[same] = at[same]
         return place
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray, points: np.ndarray, length: np.ndarray) -> None:
-        """Keep units: their ids, ``size`` each, and their characters, ``length`` each, one unit after the other."""
+    def add(self, keys: np.ndarray, ids: tuple, points: tuple, merges: tuple) -> None:
+        """Keep units: the values and sizes of their ids, characters and merges, one unit after the other."""
         if len(self.keys) >= self.limit or not len(keys):
             return
-        start, begin = np.cumsum(size) - size + len(self.ids), np.cumsum(length) - length + len(self.points)
         order = np.argsort(both := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.start, self.size = both[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
-        self.begin, self.length = np.concatenate([self.begin, begin])[order], np.concatenate([self.length, length])[order]
-        self.ids, self.points = np.concatenate([self.ids, ids]), np.concatenate([self.points, points])
+        self.keys = both[order]
+        for kept, new in ((self.ids, ids), (self.points, points), (self.merges, merges)):
+            kept.add(*new, order)
 
 
-#: Of this worker, by model, seed, dropout and variants.
-_KNOWN: dict[tuple, Known] = {}
+#: Of this worker, by model.
+_KNOWN: dict[str, Known] = {}
 
 
 def spread(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +243,74 @@ def spread(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return pool[np.arange(at[-1]) + np.repeat(start - at[:-1], size)], at
 
 
-def encode_texts(t: Pieces, data: np.ndarray, at: np.ndarray, seed: int = 0, dropout: float = 0.1, variants: int = 8, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _runs(size: np.ndarray, limit: int = 1 << 20) -> list[slice]:
+    """Runs of units of about ``limit`` symbols."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
+    edges = [0, *cuts.tolist(), len(size)]
+    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
+def _distinct(key: np.ndarray, cps: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first of each key, which of these each unit is, times each comes); units of one key are compared, since a collision would lose text."""
+    _, first, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    r = first[which]
+    alike = not (size[r] != size).any()
+    for run in _runs(size) if alike else ():
+        alike &= np.array_equal(spread(cps, begin[run], size[run])[0], spread(cps, begin[r[run]], size[run])[0])
+    if not alike:
+        first = which = np.arange(len(key))
+        times = np.ones(len(key), np.int64)
+    return first, which, times
+
+
+def _encode_units(t: Pieces, ids: np.ndarray, cps: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, dropout: float, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units, how many each has); ``merges`` takes (units, places) of the merges of units that aren't long."""
+    left, place, unit = ([np.zeros(0, np.int64)] for _ in range(3))
+    short = np.flatnonzero(size <= LONG)
+    for run in _runs(size[short]):
+        part = short[run]
+        own, at = spread(ids, begin[part], size[part])
+        made = None if merges is None else []
+        alive = np.flatnonzero(_in_rounds(t, own, at, key[part], dropout, made))
+        of = np.searchsorted(at, alive, side="right") - 1
+        left.append(own[alive])
+        place.append(begin[part[of]] + alive - at[of])
+        unit.append(part[of])
+        if made:
+            merges += [(part[u], where) for u, where in made]
+    for u in np.flatnonzero(size > LONG):
+        own = ids[begin[u] : begin[u] + size[u]].copy()
+        keep = np.array(_by_heap(t, own, key[u], dropout), np.int64)
+        left.append(own[keep])
+        place.append(begin[u] + keep)
+        unit.append(np.full(len(keep), u))
+    left, place, unit = np.concatenate(left), np.concatenate(place), np.concatenate(unit)
+    if len(short) < len(size):
+        order = np.argsort(unit, kind="stable")
+        left, place, unit = left[order], place[order], unit[order]
+    odd = np.flatnonzero(left < 0)
+    if len(odd):  # symbols outside the vocabulary become their bytes
+        raw = [list(chr(c).encode()) for c in cps[place[odd]].tolist()]
+        each = np.ones(len(left), np.int64)
+        each[odd] = [len(x) for x in raw]
+        where = np.repeat(left < 0, each)
+        left, unit = np.repeat(left, each), np.repeat(unit, each)
+        left[where] = t.byte_id[np.array([b for x in raw for b in x])]
+    return left, np.bincount(unit, minlength=len(size))
+
+
+def _departs(merges: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, dropout: float) -> np.ndarray:
+    """Of occurrences with the plain merges at ``start``: whether their key skips one of these."""
+    out = np.zeros(len(key), bool)
+    for run in _runs(count):
+        some = np.flatnonzero(count[run]) + run.start
+        if len(some):
+            m, at = spread(merges, start[some], count[some])
+            out[some] = np.logical_or.reduceat(_skips(np.repeat(key[some], count[some]), m >> 20, (m >> 10) & 1023, m & 1023, dropout), at[:-1])
+    return out
+
+
+def encode_texts(t: Pieces, data: np.ndarray, at: np.ndarray, seed: int = 0, dropout: float = 0.1, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets of each text's)."""
     known = known or Known(0)
     n = len(at) - 1
@@ -242,59 +332,50 @@ def encode_texts(t: Pieces, data: np.ndarray, at: np.ndarray, seed: int = 0, dro
     cut[1:] = (blank[1:] & ~blank[:-1]) | (ids[1:] < 0) | (ids[:-1] < 0)
     cut[at[:-1][some]] = True
     begin = np.flatnonzero(cut)
-    end = np.append(begin[1:], len(cps))
+    size = np.append(begin[1:], len(cps)) - begin
     sums = running(cps)
-    unit = range_hash(sums, begin, end)
+    unit = range_hash(sums, begin, begin + size)
     text = np.searchsorted(at, begin, side="right") - 1
-    own = range_hash(sums, at[:-1], at[1:])
-    with np.errstate(over="ignore"):
-        place = mix(own[text] + mix((begin - at[text]).astype(np.uint64)) + np.uint64(seed & 0xFFFFFFFF))
-        variant = place % np.uint64(max(1, variants)) if dropout > 0 else np.zeros(len(unit), np.uint64)
-        key = mix(unit + mix(variant + np.uint64((seed & 0xFFFFFFFF) << 20)))
-    _, first, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    size = end - begin
-    # Units that share a hash are compared: a collision would lose text.
-    r = first[which]
-    twin = np.arange(len(cps)) + np.repeat(begin[r] - begin, size)
-    if (size[r] != size).any() or (cps[twin] != cps).any():
-        first = which = np.arange(len(unit))
-        times = np.ones(len(unit), np.int64)
-    place = known.find(key[first], cps, begin[first], size[first])
-    fresh = np.flatnonzero(place < 0)
-    ub, us, uk = begin[first[fresh]], size[first[fresh]], key[first[fresh]]
-    short, long = np.flatnonzero(us <= LONG), np.flatnonzero(us > LONG)
-    src, sat = spread(np.arange(len(cps)), ub[short], us[short])
-    sid = ids[src]
-    alive = _in_rounds(t, sid, sat, uk[short], dropout) if len(short) else np.zeros(0, bool)
-    left, lpos, lunit = [sid[alive]], [src[alive]], [np.repeat(short, us[short])[alive]]
-    for u in long:
-        own_ids = ids[ub[u] : ub[u] + us[u]].copy()
-        keep = np.array(_by_heap(t, own_ids, uk[u], dropout), np.int64)
-        left.append(own_ids[keep])
-        lpos.append(ub[u] + keep)
-        lunit.append(np.full(len(keep), u))
-    left, lpos, lunit = np.concatenate(left), np.concatenate(lpos), np.concatenate(lunit)
-    if len(long):
-        order = np.argsort(lunit, kind="stable")
-        left, lpos, lunit = left[order], lpos[order], lunit[order]
-    odd = np.flatnonzero(left < 0)
-    if len(odd):  # symbols outside the vocabulary become their bytes
-        raw = [list(chr(c).encode()) for c in cps[lpos[odd]].tolist()]
-        each = np.ones(len(left), np.int64)
-        each[odd] = [len(x) for x in raw]
-        where = np.repeat(left < 0, each)
-        left, lunit = np.repeat(left, each), np.repeat(lunit, each)
-        left[where] = t.byte_id[np.array([b for x in raw for b in x])]
-    new = np.bincount(lunit, minlength=len(fresh))
-    new_at = np.concatenate([[0], np.cumsum(new)])
-    start, made = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-    old = place >= 0
-    start[old], made[old] = known.start[place[old]], known.size[place[old]]
-    start[fresh], made[fresh] = new_at[:-1] + len(known.ids), new
-    count = made[which]
-    result, _ = spread(np.concatenate([known.ids, left]), start[which], count)
+    first, which, times = _distinct(unit, cps, begin, size)
+    place = known.find(unit[first], cps, begin[first], size[first])
+    # Long units are encoded without dropout only where that is asked for.
+    fresh = np.flatnonzero((place < 0) & ((size[first] <= LONG) | (dropout <= 0)))
+    ub, us = begin[first[fresh]], size[first[fresh]]
+    steps_made: list = []
+    made, made_count = _encode_units(t, ids, cps, ub, us, unit[first[fresh]], 0.0, steps_made)
+    steps_of = np.concatenate([np.zeros(0, np.int64), *(u for u, _ in steps_made)])
+    merges = np.concatenate([np.zeros(0, np.int32), *(m for _, m in steps_made)])[np.argsort(steps_of, kind="stable")]
+    merge_count = np.bincount(steps_of, minlength=len(fresh))
+    old = np.flatnonzero(place >= 0)
+
+    def ranges(kept: Ranges, values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(values, start and size of each distinct unit's) of known and new units together."""
+        where, many = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        where[old], many[old] = kept.start[place[old]], kept.size[place[old]]
+        where[fresh], many[fresh] = np.cumsum(count) - count + len(kept.values), count
+        return np.concatenate([kept.values, values]), where, many
+
+    pool, start, count = ranges(known.ids, made, made_count)
+    start, count = start[which], count[which]
+    if dropout > 0:
+        own = range_hash(sums, at[:-1], at[1:])
+        with np.errstate(over="ignore"):
+            key = mix(unit + mix(own[text] + mix((begin - at[text]).astype(np.uint64)) + np.uint64(seed & 0xFFFFFFFF)))
+        all_merges, merge_start, merges_each = ranges(known.merges, merges, merge_count)
+        vary = np.flatnonzero(_departs(all_merges, merge_start[which], merges_each[which], key, dropout) | (size > LONG))
+        lead_of, same, _ = _distinct(key[vary], cps, begin[vary], size[vary])
+        varied, varied_count = _encode_units(t, ids, cps, begin[vary[lead_of]], size[vary[lead_of]], key[vary[lead_of]], dropout)
+        start[vary], count[vary] = (np.cumsum(varied_count) - varied_count + len(pool))[same], varied_count[same]
+        pool = np.concatenate([pool, varied])
+    result, _ = spread(pool, start, count)
     often = np.flatnonzero((times[fresh] > 1) & (us <= LONG))
-    known.add(uk[often], spread(left, new_at[often], new[often])[0], new[often], spread(cps, ub[often], us[often])[0], us[often])
+    at_ids, at_merges = (np.cumsum(c) - c for c in (made_count, merge_count))
+    known.add(
+        unit[first[fresh[often]]],
+        (spread(made, at_ids[often], made_count[often])[0], made_count[often]),
+        (spread(cps, ub[often], us[often])[0], us[often]),
+        (spread(merges, at_merges[often], merge_count[often])[0], merge_count[often]),
+    )
     return result, np.concatenate([[0], np.cumsum(np.bincount(text, count, n).astype(np.int64))])
 
 
@@ -310,17 +391,17 @@ def _types(df: DataFrame, keep: tuple[str, ...]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in keep)
 
 
-def encode(df: DataFrame, model_file: str = "/opt/tokenizers/piece_bpe_32k.model", text: str = "text", keep: tuple[str, ...] = (), seed: int = 0, dropout: float = 0.1, variants: int = 8, check: bool = False) -> DataFrame:
+def encode(df: DataFrame, model_file: str = "/opt/tokenizers/piece_bpe_32k.model", text: str = "text", keep: tuple[str, ...] = (), seed: int = 0, dropout: float = 0.1, check: bool = False) -> DataFrame:
     """``keep`` columns, ``ids`` and ``n_ids`` for every row of ``df``; with ``check`` also ``lossless``: the ids were decoded again and give the text."""
     shared = df.sparkSession.sparkContext.broadcast(load(model_file))
     kept = df.select(*keep, F.col(text).alias("__text"))
 
     def run(batches):
-        t, known = shared.value, _KNOWN.setdefault((model_file, seed, dropout, variants), Known())
+        t, known = shared.value, _KNOWN.setdefault(model_file, Known())
         for batch in batches:
             valid = np.asarray(batch.column("__text").is_valid())
             for first, last, data, at in steps(batch.column("__text"), 1 << 19):
-                ids, cut = encode_texts(t, data, at, seed, dropout, variants, known)
+                ids, cut = encode_texts(t, data, at, seed, dropout, known)
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(~valid[first:last]))
                 made = [*(batch.column(c).slice(first, last - first) for c in keep), lists, pa.array(np.diff(cut), pa.int64())]
                 if check:

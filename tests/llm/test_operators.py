@@ -214,10 +214,42 @@ def test_pieces_agenda():
             assert list(pieces._by_heap(t, ids.copy(), key, dropout)) == want
     data = np.frombuffer(b"another another other other", np.uint8)
     known, at = pieces.Known(100), np.array([0, len(data)])
-    first, _ = pieces.encode_texts(t, data, at, 3, 0.1, 1, known)
-    assert len(known.keys) and pieces.encode_texts(t, data, at, 3, 0.1, 1, known)[0].tolist() == first.tolist()
-    known.points = known.points[::-1].copy()
-    assert pieces.encode_texts(t, data, at, 3, 0.1, 1, known)[0].tolist() == first.tolist()
+    first, _ = pieces.encode_texts(t, data, at, 3, 0.1, known)
+    assert len(known.keys) and pieces.encode_texts(t, data, at, 3, 0.1, known)[0].tolist() == first.tolist()
+    known.points.values = known.points.values[::-1].copy()
+    assert pieces.encode_texts(t, data, at, 3, 0.1, known)[0].tolist() == first.tolist()
+
+
+def test_pieces_draw_for_each_occurrence(monkeypatch):
+    """Taking the plain encoding where no merge of it is skipped equals an agenda for every occurrence; a word has as many segmentations as its draws give."""
+    t = pieces.load("/opt/tokenizers/piece_bpe_32k.model")
+    rng = random.Random(9)
+    words = ["internationalisation", "reading", "the", "x" * 230, "漢字", "newspapers"]
+    texts = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(4)]
+    texts += [texts[0], "", "a"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])])
+    known = pieces.Known(100)
+    for dropout in (0.0, 0.1, 0.6):
+        got, cut = pieces.encode_texts(t, data, at, 5, dropout, known)
+        again, _ = pieces.encode_texts(t, data, at, 5, dropout, known)
+        assert got.tolist() == again.tolist() and pieces.decode_ids(t, got, cut) == texts
+        assert got[cut[0] : cut[1]].tolist() == got[cut[4] : cut[5]].tolist()
+        if dropout:
+            with monkeypatch.context() as m:
+                m.setattr(pieces, "_departs", lambda merges, start, count, key, dropout: np.ones(len(key), bool))
+                m.setattr(pieces, "_runs", lambda size: [slice(i, min(i + 7, len(size))) for i in range(0, len(size), 7)])
+                assert pieces.encode_texts(t, data, at, 5, dropout)[0].tolist() == got.tolist()
+    many = b" ".join([b"internationalisation"] * 2000)
+    ids, _ = pieces.encode_texts(t, np.frombuffer(many, np.uint8), np.array([0, len(many)]), 5, 0.1)
+    raw = [bytes(t.text[t.text_at[i] : t.text_at[i + 1]]).decode() for i in ids]
+    seen, word = set(), []
+    for piece in raw:
+        if piece.startswith(" ") and word:
+            seen.add(tuple(word))
+            word = []
+        word.append(piece)
+    assert len(seen) > 50
 
 
 def brute_components(rows, like):
