@@ -5,9 +5,11 @@ its weight is its inverse document frequency over all documents times a label we
 ratio of the labels with and without the term (copies of one passage count once). So a long clean text does not drown a few telling
 words, and nothing is cut off. Terms that no example has, or that say nothing of the label (r = 0), weigh nothing.
 
-Examples stand in blocks. Long lists (terms of more than an eighth of the examples) are kept as dense columns with the largest weight of each
-block, short ones as postings. A query adds up its short lists; with the long lists' block maxima this bounds every cosine of a block. Blocks are
-read from the highest bound down until one falls below the k-th best cosine, so the k nearest are exact (ties: smaller example id). Their
+Examples stand in blocks. The lightest terms, which hold LIGHT of the examples' squared weights together, are bounded by the lengths of both vectors' parts
+in them and not read. Of the others, long lists (terms of more than an eighth of the examples) are kept as dense columns with the largest weight of each
+block, short ones as postings. A query adds up its short lists; with the long lists' block maxima and the lengths this bounds every cosine of a block.
+Blocks are read from the highest bound down until one falls below the k-th best sum. Sums are of 32-bit weights; every example that could be among the
+k best by them is compared anew by its whole vector in 64 bits, so the k nearest are exact (ties: smaller example id). Their
 labels vote, weighted by cosine and by how many labelled rows an example stands for; isotonic regression over leave-one-out votes
 of all examples calibrates the score. A text without weighing terms gets the rate of such examples, or of all where there are none.
 
@@ -31,9 +33,11 @@ from .common import ALNUM, LOWER, hash_fraction, held_out, range_hash, running,
 PREFIXES = (4, 5)
 BLOCK = 64
 #: Queries that are answered together.
-GROUP = 16
+GROUP = 64
 #: Lists of more than one in so many examples are dense columns.
 LONG_LIST = 8
+#: Share of the examples' squared weights that short lists of the least weights may hold to be bounded by their length instead of read.
+LIGHT = 0.003
 
 
 def _terms(data: np.ndarray, at: np.ndarray, context: bool = False) -> tuple[np.ndarray, ...]:
@@ -55,13 +59,39 @@ def _terms(data: np.ndarray, at: np.ndarray, context: bool = False) -> tuple[np.
     return (*out, np.concatenate(befores)) if context else out
 
 
-def _vectors(data: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term's place in the sorted vocabulary, times) in order of text and place."""
+class Vocabulary:
+    """Places in a sorted array of hashes, found by their first bits."""
+
+    def __init__(self, terms: np.ndarray) -> None:
+        self.terms, bits = terms, int(np.clip(np.ceil(np.log2(len(terms) + 1)) + 2, 8, 24))
+        self.shift = np.uint64(64 - bits)
+        self.start = np.append(0, np.cumsum(np.bincount((terms >> self.shift).astype(np.int64), minlength=1 << bits))).astype(np.int32)
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the asked terms are known, their places)."""
+        part = (asked >> self.shift).astype(np.int64)
+        at, end = self.start[part], self.start[part + 1]
+        open_ = np.flatnonzero(at < end)
+        at, end, wanted = at[open_], end[open_], asked[open_]
+        which, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        while len(open_):
+            same = self.terms[at] == wanted
+            which.append(open_[same])
+            places.append(at[same])
+            more = np.flatnonzero(~same & (at + 1 < end))
+            open_, at, end, wanted = open_[more], at[more] + 1, end[more], wanted[more]
+        return np.concatenate(which), np.concatenate(places)
+
+
+def _vectors(data: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term's place in the vocabulary, times) in order of text and place."""
     terms, texts = _terms(data, at)
-    place = np.minimum(np.searchsorted(vocabulary, terms), max(len(vocabulary) - 1, 0))
-    known = vocabulary[place] == terms if len(vocabulary) else np.zeros(len(terms), bool)
-    both, times = np.unique(texts[known].astype(np.int64) * max(len(vocabulary), 1) + place[known], return_counts=True)
-    return both // max(len(vocabulary), 1), both % max(len(vocabulary), 1), times
+    known, place = vocabulary.find(terms)
+    size = max(len(vocabulary.terms), 1)
+    both = np.sort(texts[known].astype(np.int64) * size + place)
+    new = np.flatnonzero(np.diff(both, prepend=-1))
+    both, times = both[new], np.diff(np.append(new, len(both)))
+    return both // size, both % size, times
 
 
 @dataclass
@@ -106,23 +136,49 @@ class BlockMaxIndex:
         n, v = len(vectors), len(self.vocabulary)
         self.blocks = -(-n // BLOCK)
         terms, times = (np.concatenate([x[i] for x in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32) for i in (0, 1))
-        self.vectors = terms, times.astype(np.uint16) if times.max(initial=0) < 1 << 16 else times, np.array([len(p) for p, _ in vectors], np.int32)
+        sizes = np.array([len(p) for p, _ in vectors], np.int32)
+        self.vectors = terms, times.astype(np.uint16) if times.max(initial=0) < 1 << 16 else times, sizes
+        self.sizes = sizes
+        self.first = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        # Vectors name terms by rank, the most frequent ones first, so that what is looked up most stands together.
+        self.rank = np.empty(v, np.int32)
+        self.rank[np.argsort(-np.bincount(terms, minlength=v), kind="stable")] = np.arange(v, dtype=np.int32)
+        self.ranked = self.rank[terms]
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        share = 1 + np.log(times)
         del times
-        row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p, _ in vectors])
-        weight = np.concatenate([self.weigh(p, t) for p, t in vectors]) if vectors else np.zeros(0)
-        some = weight > 0
+        weight = share * self.idf[terms]
+        norm = np.sqrt(np.bincount(row, weight * weight, n))
+        norm[norm == 0] = 1.0
+        weight /= norm[row]
+        share /= norm[row]
+        self.share = share
+        # Of a query's terms while it is answered.
+        self.asked = np.zeros(v)
+        square = np.bincount(terms, weight * weight, v)
+        by = np.argsort(self.idf, kind="stable")
+        light = np.zeros(v, bool)
+        light[by] = np.cumsum(square[by]) <= LIGHT * n
+        mine = light[terms]
+        self.light = np.sqrt(np.bincount(row[mine], weight[mine] ** 2, self.blocks * BLOCK)).astype(np.float32)
+        some = (weight > 0) & ~mine
         terms, row, weight = terms[some], row[some], weight[some]
         long = np.flatnonzero(np.bincount(terms, minlength=v) * LONG_LIST > n)
-        self.column = np.full(v, -1, np.int32)
+        self.column = np.where(light, -2, -1).astype(np.int32)
         self.column[long] = np.arange(len(long))
         mine = self.column[terms] >= 0
-        dense = np.zeros((self.blocks * BLOCK, len(long)))
+        dense = np.zeros((self.blocks * BLOCK, len(long)), np.float32)
         dense[row[mine], self.column[terms[mine]]] = weight[mine]
         self.dense = dense.reshape(self.blocks, BLOCK, len(long))
         self.bound = self.dense.max(axis=1)
+        # Products of 32-bit weights only choose candidates; this is twice the most that they can be wrong by.
+        self.slack = (len(long) + 64) * 2.0**-23
         terms, row, weight = terms[~mine], row[~mine], weight[~mine]
         order = np.argsort(terms, kind="stable")
-        self.row, self.weight = row[order], weight[order]
+        # Postings of 8 bytes: weight, example.
+        self.posting = np.empty(len(order), [("weight", np.float32), ("row", np.int32)])
+        self.posting["weight"], self.posting["row"] = weight[order], row[order]
+        self.posting = self.posting.view(np.int64)
         self.start = np.append(0, np.cumsum(np.bincount(terms, minlength=v)))
         return self
 
@@ -133,29 +189,26 @@ class BlockMaxIndex:
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each query; a block is read once for all queries that still need it."""
         n, q = self.blocks * BLOCK, len(queries)
-        places, weights = (np.concatenate([x[i] for x in queries]) for i in (0, 1))
-        owner = np.repeat(np.arange(q), [len(x[0]) for x in queries])
-        column = self.column[places]
-        short = column < 0
-        begin = self.start[places[short]]
-        count = self.start[places[short] + 1] - begin
-        at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-        rest = np.bincount(np.repeat(owner[short] * n, count) + self.row[at], np.repeat(weights[short], count) * self.weight[at], q * n).reshape(q, self.blocks, BLOCK)
-        if without is not None:
-            own_rows = np.asarray(without)[:, None] == self.ids
-        own = np.zeros((self.bound.shape[1], q))
-        own[column[~short], owner[~short]] = weights[~short]
-        bound = rest.max(axis=2, initial=0) + (self.bound @ own).T
+        rest, light = np.zeros((q, n), np.float32), np.zeros((q, 1), np.float32)
+        own = np.zeros((q, self.bound.shape[1]), np.float32)
+        for i, (places, weights) in enumerate(queries):
+            column = self.column[places]
+            rest[i] = self.short_lists(places[column == -1], weights[column == -1])
+            light[i] = np.sqrt((weights[column == -2] ** 2).sum())
+            own[i, column[column >= 0]] = weights[column >= 0]
+        own_rows = None if without is None else np.asarray(without)[:, None] == self.ids
+        bound = (rest + light * self.light).reshape(q, self.blocks, BLOCK).max(axis=2, initial=0) + own @ self.bound.T
         order = np.argsort(-bound, axis=1, kind="stable")
-        score, least = np.zeros((q, self.blocks, BLOCK)), np.zeros(q)
-        flat = score.reshape(q, n)
+        # What is surely reached, of blocks read so far.
+        score, least, top = np.full((q, self.blocks, BLOCK), -2, np.float32), np.zeros(q), np.full((q, self.k), -2, np.float32)
+        flat, rest = score.reshape(q, n), rest.reshape(q, self.blocks, BLOCK)
         first, size = 0, 4
         self.read = 0
         while first < self.blocks:
             # The next blocks of each query, four times as many each time; a block too many changes nothing.
             mine = order[:, first : first + size]
             high = np.take_along_axis(bound, mine, axis=1)
-            who, where = np.nonzero((high > 0) & (high >= least[:, None] - 1e-11))
+            who, where = np.nonzero((high > 0) & (high >= least[:, None] - self.slack))
             if not len(who):
                 break
             blocks = mine[who, where]
@@ -164,20 +217,37 @@ class BlockMaxIndex:
             cuts = np.flatnonzero(np.diff(blocks[by], prepend=-1, append=-1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 block, which = blocks[by[a]], who[by[a:b]]
-                score[which, block] = rest[which, block] + (self.dense[block] @ own[:, which]).T
+                score[which, block] = rest[which, block] + own[which] @ self.dense[block].T
             first, size = first + size, 4 * size
-            if without is not None:
-                flat[:, : len(self.ids)][own_rows] = 0
-            if n > self.k:
-                least = np.maximum(-np.partition(-flat, self.k - 1, axis=1)[:, self.k - 1], 0)
-        out = []
-        for i in range(q):
-            # Ties with the k-th stay for the order by id.
-            found = np.flatnonzero((flat[i] > 0) & (flat[i] >= least[i] - 1e-11))
-            cosine = np.round(flat[i, found], 12)
-            top = np.lexsort((self.ids[found], -cosine))[: self.k]
-            out.append((found[top], cosine[top]))
-        return out
+            if own_rows is not None:
+                flat[:, : len(self.ids)][own_rows] = -2
+            top = np.sort(np.concatenate([top, np.take_along_axis(score, mine[:, :, None], axis=1).reshape(q, -1)], axis=1), axis=1)[:, -self.k :]
+            least = np.maximum(top[:, 0], 0)
+        return [self.best(*queries[i], np.flatnonzero((most > 0) & (most >= least[i] - self.slack))) for i, most in enumerate(flat + light * self.light)]
+
+    def short_lists(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Each example's sum over the short lists of ``places``."""
+        begin, end = self.start[places], self.start[places + 1]
+        lists = [self.posting[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+        both = np.concatenate(lists) if lists else self.posting[:0]
+        products = both.view(np.float32)[::2] * np.repeat(weights.astype(np.float32), end - begin)
+        return np.bincount(both.view(np.int32)[1::2], products, self.blocks * BLOCK)
+
+    def best(self, places: np.ndarray, weights: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of the k best of the examples ``found``, whose cosines are made anew from their vectors."""
+        asked = self.rank[places]
+        self.asked[asked] = weights * self.idf[places]
+        cosine = np.zeros(len(found))
+        for a in range(0, len(found), 256):
+            part = found[a : a + 256]
+            cuts = list(zip(self.first[part].tolist(), self.first[part + 1].tolist(), strict=True))
+            products = self.asked[np.concatenate([self.ranked[i:j] for i, j in cuts])]
+            products *= np.concatenate([self.share[i:j] for i, j in cuts])
+            cosine[a : a + 256] = np.add.reduceat(products, np.cumsum(self.sizes[part]) - self.sizes[part])
+        self.asked[asked] = 0
+        found, cosine = found[cosine > 0], np.round(cosine[cosine > 0], 12)
+        top = np.lexsort((self.ids[found], -cosine))[: self.k]
+        return found[top], cosine[top]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         w = self.stands_for[found] * cosine**2
@@ -300,12 +370,12 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        names = shared.value
-        total = np.zeros(len(names), np.int64)
+        names = Vocabulary(shared.value)
+        total = np.zeros(len(names.terms), np.int64)
         for batch in batches:
             for _, _, data, at in steps(batch.column("text")):
                 _, places, _ = _vectors(data, at, names)
-                total += np.bincount(places, minlength=len(names))
+                total += np.bincount(places, minlength=len(names.terms))
         some = np.flatnonzero(total)
         for cut in range(0, len(some), 1 << 16):
             part = some[cut : cut + (1 << 16)]
@@ -323,11 +393,12 @@ def leave_one_out(sample: DataFrame, model: BlockMaxIndex) -> pa.Table:
 
     def run(batches):
         m = shared.value
+        names = Vocabulary(m.vocabulary)
         for batch in batches:
             ids, y = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist()
             out = []
             for first, _, data, at in steps(batch.column("text")):
-                texts, places, times = _vectors(data, at, m.vocabulary)
+                texts, places, times = _vectors(data, at, names)
                 cuts = np.flatnonzero(np.diff(texts, prepend=-1, append=-1))
                 asked = [(first + int(texts[a]), places[a:b], m.weigh(places[a:b], times[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 asked = [x for x in asked if x[2].any()]
@@ -337,7 +408,7 @@ def leave_one_out(sample: DataFrame, model: BlockMaxIndex) -> pa.Table:
                     out += [(y[i], m.vote(*x)) for (i, _, _), x in zip(group, nearest, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([v for _, v in out], pa.float64()), pa.array([1] * len(out), pa.int32())], ["y", "vote", "one"])
 
-    return sample.select("doc_id", "text", "y").mapInArrow(run, "y int, vote double, one int").orderBy("vote", "y").toArrow()
+    return sample.select("doc_id", "text", "y").mapInArrow(run, "y int, vote double, one int").toArrow().sort_by([("vote", "ascending"), ("y", "ascending")])
 
 
 def vectorise(sample: DataFrame, model: BlockMaxIndex) -> DataFrame:
@@ -345,10 +416,11 @@ def vectorise(sample: DataFrame, model: BlockMaxIndex) -> DataFrame:
     shared = sample.sparkSession.sparkContext.broadcast(model.vocabulary)
 
     def run(batches):
+        names = Vocabulary(shared.value)
         for batch in batches:
             out = [(b"", b"")] * batch.num_rows
             for first, last, data, at in steps(batch.column("text")):
-                texts, places, times = _vectors(data, at, shared.value)
+                texts, places, times = _vectors(data, at, names)
                 cuts = np.searchsorted(texts, np.arange(last - first + 1))
                 for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     out[first + i] = places[a:b].astype(np.int32).tobytes(), times[a:b].astype(np.int32).tobytes()
@@ -366,11 +438,12 @@ def score(df: DataFrame, model: BlockMaxIndex, text: str = "text", keep: tuple[s
 
     def run(batches):
         m = shared.value
+        names = Vocabulary(m.vocabulary)
         seen: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             out = [blank] * batch.num_rows
             for first, _, data, at in steps(batch.column("__text")):
-                texts, places, times = _vectors(data, at, m.vocabulary)
+                texts, places, times = _vectors(data, at, names)
                 cuts = np.flatnonzero(np.diff(texts, prepend=-1, append=-1))
                 keys = [hashlib.blake2b(places[a:b].tobytes() + times[a:b].tobytes(), digest_size=32).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 if len(seen) > 20_000:

@@ -81,6 +81,41 @@ def test_nearest_examples_are_exact(spark):
         assert np.allclose(values, cosine[want]) and (np.round(values, 9) == cosine[found]).all()
 
 
+def test_nearest_examples_with_light_terms():
+    """Terms of little weight are not read and many examples are alike: still the exact nearest, for groups and without own ids."""
+    rng = np.random.default_rng(12)
+    idf = np.concatenate([np.full(300, 0.02), rng.random(200) * 2 + 0.3, [0.0]])
+    ids = rng.integers(0, 900, 1000)
+    index = toxicity.BlockMaxIndex(np.arange(501, dtype=np.uint64), idf, ids, np.zeros(1000), np.ones(1000), 9)
+    chosen = [np.sort(np.append(rng.choice(300, 12, False), 300 + rng.choice(200, 5, False))) for _ in range(700)]
+    chosen += [np.array([500]), np.array([3, 500])] + [chosen[i] for i in rng.integers(0, 40, 298)]
+    vectors = [(p, rng.integers(1, 4, len(p)) if i < 700 else np.ones(len(p), int)) for i, p in enumerate(chosen)]
+    vectors = index.build(vectors).vectors and vectors
+    light = index.column == -2
+    assert light[:300].any() and len(index.posting) < sum((~light[p]).sum() for p, _ in vectors) + 1
+    dense = np.zeros((1000, 501))
+    for i, (p, t) in enumerate(vectors):
+        dense[i, p] = index.weigh(p, t)
+    asked = [i for i in range(0, 1000, 9) if dense[i].any()]
+    for without in (None, [int(ids[i]) for i in asked]):
+        got = index.nearest_of([(vectors[i][0], index.weigh(*vectors[i])) for i in asked], without)
+        for n, (i, (found, values)) in enumerate(zip(asked, got, strict=True)):
+            cosine = np.round(dense @ dense[i], 12)
+            if without:
+                cosine[ids == without[n]] = 0
+            want = sorted((j for j in range(1000) if cosine[j] > 0), key=lambda j: (-cosine[j], ids[j]))[:9]
+            assert np.allclose(values, cosine[want], atol=1e-11) and (ids[found] == ids[want]).all()
+
+
+def test_vocabulary_places():
+    rng = np.random.default_rng(13)
+    for size in (0, 1, 50, 5000):
+        terms = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) << np.uint64(1))
+        asked = rng.permutation(np.concatenate([terms, terms, rng.integers(0, 1 << 63, 300, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]))
+        which, places = toxicity.Vocabulary(terms).find(asked)
+        assert sorted(which) == list(np.flatnonzero(np.isin(asked, terms))) and (terms[places] == asked[which]).all()
+
+
 def test_classifiers_take_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, 1, 1), (5, 0, 0), (None, 1, 1), (99, 1, 0), (1, None, None), (2, 0, 0)], "doc_id long, quality int, toxic int")
     for module, name in ((toxicity, "toxic"), (quality, "quality")):
