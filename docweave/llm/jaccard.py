@@ -247,40 +247,51 @@ def _differences(spokes: DataFrame, sides: DataFrame, like: Likeness) -> DataFra
 def _hub_levels(differences: DataFrame) -> DataFrame:
     """(hub, levels): of hashed counters of the tokens in a hub's differences, about sixteen for each token of the hub.
 
-    A level is a byte, 0 for a count of 1 and 8 more for each doubling.
+    A level is a byte, 0 where all members with such tokens have one label, else 8 more for each doubling of the count.
     """
+    kind = "hub long, counts binary, low binary, high binary"
+    largest = np.iinfo(np.int64)
+
+    def table(hubs, held):
+        return pa.table({"hub": pa.array(hubs, pa.int64())} | {c: pa.array([x[j].tobytes() for x in held], pa.binary()) for j, c in enumerate(("counts", "low", "high"))})
 
     def count(batches):
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
         def out():
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["hub", "counts"])
+                yield from table(list(held), held.values()).to_batches()
             held.clear()
 
         for batch in batches:
-            sizes = np.asarray(batch.column("hub_n"))
+            sizes, labels = np.asarray(batch.column("hub_n")), np.asarray(batch.column("label"))
             for i, (hub, d) in enumerate(zip(batch.column("hub").to_pylist(), numbers(batch.column("d"), np.int32, np.uint32), strict=True)):
                 if hub not in held:
-                    held[hub] = np.zeros(1 << int(np.clip(np.ceil(np.log2(16 * int(sizes[i]))), 10, 20)), np.int32)
-                held[hub] += np.bincount(d & np.uint32(len(held[hub]) - 1), minlength=len(held[hub])).astype(np.int32)
-                if i % 64 == 0 and sum(map(len, held.values())) > 8_000_000:
+                    cells = 1 << int(np.clip(np.ceil(np.log2(16 * int(sizes[i]))), 10, 20))
+                    held[hub] = np.zeros(cells, np.int64), np.full(cells, largest.max), np.full(cells, largest.min)
+                counts, low, high = held[hub]
+                at = d & np.uint32(len(counts) - 1)
+                counts += np.bincount(at, minlength=len(counts))
+                low[at], high[at] = np.minimum(low[at], labels[i]), np.maximum(high[at], labels[i])
+                if i % 64 == 0 and sum(len(x[0]) for x in held.values()) > 2_000_000:
                     yield from out()
         yield from out()
 
-    def total(table):
-        counts = np.sum([np.frombuffer(c.as_buffer(), np.int32).astype(np.int64) for c in table.column("counts")], 0)
-        return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
+    def total(rows):
+        every = lambda c: (np.frombuffer(x.as_buffer(), np.int64) for x in rows.column(c))
+        return reduce(np.add, every("counts")), reduce(np.minimum, every("low")), reduce(np.maximum, every("high"))
 
-    def add(key, table):
-        return pa.table({"hub": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total(table).tobytes()], pa.binary())})
+    def add(key, rows):
+        return table([key[0].as_py()], [total(rows)])
 
-    def level(key, table):
-        levels = np.round(8 * np.log2(np.maximum(total(table), 1))).astype(np.uint8)
+    def level(key, rows):
+        counts, low, high = total(rows)
+        # Counts of two labels are 2 at least.
+        levels = np.where(low < high, np.minimum(np.round(8 * np.log2(np.maximum(counts, 1))), 255), 0).astype(np.uint8)
         return pa.table({"hub": pa.array([key[0].as_py()], pa.int64()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
-    parts = differences.select("hub", "hub_n", "d").mapInArrow(count, "hub long, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
-    return parts.groupBy("hub", "part").applyInArrow(add, "hub long, counts binary").groupBy("hub").applyInArrow(level, "hub long, levels binary")
+    parts = differences.select("hub", "hub_n", "label", "d").mapInArrow(count, kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
+    return parts.groupBy("hub", "part").applyInArrow(add, kind).groupBy("hub").applyInArrow(level, "hub long, levels binary")
 
 
 def _postings_of(differences: DataFrame, labels: DataFrame, like: Likeness) -> DataFrame:
@@ -288,41 +299,39 @@ def _postings_of(differences: DataFrame, labels: DataFrame, like: Likeness) -> D
 
     Let x and y be members of one hub h, dx and dy their differences from it and B their largest difference. Where |dx| + |dy| <= B, both
     link with h, which is the largest. Every other linked pair shares a token of dx and dy, the first at places that sum to B at most;
-    tokens of equal hashes count as one, which holds for them too. A token that no other difference of the hub has keeps its place, but
-    needs no posting. Hubs whose members all have one label need none at all.
+    tokens of equal hashes count as one, which holds for them too. Tokens that only members of one label have come first in the order, but
+    need no posting. Where x has h's label and y another, y does not link with h, which is the largest, so |dy| > B and more than half of dx
+    is shared: its first shared token stands before the middle. Hubs whose members all have one label need no postings at all.
     """
     tags = differences.select("hub", "lane", "k").join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
     tags = stage(tags, "tags")
-    split = stage(tags.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("hub"), "split")
-    open_ = differences.join(split, "hub", "left_semi")
-    levels = tags.select("hub", "lane").distinct().join(_hub_levels(open_), "hub")
-    none = F.lit(None).cast("long")
-    beside = tags.join(split, "hub", "left_semi").select("hub", "lane", "k", "label", F.lit(None).cast("binary").alias("levels"))
-    beside = beside.unionByName(levels.select("hub", "lane", none.alias("k"), none.alias("label"), "levels"))
+    split = tags.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("hub")
+    split = stage(split.join(labels.select(F.col("k").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")), "split")
+    open_ = stage(differences.join(split.select("hub"), "hub", "left_semi").join(tags, ["hub", "lane", "k"]), "open")
+    levels = tags.select("hub", "lane").distinct().join(_hub_levels(open_).join(split, "hub"), "hub")
 
     def run(key, members, others):
-        table = np.frombuffer(next(x.as_buffer() for x in others.column("levels") if x.is_valid), np.uint8)
-        label_of = dict(zip(others.column("k").to_pylist(), others.column("label").to_pylist(), strict=True))
+        table, hub_label = np.frombuffer(others.column("levels")[0].as_buffer(), np.uint8), others.column("hub_label")[0].as_py()
         salt = mix(np.array([key[0].as_py()]))
         n = np.asarray(members.column("n"), np.int64)
         # No partner is larger than the hub.
         partner = np.minimum(n * like.den // like.num, np.asarray(members.column("hub_n"), np.int64))
-        most = (n + partner) * (like.den - like.num) // (like.den + like.num)
+        most = (n + partner) * (like.den - like.num) // (like.den + like.num) + 1
+        with_hub = np.asarray(members.column("label")) == hub_label
         rows, groups, places, lefts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, d in enumerate(numbers(members.column("d").combine_chunks(), np.int32, np.uint32)):
             seen = table[d & np.uint32(len(table) - 1)]
-            order = np.lexsort((d, seen))[: most[i] + 1]
+            order = np.lexsort((d, seen))[: min(most[i], (len(d) + 1) // 2) if with_hub[i] else most[i]]
             place = np.flatnonzero(seen[order] > 0)
             rows.append(np.full(len(place), i))
             groups.append(mix(mix(d[order[place]]) ^ salt))
             places.append(place)
             lefts.append(len(d) - place)
-        at, k = pa.array(np.concatenate(rows)), members.column("k")
-        label = pa.array([label_of[x] for x in k.to_pylist()], pa.int64())
-        made = {"g": np.concatenate(groups).view(np.int64), "k": k.take(at), "n": members.column("n").take(at), "pos": np.concatenate(places).astype(np.int32)}
-        return pa.table(made | {"left": np.concatenate(lefts).astype(np.int32), "label": label.take(at)})
+        at = pa.array(np.concatenate(rows))
+        made = {"g": np.concatenate(groups).view(np.int64), "k": members.column("k").take(at), "n": members.column("n").take(at), "pos": np.concatenate(places).astype(np.int32)}
+        return pa.table(made | {"left": np.concatenate(lefts).astype(np.int32), "label": members.column("label").take(at)})
 
-    both = open_.select("hub", "lane", "k", "n", "hub_n", "d").groupBy("hub", "lane").cogroup(beside.groupBy("hub", "lane"))
+    both = open_.select("hub", "lane", "k", "n", "hub_n", "label", "d").groupBy("hub", "lane").cogroup(levels.groupBy("hub", "lane"))
     return stage(both.applyInArrow(run, "g long, k long, n int, pos int, left int, label long"), "difference-postings")
 
 

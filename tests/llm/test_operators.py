@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -500,6 +501,32 @@ def test_jaccard_crowded_groups(spark, monkeypatch):
         assert got == sorted(map(str, brute_components(rows, like)))
 
 
+def test_jaccard_postings_of_differences(spark):
+    """No postings of tokens that one label alone has, none from the middle on where a member has its hub's label, and no pair lost."""
+    rng = random.Random(14)
+    like, hub, base = jaccard.Likeness(5, 80, 100), 1000, set(range(100))
+    sets = {k: base - {k % 5, 5 + k % 3, 90} | {200 + k % 4} for k in range(60)}  # all link with the hub
+    far = base - set(range(40, 52)) | set(range(300, 312))
+    sets |= {k: far - {rng.randrange(30)} | {200 + rng.randrange(4)} for k in range(60, 80)}  # too far from it, near each other
+    rows = [(hub, k % 2, k, len(x), 100, k < 60, [v << 20 for v in sorted(x ^ base)]) for k, x in sets.items()]
+    differences = spark.createDataFrame(rows, "hub long, lane int, k long, n int, hub_n int, linked boolean, d array<int>")
+    label = {k: hub if k < 60 else k // 61 * 60 for k in sets}  # of those far away, one has another label
+    labels = spark.createDataFrame([*label.items(), (hub, hub)], "k long, label long")
+    got = jaccard._postings_of(differences, labels, like).collect()
+    groups, places = collections.defaultdict(set), collections.defaultdict(set)
+    for r in got:
+        groups[r["g"]].add(r["k"])
+        places[r["k"]].add(r["pos"])
+    own = {k: len(x ^ base) for k, x in sets.items()}
+    shared = {v for v in set().union(*(x ^ base for x in sets.values())) if len({label[k] for k, x in sets.items() if v in x ^ base}) > 1}
+    counters = collections.Counter(v for x in sets.values() for v in (x ^ base) & shared)
+    assert all(2 * p < own[k] for k in range(60) for p in places[k])
+    assert sum(map(len, groups.values())) < sum(counters.values()) < sum(own.values())
+    for x, y in itertools.combinations(sets, 2):
+        if label[x] != label[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+            assert any({x, y} <= g for g in groups.values())
+
+
 def test_topk_cutoff_prunes():
     rng = np.random.default_rng(9)
     q, x = rng.integers(-1000, 1000, (20, 16)), rng.integers(-1000, 1000, (5000, 16))
