@@ -57,22 +57,32 @@ def json_truthy(doc: Column, *keys: str) -> Column:
     """The first field, as text, that is truthy: the number 0 and false are not, the text "0" is."""
     def one(key: str) -> Column:
         is_text = F.schema_of_variant(F.variant_get(doc, f"$.{key}", "variant")) == "STRING"
-        zero = lambda value: ~is_text & (value.isin("false", "null") | (value.try_cast("double") == 0))
-        return bound(json_text(doc, key), lambda value: F.when((value != "") & ~F.coalesce(zero(value), F.lit(False)), value))
+        may = lambda value: F.substring(value, 1, 1).isin(*"0-+. fn")  # noqa: E731  what a zero, false or null begins with; other values need no look at their type
+        zero = lambda value: may(value) & ~is_text & (value.isin("false", "null") | (value.try_cast("double") == 0))
+        return bound(json_text(doc, key), lambda value: F.when(value.isNotNull() & (value != "") & ~F.coalesce(zero(value), F.lit(False)), value))
 
     return F.coalesce(*[one(k) for k in keys])
 
 
+def captured(c: Column, pattern: str, groups: tuple[int, ...]) -> Column:
+    """The texts of some groups of a pattern from ^ to $ that matches ``c``, by one match for all; none of them may hold the character 1."""
+    return F.split(F.regexp_replace(c, pattern + "(?s:.*)", "\x01".join(f"${i}" for i in groups)), "\x01")  # behind $ a line's end may follow
+
+
 def normalize_text(c: Column) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
+    return bound(F.lower(F.coalesce(c, F.lit(""))), lambda low: F.when(low == "", low).otherwise(_normalized(low)))
+
+
+def _normalized(low: Column) -> Column:
     kept = F.regexp_replace(low, f"[^A-Za-z0-9_\\t\\n\\u000B\\f\\r\\u0020\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]", "")
-    return F.btrim(F.regexp_replace(kept, f"{SPACE}+", " "))
+    plain = F.regexp_replace(F.regexp_replace(low, r"[^\w\s]", ""), r"\s+", " ")  # the same where all is ASCII; a long class costs a call for each of its parts and characters
+    return F.btrim(F.when(F.length(low) == F.octet_length(low), plain).otherwise(F.regexp_replace(kept, f"{SPACE}+", " ")))
 
 
 def number_prefix(c: Column) -> Column:
     """The number that a text begins with, null without one."""
     found = F.regexp_extract(c, rf"^{SPACE}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
-    return bound(found, blank_to_null).try_cast("double")
+    return bound(F.when(c.isNotNull(), found), blank_to_null).try_cast("double")
 
 
 def two_decimals(value: Column) -> Column:
@@ -129,7 +139,7 @@ def normalize_date(c: Column, mode: str = "reference") -> Column:
             y, m, d = groups
             if mode != "reference" and pattern == NUMBERS:
                 m, d = d, m
-            found.append(F.when(head.rlike(pattern), F.struct(*[F.regexp_extract(head, pattern, i).alias(n) for i, n in ((y, "y"), (m, "m"), (d, "d"))])))
+            found.append(F.when(head.rlike(pattern), bound(captured(head, pattern, (y, m, d)), lambda g: F.struct(*[F.get(g, F.lit(i)).alias(n) for i, n in enumerate("ymd")]))))
         return F.coalesce(*found)
 
     def minutes(t: Column) -> Column:
@@ -141,14 +151,16 @@ def normalize_date(c: Column, mode: str = "reference") -> Column:
     def date(f: Column) -> Column:
         name = F.instr(months, F.lower(F.substring(f["m"], 1, 3)))
         month = F.coalesce(number(f["m"]), F.when(name > 0, ((name - 1) / 4 + 1).cast("int")))
-        first = F.concat(f["y"], F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-01")).try_cast("date")
-        return F.when(number(f["d"]).between(1, 31), F.date_add(first, number(f["d"]) - 1))
+        first = lambda m: F.when(m.between(1, 12), F.concat(f["y"], F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-01")).try_cast("date"))  # noqa: E731  a failed cast is slow
+        return F.when(number(f["d"]).between(1, 31), F.date_add(bound(month, first), number(f["d"]) - 1))
+
+    def day(head: Column) -> Column:
+        return bound(bound(head, parts), date)
 
     def read(clean: Column) -> Column:
         time = F.struct(*[F.regexp_extract(clean, TIME, i).alias(n) for i, n in enumerate(("hour", "minute", "half", "zone"), 1)])
-        day = bound(parts(F.btrim(F.regexp_replace(clean, TIME, ""))), date)
-        later = bound(time, lambda t: F.when(t["hour"] == "", 0).otherwise(minutes(t)))
-        return F.date_add(day, F.floor(later / 1440).cast("int"))
+        timed = F.date_add(day(F.btrim(F.regexp_replace(clean, TIME, ""))), F.floor(bound(time, minutes) / 1440).cast("int"))
+        return F.when(clean != "", F.when(clean.rlike(TIME), timed).otherwise(day(clean)))
 
     return F.coalesce(F.date_format(bound(F.btrim(F.coalesce(c, F.lit(""))), read), "yyyy-MM-dd"), F.lit(""))
 
@@ -207,26 +219,29 @@ _FULL, _SHORT = r"^([A-Z]+)[/-]([A-Z]+)[/-](\d{2})[/-]?(\d{2})[/-](\d+)$", r"^([
 
 def parse_invoice_number(c: Column) -> Column:
     """struct(original, normalized, prefix, region, year, period, number); null for null or ''."""
-    clean = F.upper(F.btrim(c))
-    full, short = clean.rlike(_FULL), clean.rlike(_SHORT)
-    f = [F.regexp_extract(clean, _FULL, i) for i in range(1, 6)]
-    s = [F.regexp_extract(clean, _SHORT, i) for i in range(1, 5)]
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, "[^A-Z0-9]", "-"), "-+", "-"), "^-|-$", "")
-    parts = F.split(rest, "-")
-    last = F.element_at(parts, -1)
-    kind = lambda a, b, d: F.when(full, a).when(short, b).otherwise(d)
-    made = F.struct(
-        c.alias("original"), kind(F.concat_ws("-", *f[:4], pad3(f[4])), F.concat_ws("-", *s[:3], pad3(s[3])), rest).alias("normalized"), kind(f[0], s[0], first_truthy(F.element_at(parts, 1), F.lit("INV"))).alias("prefix"),
-        kind(f[1], F.lit(None).cast("string"), F.try_element_at(parts, F.lit(2))).alias("region"), kind(f[2], s[1], F.lit("00")).alias("year"), kind(f[3], s[2], F.lit("00")).alias("period"), kind(pad3(f[4]), pad3(s[3]), pad3(last)).alias("number"),
-    )
-    return F.when(c.isNotNull() & (c != ""), made)
+    def made(normalized: Column, prefix: Column, region: Column, year: Column, period: Column, number: Column) -> Column:
+        return F.struct(c.alias("original"), normalized.alias("normalized"), prefix.alias("prefix"), region.alias("region"), year.alias("year"), period.alias("period"), number.alias("number"))
+
+    def known(g: Column, n: int) -> Column:
+        at = [F.get(g, F.lit(i)) for i in range(n)]
+        region = at[1] if n == 5 else F.lit(None).cast("string")
+        return bound(pad3(at[-1]), lambda number: made(F.concat_ws("-", *at[:-1], number), at[0], region, at[-3], at[-2], number))
+
+    def other(rest: Column) -> Column:
+        return bound(F.split(rest, "-"), lambda parts: made(rest, first_truthy(F.element_at(parts, 1), F.lit("INV")), F.try_element_at(parts, F.lit(2)), F.lit("00"), F.lit("00"), pad3(F.element_at(parts, -1))))
+
+    def read(clean: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, "[^A-Z0-9]", "-"), "-+", "-"), "^-|-$", "")
+        return F.when(clean.rlike(_FULL), bound(captured(clean, _FULL, (1, 2, 3, 4, 5)), lambda g: known(g, 5))).when(clean.rlike(_SHORT), bound(captured(clean, _SHORT, (1, 2, 3, 4)), lambda g: known(g, 4))).otherwise(bound(rest, other))
+
+    return F.when(c.isNotNull() & (c != ""), bound(F.upper(F.btrim(c)), read))
 
 
 def invoice_group_key(c: Column, user: Column | None = None) -> Column:
-    p = parse_invoice_number(c)
-    key = F.concat_ws("-", *[blank_to_null(p[x]) for x in ("prefix", "region", "year", "period", "number")])
-    key = F.when(p.isNull(), c).otherwise(key)
-    return key if user is None else F.when((user != "") & p.isNotNull(), F.concat(user, F.lit(":"), key)).otherwise(key)
+    joined = lambda p: F.concat_ws("-", *[blank_to_null(p[x]) for x in ("prefix", "region", "year", "period", "number")])
+    named = c.isNotNull() & (c != "")
+    key = F.when(named, bound(parse_invoice_number(c), joined)).otherwise(c)
+    return key if user is None else F.when((user != "") & named, F.concat(user, F.lit(":"), key)).otherwise(key)
 
 
 def same_parts(a: Column, b: Column) -> Column:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import bound, first_truthy, json_text, once, parse_invoice_number
+from ..functions.scalars import blank_to_null, bound, first_truthy, json_text, once, parse_invoice_number
 from ..operators.grouping import document_names, group_documents
 from ..sources.tables import new_folder
-from .state import CLASSES, DocumentVersions, FirstOfFingerprint, GroupCounts, candidates, use_store
+from .state import BETWEEN, CLASSES, PAGES, TYPES, DocumentVersions, FirstOfFingerprint, GroupCounts, candidates, use_store
 
 
 def stream_throughput(events: DataFrame, time: str, width: str, delay: str = "0 seconds") -> DataFrame:
@@ -62,26 +62,36 @@ def stream_group_changes(events: DataFrame, path: str, close_after: str | None =
     ``events`` has event_id, ts, op (INSERT, UPDATE or DELETE) and the columns of parsed_documents. Of a document its event with the greatest event_id
     holds, in whatever order they come; an update takes it out of groups it no longer names. A document is in the group of each invoice number that
     ``grouping.document_names`` finds; a group is the numbers of one user that agree but for their region, and has a class for each region.
-    Two queries with a stored log between them: keyed state by document makes changes of groups, which are summed up before they are
-    written, so that a group of very many documents is a few rows a batch; keyed state by group holds the counts. With
-    ``close_after`` a group whose classes are all complete is closed when the feed's time, less ``delay``, is that much past its last
-    change: its counts leave the state, and later changes of it are ignored. A restart with the same ``path`` goes on behind the last batch.
+    Keyed state by pages of documents makes changes of groups, which are summed up before they are written to a log, so that a group of very many documents is a
+    few rows a batch; the groups are the sums of the log. With ``close_after`` a second query reads the log and holds the counts in keyed state by group: a group whose
+    classes are all complete is closed when the feed's time, less ``delay``, is that much past its last change. Its counts leave the state, and later
+    changes of it are ignored, also by later calls without ``close_after``. A restart with the same ``path`` goes on behind the last batch.
     """
     spark = events.sparkSession
     use_store(spark)
     log = "user_id string, group_key string, region string, document_type string, change long, ts timestamp"
-    places = F.transform(document_names(F.col("document_type"), F.col("anchor_key"), F.col("doc")), lambda n: bound(parse_invoice_number(n), lambda p: F.struct(F.concat_ws("-", p["prefix"], p["year"], p["period"], p["number"]).alias("group_key"), p["region"].alias("region"))))
-    named = once(events, "doc", F.try_parse_json("raw_json")).select("user_id", "id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "op", "document_type", F.array_distinct(places).alias("places"))
-    changes = named.groupBy("user_id", "id").transformWithState(DocumentVersions(), log, "update", "None")
+    never = F.lit(-(2**63))
+    gone = F.coalesce(F.col("op") == "DELETE", F.lit(False))
+    place = lambda n: bound(parse_invoice_number(n), lambda p: F.concat(F.concat_ws("-", p["prefix"], p["year"], p["period"], p["number"]), F.lit("\x01"), F.coalesce(p["region"], F.lit(""))))
+    places = F.array_join(F.transform(document_names(F.col("document_type"), F.col("anchor_key"), F.col("doc")), place), BETWEEN)
+    named = once(events, "doc", F.when(~gone, F.try_parse_json("raw_json"))).select(
+        F.pmod(F.xxhash64("user_id", "id"), F.lit(PAGES)).alias("page"), "user_id", "id", F.col("event_id").cast("long").alias("event_id"), gone.alias("gone"), F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), never).alias("at"), "document_type", F.when(~gone, places).alias("places"),
+    )
+    changes = named.groupBy("page").transformWithStateInPandas(DocumentVersions(), "user_id string, place string, change long, at long", "update", "None")
 
     def add(batch: DataFrame, number: int) -> None:
-        summed = batch.groupBy("user_id", "group_key", "region", "document_type").agg(F.sum("change").alias("change"), F.max("ts").alias("ts"))
-        summed.where("change <> 0").write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        summed = batch.groupBy("user_id", "place").agg(F.sum("change").alias("change"), F.nullif(F.max("at"), never).alias("at")).where("change <> 0")
+        parts = F.split("place", "\x01", 3)
+        rows = summed.select("user_id", *[parts[i].alias(n) for i, n in enumerate(("group_key", "region", "document_type"))], "change", F.timestamp_micros("at").alias("ts"))
+        rows.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
     changes.writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", f"{path}/checkpoint-changes").trigger(availableNow=True).start().awaitTermination()
     found = f"user_id string, group_key string, classes {CLASSES}, closed boolean"
     numbered = spark.createDataFrame([], f"{found}, batch long").schema
-    if not _stored(events, spark.createDataFrame([], f"{log}, batch long").schema, f"{path}/changes").isEmpty():
+    made = _stored(events, spark.createDataFrame([], f"{log}, batch long").schema, f"{path}/changes")
+    if close_after is None and _stored(events, numbered, f"{path}/groups").isEmpty():
+        return summed_groups(made)
+    if not made.isEmpty():
         feed = spark.readStream.schema(f"{log}, batch long").parquet(f"{path}/changes").withWatermark("ts", delay)
         after = None if close_after is None else int(spark.range(1).select(F.expr(f"CAST(INTERVAL {close_after} AS INTERVAL DAY TO SECOND)").alias("i")).first()["i"].total_seconds() * 1000)
         groups = feed.groupBy("user_id", "group_key").transformWithState(GroupCounts(after), found, "update", "EventTime")
@@ -95,6 +105,19 @@ def stream_group_changes(events: DataFrame, path: str, close_after: str | None =
     return last.select("user_id", "group_key", "g.closed", F.explode("g.classes").alias("c")).select("user_id", "group_key", "c.*", "closed")
 
 
+def summed_groups(log: DataFrame) -> DataFrame:
+    """The groups of a log of changes: documents without a region count in the least region that their group has, as in ``state.region_classes``."""
+    key = ["user_id", "group_key"]
+    counts = log.repartition(*key).groupBy(*key, "region", "document_type").agg(F.sum("change").alias("n")).where("n <> 0")
+    least = F.min(blank_to_null(F.col("region"))).over(Window.partitionBy(*key))
+    of = {t.replace("-", "_"): F.coalesce(F.sum(F.when(F.col("document_type") == t, F.col("n"))), F.lit(0)).alias(t.replace("-", "_")) for t in TYPES}
+    classes = counts.withColumn("region", F.coalesce(blank_to_null(F.col("region")), least)).groupBy(*key, "region").agg(F.sum("n").alias("documents"), *of.values())
+    complete = F.lit(True)
+    for name in of:
+        complete &= F.col(name) > 0
+    return classes.select(*key, "region", "documents", *of, complete.alias("complete"), F.lit(False).alias("closed"))
+
+
 def stream_upsert(stream: DataFrame, path: str, rules: DataFrame, buckets: int = 256) -> DataFrame:
     """The groups of all documents that have arrived: each batch groups anew only the (user, invoice number) that it touches.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TYPES = ("invoice", "eft_receipt", "e-way-bill")
+BETWEEN = "\x02"
 
 
 def use_store(spark: SparkSession) -> None:
@@ -53,23 +56,43 @@ def _document(r: Row) -> Row:
     return Row(id=r["id"], user_id=r["user_id"], document_type=r["document_type"], created_at=r["created_at"], business_fingerprint=r["business_fingerprint"])
 
 
+#: Pages of the state by document. A page is read and written as a whole, so more of them make small batches cheaper and large ones dearer.
+PAGES = 8192
+
+
 class DocumentVersions(StatefulProcessor):
-    """What each document's newest event adds to and takes from groups. The state is the event's number and the groups the document is in."""
+    """What each document's newest event adds to and takes from groups, for a page of documents at a time.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "event_id long, places array<string>")
+    The state of a page is one compressed text: of each of its documents the newest event's number and the groups the document is in. A call and a
+    few messages to the store for every document would take far longer than the work. ``places`` are the group and region of each number, joined by ``BETWEEN``.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        newest = max(rows, key=lambda r: (r["event_id"], r["op"] == "DELETE"))
-        old = self.now.get() if self.now.exists() else None
-        if old is not None and old[0] >= newest["event_id"]:
-            return
-        before = set(old[1] or ()) if old is not None else set()
-        after = set() if newest["op"] == "DELETE" else {f"{p['group_key']}\x01{p['region'] or ''}\x01{newest['document_type'] or ''}" for p in newest["places"] or ()}
-        for place, change in [*((p, -1) for p in sorted(before - after)), *((p, 1) for p in sorted(after - before))]:
-            group, region, kind = place.split("\x01")
-            yield Row(user_id=key[0], group_key=group, region=region, document_type=kind, change=change, ts=newest["ts"])
-        self.now.update((newest["event_id"], sorted(after)))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.page = handle.getValueState("page", "documents binary")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
+        import pandas as pd
+
+        newest: dict = {}
+        for part in rows:
+            part["event_id"] = part["event_id"].astype("int64")
+            for user, i, *event in zip(*[part[c].tolist() for c in ("user_id", "id", "event_id", "gone", "at", "document_type", "places")], strict=True):
+                old = newest.get((user, i))
+                if old is None or event[:2] > old[:2]:
+                    newest[user, i] = event
+        known = {(user, i): (event_id, places) for user, i, event_id, places in json.loads(zlib.decompress(self.page.get()[0]))} if self.page.exists() else {}
+        out = []
+        for (user, i), (event_id, gone, at, kind, places) in newest.items():
+            old = known.get((user, i))
+            if old is not None and old[0] >= event_id:
+                continue
+            before = set(old[1]) if old is not None else set()
+            after = {f"{p}\x01{kind or ''}" for p in places.split(BETWEEN)} if places and not gone else set()
+            out += [(user, p, -1, at) for p in sorted(before - after)] + [(user, p, 1, at) for p in sorted(after - before)]
+            known[user, i] = (event_id, sorted(after))
+        self.page.update((zlib.compress(json.dumps([(*k, *v) for k, v in known.items()]).encode(), 1),))
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "place", "change", "at"])
 
     def close(self) -> None:
         pass

@@ -83,6 +83,18 @@ def test_group_changes_equal_the_survivors(spark, tmp_path, cuts):
     assert found_groups(jobs.stream_group_changes(stream(), path)) == want  # nothing new
 
 
+def test_documents_share_pages_of_the_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "PAGES", 8)
+    source, path = f"{tmp_path}/in", f"file://{tmp_path}/state"
+    events = feed(random.Random(3), 900, 300)
+    for part in (events[:500], events[500:]):
+        spark.createDataFrame(part, FEED).coalesce(1).write.mode("append").parquet(source)
+    got = jobs.stream_group_changes(spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(source), path)
+    assert found_groups(got) == brute_groups(spark, events)
+    pages = spark.read.format("statestore").option("path", f"{path}/checkpoint-changes").option("stateVarName", "page").load()
+    assert pages.count() == 8
+
+
 def test_complete_groups_close_and_leave_the_state(spark, tmp_path):
     source, path = f"{tmp_path}/in", f"file://{tmp_path}/state"
     at = lambda hours: START + datetime.timedelta(hours=hours)
