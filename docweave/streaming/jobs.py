@@ -12,6 +12,9 @@ from ..operators.grouping import document_names, group_documents
 from ..sources.tables import new_folder
 from .state import BETWEEN, CLASSES, PAGES, TYPES, DocumentVersions, FirstOfFingerprint, GroupCounts, candidates, use_store
 
+#: The time of rows without one, in microseconds.
+NEVER = -(2**63)
+
 
 def stream_throughput(events: DataFrame, time: str, width: str, delay: str = "0 seconds") -> DataFrame:
     """Documents of each status in tumbling windows of ``width``; a window closes once the watermark passes it, later rows are dropped."""
@@ -43,16 +46,17 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", path: str
 def stream_deduplicate(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Documents that are kept as they arrive: repeated invoices are dropped within a batch and against all earlier batches.
 
-    The first document of a fingerprint in a batch is that with the least (created_at, id). What has been seen is keyed state: a batch
-    looks up its own fingerprints and reads nothing of earlier batches. A task sends only its first row of a fingerprint to the
+    The first document of a fingerprint in a batch is that with the least (created_at, id). What has been seen is keyed state by pages of fingerprints: a batch
+    looks up the pages of its own and reads nothing else of earlier batches. A task sends only its first row of a fingerprint to the
     state and drops its later invoices itself, so a fingerprint of very many documents meets no single task. A restart with the
     same ``path`` changes nothing and goes on behind the last batch. ``stream`` has id, user_id, document_type, created_at and
     business_fingerprint. A stream without rows gives none.
     """
     use_store(stream.sparkSession)
-    names = ["id", "user_id", "document_type", "created_at", "business_fingerprint"]
-    rows = stream.select(*names)
-    kept = candidates(rows).groupBy("business_fingerprint", "salt").transformWithState(FirstOfFingerprint(), rows.schema, "append", "None")
+    kind = stream.schema["created_at"].dataType
+    rows = stream.select("id", "user_id", "document_type", F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(NEVER)).alias("at"), "business_fingerprint")
+    kept = candidates(rows, PAGES).groupBy("page").transformWithStateInPandas(FirstOfFingerprint(), rows.schema, "append", "None")
+    kept = kept.select("id", "user_id", "document_type", F.timestamp_micros(F.nullif("at", F.lit(NEVER))).cast(kind).alias("created_at"), "business_fingerprint")
     return run_available(kept, "stream-deduplicate", path=path)
 
 
@@ -70,17 +74,16 @@ def stream_group_changes(events: DataFrame, path: str, close_after: str | None =
     spark = events.sparkSession
     use_store(spark)
     log = "user_id string, group_key string, region string, document_type string, change long, ts timestamp"
-    never = F.lit(-(2**63))
     gone = F.coalesce(F.col("op") == "DELETE", F.lit(False))
     place = lambda n: bound(parse_invoice_number(n), lambda p: F.concat(F.concat_ws("-", p["prefix"], p["year"], p["period"], p["number"]), F.lit("\x01"), F.coalesce(p["region"], F.lit(""))))
     places = F.array_join(F.transform(document_names(F.col("document_type"), F.col("anchor_key"), F.col("doc")), place), BETWEEN)
     named = once(events, "doc", F.when(~gone, F.try_parse_json("raw_json"))).select(
-        F.pmod(F.xxhash64("user_id", "id"), F.lit(PAGES)).alias("page"), "user_id", "id", F.col("event_id").cast("long").alias("event_id"), gone.alias("gone"), F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), never).alias("at"), "document_type", F.when(~gone, places).alias("places"),
+        F.pmod(F.xxhash64("user_id", "id"), F.lit(PAGES)).alias("page"), "user_id", "id", F.col("event_id").cast("long").alias("event_id"), gone.alias("gone"), F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NEVER)).alias("at"), "document_type", F.when(~gone, places).alias("places"),
     )
     changes = named.groupBy("page").transformWithStateInPandas(DocumentVersions(), "user_id string, place string, change long, at long", "update", "None")
 
     def add(batch: DataFrame, number: int) -> None:
-        summed = batch.groupBy("user_id", "place").agg(F.sum("change").alias("change"), F.nullif(F.max("at"), never).alias("at")).where("change <> 0")
+        summed = batch.groupBy("user_id", "place").agg(F.sum("change").alias("change"), F.nullif(F.max("at"), F.lit(NEVER)).alias("at")).where("change <> 0")
         parts = F.split("place", "\x01", 3)
         rows = summed.select("user_id", *[parts[i].alias(n) for i, n in enumerate(("group_key", "region", "document_type"))], "change", F.timestamp_micros("at").alias("ts"))
         rows.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")

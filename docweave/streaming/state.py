@@ -21,50 +21,59 @@ def use_store(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-class FirstOfFingerprint(StatefulProcessor):
-    """Of a fingerprint's rows the first ever is kept, and of later ones those that are no invoice. The state is one flag."""
+#: Pages of the state by document and by fingerprint. A page is read and written as a whole, so more of them make small batches cheaper and large ones dearer.
+PAGES = 8192
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        if key[1] > 0:  # rows that only pass
-            yield from (_document(r) for r in rows)
-            return
-        best = None
-        known = self.seen.exists()
-        for r in rows:
-            if known or (best is not None and _order(r) >= _order(best)):
-                loser = r
-            else:
-                loser, best = best, r
-            if loser is not None and loser["document_type"] != "invoice":
-                yield _document(loser)
-        if best is not None:
-            yield _document(best)
-        self.seen.update((True,))
+def _load(value) -> list:
+    """What a page's state holds: one compressed text of JSON."""
+    return json.loads(zlib.decompress(value.get()[0])) if value.exists() else []
 
-    def close(self) -> None:
-        pass
 
+def _store(value, rows: list) -> None:
+    value.update((zlib.compress(json.dumps(rows).encode(), 1),))
 
-def _order(r) -> tuple:
-    return (r["created_at"] is not None, r["created_at"], r["id"] is not None, r["id"])
 
+DOCUMENT = ["id", "user_id", "document_type", "at", "business_fingerprint"]
 
-def _document(r: Row) -> Row:
-    return Row(id=r["id"], user_id=r["user_id"], document_type=r["document_type"], created_at=r["created_at"], business_fingerprint=r["business_fingerprint"])
 
+class FirstOfFingerprint(StatefulProcessor):
+    """Of a fingerprint's rows the first ever is kept, and of later ones those that are no invoice, for a page of fingerprints at a time. The state of a page is the fingerprints it has seen."""
 
-#: Pages of the state by document. A page is read and written as a whole, so more of them make small batches cheaper and large ones dearer.
-PAGES = 8192
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.page = handle.getValueState("page", "fingerprints binary")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
+        import pandas as pd
+
+        if key[0] >= PAGES:  # rows that only pass
+            yield from (part[DOCUMENT] for part in rows)
+            return
+        seen, best, out = set(_load(self.page)), {}, []
+        for part in rows:
+            for row in zip(*[part[c].tolist() for c in DOCUMENT], strict=True):
+                order, loser = (row[3], row[0] is not None, row[0]), row
+                if row[4] not in seen:
+                    old = best.get(row[4])
+                    if old is None or order < old[0]:
+                        best[row[4]], loser = (order, row), old and old[1]
+                if loser is not None and loser[2] != "invoice":
+                    out.append(loser)
+        if best:
+            _store(self.page, [*seen, *best])
+        out += [row for _, row in best.values()]
+        if out:
+            yield pd.DataFrame(out, columns=DOCUMENT)
+
+    def close(self) -> None:
+        pass
 
 
 class DocumentVersions(StatefulProcessor):
     """What each document's newest event adds to and takes from groups, for a page of documents at a time.
 
-    The state of a page is one compressed text: of each of its documents the newest event's number and the groups the document is in. A call and a
-    few messages to the store for every document would take far longer than the work. ``places`` are the group and region of each number, joined by ``BETWEEN``.
+    The state of a page has of each of its documents the newest event's number and the groups the document is in. A call and a few messages to the store for
+    every document would take far longer than the work. ``places`` are the group and region of each number, joined by ``BETWEEN``.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -80,7 +89,7 @@ class DocumentVersions(StatefulProcessor):
                 old = newest.get((user, i))
                 if old is None or event[:2] > old[:2]:
                     newest[user, i] = event
-        known = {(user, i): (event_id, places) for user, i, event_id, places in json.loads(zlib.decompress(self.page.get()[0]))} if self.page.exists() else {}
+        known = {(user, i): (event_id, places) for user, i, event_id, places in _load(self.page)}
         out = []
         for (user, i), (event_id, gone, at, kind, places) in newest.items():
             old = known.get((user, i))
@@ -90,7 +99,7 @@ class DocumentVersions(StatefulProcessor):
             after = {f"{p}\x01{kind or ''}" for p in places.split(BETWEEN)} if places and not gone else set()
             out += [(user, p, -1, at) for p in sorted(before - after)] + [(user, p, 1, at) for p in sorted(after - before)]
             known[user, i] = (event_id, sorted(after))
-        self.page.update((zlib.compress(json.dumps([(*k, *v) for k, v in known.items()]).encode(), 1),))
+        _store(self.page, [(*k, *v) for k, v in known.items()])
         if out:
             yield pd.DataFrame(out, columns=["user_id", "place", "change", "at"])
 
@@ -158,13 +167,11 @@ def region_classes(counts: dict[str, int]) -> list[Row]:
 CLASSES = "array<struct<region: string, documents: bigint, invoice: bigint, eft_receipt: bigint, e_way_bill: bigint, complete: boolean>>"
 
 
-def candidates(rows: DataFrame, salts: int = 64) -> DataFrame:
-    """``rows`` with ``salt``: 0 for the first row of each fingerprint in a task; other invoices of the task are gone, other rows get any salt.
+def candidates(rows: DataFrame, pages: int = PAGES, salts: int = 1024) -> DataFrame:
+    """``rows`` (of ``DOCUMENT``) with ``page``: that of its fingerprint for the first row of each fingerprint in a task; other invoices of the task are gone, other rows get any page past ``PAGES``.
 
-    So of a fingerprint that a third of all rows share, a task sends one row to its key.
+    So of a fingerprint that a third of all rows share, a task sends one row to its page.
     """
-    names = rows.columns
-    at = {n: i for i, n in enumerate(names)}
 
     def run(batches):
         import pyarrow as pa
@@ -173,23 +180,22 @@ def candidates(rows: DataFrame, salts: int = 64) -> DataFrame:
         kind = None
         for batch in batches:
             kind, out = batch.schema, []
-            for i, row in enumerate(zip(*[batch.column(n).to_pylist() for n in names], strict=True)):
-                key = row[at["business_fingerprint"]]
-                order = (row[at["created_at"]] is not None, row[at["created_at"]], row[at["id"]] is not None, row[at["id"]])
-                best = first.get(key)
+            for i, row in enumerate(zip(*[batch.column(n).to_pylist() for n in DOCUMENT], strict=True)):
+                order = (row[3], row[0] is not None, row[0])
+                best = first.get(row[4])
                 if best is None or order < best[0]:
-                    first[key] = (order, row)
+                    first[row[4]] = (order, row)
                     row = best and best[1]
-                if row is not None and row[at["document_type"]] != "invoice":
-                    out.append((*row, 1 + i % salts))
+                if row is not None and row[2] != "invoice":
+                    out.append((*row, PAGES + i % salts))
             if out:
                 yield _batch(out, kind, pa)
         if first:
-            yield _batch([(*row, 0) for _, row in first.values()], kind, pa)
+            yield _batch([(*row, zlib.crc32((row[4] or "").encode()) % pages) for _, row in first.values()], kind, pa)
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("salt", IntegerType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("page", IntegerType())]))
 
 
 def _batch(rows: list[tuple], kind, pa):
-    fields = [*kind, pa.field("salt", pa.int32())]
+    fields = [*kind, pa.field("page", pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], [f.name for f in fields])

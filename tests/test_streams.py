@@ -160,6 +160,26 @@ def test_twenty_batches_read_only_their_own_rows(spark, tmp_path):
     assert sorted(n for n in inputs if n) == [30] * 20
 
 
+def test_fingerprints_share_pages_of_the_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "PAGES", 8)
+    kind = "id string, user_id string, document_type string, created_at timestamp, business_fingerprint string"
+    source, path = f"{tmp_path}/in", f"file://{tmp_path}/state"
+    at = lambda n: None if n % 5 == 0 else datetime.datetime(1600 if n % 7 == 0 else 2025, 1, 1, n % 24)
+    parts = [[(f"{b}-{n}", "u", TYPES[n % 3], at(n * 31 + b), None if n == 9 else f"f{n * 7 % 200}") for n in range(600)] for b in range(2)]
+    for part in parts:
+        spark.createDataFrame(part, kind).repartition(3).coalesce(1).write.mode("append").parquet(source)
+    got = jobs.stream_deduplicate(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source), path)
+    want = {r for part in parts for r in part if r[2] != "invoice"}
+    order = lambda r: (r[3] is not None, r[3], r[0])
+    seen = {r[4] for r in parts[0]}
+    for n, part in enumerate(parts):
+        for key in {r[4] for r in part} - (seen if n else set()):
+            want.add(min((r for r in part if r[4] == key), key=order))
+    assert {tuple(r) for r in got.collect()} == want
+    pages = spark.read.format("statestore").option("path", f"{path}/checkpoint").option("stateVarName", "page").load()
+    assert pages.count() == 8
+
+
 def test_moved_documents_leave_their_old_group(spark, tmp_path):
     source, path = f"{tmp_path}/in", f"file://{tmp_path}/state"
     rules = grouping.business_rules(spark)
