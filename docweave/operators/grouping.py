@@ -103,17 +103,25 @@ def document_names(document_type: Column, anchor_key: Column, doc: Column) -> Co
 def group_references(parsed: DataFrame, known_only: bool = False) -> DataFrame:
     """Groups by the canonical key, receipts also under the further invoices they name; ``known_only``: under those that an invoice document of the user has.
 
-    Before the fan-out the names of receipts meet the keys of invoices in a semi-join; a document's own number always holds.
+    Documents are read once: a group is summed up with and without the documents that name it as a further one, and whether an invoice has it as its own
+    number decides which sums hold. A document's own number always holds.
     """
     names = document_names(F.col("document_type"), F.col("anchor_key"), F.col("doc"))
     first = invoice_group_key(first_truthy(F.col("anchor_key"), json_text(F.col("doc"), "invoice")))
     each = once(once(parsed, "doc", F.try_parse_json("raw_json")), "own_key", first)
     each = each.select("id", "user_id", "document_type", "own_key", F.explode(F.array_distinct(F.transform(names, lambda x: invoice_group_key(x)))).alias("group_key"))
-    if known_only:
-        own = F.col("group_key").eqNullSafe(F.col("own_key"))
-        known = each.where(own & (F.col("document_type") == "invoice")).select("user_id", "group_key").distinct()
-        each = each.where(own).unionByName(each.where(~own).join(known, ["user_id", "group_key"], "left_semi").select(*each.columns))
-    return each.groupBy("user_id", "group_key").agg(F.countDistinct("id").alias("documents"), F.array_join(F.sort_array(F.collect_set("document_type")), ",").alias("types"))
+    key = ["user_id", "group_key"]
+    sums = lambda id, kind: [F.countDistinct(id), F.array_join(F.sort_array(F.collect_set(kind)), ",")]  # noqa: A002, E731
+    if not known_only:
+        documents, types = sums(F.col("id"), F.col("document_type"))
+        return each.groupBy(*key).agg(documents.alias("documents"), types.alias("types"))
+    each = each.withColumn("own", F.col("group_key").eqNullSafe(F.col("own_key")))
+    flag = F.bool_or(F.col("own") & (F.col("document_type") == "invoice")) & F.col("user_id").isNotNull()
+    mine = lambda c: F.when(F.col("own"), F.col(c))
+    both = [*sums(F.col("id"), F.col("document_type")), *sums(mine("id"), mine("document_type"))]
+    g = each.groupBy(*key).agg(F.coalesce(flag, F.lit(False)).alias("known"), F.bool_or("own").alias("any"), *[c.alias(n) for c, n in zip(both, ("documents", "types", "own_documents", "own_types"), strict=True)])
+    held = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.col(f"own_{c}")).alias(c)
+    return g.where("known OR any").select(*key, held("documents"), held("types"))
 
 
 def group_display_status(groups: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import scalars as S
-from docweave.operators import grouping, matching, promotion, ranking
+from docweave.operators import grouping, lifecycle, matching, promotion, ranking
 from docweave.sources import merged
 
 #: Texts and their dates in UTC, by hand.
@@ -118,3 +118,24 @@ def test_repeated_results_hold_once(spark):
 def test_listed_recyclers_have_the_longer_list(spark):
     df = spark.createDataFrame([("Mira-Bhayandar Plast", ["invoice", "e-way-bill"]), ("Acme SA", ["invoice", "e-way-bill"])], "recycler_company string, present_document_types array<string>").withColumn("user_id", F.lit("u")).withColumn("invoice_number", F.lit("n"))
     assert [r["complete"] for r in grouping.group_display_status(df).collect()] == [True, False]
+
+
+def test_known_references_read_documents_once(spark):
+    kind = "id string, user_id string, document_type string, anchor_key string, raw_json string"
+    doc = lambda i, t, own, more="", user="u": (i, user, t, own, '{"second_invoice": "%s"}' % more)
+    rows = [doc("1", "invoice", "A/24-25/1"), doc("2", "eft_receipt", "B/24-25/1", "A/24-25/1"), doc("2", "eft_receipt", "A/24-25/1", "C/24-25/1"), doc("3", "e-way-bill", "C/24-25/1"), doc("4", "eft_receipt", None, "C/24-25/1"), doc("5", "invoice", "N/A", user=None), doc("6", "eft_receipt", "D/24-25/1", "N/A", None), doc("7", "eft_receipt", None, "E/24-25/1")]
+    df = spark.createDataFrame(rows, kind)
+    got = grouping.group_references(df, known_only=True)
+    assert {(r["user_id"], r["group_key"], r["documents"], r["types"]) for r in got.collect()} == {("u", "A-24-25-001", 2, "eft_receipt,invoice"), ("u", "B-24-25-001", 1, "eft_receipt"), ("u", "C-24-25-001", 1, "e-way-bill"), (None, "N-A-00-00-00A", 1, "invoice"), (None, "D-24-25-001", 1, "eft_receipt")}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_a_url_is_a_row_for_each_depth_of_the_pages_paths(spark):
+    single = spark.createDataFrame([("1", "u", "single/u/a.pdf", "t", "failed"), ("2", "u", "single/u/b.pdf", "t", "failed"), ("3", "u", "c.pdf", "t", "processed"), ("4", "u", None, "t", "failed")], "id string, user_id string, pdf_path string, temp_document_id string, status string")
+    parsed = spark.createDataFrame([("u", "HTTPS://h/x/y/z/single/u/A.pdf"), ("u", "https://h/c.pdf"), ("u", "pdf"), ("u", None)], "user_id string, file_url string")
+    _, files, _ = matching.ending_files(single, parsed)
+    assert files.count() == 5  # depths 1 and 3; "pdf" has one
+    temp = spark.createDataFrame([("t", "u", "uploaded")], "id string, user_id string, status string")
+    asked = spark.createDataFrame([(i, "u", t) for i, t in (("1", "single_documents"), ("2", "single_documents"), ("3", "unprocessed_documents"), ("4", "single_documents"), ("t", "unprocessed_documents"), ("9", "temp_documents"), ("1", "parsed_documents"), ("1", None))], "document_id string, user_id string, source_table string")
+    got = {(r["document_id"], r["source_table"]): r["verdict"] for r in lifecycle.plan_deletions(asked, temp, single, parsed).collect()}
+    assert got == {("1", "single_documents"): "processed", ("2", "single_documents"): "allowed", ("3", "unprocessed_documents"): "processed", ("4", "single_documents"): "allowed", ("t", "unprocessed_documents"): "allowed", ("9", "temp_documents"): "not_found", ("1", "parsed_documents"): "protected", ("1", None): "protected"}
