@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import scalars as S
-from docweave.operators import grouping, lifecycle, matching, promotion, ranking
+from docweave.operators import extraction, grouping, lifecycle, matching, promotion, ranking
 from docweave.sources import merged
 
 #: Texts and their dates in UTC, by hand.
@@ -139,3 +139,19 @@ def test_a_url_is_a_row_for_each_depth_of_the_pages_paths(spark):
     asked = spark.createDataFrame([(i, "u", t) for i, t in (("1", "single_documents"), ("2", "single_documents"), ("3", "unprocessed_documents"), ("4", "single_documents"), ("t", "unprocessed_documents"), ("9", "temp_documents"), ("1", "parsed_documents"), ("1", None))], "document_id string, user_id string, source_table string")
     got = {(r["document_id"], r["source_table"]): r["verdict"] for r in lifecycle.plan_deletions(asked, temp, single, parsed).collect()}
     assert got == {("1", "single_documents"): "processed", ("2", "single_documents"): "allowed", ("3", "unprocessed_documents"): "processed", ("4", "single_documents"): "allowed", ("t", "unprocessed_documents"): "allowed", ("9", "temp_documents"): "not_found", ("1", "parsed_documents"): "protected", ("1", None): "protected"}
+
+
+def test_stored_responses_are_read_once(spark, tmp_path):
+    responses = spark.createDataFrame([(str(i), "u", "f", None, '```json\n{"document_type": "invoice", "invoice": "%s"}\n```' % (i % 4) if i else "no") for i in range(8)], "id string, user_id string, file_url string, created_at timestamp, response_text string")
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        reads.add(1)
+        return text
+
+    history = spark.createDataFrame([("none",)], "business_fingerprint string")
+    single = responses.select("id", "user_id", F.lit("uploaded").alias("status"), F.lit(None).cast("string").alias("last_error"))
+    parsed, pages = extraction.store_extractions(responses.withColumn("response_text", counted.asNondeterministic()("response_text")), history, single, f"file://{tmp_path}/out")
+    assert {r["id"]: r["status"] for r in pages.collect()} == {"0": "failed", "1": "processed", "2": "processed", "3": "processed", "4": "processed", "5": "skipped_duplicate", "6": "skipped_duplicate", "7": "skipped_duplicate"}
+    assert {r["id"] for r in parsed.collect()} == {"1", "2", "3", "4"} and reads.value == 8
