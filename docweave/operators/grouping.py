@@ -30,8 +30,8 @@ def apply_business_rule(groups: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select(*groups.columns, *[rule[f].alias(f) for f in fields], rule.isNull().alias("rule_error"))
 
 
-def _grouping_fields(parsed: DataFrame) -> DataFrame:
-    """(user_id, invoice_number, document_type, id, at, c1, c2, c3, company, plastic) of documents that name an invoice; each is parsed once."""
+def grouping_fields(parsed: DataFrame) -> DataFrame:
+    """(user_id, invoice_number, document_type, id, at, c1, c2, c3, company, plastic): all that grouping takes from a document; each is parsed once."""
     doc = F.col("doc")
     p = once(parsed, "doc", F.try_parse_json("raw_json"))
     address = F.coalesce(json_truthy(doc, "ship_to_address"), json_truthy(doc, "bill_to_address"))
@@ -40,7 +40,12 @@ def _grouping_fields(parsed: DataFrame) -> DataFrame:
         "user_id", first_truthy(F.col("anchor_key"), json_text(doc, "invoice")).alias("invoice_number"), "document_type", "id", F.struct("created_at", "id").alias("at"), F.upper(F.btrim(ship)).alias("c1"),
         F.upper(F.btrim(json_truthy(doc, "country"))).alias("c2"), F.when(F.lower(address).contains("india"), "IN").alias("c3"), json_truthy(doc, "bill_to_company_name", "ship_to_company_name", "recycler_company").alias("company"),
         json_truthy(doc, "plastic_type").alias("plastic"),
-    ).where(F.col("invoice_number").isNotNull())
+    )
+
+
+def _grouping_fields(parsed: DataFrame) -> DataFrame:
+    """``grouping_fields`` of documents that name an invoice."""
+    return grouping_fields(parsed).where(F.col("invoice_number").isNotNull())
 
 
 def _newest_fields() -> list[Column]:
@@ -51,8 +56,13 @@ def _newest_fields() -> list[Column]:
 
 def group_documents(parsed: DataFrame, rules: DataFrame) -> DataFrame:
     """Groups by (user, invoice number): one shuffle, newest document first in every list. Where a placeholder number holds very many documents, ``group_summary`` and ``group_chunks`` bound every row."""
+    return group_fields(_grouping_fields(parsed), rules)
+
+
+def group_fields(fields: DataFrame, rules: DataFrame) -> DataFrame:
+    """``group_documents`` of the fields of documents that name an invoice."""
     lists = F.sort_array(F.collect_list(F.struct("at", "document_type", "id")), asc=False)
-    g = _grouping_fields(parsed).groupBy("user_id", "invoice_number").agg(lists.alias("docs"), *_newest_fields())
+    g = fields.groupBy("user_id", "invoice_number").agg(lists.alias("docs"), *_newest_fields())
     g = g.select("user_id", "invoice_number", "country", "recycler_company", "plastic_type", F.col("docs.document_type").alias("present_document_types"), F.col("docs.id").alias("present_document_ids"))
     return completeness(apply_business_rule(g, rules))
 

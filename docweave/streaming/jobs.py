@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import blank_to_null, bound, first_truthy, json_text, once, parse_invoice_number
-from ..operators.grouping import document_names, group_documents
+from ..functions.scalars import blank_to_null, bound, once, parse_invoice_number
+from ..operators.grouping import document_names, group_documents, group_fields, grouping_fields
 from ..sources.tables import new_folder
 from .state import BETWEEN, CLASSES, PAGES, TYPES, DocumentVersions, FirstOfFingerprint, GroupCounts, candidates, use_store
 
@@ -124,9 +124,9 @@ def summed_groups(log: DataFrame) -> DataFrame:
 def stream_upsert(stream: DataFrame, path: str, rules: DataFrame, buckets: int = 256) -> DataFrame:
     """The groups of all documents that have arrived: each batch groups anew only the (user, invoice number) that it touches.
 
-    Documents are stored by bucket of their group, and an index by bucket of their id says where each one is. A batch reads the index
+    What grouping takes from a document, not its text, is stored by bucket of its group, and an index by bucket of its id says where each one is. A batch reads the index
     buckets of its ids and the document buckets of its groups, the old ones of documents that move included; a document that moves
-    leaves a mark in its old group. Of a document the last batch's version holds, within a batch the greatest (created_at, raw_json). Folders of a
+    leaves a mark in its old group. A batch whose buckets are new is grouped as it is. Of a document the last batch's version holds, within a batch the greatest (created_at, raw_json). Folders of a
     batch are overwritten when it is run again, and a batch reads folders up to its own, so a restart with the same ``path`` changes nothing. Of a group the
     last batch's row holds; one that all documents have left is gone. ``stream`` has the columns of parsed_documents; documents
     without an invoice number are indexed and in no group, as are those without an id, each of which is a document of its own.
@@ -134,8 +134,9 @@ def stream_upsert(stream: DataFrame, path: str, rules: DataFrame, buckets: int =
     spark = stream.sparkSession
     key = ["user_id", "invoice_number"]
     columns = stream.columns
-    more = spark.createDataFrame([], "invoice_number string, gone boolean, batch long, bucket int").schema
-    documents = StructType([*stream.schema.fields, *more.fields])
+    more = spark.createDataFrame([], "gone boolean, batch long, bucket int").schema
+    fields = grouping_fields(spark.createDataFrame([], stream.schema)).schema
+    documents = StructType([*fields, *more])
     index = spark.createDataFrame([], "id string, user_id string, invoice_number string, batch long, slot int").schema
     groups = group_documents(spark.createDataFrame([], stream.schema), rules).schema.add("batch", "long")
     slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
@@ -144,28 +145,30 @@ def stream_upsert(stream: DataFrame, path: str, rules: DataFrame, buckets: int =
         return [r[0] for r in df.select(name).distinct().collect()]
 
     def add(batch: DataFrame, number: int) -> None:
-        named = once(batch, "__doc", F.try_parse_json("raw_json")).withColumn("invoice_number", first_truthy(F.col("anchor_key"), json_text(F.col("__doc"), "invoice"))).drop("__doc")
-        own = F.struct("created_at", "raw_json", *[c for c in columns if c not in ("created_at", "raw_json")], "invoice_number")
-        newest = named.where("id IS NOT NULL").groupBy("id").agg(F.max(own).alias("d")).select("d.*").unionByName(named.where("id IS NULL"))
-        newest.select(*columns, "invoice_number").write.mode("overwrite").parquet(f"{path}/arrived/batch={number}")
-        newest = spark.read.schema(named.select(*columns, "invoice_number").schema).parquet(f"{path}/arrived/batch={number}")
-        ids = newest.where("id IS NOT NULL").withColumn("slot", slot("id"))
-        places = _stored(batch, index, f"{path}/index").where((F.col("batch") < number) & F.col("slot").isin(touched(ids, "slot")))
+        own = F.struct("created_at", "raw_json", *[c for c in columns if c not in ("created_at", "raw_json")])
+        alone = batch.withColumn("__alone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+        newest = grouping_fields(alone.groupBy("id", "__alone").agg(F.max(own).alias("d")).select("d.*"))
+        arrived = newest.select(*fields.names, F.lit(False).alias("gone"), F.when(F.col("invoice_number").isNotNull(), slot(*key)).otherwise(-1).alias("bucket"))
+        arrived.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/documents/batch={number}")
+        mine = _stored(batch, documents, f"{path}/documents").where(F.col("batch") == number)
+        ids = mine.where("id IS NOT NULL").withColumn("slot", slot("id"))
+        places = _stored(batch, index, f"{path}/index").where(F.col("batch") < number)
+        places = places.where(F.col("slot").isin(touched(ids, "slot"))) if number else places
         known = places.groupBy("id").agg(F.max_by(F.struct(*key), "batch").alias("old"))
         moved = ids.join(known, "id").where(~(F.col("old.user_id").eqNullSafe(F.col("user_id")) & F.col("old.invoice_number").eqNullSafe(F.col("invoice_number"))))
-        marks = moved.select("id", "old.*").where("invoice_number IS NOT NULL").withColumn("gone", F.lit(True))
-        ids.select("id", *key, "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/index/batch={number}")
-        stored = newest.where("invoice_number IS NOT NULL").withColumn("gone", F.lit(False)).unionByName(marks, allowMissingColumns=True).withColumn("bucket", slot(*key))
-        stored.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/documents/batch={number}")
-        now = _stored(batch, documents, f"{path}/documents")
+        marks = moved.select("id", "old.*").where("invoice_number IS NOT NULL").select("id", *key, F.lit(True).alias("gone"), slot(*key).alias("bucket"))
+        marks.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/marks/batch={number}")
+        ids.select("id", *key, "slot").hint("rebalance", "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/index/batch={number}")
+        now = _stored(batch, documents, f"{path}/documents").unionByName(_stored(batch, documents, f"{path}/marks")).where((F.col("batch") <= number) & (F.col("bucket") >= 0))
         mine = now.where(F.col("batch") == number)
-        near = now.where((F.col("batch") <= number) & F.col("bucket").isin(touched(mine, "bucket")))
+        near = now.where(F.col("bucket").isin(touched(mine, "bucket")))
         keys = mine.select(F.col("user_id").alias("u"), F.col("invoice_number").alias("i")).distinct()
-        members = near.join(keys, F.col("user_id").eqNullSafe(F.col("u")) & (F.col("invoice_number") == F.col("i")), "left_semi")
-        version = F.struct("batch", ~F.col("gone"), *columns)
-        last = members.where("id IS NOT NULL").groupBy(*key, "id").agg(F.max_by(F.struct("gone", *[c for c in columns if c not in ("id", "user_id")]), version).alias("v"))
-        current = last.where("NOT v.gone").select("id", "user_id", "v.*").select(*columns).unionByName(members.where("id IS NULL AND NOT gone").select(*columns))
-        made = group_documents(current, rules)
+        current = mine
+        if not near.where(F.col("batch") < number).isEmpty():
+            members = near.join(keys, F.col("user_id").eqNullSafe(F.col("u")) & (F.col("invoice_number") == F.col("i")), "left_semi")
+            last = members.where("id IS NOT NULL").groupBy(*key, "id").agg(F.max_by(F.struct("gone", *[c for c in fields.names if c not in (*key, "id")]), F.struct("batch", ~F.col("gone"))).alias("v"))
+            current = last.where("NOT v.gone").select(*key, "id", "v.*").select(*fields.names).unionByName(members.where("id IS NULL AND NOT gone").select(*fields.names))
+        made = group_fields(current.select(*fields.names), rules)
         left = keys.join(made.select(F.col("user_id").alias("u2"), F.col("invoice_number").alias("i2")), F.col("u").eqNullSafe(F.col("u2")) & (F.col("i") == F.col("i2")), "left_anti")
         emptied = left.select(F.col("u").alias("user_id"), F.col("i").alias("invoice_number"))
         made.unionByName(emptied, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}/groups/batch={number}")

@@ -3,6 +3,7 @@
 import collections
 import datetime
 import json
+import pathlib
 import random
 
 import pytest
@@ -198,3 +199,13 @@ def test_moved_documents_leave_their_old_group(spark, tmp_path):
         stream = spark.readStream.schema(PARSED).option("maxFilesPerTrigger", 1).parquet(source)
         got = jobs.stream_upsert(stream, path, rules, buckets=8)
         assert {r["invoice_number"]: sorted(r["present_document_ids"], key=lambda x: (x is None, x)) for r in got.collect()} == want
+
+
+def test_texts_of_documents_are_not_stored(spark, tmp_path):
+    source, path = f"{tmp_path}/in", f"file://{tmp_path}/state"
+    rows = [(str(i), "u", "invoice", f"A/24-25/{i % 50}", json.dumps({"text": random.Random(i).randbytes(2000).hex()}), "url", START) for i in range(300)]
+    spark.createDataFrame(rows, PARSED).coalesce(1).write.parquet(source)
+    got = jobs.stream_upsert(spark.readStream.schema(PARSED).parquet(source), path, grouping.business_rules(spark), buckets=4)
+    assert got.count() == 50
+    size = lambda top: sum(f.stat().st_size for f in pathlib.Path(top).rglob("*.parquet"))
+    assert size(f"{tmp_path}/state") < size(source) / 2
